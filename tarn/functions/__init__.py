@@ -21,6 +21,7 @@ from tarn.functions.json_records import parse_record, struct_type
 from tarn.functions.scalars import (
     add_days,
     age_in_days,
+    beyond,
     bucket_of,
     email_domain,
     normalize_email,
@@ -32,7 +33,7 @@ from tarn.functions.scalars import (
 )
 
 __all__ = [
-    "add_days", "age_in_days", "bucket_of", "content_hash", "email_domain", "external_id",
+    "add_days", "age_in_days", "beyond", "bucket_of", "content_hash", "email_domain", "external_id",
     "is_valid_cnpj", "is_valid_cpf", "is_valid_email", "load_stamp", "normalize_email",
     "normalize_field", "normalize_phone", "only_digits", "parse_record", "path_basename",
     "round_money", "row_fingerprint", "row_id", "struct_type", "synthetic_key", "tier_of",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The mark an empty target starts from, and the balance tiers.
@@ -69,3 +69,11 @@ def path_basename(col: Column | str) -> Column:
 def watermark_or(col: Column | str, default: dt.datetime = EPOCH_MARK) -> Column:
     """Aggregate: highest cursor value, or ``default`` over an empty table."""
     return F.coalesce(F.max(col), F.lit(default.isoformat(sep=" ")).cast("timestamp_ntz"))
+
+
+def beyond(df: DataFrame, cursor: str, mark: object) -> Column:
+    """``cursor > mark``, with the mark in the cursor's own type so the scan can use it."""
+    if isinstance(mark, (dt.datetime, dt.date)):
+        literal = F.lit(mark.isoformat(sep=" ") if isinstance(mark, dt.datetime) else str(mark))
+        return F.col(cursor) > literal.cast(df.schema[cursor].dataType)
+    return F.col(cursor) > F.lit(mark)

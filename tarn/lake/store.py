@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarn.functions.scalars import beyond
 from tarn.lake.files import SharedFiles
 from tarn.operators.merge import common_schema, conform, keep_latest, require_columns, widest
 
@@ -400,7 +401,7 @@ class LakeStore:
             df = self._read_version(layer, table, self._require(layer, table, snapshot))
         if watermark is not None:
             if cursor in df.columns:
-                df = df.where(F.col(cursor) > F.lit(watermark))
+                df = df.where(beyond(df, cursor, watermark))
             elif (on_missing_cursor or self.on_missing_cursor) == "error":
                 raise ValueError(f"{layer}/{table} has no cursor column {cursor}")
         return df.select(*columns) if columns else df

@@ -5,7 +5,8 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from tarn.functions.scalars import beyond
 
 # Fixed value: rows fetched per round trip.
 FETCH_ROWS = 10_000
@@ -81,4 +82,4 @@ def read_jdbc(
 
 def read_increment(df: DataFrame, cursor: str, last: object | None) -> DataFrame:
     """Rows with ``cursor > last``; the filter is pushed to JDBC and Parquet scans."""
-    return df if last is None else df.where(F.col(cursor) > F.lit(last))
+    return df if last is None else df.where(beyond(df, cursor, last))
