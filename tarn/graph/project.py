@@ -123,7 +123,9 @@ def project_events(event: TimelineMap, clean: DataFrame, node: NodeMap, index: D
         F.col(event.timestamp).cast("timestamp").alias("at"),
         _props(clean, event.properties).alias("props"),
     )
-    identity = F.concat_ws("|", "type", "entity_id", F.col("at").cast("string"), "props")
+    identity = F.concat_ws(
+        "|", "type", "entity_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "props"
+    )
     return events.withColumn("event_id", uuid5(identity)).dropDuplicates(["event_id"])
 
 

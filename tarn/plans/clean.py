@@ -7,14 +7,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tarn.functions import (
     age_in_days,
     email_domain,
     external_id,
     normalize_email,
-    round_money,
     tier_of,
     to_utc,
 )
@@ -211,15 +209,3 @@ def status_totals(df: DataFrame, status: str, amount: str) -> DataFrame:
 def duplicate_keys(df: DataFrame, *pk: str) -> DataFrame:
     """Keys held by more than one row."""
     return df.groupBy(*pk).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
-
-
-def types_of(df: DataFrame) -> list[tuple[str, T.DataType]]:
-    return [(f.name, f.dataType) for f in df.schema]
-
-
-__all__ = [
-    "check_contract", "clean_contracts", "clean_customers", "clean_order_lines", "clean_orders",
-    "contract_parties", "contract_violations", "duplicate_keys", "hybrid_clean",
-    "referenced_rows", "round_money", "status_totals", "synthesize_clean", "types_of",
-    "unify_sources", "without_match",
-]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable, Sequence
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
@@ -150,7 +149,3 @@ def has_changes(lake: LakeStore, model: Model) -> bool:
     if not lake.table_exists(model.target) or cursor not in source.columns:
         return True
     return not source.where(beyond(source, cursor, target_mark(lake, model))).isEmpty()
-
-
-def as_of_default() -> dt.datetime:
-    return EPOCH_MARK

@@ -31,6 +31,9 @@ class JdbcRemote:
         opts = jdbc_options(self.url, query=text, **self.options)
         return self.spark.read.format("jdbc").options(**opts).load()
 
+    def qualified(self, schema: str, table: str) -> str:
+        return f"{schema}.{table}"
+
     def increment(self, name: str, cursor: str, watermark: object) -> DataFrame:
         return self.query(increment_query(name, cursor, watermark))
 
@@ -59,6 +62,9 @@ class CatalogRemote:
     def relation(self, name: str) -> DataFrame:
         return self.spark.table(f"{self.catalog}.{name}")
 
+    def qualified(self, schema: str, table: str) -> str:
+        return f"{schema}.{table}"
+
     def query(self, text: str) -> DataFrame:
         return self.spark.sql(text)
 
@@ -73,11 +79,14 @@ class FolderRemote:
     suffix: str = ""
 
     def relation(self, name: str) -> DataFrame:
-        path = f"{self.root.rstrip('/')}/{name.replace('.', '/')}{self.suffix}"
+        path = f"{self.root.rstrip('/')}/{name}{self.suffix}"
         if self.table_format == "parquet":
             return self.spark.read.parquet(path)
         return read_open_table(self.spark, path, self.table_format)
 
+    def qualified(self, schema: str, table: str) -> str:
+        return f"{schema}/{table}"
+
     def query(self, text: str, **tables: str) -> DataFrame:
         """SQL over the remote's tables, named in braces: ``SELECT * FROM {orders}``."""
         return self.spark.sql(text, **{k: self.relation(v) for k, v in tables.items()})
@@ -107,7 +116,7 @@ def federate(
             return remote.increment(relation, cursor, watermark)
         df = remote.relation(relation)
     elif table is not None:
-        df = remote.relation(f"{schema}.{table}" if schema else table)
+        df = remote.relation(remote.qualified(schema, table) if schema else table)
     else:
         raise ValueError("give a query, a relation, or a schema and table")
     return read_increment(df, cursor, watermark)

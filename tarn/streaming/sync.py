@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -127,7 +126,3 @@ def sync_children(
     markers = changed.withColumn("_deleted", F.lit(True))
     rows = union_relaxed(fresh, markers)
     return lake.write("raw", table, rows, "merge", pk=fk, unique=False, skip_empty=True)
-
-
-def lookback_days(days: int) -> dt.timedelta:
-    return dt.timedelta(days=days)
