@@ -1,4 +1,4 @@
-from tarn.queries import scans, writes  # noqa: F401
+from tarn.queries import catalog, columns, scans, writes  # noqa: F401
 from tarn.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
