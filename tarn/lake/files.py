@@ -26,6 +26,9 @@ class SharedFiles:
     def exists(self, path: str) -> bool:
         return self._fs.exists(self._path(path))
 
+    def is_file(self, path: str) -> bool:
+        return self.exists(path) and self._fs.getFileStatus(self._path(path)).isFile()
+
     def children(self, path: str) -> list[tuple[str, int]]:
         """(name, modification time in ms) of the entries of a folder."""
         if not self.exists(path):

@@ -32,6 +32,8 @@ LAYERS = ("raw", "enrichment", "clean", "graph", "state")
 FEDERATED = "fed"
 COMMIT = "commit_id"
 MAX_RETRIES = 8
+# Fewer delta rows than this are never worth a rewrite of the base.
+FOLD_ROWS = 100_000
 
 Source = str | tuple[str, str]
 
@@ -345,10 +347,11 @@ class LakeStore:
         return self._commit(layer, table, "compact", build(current), build=build)
 
     def needs_compaction(self, source: Source) -> bool:
-        """Deltas hold more than ``fold_ratio`` of the base, or there are many of them."""
+        """Many deltas, or deltas that have grown to ``fold_ratio`` of a sizeable base."""
         segments = self._require(*split_source(source)).segments
         delta = sum(s.rows for s in segments[1:])
-        return len(segments) > self.fold_segments or delta > self.fold_ratio * segments[0].rows
+        large = delta > FOLD_ROWS and delta > self.fold_ratio * segments[0].rows
+        return large or len(segments) > self.fold_segments
 
     def vacuum(self, source: Source, keep: int = 1, older_than_seconds: int = 3600) -> list[str]:
         """Drop old versions and the files only they used; returns the dropped commits.

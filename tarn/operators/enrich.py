@@ -200,8 +200,8 @@ def usage_totals(log: DataFrame, prices: DataFrame | None = None) -> DataFrame:
     )
     if prices is None:
         return totals
-    price = F.col("price_per_million").cast("decimal(12,6)")
-    cost = F.col("tokens").cast("decimal(20,0)") * price / F.lit(1_000_000)
+    price = F.col("price_per_million").cast("decimal(8,4)") * F.lit("0.000001").cast("decimal(7,6)")
+    cost = F.col("tokens").cast("decimal(18,0)") * price
     return totals.join(prices, "model", "left").select(
         *totals.columns, F.round(cost, 6).cast("double").alias("cost")
     )
@@ -219,13 +219,17 @@ def within_budget(
     )
 
 
+def _hits(found: Column, words: Sequence[str]) -> Column:
+    return F.size(F.filter(found, lambda w: w.isin(list(words))))
+
+
 def classify(text: Column | str, keywords: Mapping[str, Sequence[str]], default: str) -> Column:
     """Label with the most keyword hits in the text; earlier labels win ties."""
     text = F.lower(F.col(text) if isinstance(text, str) else text)
     found = F.split(text, WORD_BREAKS)
     scores = [
         F.struct(
-            F.size(F.filter(found, lambda w, words=words: w.isin(list(words)))).alias("hits"),
+            _hits(found, words).alias("hits"),
             F.lit(-i).alias("place"),
             F.lit(label).alias("label"),
         )

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarn.lake.files import SharedFiles
 from tarn.lake.store import LakeStore
 from tarn.streaming.config import ResourceConfig
 from tarn.streaming.state import SyncState
@@ -24,8 +25,14 @@ def landed_files(
     file_format: str = "parquet",
     max_files: int | None = None,
 ) -> DataFrame:
-    """Stream over files as they land; ``max_files`` bounds a batch."""
+    """Stream over files as they land; ``max_files`` bounds a batch.
+
+    ``path`` is a folder or one file (which is then watched for in its folder).
+    """
     reader = spark.readStream.schema(schema)
+    if SharedFiles(spark, path).is_file(path):
+        path, name = path.rstrip("/").rsplit("/", 1)
+        reader = reader.option("pathGlobFilter", name)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.format(file_format).load(path)

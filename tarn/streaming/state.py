@@ -6,10 +6,11 @@ import datetime as dt
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.lake.store import LakeStore
+from tarn.operators.merge import keep_latest
 
 WATERMARKS = ("state", "watermarks")
 RUNS = ("state", "sync_runs")
@@ -27,6 +28,14 @@ VALUE_TYPES = {bool: "boolean", int: "bigint", float: "double", str: "string"}
 WHOLE = ""
 
 
+def one_row(spark, schema: str, values: Sequence[object]) -> DataFrame:
+    """A single row as a constant projection (no RDD, one small task)."""
+    fields = [f.strip().split(" ") for f in schema.split(",")]
+    return spark.range(1, numPartitions=1).select(
+        *[F.lit(v).cast(kind).alias(name) for (name, kind), v in zip(fields, values)]
+    )
+
+
 class WatermarkMovedBack(ValueError):
     pass
 
@@ -80,8 +89,8 @@ class SyncState:
         if current == value:
             return
         text, kind = _encode(value)
-        row = Row(connector, resource, partition, text, kind, dt.datetime.now(dt.timezone.utc))
-        self._merge(self.lake.spark.createDataFrame([row], WATERMARK_SCHEMA))
+        row = (connector, resource, partition, text, kind, dt.datetime.now(dt.timezone.utc))
+        self._merge(one_row(self.lake.spark, WATERMARK_SCHEMA, row))
 
     def partition_marks(self, connector: str, resource: str, value_type: str) -> DataFrame:
         """``partition, mark`` with the mark in its own type."""
@@ -132,17 +141,16 @@ class RunLog:
         self._append(run_id, connector, resource, status, records, message)
 
     def _append(self, *values) -> None:
-        row = Row(*values, dt.datetime.now(dt.timezone.utc))
-        df = self.lake.spark.createDataFrame([row], RUN_SCHEMA).coalesce(1)
-        self.lake.write(*RUNS, df, "append")
+        row = (*values, dt.datetime.now(dt.timezone.utc))
+        self.lake.write(*RUNS, one_row(self.lake.spark, RUN_SCHEMA, row), "append")
+        if self.lake.needs_compaction(RUNS):
+            self.lake.compact(RUNS)
 
     def table(self) -> DataFrame:
         return self.lake.read(RUNS)
 
     def latest(self) -> DataFrame:
         """Last status of every run."""
-        from tarn.operators.merge import keep_latest
-
         return keep_latest(self.table(), "run_id", "at")
 
 
