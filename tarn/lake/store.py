@@ -16,10 +16,11 @@ import random
 import time
 import uuid
 from collections.abc import Callable, Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
+from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +47,32 @@ class TableNotFound(LookupError):
     pass
 
 
+@dataclass(frozen=True)
+class Mark:
+    """Highest value a cursor column has reached, kept as text together with its type."""
+
+    text: str
+    type: str
+
+    @property
+    def value(self) -> object:
+        if self.type.startswith("timestamp"):
+            return dt.datetime.fromisoformat(self.text)
+        if self.type == "date":
+            return dt.date.fromisoformat(self.text)
+        if self.type in ("tinyint", "smallint", "int", "bigint"):
+            return int(self.text)
+        if self.type in ("float", "double"):
+            return float(self.text)
+        return Decimal(self.text) if self.type.startswith("decimal") else self.text
+
+    def further(self, other: Mark | None) -> Mark:
+        """The higher of two marks; a column that changed its type starts over."""
+        if other is None or other.type != self.type:
+            return self
+        return self if self.value >= other.value else other
+
+
 @dataclass
 class Segment:
     """One commit's files: plain ``rows``, a ``merge`` (rows + keys) or a ``delete`` (keys)."""
@@ -66,6 +93,7 @@ class Version:
     segments: list[Segment]
     changed_rows: int = 0
     batches: dict[str, int] = field(default_factory=dict)
+    marks: dict[str, Mark] = field(default_factory=dict)
 
     @property
     def struct(self) -> T.StructType:
@@ -75,9 +103,14 @@ class Version:
     def load(text: str) -> Version:
         raw = json.loads(text)
         raw["segments"] = [Segment(**s) for s in raw["segments"]]
+        raw["marks"] = {c: Mark(**m) for c, m in raw["marks"].items()}
         return Version(**raw)
 
 
+def _now() -> str:
+    return dt.datetime.now(dt.timezone.utc).isoformat()
+
+
 def split_source(source: Source) -> tuple[str, str]:
     layer, table = source if isinstance(source, tuple) else source.split("/", 1)
     return layer, table
@@ -165,13 +198,16 @@ class LakeStore:
         max_records_per_file: int | None = None,
         skip_empty: bool = False,
         batch: tuple[str, int] | None = None,
+        track: str | None = None,
     ) -> Version | None:
         """Commit ``df`` as a new version.
 
         ``overwrite`` replaces rows and schema, ``append`` adds rows by name, ``merge``
         replaces rows by ``pk`` (a first merge creates the table). ``order`` picks the
         winner among incoming rows of one key; ``unique=False`` merges whole groups.
-        ``batch=(stream, id)`` makes a repeated streaming batch a no-op.
+        ``batch=(stream, id)`` makes a repeated streaming batch a no-op. ``track`` names a
+        cursor column; its highest value is part of the commit, so the watermark moves
+        exactly when the data lands.
         """
         if mode not in ("overwrite", "append", "merge"):
             raise ValueError(f"unknown mode: {mode}")
@@ -187,11 +223,12 @@ class LakeStore:
             return None
         if mode == "append" and current is not None:
             df = self._aligned(df, current)
-        segment = self._stage(layer, table, df, mode, pk, sort_by, max_records_per_file)
+        segment, mark = self._stage(layer, table, df, mode, pk, sort_by, max_records_per_file, track)
         if skip_empty and segment.rows == 0:
             self._files.delete(self._commit_path(layer, table, segment.commit))
             return None
-        return self._commit(layer, table, mode, segment, batch)
+        marks = {track: mark} if mark is not None else {}
+        return self._commit(layer, table, mode, segment, batch, marks)
 
     def _aligned(self, df: DataFrame, current: Version) -> DataFrame:
         """Incoming columns take the table's type where that is already wide enough."""
@@ -214,27 +251,41 @@ class LakeStore:
         keys: list[str],
         sort_by: str | None = None,
         max_records_per_file: int | None = None,
-    ) -> Segment:
-        """Write the files of a commit; nothing is visible until a version lists them."""
+        track: str | None = None,
+    ) -> tuple[Segment, Mark | None]:
+        """Write the files of a commit; nothing is visible until a version lists them.
+
+        Rows and the cursor's maximum are counted in the pass that writes them.
+        """
         commit = uuid.uuid4().hex
         path = self._commit_path(layer, table, commit)
         if sort_by and sort_by in df.columns:
             df = df.sortWithinPartitions(sort_by)
-        writer = df.write
+        tracked = track is not None and track in df.columns
+        measures = [F.count(F.lit(1)).alias("rows")]
+        if tracked:
+            measures.append(F.max(track).cast("string").alias("top"))
+        seen = Observation()
+        writer = df.observe(seen, *measures).write
         if max_records_per_file:
             writer = writer.option("maxRecordsPerFile", max_records_per_file)
         writer.parquet(path)
-        rows = self.spark.read.schema(df.schema).parquet(path).count()
+        found = seen.get
+        mark = None
+        if tracked and found["top"] is not None:
+            mark = Mark(found["top"], df.schema[track].dataType.simpleString())
         kind = "rows" if mode in ("overwrite", "append") else mode
-        return Segment(commit, kind, keys, rows, json.loads(df.schema.json()))
+        segment = Segment(commit, kind, keys, found["rows"], json.loads(df.schema.json()))
+        return segment, mark
 
     def _commit(
         self,
         layer: str,
         table: str,
         mode: str,
-        segment: Segment,
+        segment: Segment | None,
         batch: tuple[str, int] | None = None,
+        marks: dict[str, Mark] | None = None,
         build: Callable[[Version | None], Segment] | None = None,
     ) -> Version | None:
         """Publish the next version; on a clash re-read the table and try again.
@@ -250,7 +301,7 @@ class LakeStore:
                 return None
             if build is not None and attempt:
                 segment = build(current)
-            version = self._next(layer, table, current, mode, segment, batch)
+            version = self._next(current, mode, segment, batch, marks or {})
             text = json.dumps(asdict(version))
             if self._files.create_exclusive(f"{base_path}/v{version.version}.json", text):
                 return version
@@ -259,14 +310,16 @@ class LakeStore:
 
     def _next(
         self,
-        layer: str,
-        table: str,
         current: Version | None,
         mode: str,
-        segment: Segment,
+        segment: Segment | None,
         batch: tuple[str, int] | None,
+        marks: dict[str, Mark],
     ) -> Version:
         number = 1 if current is None else current.version + 1
+        if segment is None:
+            moved = {**current.marks, **marks}
+            return replace(current, version=number, operation=mode, committed_at=_now(), changed_rows=0, marks=moved)
         schema = T.StructType.fromJson(segment.schema)
         if mode in ("overwrite", "compact") or current is None:
             segments = [Segment(segment.commit, "rows", [], segment.rows, segment.schema)]
@@ -279,14 +332,18 @@ class LakeStore:
         batches = dict(current.batches) if current else {}
         if batch:
             batches[batch[0]] = batch[1]
+        if current is not None and mode != "overwrite":
+            kept = {c: m.further(marks.get(c)) for c, m in current.marks.items()}
+            marks = {**marks, **kept}
         return Version(
             number,
             mode,
-            dt.datetime.now(dt.timezone.utc).isoformat(),
+            _now(),
             json.loads(schema.json()),
             segments,
             segment.rows,
             batches,
+            marks,
         )
 
     @staticmethod
@@ -307,7 +364,7 @@ class LakeStore:
             raise ValueError(f"{column} not in {layer}/{table}")
         wanted = current.struct[column].dataType
         staged = keys.select(F.col(column).cast(wanted).alias(column)).distinct()
-        segment = self._stage(layer, table, staged, "delete", [column])
+        segment, _ = self._stage(layer, table, staged, "delete", [column])
         return self._commit(layer, table, "delete", segment)
 
     def apply_changes(
@@ -319,6 +376,7 @@ class LakeStore:
         op_col: str,
         delete_op: str = "delete",
         batch: tuple[str, int] | None = None,
+        track: str | None = None,
     ) -> Version | None:
         """Change feed: the last change per key is merged, or removes its row.
 
@@ -333,7 +391,7 @@ class LakeStore:
             last = last.drop(*[c for c in order if c not in current.struct.names])
         gone = F.col(op_col).eqNullSafe(delete_op)
         staged = last.withColumn("_deleted", gone).drop(op_col)
-        return self.write(layer, table, staged, "merge", pk=pk, unique=False, batch=batch)
+        return self.write(layer, table, staged, "merge", pk=pk, unique=False, batch=batch, track=track)
 
     def compact(self, source: Source, sort_by: str | None = None) -> Version:
         """Same rows in few, evenly sized files; deltas and deletes are folded in."""
@@ -341,7 +399,7 @@ class LakeStore:
 
         def build(base: Version | None) -> Segment:
             rows = self._read_version(layer, table, base).hint("rebalance")
-            return self._stage(layer, table, rows, "compact", [], sort_by)
+            return self._stage(layer, table, rows, "compact", [], sort_by)[0]
 
         current = self._require(layer, table)
         return self._commit(layer, table, "compact", build(current), build=build)
@@ -484,6 +542,24 @@ class LakeStore:
         own = [s for s in version.segments if s.commit == commit]
         return self._scan(layer, table, own, T.StructType.fromJson(own[0].schema)).drop(COMMIT)
 
+    def mark(self, source: Source, cursor: str) -> object | None:
+        """Highest value of a tracked cursor, from the version file alone."""
+        version = self._load(*split_source(source))
+        found = version.marks.get(cursor) if version else None
+        return found.value if found else None
+
+    def marks(self, source: Source) -> dict[str, Mark]:
+        version = self._load(*split_source(source))
+        return dict(version.marks) if version else {}
+
+    def set_mark(self, source: Source, cursor: str, mark: Mark) -> Version:
+        """Commit a mark without data; it may not move back."""
+        layer, table = split_source(source)
+        old = self._require(layer, table).marks.get(cursor)
+        if old is not None and mark.further(old) != mark:
+            raise ValueError(f"{layer}/{table}: {cursor} mark {mark.text} is behind {old.text}")
+        return self._commit(layer, table, "mark", None, marks={cursor: mark})
+
     def pin(self, source: Source) -> DataFrame:
         """A stable snapshot: later commits do not change what it returns."""
         layer, table = split_source(source)

@@ -109,9 +109,11 @@ class ModelRegistry:
         return outcome
 
 
-def target_mark(lake: LakeStore, model: Model) -> object | None:
+def target_mark(lake: LakeStore, model: Model) -> object:
     """Highest cursor of the target; 1900-01-01 for an empty one."""
-    mark = lake.read(model.target).agg(F.max(model.cursor)).first()[0]
+    mark = lake.mark(model.target, model.cursor)
+    if mark is None:
+        mark = lake.read(model.target).agg(F.max(model.cursor)).first()[0]
     return EPOCH_MARK if mark is None else mark
 
 
@@ -124,16 +126,21 @@ def run_model(lake: LakeStore, model: Model, full_refresh: bool = False) -> str:
     if not incremental:
         if frames and frames[0].isEmpty():
             return "skipped"
-        lake.write(*model.target, model.build(*frames), "overwrite", sort_by=model.cursor)
+        lake.write(
+            *model.target, model.build(*frames), "overwrite", sort_by=model.cursor, track=model.cursor
+        )
         return "rebuilt"
     cursor = model.input_cursor or model.cursor
     if cursor not in frames[0].columns:
         raise ValueError(f"{model.inputs[0]} has no cursor column {cursor}")
-    frames[0] = frames[0].where(beyond(frames[0], cursor, target_mark(lake, model)))
+    mark = target_mark(lake, model)
+    if _known_unchanged(lake, model, cursor, mark):
+        return "skipped"
+    frames[0] = frames[0].where(beyond(frames[0], cursor, mark))
     # The delta is written once; an empty one leaves no commit behind.
     version = lake.write(
         *model.target, model.build(*frames), "merge", pk=list(model.unique_key),
-        order=model.cursor, sort_by=model.cursor, skip_empty=True,
+        order=model.cursor, sort_by=model.cursor, skip_empty=True, track=model.cursor,
     )
     if version is None:
         return "skipped"
@@ -142,10 +149,21 @@ def run_model(lake: LakeStore, model: Model, full_refresh: bool = False) -> str:
     return "merged"
 
 
+def _known_unchanged(lake: LakeStore, model: Model, cursor: str, mark: object) -> bool:
+    """Whether the input's own mark already proves that there is no delta."""
+    if model.inputs[0].startswith("fed/"):
+        return False
+    reached = lake.mark(model.inputs[0], cursor)
+    return reached is not None and type(reached) is type(mark) and reached <= mark
+
+
 def has_changes(lake: LakeStore, model: Model) -> bool:
     """Whether the first input holds rows beyond the target's cursor."""
     source = lake.read(model.inputs[0])
     cursor = model.input_cursor or model.cursor
     if not lake.table_exists(model.target) or cursor not in source.columns:
         return True
-    return not source.where(beyond(source, cursor, target_mark(lake, model))).isEmpty()
+    mark = target_mark(lake, model)
+    if _known_unchanged(lake, model, cursor, mark):
+        return False
+    return not source.where(beyond(source, cursor, mark)).isEmpty()

@@ -9,13 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarn.lake.files import SharedFiles
 from tarn.lake.store import LakeStore
 from tarn.streaming.config import ResourceConfig
-from tarn.streaming.state import SyncState
 
 
 def landed_files(
@@ -54,19 +52,13 @@ def stream_sync(
     """Merge everything that has landed, then stop; the next call resumes after it."""
     if not config.pk or not config.cursor:
         raise ValueError(f"{config.table} needs a key and a cursor")
-    state = SyncState(lake)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        version = lake.write(
+        lake.write(
             "raw", config.table, batch, "merge", pk=list(config.pk), order=config.cursor,
             unique=config.unique, sort_by=config.cursor, batch=(config.table, batch_id),
+            track=config.cursor,
         )
-        source = ("raw", config.table)
-        landed = lake.read_delta_of(source, version) if version else batch
-        mark = landed.agg(F.max(config.cursor)).first()[0]
-        last = state.get(config.connector, config.resource)
-        if mark is not None and (last is None or mark > last):
-            state.advance(config.connector, config.resource, mark)
 
     _run(stream, checkpoint, merge)
 

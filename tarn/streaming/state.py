@@ -1,20 +1,28 @@
-"""Watermarks and the run log, kept as small tables of the lake's state layer."""
+"""Watermarks and the run log.
+
+A watermark lives in the version file of the raw table it belongs to, so it is committed
+together with the data it describes: a run that dies before the commit moved nothing.
+Cursors per partition can be many, so they are rows of a table in the state layer.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.lake.store import LakeStore
-from tarn.operators.merge import keep_latest
+from tarn.lake.files import SharedFiles
+from tarn.lake.store import LakeStore, Mark
+from tarn.operators.merge import keep_latest, union_relaxed
 
-WATERMARKS = ("state", "watermarks")
+PARTITION_MARKS = ("state", "partition_marks")
 RUNS = ("state", "sync_runs")
-WATERMARK_SCHEMA = (
+WATERMARK_SCHEMA = "connector string, resource string, cursor string, value string, value_type string"
+PARTITION_SCHEMA = (
     "connector string, resource string, partition string, value string, value_type string, "
     "updated_at timestamp"
 )
@@ -22,82 +30,61 @@ RUN_SCHEMA = (
     "run_id string, connector string, resource string, status string, records bigint, "
     "message string, at timestamp"
 )
-WATERMARK_KEY = ["connector", "resource", "partition"]
-# Type of a mark by the type of its Python value.
-VALUE_TYPES = {bool: "boolean", int: "bigint", float: "double", str: "string"}
-WHOLE = ""
-
-
-def one_row(spark, schema: str, values: Sequence[object]) -> DataFrame:
-    """A single row as a constant projection (no RDD, one small task)."""
-    fields = [f.strip().split(" ") for f in schema.split(",")]
-    return spark.range(1, numPartitions=1).select(
-        *[F.lit(v).cast(kind).alias(name) for (name, kind), v in zip(fields, values)]
-    )
+PARTITION_KEY = ["connector", "resource", "partition"]
+# Type of a mark by the type of its Python value.
+VALUE_TYPES = {int: "bigint", float: "double", str: "string", dt.date: "date"}
+# Run-log files are folded into a table beyond this number.
+LOG_FILES = 1000
 
 
 class WatermarkMovedBack(ValueError):
     pass
 
 
-def _encode(value: object) -> tuple[str, str]:
-    """Text and Spark type of a cursor value; the type travels with the value."""
+def as_mark(value: object) -> Mark:
+    """A mark from a Python value; its type travels with it."""
     if isinstance(value, dt.datetime):
-        return value.isoformat(sep=" "), "timestamp" if value.tzinfo else "timestamp_ntz"
-    if isinstance(value, dt.date):
-        return value.isoformat(), "date"
-    return str(value), VALUE_TYPES[type(value)]
-
-
-def _decode(text: str, kind: str) -> object:
-    if kind.startswith("timestamp"):
-        return dt.datetime.fromisoformat(text)
-    if kind == "date":
-        return dt.date.fromisoformat(text)
-    return {"bigint": int, "double": float, "boolean": lambda t: t == "True"}.get(kind, str)(text)
+        return Mark(value.isoformat(sep=" "), "timestamp" if value.tzinfo else "timestamp_ntz")
+    return Mark(str(value), VALUE_TYPES[type(value)])
 
 
 class SyncState:
-    """Highest cursor value per (connector, resource[, partition])."""
+    """Highest cursor value per (connector, resource), and per partition where asked."""
 
     def __init__(self, lake: LakeStore):
         self.lake = lake
 
-    def table(self) -> DataFrame:
-        if not self.lake.table_exists(WATERMARKS):
-            return self.lake.spark.createDataFrame([], WATERMARK_SCHEMA)
-        return self.lake.read(WATERMARKS)
-
-    def get(self, connector: str, resource: str, partition: str = WHOLE) -> object | None:
-        if not self.lake.table_exists(WATERMARKS):
-            return None
-        key = (
-            (F.col("connector") == connector)
-            & (F.col("resource") == resource)
-            & (F.col("partition") == partition)
-        )
-        row = self.table().where(key).first()
-        return _decode(row["value"], row["value_type"]) if row else None
+    @staticmethod
+    def _source(connector: str, resource: str) -> tuple[str, str]:
+        return "raw", f"{connector}__{resource}"
 
-    def advance(
-        self, connector: str, resource: str, value: object, partition: str = WHOLE
-    ) -> None:
-        """Store a new mark; refuses to go backwards or to change the type."""
-        current = self.get(connector, resource, partition)
-        if current is not None and value < current:
-            raise WatermarkMovedBack(f"{connector}/{resource}: {value} < {current}")
-        if current == value:
-            return
-        text, kind = _encode(value)
-        row = (connector, resource, partition, text, kind, dt.datetime.now(dt.timezone.utc))
-        self._merge(one_row(self.lake.spark, WATERMARK_SCHEMA, row))
+    def get(self, connector: str, resource: str, cursor: str) -> object | None:
+        return self.lake.mark(self._source(connector, resource), cursor)
+
+    def advance(self, connector: str, resource: str, cursor: str, value: object) -> None:
+        """Move a mark by hand; refuses to go backwards."""
+        try:
+            self.lake.set_mark(self._source(connector, resource), cursor, as_mark(value))
+        except ValueError as error:
+            raise WatermarkMovedBack(str(error)) from error
+
+    def table(self) -> DataFrame:
+        """All marks: one row per tracked cursor of a raw table."""
+        rows = []
+        for name in self.lake.table_names("raw"):
+            connector, _, resource = name.partition("__")
+            for cursor, mark in self.lake.marks(("raw", name)).items():
+                rows.append((connector, resource, cursor, mark.text, mark.type))
+        return self.lake.spark.createDataFrame(rows, WATERMARK_SCHEMA)
 
     def partition_marks(self, connector: str, resource: str, value_type: str) -> DataFrame:
         """``partition, mark`` with the mark in its own type."""
+        if not self.lake.table_exists(PARTITION_MARKS):
+            stored = self.lake.spark.createDataFrame([], PARTITION_SCHEMA)
+        else:
+            stored = self.lake.read(PARTITION_MARKS)
         mine = (F.col("connector") == connector) & (F.col("resource") == resource)
-        return self.table().where(mine).select(
-            "partition", F.col("value").cast(value_type).alias("mark")
-        )
+        return stored.where(mine).select("partition", F.col("value").cast(value_type).alias("mark"))
 
     def advance_partitions(self, connector: str, resource: str, marks: DataFrame) -> None:
         """Merge ``partition, mark`` rows; partitions that did not move keep theirs."""
@@ -115,19 +102,22 @@ class SyncState:
                 F.current_timestamp().alias("updated_at"),
             )
         )
-        self._merge(moved)
-
-    def _merge(self, rows: DataFrame) -> None:
-        self.lake.write(*WATERMARKS, rows.coalesce(1), "merge", pk=WATERMARK_KEY, skip_empty=True)
-        if self.lake.needs_compaction(WATERMARKS):
-            self.lake.compact(WATERMARKS)
+        self.lake.write(*PARTITION_MARKS, moved, "merge", pk=PARTITION_KEY, skip_empty=True)
+        if self.lake.needs_compaction(PARTITION_MARKS):
+            self.lake.compact(PARTITION_MARKS)
 
 
 class RunLog:
-    """History of the syncs: running, then completed, skipped or failed."""
+    """History of the syncs: running, then completed, skipped or failed.
+
+    An entry is one small file, written without a Spark job; old entries are folded
+    into a table.
+    """
 
     def __init__(self, lake: LakeStore):
         self.lake = lake
+        self._folder = f"{lake.root}/state/sync_run_entries"
+        self._files = SharedFiles(lake.spark, lake.root)
 
     def start(self, connector: str, resource: str) -> str:
         run_id = str(uuid.uuid4())
@@ -140,19 +130,42 @@ class RunLog:
     ) -> None:
         self._append(run_id, connector, resource, status, records, message)
 
-    def _append(self, *values) -> None:
-        row = (*values, dt.datetime.now(dt.timezone.utc))
-        self.lake.write(*RUNS, one_row(self.lake.spark, RUN_SCHEMA, row), "append")
-        if self.lake.needs_compaction(RUNS):
-            self.lake.compact(RUNS)
+    def _append(
+        self, run_id: str, connector: str, resource: str, status: str, records: int | None,
+        message: str | None,
+    ) -> None:
+        entry = {
+            "run_id": run_id, "connector": connector, "resource": resource, "status": status,
+            "records": records, "message": message,
+            "at": dt.datetime.now(dt.timezone.utc).isoformat(),
+        }
+        self._files.make_dirs(self._folder)
+        self._files.create_exclusive(f"{self._folder}/{run_id}-{status}.json", json.dumps(entry))
+
+    def _entries(self) -> DataFrame:
+        self._files.make_dirs(self._folder)
+        return self.lake.spark.read.schema(RUN_SCHEMA).json(self._folder)
 
     def table(self) -> DataFrame:
-        return self.lake.read(RUNS)
+        entries = self._entries()
+        if self.lake.table_exists(RUNS):
+            entries = union_relaxed(self.lake.read(RUNS), entries)
+        return entries.distinct()
 
     def latest(self) -> DataFrame:
         """Last status of every run."""
         return keep_latest(self.table(), "run_id", "at")
 
+    def fold(self, at_least: int = LOG_FILES) -> None:
+        """Move the entry files into the run table once there are many of them."""
+        names = [n for n, _ in self._files.children(self._folder) if n.endswith(".json")]
+        if len(names) < at_least:
+            return
+        paths = [f"{self._folder}/{n}" for n in names]
+        self.lake.write(*RUNS, self.lake.spark.read.schema(RUN_SCHEMA).json(paths), "append")
+        for path in paths:
+            self._files.delete(path)
+
 
 def columns_with_cursor(tables: dict[str, Sequence[str]], cursor: str) -> list[tuple[str, bool]]:
     """Audit: which tables carry the cursor column."""

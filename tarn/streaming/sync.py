@@ -33,33 +33,31 @@ def sync_resource(
 ) -> SyncResult:
     """One run for one resource.
 
-    Order of effects: data commit, watermark, run log. A run that dies in between is
-    repeated from the old mark, and the merge makes the repeat harmless.
+    The watermark is part of the data commit and the run log comes last. A run that dies
+    before the commit is repeated from the old mark; the merge makes a repeat harmless.
     """
-    state, log = SyncState(lake), RunLog(lake)
+    log = RunLog(lake)
     run_id = log.start(config.connector, config.resource)
     try:
-        result = _sync(lake, state, source, config, full_refresh)
+        result = _sync(lake, source, config, full_refresh)
     except Exception as error:
         log.finish(run_id, config.connector, config.resource, "failed", 0, str(error)[:500])
         raise
     log.finish(run_id, config.connector, config.resource, result.status, result.records)
+    log.fold()
     return result
 
 
-def _sync(
-    lake: LakeStore, state: SyncState, source: DataFrame, config: ResourceConfig, full: bool
-) -> SyncResult:
+def _sync(lake: LakeStore, source: DataFrame, config: ResourceConfig, full: bool) -> SyncResult:
     mode = derive_mode(config, source.columns)
-    name = (config.connector, config.resource)
+    target = ("raw", config.table)
     incremental = mode == "merge" and config.mode == "incremental" and config.supports_incremental
-    last = state.get(*name) if incremental and not full and config.cursor else None
+    last = lake.mark(target, config.cursor) if incremental and not full and config.cursor else None
     rows = read_increment(source, config.cursor, _since(last, config.lookback))
     if full and mode == "merge" and not config.consolidated:
         mode = "overwrite"
     version = lake.write(
-        "raw",
-        config.table,
+        *target,
         rows,
         mode,
         pk=list(config.pk) or None,
@@ -67,15 +65,13 @@ def _sync(
         unique=config.unique,
         sort_by=config.cursor,
         skip_empty=mode == "merge",
+        track=config.cursor,
     )
     if version is None:
         return SyncResult("skipped", mode, 0, last)
-    mark = last
-    if config.cursor and config.cursor in source.columns:
-        landed = lake.read_delta_of(("raw", config.table), version)
-        mark = landed.agg(F.max(config.cursor)).first()[0]
-        if mark is not None and (last is None or mark > last):
-            state.advance(*name, mark)
+    if lake.needs_compaction(target):
+        lake.compact(target, sort_by=config.cursor)
+    mark = lake.mark(target, config.cursor) if config.cursor else None
     return SyncResult("completed", mode, version.changed_rows, mark, version)
 
 
