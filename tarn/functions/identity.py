@@ -58,26 +58,27 @@ def is_valid_email(col: Column | str) -> Column:
     return normalize_email(col).rlike(EMAIL_PATTERN)
 
 
+def digits_of(col: Column | str) -> Column:
+    """The decimal digits of a text, as an array of numbers."""
+    return F.transform(F.split(only_digits(col), ""), lambda d: d.try_cast("int"))
+
+
 def check_digit(digits: Column, weights: list[int]) -> Column:
-    """Modulo-11 check digit over the leading ``len(weights)`` digits."""
-    total = sum(
-        F.substring(digits, i + 1, 1).cast("int") * weight for i, weight in enumerate(weights)
-    )
-    rest = total % 11
+    """Modulo-11 check digit over the leading ``len(weights)`` digits of an array."""
+    factors = F.array(*[F.lit(w) for w in weights])
+    products = F.zip_with(F.slice(digits, 1, len(weights)), factors, lambda d, w: d * w)
+    rest = F.aggregate(products, F.lit(0), lambda total, p: total + p) % 11
     return F.when(rest < 2, 0).otherwise(11 - rest)
 
 
 def _valid_document(col: Column | str, length: int, weights: tuple) -> Column:
-    digits = only_digits(col)
-    shaped = (F.length(digits) == length) & (
-        digits != F.repeat(F.substring(digits, 1, 1), length)
-    )
-    # Documents of another shape never reach the digit casts.
-    safe = F.when(shaped, digits).otherwise(F.lit("0" * length))
-    checks = [
-        check_digit(safe, w) == F.substring(safe, len(w) + 1, 1).cast("int") for w in weights
-    ]
-    return shaped & checks[0] & checks[1]
+    def valid(digits: Column) -> Column:
+        shaped = (F.size(digits) == length) & (F.size(F.array_distinct(digits)) > 1)
+        right = [check_digit(digits, w) == F.get(digits, F.lit(len(w))) for w in weights]
+        return shaped & right[0] & right[1]
+
+    # The one-element transform names the array, so its digits are taken apart once.
+    return F.element_at(F.transform(F.array(digits_of(col)), valid), 1)
 
 
 def is_valid_cpf(col: Column | str) -> Column:

@@ -72,14 +72,20 @@ def resolve_entities(
     origin: str | None = None,
 ) -> DataFrame:
     """``df`` plus ``entity_key`` and ``entity_id``."""
+    keyed = with_entity_key(df, id_field, er_fields, origin)
+    return keyed.withColumn("entity_id", node_id(label, "entity_key"))
+
+
+def with_entity_key(
+    df: DataFrame, id_field: str, er_fields: Sequence[str], origin: str | None = None
+) -> DataFrame:
+    """``df`` plus ``entity_key``: equal for the rows of one entity."""
     own = fallback_key(id_field, origin)
     if not er_fields:
-        keyed = df.withColumn("entity_key", own)
-    elif len(er_fields) == 1:
-        keyed = df.withColumn("entity_key", F.coalesce(normalize_field(er_fields[0]), own))
-    else:
-        keyed = _by_components(df, er_fields, own)
-    return keyed.withColumn("entity_id", node_id(label, "entity_key"))
+        return df.withColumn("entity_key", own)
+    if len(er_fields) == 1:
+        return df.withColumn("entity_key", F.coalesce(normalize_field(er_fields[0]), own))
+    return _by_components(df, er_fields, own)
 
 
 def _by_components(df: DataFrame, er_fields: Sequence[str], own: Column) -> DataFrame:

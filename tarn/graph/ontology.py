@@ -132,7 +132,7 @@ def ontology_problems(ontology: Ontology, columns: Mapping[str, list[str]]) -> l
 
 def lake_columns(lake: LakeStore, ontology: Ontology) -> dict[str, list[str]]:
     sources = {e.source for e in (*ontology.nodes, *ontology.edges, *ontology.timeline)}
-    return {s: lake.read(s).columns for s in sources if lake.table_exists(s)}
+    return {s: lake.schema_of(s).names for s in sources if lake.table_exists(s)}
 
 
 def validate_ontology(lake: LakeStore, ontology: Ontology) -> None:

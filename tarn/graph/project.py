@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarn.functions.ids import uuid5
-from tarn.graph.entities import node_id, resolve_entities
+from tarn.graph.entities import node_id, resolve_entities, with_entity_key
 from tarn.graph.ontology import EdgeMap, NodeMap, Ontology, OntologyHistory, TimelineMap, validate_ontology
 from tarn.lake.store import LakeStore
 from tarn.operators.merge import keep_latest, without_keys
@@ -54,16 +54,22 @@ def _cursor(name: str | None) -> Column:
 
 
 def project_nodes(node: NodeMap, clean: DataFrame) -> DataFrame:
-    """One node per entity; of several rows of one entity the latest gives the properties."""
-    resolved = resolve_entities(clean, node.label, node.id_field, node.er_fields, node.origin)
-    nodes = resolved.where(F.col("entity_id").isNotNull()).select(
-        "entity_id",
+    """One node per entity; of several rows of one entity the latest gives the properties.
+
+    Rows are reduced to one per key before ids and property texts are made, so the
+    shuffle carries only the mapped columns.
+    """
+    keyed = with_entity_key(
+        clean.select(*node.columns()), node.id_field, node.er_fields, node.origin
+    ).where("entity_key IS NOT NULL")
+    latest = keep_latest(keyed, "entity_key", node.cursor)
+    return latest.select(
+        node_id(node.label, "entity_key").alias("entity_id"),
         F.lit(node.label).alias("label"),
         "entity_key",
-        _props(clean, node.properties).alias("props"),
+        _props(latest, node.properties).alias("props"),
         _cursor(node.cursor),
     )
-    return keep_latest(nodes, "entity_id", "updated_at")
 
 
 def key_index(node: NodeMap, clean: DataFrame) -> DataFrame:
@@ -99,7 +105,13 @@ def project_edges(
 ) -> DataFrame:
     """One edge per (type, src, dst)."""
     indexes = indexes or {}
-    rows = clean.where(F.col(edge.from_key).isNotNull() & F.col(edge.to_key).isNotNull())
+    rows = clean.select(*edge.columns()).where(
+        F.col(edge.from_key).isNotNull() & F.col(edge.to_key).isNotNull()
+    )
+    looked_up = source.label in indexes or target.label in indexes
+    if not looked_up:
+        # Ids follow from the keys, so equal edges are found by the (short) keys.
+        rows = keep_latest(rows, list(dict.fromkeys([edge.from_key, edge.to_key])))
     rows = _endpoint(rows, "src", source, edge.from_key, indexes.get(source.label))
     rows = _endpoint(rows, "dst", target, edge.to_key, indexes.get(target.label))
     edges = rows.select(
@@ -108,9 +120,9 @@ def project_edges(
         "dst",
         F.lit(edge.from_label).alias("src_label"),
         F.lit(edge.to_label).alias("dst_label"),
-        _props(clean, edge.properties).alias("props"),
+        _props(rows, edge.properties).alias("props"),
     )
-    return keep_latest(edges, EDGE_KEY, "props")
+    return keep_latest(edges, EDGE_KEY, "props") if looked_up else edges
 
 
 def project_events(event: TimelineMap, clean: DataFrame, node: NodeMap, index: DataFrame | None = None) -> DataFrame:
@@ -132,7 +144,7 @@ def project_events(event: TimelineMap, clean: DataFrame, node: NodeMap, index: D
 class Graph:
     """``nodes``, ``edges`` and ``events`` DataFrames."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, events: DataFrame | None = None):
+    def __init__(self, nodes: DataFrame | None, edges: DataFrame | None, events: DataFrame | None = None):
         self.nodes, self.edges, self.events = nodes, edges, events
 
 
@@ -140,26 +152,37 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame | None:
     return reduce(DataFrame.unionByName, frames) if frames else None
 
 
-def project_graph(ontology: Ontology, read) -> Graph:
-    """The graph of an ontology; ``read(source)`` returns a clean table."""
-    tables = {s: read(s) for s in {e.source for e in (*ontology.nodes, *ontology.edges, *ontology.timeline)}}
-    indexes = {n.label: key_index(n, tables[n.source]) for n in ontology.nodes if not n.by_key or n.origin}
-    nodes = _union([project_nodes(n, tables[n.source]) for n in ontology.nodes])
-    edges = _union(
-        [
+PARTS = ("nodes", "edges", "events")
+
+
+def _project(
+    ontology: Ontology, tables: dict[str, DataFrame], indexes: dict[str, DataFrame], parts: Sequence[str]
+) -> Graph:
+    made: dict[str, list[DataFrame]] = {p: [] for p in PARTS}
+    if "nodes" in parts:
+        made["nodes"] = [project_nodes(n, tables[n.source]) for n in ontology.nodes]
+    if "edges" in parts:
+        made["edges"] = [
             project_edges(
                 e, tables[e.source], ontology.node(e.from_label), ontology.node(e.to_label), indexes
             )
             for e in ontology.edges
         ]
-    )
-    events = _union(
-        [
+    if "events" in parts:
+        made["events"] = [
             project_events(t, tables[t.source], ontology.node(t.label), indexes.get(t.label))
             for t in ontology.timeline
         ]
-    )
-    return Graph(nodes, edges, events)
+    return Graph(*[_union(made[p]) for p in PARTS])
+
+
+def project_graph(ontology: Ontology, read, parts: Sequence[str] = PARTS) -> Graph:
+    """The graph of an ontology; ``read(source)`` returns a clean table."""
+    sources = {e.source for e in (*ontology.nodes, *ontology.edges, *ontology.timeline)}
+    tables = {s: read(s) for s in sources}
+    looked_up = [n for n in ontology.nodes if not n.by_key or n.origin]
+    indexes = {n.label: key_index(n, tables[n.source]) for n in looked_up}
+    return _project(ontology, tables, indexes, parts)
 
 
 def build_graph(
@@ -202,30 +225,11 @@ def refresh_graph(lake: LakeStore, ontology: Ontology, since: dict[str, object],
     """
     if any(len(n.er_fields) > 1 for n in ontology.nodes):
         raise ValueError("multi-field resolution is rebuilt, not refreshed")
-    whole = {n.source for n in ontology.nodes if not n.by_key or n.origin}
-
-    def changed(source: str) -> DataFrame:
-        return lake.read(source, watermark=since.get(source), cursor=cursor)
-
-    indexes = {
-        n.label: key_index(n, lake.read(n.source)) for n in ontology.nodes if n.source in whole
-    }
-    nodes = _union([project_nodes(n, changed(n.source)) for n in ontology.nodes])
-    edges = _union(
-        [
-            project_edges(
-                e, changed(e.source), ontology.node(e.from_label), ontology.node(e.to_label), indexes
-            )
-            for e in ontology.edges
-        ]
-    )
-    events = _union(
-        [
-            project_events(t, changed(t.source), ontology.node(t.label), indexes.get(t.label))
-            for t in ontology.timeline
-        ]
-    )
-    return _store(lake, Graph(nodes, edges, events), "merge")
+    looked_up = [n for n in ontology.nodes if not n.by_key or n.origin]
+    indexes = {n.label: key_index(n, lake.read(n.source)) for n in looked_up}
+    sources = {e.source for e in (*ontology.nodes, *ontology.edges, *ontology.timeline)}
+    changed = {s: lake.read(s, watermark=since.get(s), cursor=cursor) for s in sources}
+    return _store(lake, _project(ontology, changed, indexes, PARTS), "merge")
 
 
 def ghost_entities(stored: DataFrame, projected: DataFrame) -> DataFrame:

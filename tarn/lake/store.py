@@ -591,8 +591,16 @@ class LakeStore:
         rows = [(layer, t, self.current_version((layer, t))) for t in self.table_names(layer)]
         return self.spark.createDataFrame(rows, "layer string, table_name string, version int")
 
+    def schema_of(self, source: Source) -> T.StructType:
+        """Schema of a table, from its version file."""
+        layer, table = split_source(source)
+        if layer == FEDERATED:
+            return self.read(source).schema
+        fields = self._require(layer, table).struct.fields
+        return T.StructType([f for f in fields if f.name != "_deleted"])
+
     def get_columns(self, source: Source) -> DataFrame:
-        fields = self.read(source).schema
+        fields = self.schema_of(source)
         rows = [(i + 1, f.name, f.dataType.simpleString()) for i, f in enumerate(fields)]
         return self.spark.createDataFrame(rows, "position int, column_name string, data_type string")
 

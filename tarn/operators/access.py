@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions.ids import uuid5
 from tarn.operators.merge import keep_latest, table_diff, without_keys
+from tarn.operators.windows import largest_group
 from tarn.session import cut_lineage
 
 # Identity of an access grant.
@@ -140,6 +141,17 @@ def resolve_emails(acl: DataFrame, principals: DataFrame, members: DataFrame) ->
     )
 
 
+def _grant_lists(grants: DataFrame) -> DataFrame:
+    def names(kept):
+        return F.sort_array(F.collect_set(F.when(kept, F.col("_principal"))))
+
+    return grants.groupBy("_object").agg(
+        names(~F.col("_deny")).alias("acl_allow"),
+        names(F.col("_deny")).alias("acl_deny"),
+        F.lit(False).alias("acl_in_table"),
+    )
+
+
 def apply_acl(
     df: DataFrame,
     object_col: str,
@@ -158,22 +170,19 @@ def apply_acl(
         F.col("source_object_id").alias("_object"),
         F.col(principal).alias("_principal"),
         (F.col("effect") == "deny").alias("_deny"),
-    ).distinct()
-    sizes = grants.groupBy("_object").agg((F.count("*") > array_limit).alias("acl_in_table"))
-    large = sizes.where("acl_in_table")
-    lists = (
-        without_keys(grants, large, "_object")
-        .groupBy("_object")
-        .agg(
-            F.sort_array(F.collect_list(F.when(~F.col("_deny"), F.col("_principal")))).alias("acl_allow"),
-            F.sort_array(F.collect_list(F.when(F.col("_deny"), F.col("_principal")))).alias("acl_deny"),
-            F.lit(False).alias("acl_in_table"),
-        )
     )
+    if largest_group(grants, ["_object"]) <= array_limit:
+        # Equal grants fall together in the map tasks; one shuffle by object.
+        lists = _grant_lists(grants)
+    else:
+        grants = grants.distinct()
+        sizes = grants.groupBy("_object").agg(F.count("*").alias("_n"))
+        large = sizes.where(F.col("_n") > array_limit).select("_object", F.lit(True).alias("acl_in_table"))
+        short = _grant_lists(without_keys(grants, large, "_object"))
+        lists = short.unionByName(large, allowMissingColumns=True)
     empty = F.array().cast("array<string>")
-    stamps = lists.unionByName(large.withColumn("acl_allow", empty).withColumn("acl_deny", empty))
     return (
-        df.join(stamps, F.col(object_col) == F.col("_object"), "left")
+        df.join(lists, F.col(object_col) == F.col("_object"), "left")
         .withColumn("acl_allow", F.coalesce("acl_allow", empty))
         .withColumn("acl_deny", F.coalesce("acl_deny", empty))
         .withColumn("acl_in_table", F.coalesce("acl_in_table", F.lit(False)))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.functions.json_records import parse_record
+from tarn.functions.json_records import parse_record, struct_type, violations
 from tarn.operators.windows import running_total
 
 # Characters per token of the usual estimate, and what separates words.
@@ -101,24 +101,25 @@ def extract_records(
             ]
         )
         answered = rows.mapInPandas(_model_batches(extractor, text, batch_size, max_retries), shape)
-    else:
-        record = F.struct(*[column.alias(name) for name, column in extractor.items()])
-        answered = df.select(
+        parsed = answered.withColumn("_parsed", parse_record("response", schema))
+        failed = F.col("failure").isNotNull()
+        return parsed.select(
             key,
-            tokens,
-            F.to_json(record).alias("response"),
-            F.lit(None).cast("string").alias("failure"),
-            F.lit(0).alias("retries"),
+            F.when(~failed, F.col("_parsed.record")).alias("profile"),
+            F.when(failed, F.array("failure")).otherwise(F.col("_parsed.errors")).alias("errors"),
+            "response",
+            "tokens",
+            "retries",
         )
-    parsed = answered.withColumn("_parsed", parse_record("response", schema))
-    failed = F.col("failure").isNotNull()
-    return parsed.select(
+    shape = struct_type(schema)
+    record = F.struct(*[extractor[f.name].cast(f.dataType).alias(f.name) for f in shape])
+    return df.select(key, tokens, record.alias("profile")).select(
         key,
-        F.when(~failed, F.col("_parsed.record")).alias("profile"),
-        F.when(failed, F.array("failure")).otherwise(F.col("_parsed.errors")).alias("errors"),
-        "response",
+        "profile",
+        violations(F.col("profile"), schema).alias("errors"),
+        F.to_json("profile").alias("response"),
         "tokens",
-        "retries",
+        F.lit(0).alias("retries"),
     )
 
 

@@ -13,7 +13,8 @@ from tarn.session import cut_lineage
 GROUP_ROWS = 5_000_000
 
 
-def _largest_group(df: DataFrame, by: Sequence[str]) -> int:
+def largest_group(df: DataFrame, by: Sequence[str]) -> int:
+    """Rows of the biggest group; counted in the map tasks, one number comes back."""
     top = df.groupBy(*by).count().agg(F.max("count").alias("n")).first()
     return top.n or 0
 
@@ -72,7 +73,7 @@ def rank_in_group(
     counts get a distributed running total, and the rank comes back by a join.
     """
     by = list(by)
-    if _largest_group(df, by) <= group_rows:
+    if largest_group(df, by) <= group_rows:
         order = Window.partitionBy(*by).orderBy(F.col(value).desc_nulls_last())
         return df.withColumn(name, F.rank().over(order).cast("bigint"))
     counted = df.groupBy(*by, value).agg(F.count("*").alias("_rows"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.functions.identity import CPF_WEIGHTS, check_digit
+from tarn.functions.identity import CPF_WEIGHTS, check_digit, digits_of
 from tarn.operators import access, quality
 from tarn.queries.registry import new_lake, query, table, uuid5_sql
 
@@ -28,10 +28,10 @@ CONFIG = [
 
 def staged_people(spark: SparkSession, d: str) -> DataFrame:
     """Customers with a made-up tax number, and faults that follow from their data."""
-    customers = table(spark, d, "customer").withColumn("cpf", F.lpad(F.col("c_custkey").cast("string"), 9, "0"))
+    number = F.lpad(F.col("c_custkey").cast("string"), 9, "0")
+    customers = table(spark, d, "customer").withColumn("cpf", digits_of(number))
     for weights in CPF_WEIGHTS:
-        # One step per digit, so that each is computed once.
-        customers = customers.withColumn("cpf", F.concat("cpf", check_digit(F.col("cpf"), weights).cast("string")))
+        customers = customers.withColumn("cpf", F.concat("cpf", F.array(check_digit(F.col("cpf"), weights))))
     segment = F.col("c_mktsegment")
     mail = F.concat(F.lit("user"), "c_custkey", F.lit("@acme.com"))
     return customers.select(
@@ -40,7 +40,7 @@ def staged_people(spark: SparkSession, d: str) -> DataFrame:
         .when(segment == "MACHINERY", F.lit("sales@acme.com"))
         .when(F.col("c_nationkey") == 3, F.concat(F.lit("user"), "c_custkey"))
         .otherwise(mail).alias("email"),
-        F.when(F.col("c_nationkey") == 7, F.lit("111.111.111-11")).otherwise(F.col("cpf")).alias("cpf"),
+        F.when(F.col("c_nationkey") == 7, F.lit("111.111.111-11")).otherwise(F.array_join("cpf", "")).alias("cpf"),
         F.col("c_acctbal").alias("balance"),
         segment.alias("segment"),
         F.when(F.col("c_nationkey") == 9, F.lit("???")).otherwise(F.col("c_name")).alias("name"),
