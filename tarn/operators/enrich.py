@@ -38,30 +38,31 @@ def cache_key(text: Column | str, schema: dict, version: str) -> Column:
     return F.sha2(F.concat_ws("|", text, F.lit(rubric)), 256)
 
 
-def _call(model: Model, texts: list[str], retries: int) -> tuple[list[str | None], str | None, int]:
-    """Answers for one batch; a failing batch is retried, then reported as failed."""
-    for attempt in range(retries + 1):
-        try:
-            answers = list(model(texts))
-            if len(answers) != len(texts):
-                raise ValueError("the model returned another number of answers")
-            return answers, None, attempt
-        except Exception as error:
-            failure = f"{type(error).__name__}: {error}"
-    return [None] * len(texts), failure, retries
-
-
 def _model_batches(model: Model, text: str, batch_size: int, retries: int):
+    """Task function; it names nothing of this package, so it travels to executors whole."""
+
+    def call(texts: list[str]) -> tuple[list[str | None], str | None, int]:
+        """Answers for one batch; a failing batch is retried, then reported as failed."""
+        for attempt in range(retries + 1):
+            try:
+                answers = list(model(texts))
+                if len(answers) != len(texts):
+                    raise ValueError("the model returned another number of answers")
+                return answers, None, attempt
+            except Exception as error:
+                failure = f"{type(error).__name__}: {error}"
+        return [None] * len(texts), failure, retries
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for start in range(0, len(pdf), batch_size):
                 part = pdf.iloc[start : start + batch_size]
-                answers, failure, tries = _call(model, part[text].tolist(), retries)
+                answers, failure, tries = call(part[text].tolist())
                 if failure is None:
                     outcome = [(a, None, tries) for a in answers]
                 else:
                     # One bad text must not sink its neighbours.
-                    single = [_call(model, [t], retries) for t in part[text]]
+                    single = [call([t]) for t in part[text]]
                     outcome = [(a[0], f, n) for a, f, n in single]
                 yield part.drop(columns=[text]).assign(
                     response=[o[0] for o in outcome],

@@ -74,17 +74,19 @@ def enrich_dead_letter(spark: SparkSession, d: str) -> DataFrame:
     return bad.select("doc_id", F.array_join("errors", ",").alias("error"))
 
 
-def word_model(texts: list[str]) -> list[str]:
-    """Stand-in for a remote model: words and capitals of each text, as JSON."""
-    return [json.dumps({"words": len(t.split(" ")), "short": len(t) < 200}) for t in texts]
-
-
 @query("""
 SELECT conv_id || ':' || turn AS id, len(string_split(text, ' ')) AS words, length(text) < 200 AS short
 FROM conversations
 """)
 def enrich_by_model(spark: SparkSession, d: str) -> DataFrame:
     """The same job with a batched model in place of the rules."""
+
+    def word_model(texts: list[str]) -> list[str]:
+        """Stand-in for a remote model: facts about each text, as JSON."""
+        import json
+
+        return [json.dumps({"words": len(t.split(" ")), "short": len(t) < 200}) for t in texts]
+
     calls = table(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
     schema = {
         "type": "object",
