@@ -13,19 +13,13 @@ from tarn.operators.merge import keep_latest, table_diff, without_keys
 from tarn.operators.windows import largest_group
 from tarn.session import cut_lineage
 
-# Identity of an access grant.
+# Identity of an object, a principal and a grant.
+OBJECT_KEY = ["source_system", "connection_id", "object_type", "object_id"]
+PRINCIPAL_KEY = ["source_system", "connection_id", "principal_type", "principal_id"]
 GRANT_KEY = ["source_object_id", "principal_id", "access_level", "effect"]
 ARRAY_LIMIT = 10_000
 
 
-def _object_ref():
-    return F.concat_ws("|", "source_system", "connection_id", "object_type", "object_id")
-
-
-def _principal_ref():
-    return F.concat_ws("|", "source_system", "connection_id", "principal_type", "principal_id")
-
-
 def normalize_acl(grants: DataFrame) -> dict[str, DataFrame]:
     """Flat grant rows into ``objects``, ``principals`` and ``acl`` tables.
 
@@ -34,25 +28,29 @@ def normalize_acl(grants: DataFrame) -> dict[str, DataFrame]:
     """
     if "effect" not in grants.columns:
         grants = grants.withColumn("effect", F.lit("allow"))
-    objects = grants.select(
-        uuid5(_object_ref()).alias("id"),
-        "source_system", "connection_id", "object_type", "object_id", "object_name", "extracted_at",
-    )
+    # Each table is reduced on the native ids; the (longer) uuids are made afterwards.
+    objects = grants.select(*OBJECT_KEY, "object_name", "extracted_at")
     principals = grants.select(
-        uuid5(_principal_ref()).alias("id"),
-        "source_system", "connection_id", "principal_type", "principal_id", "principal_name",
-        F.lower(F.trim("email")).alias("email"),
-        "extracted_at",
+        *PRINCIPAL_KEY, "principal_name", F.lower(F.trim("email")).alias("email"), "extracted_at"
     )
     acl = grants.select(
-        uuid5(_object_ref()).alias("source_object_id"),
-        uuid5(_principal_ref()).alias("principal_id"),
+        *dict.fromkeys([*OBJECT_KEY, *PRINCIPAL_KEY]),
         "access_level", "effect", "grant_type", "granted_via", "extracted_at",
     )
+    object_id, principal_id = uuid5(F.concat_ws("|", *OBJECT_KEY)), uuid5(F.concat_ws("|", *PRINCIPAL_KEY))
+    acl_key = [*dict.fromkeys([*OBJECT_KEY, *PRINCIPAL_KEY]), "access_level", "effect"]
     return {
-        "objects": keep_latest(objects, "id", "extracted_at"),
-        "principals": keep_latest(principals, "id", "extracted_at").drop("extracted_at"),
-        "acl": keep_latest(acl, GRANT_KEY, "extracted_at"),
+        "objects": keep_latest(objects, OBJECT_KEY, "extracted_at").select(
+            object_id.alias("id"), *objects.columns
+        ),
+        "principals": keep_latest(principals, PRINCIPAL_KEY, "extracted_at").select(
+            principal_id.alias("id"), *[c for c in principals.columns if c != "extracted_at"]
+        ),
+        "acl": keep_latest(acl, acl_key, "extracted_at").select(
+            object_id.alias("source_object_id"),
+            principal_id.alias("principal_id"),
+            "access_level", "effect", "grant_type", "granted_via", "extracted_at",
+        ),
     }
 
 

@@ -41,7 +41,9 @@ def keep_latest(
     pk, order = _as_list(pk), _as_list(order or [])
     require_columns(df, [*pk, *order], "key or order column")
     rest = [f.name for f in df.schema if f.name not in {*pk, *order} and _orderable(f)]
-    ranking = [F.col(c).desc_nulls_last() for c in [*order, *rest]] or [F.lit(1)]
+    if not order and not rest:
+        return df.dropDuplicates(pk)
+    ranking = [F.col(c).desc_nulls_last() for c in [*order, *rest]]
     window = Window.partitionBy(*pk).orderBy(*ranking)
     return df.withColumn("_rank", F.row_number().over(window)).where("_rank = 1").drop("_rank")
 

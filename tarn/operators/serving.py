@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Row cap of a served query, and functions that reach outside the lake.
+from tarn.operators.windows import running_total
+
+# Row cap of a served query, depth of a plain page, and functions that reach outside the lake.
 MAX_ROWS = 500
+TOP_ROWS = 10_000
 REFUSED_FUNCTIONS = ("reflect", "java_method", "try_reflect")
 FILES_FLAG = "spark.sql.runSQLOnFiles"
 
@@ -80,4 +83,10 @@ def preview(
     if sort:
         order.append(F.col(sort).desc_nulls_last() if desc else F.col(sort).asc_nulls_last())
     order.append(F.col(pk).asc_nulls_last())
-    return df.orderBy(*order).offset((page - 1) * size).limit(size)
+    skip = (page - 1) * size
+    if skip + size <= TOP_ROWS:
+        return df.orderBy(*order).offset(skip).limit(size)
+    # A deep page would pull all rows before it to one place; positions are counted instead.
+    placed = running_total(df.withColumn("_one", F.lit(1)), "_one", order, (), "_place")
+    on_page = placed.where((F.col("_place") >= skip) & (F.col("_place") < skip + size))
+    return on_page.orderBy("_place").drop("_one", "_place")

@@ -46,6 +46,11 @@ def _run(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int],
     query.awaitTermination()
 
 
+def _fold(lake: LakeStore, source: tuple[str, str], sort_by: str | None = None) -> None:
+    if lake.table_exists(source) and lake.needs_compaction(source):
+        lake.compact(source, sort_by=sort_by)
+
+
 def stream_sync(
     lake: LakeStore, stream: DataFrame, config: ResourceConfig, checkpoint: str
 ) -> None:
@@ -61,6 +66,7 @@ def stream_sync(
         )
 
     _run(stream, checkpoint, merge)
+    _fold(lake, ("raw", config.table), config.cursor)
 
 
 def stream_changes(
@@ -82,3 +88,4 @@ def stream_changes(
         )
 
     _run(stream, checkpoint, apply)
+    _fold(lake, (layer, table))

@@ -332,6 +332,15 @@ def test_preview_pages_and_search(spark):
     assert preview(df, "id", search="rowx1").count() == 0
 
 
+def test_deep_pages_equal_shallow_ones(spark, monkeypatch):
+    from tarn.operators import serving
+
+    df = spark.range(500).select("id", (F.col("id") % 7).alias("g"))
+    shallow = preview(df, "id", sort="g", desc=True, page=4, size=30).collect()
+    monkeypatch.setattr(serving, "TOP_ROWS", 10)
+    assert preview(df, "id", sort="g", desc=True, page=4, size=30).collect() == shallow
+
+
 def test_interval_and_marks(spark):
     df = spark.sql("SELECT TIMESTAMP_NTZ '2026-01-01' AS ts UNION ALL SELECT TIMESTAMP_NTZ '2026-01-02'")
     assert df.where(fn.beyond(df, "ts", dt.datetime(2026, 1, 1))).count() == 1
