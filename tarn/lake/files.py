@@ -15,7 +15,7 @@ class SharedFiles:
         self._gateway = spark.sparkContext._gateway
         self._conf = spark._jsc.hadoopConfiguration()
         self._fs = self._path(root).getFileSystem(self._conf)
-        self._local = urlparse(root).scheme in ("", "file")
+        self._local = self._fs.getUri().getScheme() == "file"
 
     def _path(self, path: str):
         return self._jvm.org.apache.hadoop.fs.Path(path)

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from tarn.functions.scalars import beyond
 from tarn.lake.files import SharedFiles
-from tarn.operators.merge import common_schema, conform, keep_latest, require_columns, widest
+from tarn.operators.merge import common_schema, conform, keep_latest, require_columns, upsert_delta, widest
 
 # The layers of the lake, plus one for the state of its own jobs.
 LAYERS = ("raw", "enrichment", "clean", "graph", "state")
@@ -286,21 +286,23 @@ class LakeStore:
         segment: Segment | None,
         batch: tuple[str, int] | None = None,
         marks: dict[str, Mark] | None = None,
-        build: Callable[[Version | None], Segment] | None = None,
+        build: Callable[[Version], Segment] | None = None,
     ) -> Version | None:
         """Publish the next version; on a clash re-read the table and try again.
 
         Appends, merges and deletes do not depend on the base, so a retry only places
-        the same files after the other writer's. ``build`` recomputes those that do.
+        the same files after the other writer's. ``build`` makes those that do, once
+        for each version they may follow.
         """
         base_path = f"{self._table_path(layer, table)}/versions"
         self._files.make_dirs(base_path)
+        base = None
         for attempt in range(MAX_RETRIES):
             current = self._load(layer, table)
             if batch and current and current.batches.get(batch[0], -1) >= batch[1]:
                 return None
-            if build is not None and attempt:
-                segment = build(current)
+            if build is not None and current.version != base:
+                segment, base = build(current), current.version
             version = self._next(current, mode, segment, batch, marks or {})
             text = json.dumps(asdict(version))
             if self._files.create_exclusive(f"{base_path}/v{version.version}.json", text):
@@ -367,6 +369,24 @@ class LakeStore:
         segment, _ = self._stage(layer, table, staged, "delete", [column])
         return self._commit(layer, table, "delete", segment)
 
+    def upsert_columns(
+        self, source: Source, df: DataFrame, on: str | Sequence[str], update: Sequence[str]
+    ) -> Version | None:
+        """MERGE with a column list; only the changed and new rows are stored.
+
+        The rows are completed from the base, so a clash with another writer redoes them.
+        """
+        layer, table = split_source(source)
+        keys = [on] if isinstance(on, str) else list(on)
+        latest = keep_latest(df, keys)
+
+        def build(base: Version) -> Segment:
+            rows = upsert_delta(self._read_version(layer, table, base), latest, keys, update)
+            return self._stage(layer, table, rows, "merge", keys)[0]
+
+        self._require(layer, table)
+        return self._commit(layer, table, "merge", None, build=build)
+
     def apply_changes(
         self,
         source: Source,
@@ -397,12 +417,12 @@ class LakeStore:
         """Same rows in few, evenly sized files; deltas and deletes are folded in."""
         layer, table = split_source(source)
 
-        def build(base: Version | None) -> Segment:
+        def build(base: Version) -> Segment:
             rows = self._read_version(layer, table, base).hint("rebalance")
             return self._stage(layer, table, rows, "compact", [], sort_by)[0]
 
-        current = self._require(layer, table)
-        return self._commit(layer, table, "compact", build(current), build=build)
+        self._require(layer, table)
+        return self._commit(layer, table, "compact", None, build=build)
 
     def needs_compaction(self, source: Source) -> bool:
         """Many deltas, or deltas that have grown to ``fold_ratio`` of a sizeable base."""

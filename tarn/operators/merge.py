@@ -77,33 +77,62 @@ def merge_by_key(
     return union_relaxed(without_keys(target, source, pk), incoming)
 
 
+def _staged(source: DataFrame) -> DataFrame:
+    return source.select(
+        F.lit(True).alias("_in_source"), *[F.col(c).alias(f"_new_{c}") for c in source.columns]
+    )
+
+
+def _same_keys(left: DataFrame, staged: DataFrame, on: Sequence[str]) -> Column:
+    return reduce(Column.__and__, [left[c].eqNullSafe(staged[f"_new_{c}"]) for c in on])
+
+
+def _overlaid(joined: DataFrame, target: DataFrame, update: Sequence[str]) -> DataFrame:
+    """Target columns, with the updated ones taken from the source where it matched."""
+    hit = F.col("_in_source").isNotNull()
+    return joined.select(
+        *[
+            F.when(hit, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in update else F.col(c)
+            for c in target.columns
+        ]
+    )
+
+
+def new_rows(target: DataFrame, source: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Source rows whose key the target lacks. Only the target's key columns are read, and
+    only matching keys (never more than the source has) are shuffled on."""
+    staged = _staged(source.select(*on))
+    keys = target.select(*on)
+    matched = keys.join(staged, _same_keys(keys, staged, on)).select(*on)
+    return without_keys(source, matched, on)
+
+
 def upsert_columns(
     target: DataFrame, source: DataFrame, on: str | Sequence[str], update: Sequence[str]
 ) -> DataFrame:
     """MERGE with a column list: matched rows take only ``update``, new rows are inserted.
 
-    Keys are unique on both sides (``keep_latest`` the source first when they are not).
+    Keys are unique on both sides (``keep_latest`` the source first when they are not). A
+    source small enough to broadcast leaves the target where it is.
     """
     on = _as_list(on)
     require_columns(source, [*on, *update], "merge column")
-    staged = source.select(
-        F.lit(True).alias("_in_source"), *[F.col(c).alias(f"_new_{c}") for c in source.columns]
-    )
-    base = target.withColumn("_in_target", F.lit(True))
-    same = reduce(Column.__and__, [base[c].eqNullSafe(staged[f"_new_{c}"]) for c in on])
-    joined = base.join(staged, same, "full_outer")
-    is_new = F.col("_in_target").isNull()
-
-    def pick(name: str) -> Column:
-        if name not in source.columns:
-            return F.col(name)
-        if name in update:
-            take_new = F.col("_in_source").isNotNull()
-        else:
-            take_new = is_new
-        return F.when(take_new, F.col(f"_new_{name}")).otherwise(F.col(name)).alias(name)
-
-    return joined.select(*[pick(c) for c in target.columns])
+    staged = _staged(source)
+    joined = target.join(staged, _same_keys(target, staged, on), "left")
+    fresh = conform(new_rows(target, source, on), target.schema)
+    return _overlaid(joined, target, update).unionByName(fresh)
+
+
+def upsert_delta(
+    target: DataFrame, source: DataFrame, on: str | Sequence[str], update: Sequence[str]
+) -> DataFrame:
+    """Only the rows ``upsert_columns`` changes or inserts, whole."""
+    on = _as_list(on)
+    require_columns(source, [*on, *update], "merge column")
+    staged = _staged(source)
+    matched = target.join(staged, _same_keys(target, staged, on))
+    fresh = conform(new_rows(target, source, on), target.schema)
+    return _overlaid(matched, target, update).unionByName(fresh)
 
 
 def delete_where_in(target: DataFrame, keys: DataFrame, column: str) -> DataFrame:

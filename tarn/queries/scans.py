@@ -143,7 +143,7 @@ def document_scan(spark: SparkSession, d: str) -> DataFrame:
     return documents.select("_id", "role", F.length("text").cast("bigint").alias("n_chars"))
 
 
-@query("SELECT event_id, user_id, event_type, value FROM events")
+@query("SELECT event_id, user_id, event_type, value FROM events", name="flatten_pages")
 def flatten_overlapping_pages(spark: SparkSession, d: str) -> DataFrame:
     """API pages of 100 records that repeat the first 10 of the next page."""
     events = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
@@ -190,7 +190,7 @@ WITH partners AS (
 SELECT partner_id, partner_name, partner_tier, commission_rate, count(c_custkey) AS n_customers
 FROM partners LEFT JOIN customer ON partner_id = 1 + c_custkey % 1000
 GROUP BY partner_id, partner_name, partner_tier, commission_rate
-""")
+""", name="gen_partners")
 def customers_of_partners(spark: SparkSession, d: str) -> DataFrame:
     """The generated dimension with the customers assigned to each partner."""
     partners = gen_partners(spark)

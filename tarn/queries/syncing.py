@@ -17,7 +17,7 @@ from tarn.streaming.config import ResourceConfig
 from tarn.streaming.landed import landed_files, stream_changes
 from tarn.streaming.landed import stream_sync as sync_stream
 from tarn.streaming.state import RunLog, SyncState, columns_with_cursor
-from tarn.streaming.sync import sync_children, sync_partitioned, sync_resource
+from tarn.streaming.sync import sync_children, sync_resource
 
 ORDERS = ResourceConfig("shop", "orders", "incremental", "o_orderdate", ("o_orderkey",))
 EVENTS = ResourceConfig("shop", "events", "incremental", "ts", ("event_id",))
@@ -216,7 +216,7 @@ def partition_watermark(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
     end = F.timestamp_add("DAY", F.length("event_type"), F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"))
     for rows in (events.where(F.col("ts") < end), events):
-        sync_partitioned(lake, rows, config)
+        sync_resource(lake, rows, config)
     marks = SyncState(lake).partition_marks("shop", "typed_events", "timestamp_ntz")
     counts = lake.read(("raw", config.table)).groupBy("event_type").agg(F.count("*").alias("n_rows"))
     return counts.join(marks, F.col("event_type") == F.col("partition")).select("event_type", "n_rows", "mark")

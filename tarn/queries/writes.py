@@ -81,6 +81,22 @@ def merge_update_columns(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(f"""
+SELECT coalesce(o.o_orderkey, r.o_orderkey) AS o_orderkey,
+       coalesce(o.o_custkey, r.o_custkey) AS o_custkey,
+       coalesce(r.o_orderstatus, o.o_orderstatus) AS o_orderstatus,
+       coalesce(o.o_totalprice, r.o_totalprice) AS o_totalprice
+FROM orders o FULL JOIN ({REPRICED}) r ON o.o_orderkey = r.o_orderkey
+""")
+def merge_columns_in_lake(spark: SparkSession, d: str) -> DataFrame:
+    """The same into a lake table, which stores only the rows that change."""
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
+    lake = new_lake(spark)
+    lake.write("raw", "orders", table(spark, d, "orders").select(*columns))
+    lake.upsert_columns("raw/orders", repriced(spark, d).select(*columns), "o_orderkey", ["o_orderstatus"])
+    return lake.read("raw/orders")
+
+
 @query(MERGED_ORDERS)
 def merge_update_all(spark: SparkSession, d: str) -> DataFrame:
     """Merge of two DataFrames; the batch carries an older copy of its rows as well."""

@@ -47,7 +47,11 @@ GROUP_KEYED = {"google_analytics"}
 
 @dataclass(frozen=True)
 class ResourceConfig:
-    """Mode, cursor and key of one resource; ``partition`` is set for per-partition cursors."""
+    """Mode, cursor and key of one resource.
+
+    ``partition`` names the column that has a cursor of its own per value; ``stamp`` adds a
+    row id and the load time to every row.
+    """
 
     connector: str
     resource: str
@@ -59,6 +63,7 @@ class ResourceConfig:
     unique: bool = True
     partition: str | None = None
     lookback: object | None = None
+    stamp: bool = False
 
     @property
     def table(self) -> str:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn.functions.ids import load_stamp, row_id
 from tarn.lake.store import LakeStore, Version
 from tarn.operators.merge import union_relaxed
 from tarn.sources.jdbc import read_increment
@@ -50,9 +51,15 @@ def sync_resource(
 
 def _sync(lake: LakeStore, source: DataFrame, config: ResourceConfig, full: bool) -> SyncResult:
     mode = derive_mode(config, source.columns)
-    target = ("raw", config.table)
+    if config.stamp:
+        source = source.withColumns({"_row_id": row_id(), "_loaded_at": load_stamp()})
     incremental = mode == "merge" and config.mode == "incremental" and config.supports_incremental
-    last = lake.mark(target, config.cursor) if incremental and not full and config.cursor else None
+    if incremental and config.partition and not full:
+        return _sync_by_partition(lake, source, config)
+    target = ("raw", config.table)
+    # One mark cannot stand for several sub-resources: without a partition they are read whole.
+    marked = incremental and not full and config.cursor and not config.consolidated
+    last = lake.mark(target, config.cursor) if marked else None
     rows = read_increment(source, config.cursor, _since(last, config.lookback))
     if full and mode == "merge" and not config.consolidated:
         mode = "overwrite"
@@ -86,26 +93,29 @@ def partition_delta(
     )
 
 
-def sync_partitioned(lake: LakeStore, source: DataFrame, config: ResourceConfig) -> SyncResult:
-    """Like ``sync_resource`` with one cursor per drive, space, database or channel."""
-    if not (config.partition and config.cursor and config.pk):
-        raise ValueError(f"{config.table} needs a partition, a cursor and a key")
-    derive_mode(config, source.columns)
+def _sync_by_partition(lake: LakeStore, source: DataFrame, config: ResourceConfig) -> SyncResult:
+    """One cursor per drive, space, database or channel inside the resource.
+
+    The marks are committed after the data; a run that dies in between is merged again.
+    """
     state = SyncState(lake)
+    target = ("raw", config.table)
     kind = dict(source.dtypes)[config.cursor]
     marks = state.partition_marks(config.connector, config.resource, kind)
     delta = partition_delta(source, marks, config.partition, config.cursor)
     version = lake.write(
-        "raw", config.table, delta, "merge", pk=list(config.pk), order=config.cursor,
+        *target, delta, "merge", pk=list(config.pk), order=config.cursor, unique=config.unique,
         sort_by=config.cursor, skip_empty=True,
     )
     if version is None:
         return SyncResult("skipped", "merge", 0, None)
-    landed = lake.read_delta_of(("raw", config.table), version)
+    landed = lake.read_delta_of(target, version)
     top = landed.groupBy(F.col(config.partition).cast("string").alias("partition")).agg(
         F.max(config.cursor).alias("mark")
     )
     state.advance_partitions(config.connector, config.resource, top)
+    if lake.needs_compaction(target):
+        lake.compact(target, sort_by=config.cursor)
     return SyncResult("completed", "merge", version.changed_rows, None, version)
 
 

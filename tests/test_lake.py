@@ -217,3 +217,24 @@ def test_federated_sources_read_like_tables(spark, lake):
     lake.write("clean", "numbers", spark.range(6))
     assert lake.read(("fed", "numbers")).collect() == lake.read(("clean", "numbers")).orderBy("id").collect()
     assert lake.sql("SELECT count(*) AS n FROM fed_numbers JOIN clean_numbers USING (id)").first().n == 6
+
+
+def test_column_merge_stores_only_the_delta(spark, lake):
+    lake.write("raw", "t", spark.range(100).select("id", F.lit("a").alias("name"), F.lit(1.0).alias("v")))
+    source = spark.sql("SELECT * FROM VALUES (5L, 'b', 9.0D), (200L, 'n', 3.0D) AS t(id, name, v)")
+    version = lake.upsert_columns("raw/t", source, "id", ["v"])
+    assert version.changed_rows == 2
+    rows = {r.id: (r.name, r.v) for r in lake.read("raw/t").collect()}
+    assert len(rows) == 101 and rows[5] == ("a", 9.0) and rows[200] == ("n", 3.0) and rows[6] == ("a", 1.0)
+
+
+def test_clashing_column_merges_see_each_other(spark, lake):
+    lake.write("raw", "t", spark.sql("SELECT 1 AS id, 0 AS a, 0 AS b"))
+
+    def update(column):
+        lake.upsert_columns("raw/t", spark.sql("SELECT 1 AS id, 7 AS a, 7 AS b"), "id", [column])
+
+    threads = [threading.Thread(target=update, args=(c,)) for c in ("a", "b")]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert tuple(lake.read("raw/t").first()) == (1, 7, 7)

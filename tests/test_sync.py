@@ -13,7 +13,7 @@ from tarn.sources.generate import gen_customers
 from tarn.streaming.config import CONNECTOR_KEYS, ResourceConfig, default_config, derive_mode
 from tarn.streaming.landed import landed_files, stream_changes, stream_sync
 from tarn.streaming.state import RunLog, SyncState, WatermarkMovedBack
-from tarn.streaming.sync import sync_children, sync_partitioned, sync_resource
+from tarn.streaming.sync import sync_children, sync_resource
 
 CUSTOMERS = ResourceConfig("crm", "customers", "incremental", "updated_at", ("id",))
 
@@ -117,12 +117,12 @@ def test_partitions_advance_alone(spark, lake):
     config = ResourceConfig("drive", "files", "incremental", "n", ("id",), partition="drive")
     first = spark.sql("SELECT * FROM VALUES (1, 'a', 10), (2, 'b', 3) AS t(id, drive, n)")
     second = spark.sql("SELECT * FROM VALUES (1, 'a', 10), (2, 'b', 3), (3, 'a', 9), (4, 'b', 4), (5, 'c', 1) AS t(id, drive, n)")
-    sync_partitioned(lake, first, config)
-    assert sync_partitioned(lake, second, config).records == 2
+    sync_resource(lake, first, config)
+    assert sync_resource(lake, second, config).records == 2
     assert sorted(r.id for r in lake.read("raw/drive__files").collect()) == [1, 2, 4, 5]
     marks = {r.partition: r.mark for r in SyncState(lake).partition_marks("drive", "files", "int").collect()}
     assert marks == {"a": 10, "b": 4, "c": 1}
-    assert sync_partitioned(lake, second, config).status == "skipped"
+    assert sync_resource(lake, second, config).status == "skipped"
 
 
 def test_children_of_changed_parents_are_replaced(spark, lake):
@@ -200,3 +200,19 @@ def test_run_log_folds_into_a_table(spark, lake):
     log.fold(at_least=2)
     assert log.table().count() == 2 and lake.table_exists("state/sync_runs")
     assert log.latest().first().records == 3
+
+
+def test_consolidated_tables_read_every_channel(spark, lake):
+    config = ResourceConfig("chat", "messages", "incremental", "n", ("id",), consolidated=True)
+    late = spark.sql("SELECT * FROM VALUES (1, 'a', 10) AS t(id, channel, n)")
+    early = spark.sql("SELECT * FROM VALUES (2, 'b', 3) AS t(id, channel, n)")
+    sync_resource(lake, late, config)
+    sync_resource(lake, early, config)
+    assert lake.count("raw/chat__messages") == 2
+
+
+def test_rows_can_be_stamped(spark, lake):
+    config = ResourceConfig("x", "t", stamp=True)
+    sync_resource(lake, spark.range(3), config)
+    rows = lake.read("raw/x__t").collect()
+    assert len({r._row_id for r in rows}) == 3 and all(r._loaded_at for r in rows)
