@@ -33,35 +33,54 @@ def fallback_key(id_field: str, origin: str | None) -> Column:
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` of undirected ``a, b`` pairs; the component is its least node.
 
+    Nodes get a number first: rounds then aggregate by hash and shuffle 16 bytes per edge.
+    The numbers differ between runs, so the name of a component is taken from its nodes.
+    """
+    pairs = edges.where("a <> b").select("a", "b").distinct()
+    ends = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
+    nodes = cut_lineage(
+        ends.select(F.col("a").alias("node")).distinct()
+        .withColumn("id", F.monotonically_increasing_id())
+    )
+    numbered = pairs
+    for end in ("a", "b"):
+        number = nodes.select(F.col("node").alias(end), F.col("id").alias(f"_{end}"))
+        numbered = numbered.join(number, end)
+    stars = star_rounds(numbered.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    tops = stars.select(F.col("b").alias("id")).distinct().withColumn("top", F.col("id"))
+    placed = stars.select(F.col("a").alias("id"), F.col("b").alias("top")).unionByName(tops)
+    named = nodes.join(placed, "id").select("node", "top")
+    least = named.groupBy("top").agg(F.min("node").alias("component"))
+    return named.join(least, "top").select("node", "component")
+
+
+def star_rounds(edges: DataFrame) -> DataFrame:
+    """Pairs of numbers to ``a -> b`` stars around the least number of each component.
+
     Alternating large-star and small-star rounds (Kiveris et al., 2014): O(log^2 n)
     rounds on any shape. A node's minimum is a partial aggregate and neighbours are
     never gathered in a list, so a value shared by a third of the rows stays a stream
     of edges that the skew join can split.
     """
-    edges = cut_lineage(edges.where("a <> b").select("a", "b").distinct())
+    edges = cut_lineage(edges)
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Large star: every larger neighbour is tied to the least node around.
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = (
-            both.where("b > a").join(least, "a").where("b <> m")
+            both.where("b > a").join(least, "a")
             .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         )
         # Small star: a node and its smaller neighbours are tied to the least of them.
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        tied = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = tied.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = cut_lineage(small)
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        tied = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = cut_lineage(tied.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        hashed = F.xxhash64("a", "b").cast("decimal(38,0)")
+        state = edges.agg(F.count("*").alias("n"), F.sum(hashed).alias("h")).first()
         if state == seen:
-            break
+            return edges
         seen = state
-    tops = edges.select(F.col("b").alias("node")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-        tops.select("node", F.col("node").alias("component"))
-    )
 
 
 def resolve_entities(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarn.functions.ids import uuid5
-from tarn.graph.entities import node_id, resolve_entities, with_entity_key
+from tarn.graph.entities import node_id, with_entity_key
 from tarn.graph.ontology import EdgeMap, NodeMap, Ontology, OntologyHistory, TimelineMap, validate_ontology
 from tarn.lake.store import LakeStore
 from tarn.operators.merge import keep_latest, without_keys
@@ -53,15 +53,19 @@ def _cursor(name: str | None) -> Column:
     return (F.col(name) if name else F.lit(None)).cast("timestamp").alias("updated_at")
 
 
-def project_nodes(node: NodeMap, clean: DataFrame) -> DataFrame:
+def keyed_rows(node: NodeMap, clean: DataFrame) -> DataFrame:
+    """The mapped columns of a clean table plus the ``entity_key`` of each row."""
+    return with_entity_key(
+        clean.select(*node.columns()), node.id_field, node.er_fields, node.origin
+    ).where("entity_key IS NOT NULL")
+
+
+def project_nodes(node: NodeMap, keyed: DataFrame) -> DataFrame:
     """One node per entity; of several rows of one entity the latest gives the properties.
 
     Rows are reduced to one per key before ids and property texts are made, so the
     shuffle carries only the mapped columns.
     """
-    keyed = with_entity_key(
-        clean.select(*node.columns()), node.id_field, node.er_fields, node.origin
-    ).where("entity_key IS NOT NULL")
     latest = keep_latest(keyed, "entity_key", node.cursor)
     return latest.select(
         node_id(node.label, "entity_key").alias("entity_id"),
@@ -72,11 +76,11 @@ def project_nodes(node: NodeMap, clean: DataFrame) -> DataFrame:
     )
 
 
-def key_index(node: NodeMap, clean: DataFrame) -> DataFrame:
+def key_index(node: NodeMap, keyed: DataFrame) -> DataFrame:
     """``key -> entity_id`` of a node type whose id comes from its identity fields."""
-    resolved = resolve_entities(clean, node.label, node.id_field, node.er_fields, node.origin)
-    index = resolved.select(
-        F.col(node.id_field).cast("string").alias("_key"), F.col("entity_id").alias("_entity")
+    index = keyed.select(
+        F.col(node.id_field).cast("string").alias("_key"),
+        node_id(node.label, "entity_key").alias("_entity"),
     )
     return index.where("_key IS NOT NULL").dropDuplicates(["_key"])
 
@@ -158,31 +162,43 @@ PARTS = ("nodes", "edges", "events")
 def _project(
     ontology: Ontology, tables: dict[str, DataFrame], indexes: dict[str, DataFrame], parts: Sequence[str]
 ) -> Graph:
-    made: dict[str, list[DataFrame]] = {p: [] for p in PARTS}
-    if "nodes" in parts:
-        made["nodes"] = [project_nodes(n, tables[n.source]) for n in ontology.nodes]
+    """Edges and events of the given tables."""
+    edges, events = [], []
     if "edges" in parts:
-        made["edges"] = [
+        edges = [
             project_edges(
                 e, tables[e.source], ontology.node(e.from_label), ontology.node(e.to_label), indexes
             )
             for e in ontology.edges
         ]
     if "events" in parts:
-        made["events"] = [
+        events = [
             project_events(t, tables[t.source], ontology.node(t.label), indexes.get(t.label))
             for t in ontology.timeline
         ]
-    return Graph(*[_union(made[p]) for p in PARTS])
+    return Graph(None, _union(edges), _union(events))
+
+
+def _sources(ontology: Ontology) -> set[str]:
+    return {e.source for e in (*ontology.nodes, *ontology.edges, *ontology.timeline)}
+
+
+def _looked_up(ontology: Ontology) -> list[NodeMap]:
+    return [n for n in ontology.nodes if not n.by_key or n.origin]
 
 
 def project_graph(ontology: Ontology, read, parts: Sequence[str] = PARTS) -> Graph:
-    """The graph of an ontology; ``read(source)`` returns a clean table."""
-    sources = {e.source for e in (*ontology.nodes, *ontology.edges, *ontology.timeline)}
-    tables = {s: read(s) for s in sources}
-    looked_up = [n for n in ontology.nodes if not n.by_key or n.origin]
-    indexes = {n.label: key_index(n, tables[n.source]) for n in looked_up}
-    return _project(ontology, tables, indexes, parts)
+    """The graph of an ontology; ``read(source)`` returns a clean table.
+
+    Entities are resolved once per node type, for its nodes and for the edges' lookups.
+    """
+    tables = {s: read(s) for s in _sources(ontology)}
+    keyed = {n.label: keyed_rows(n, tables[n.source]) for n in ontology.nodes}
+    indexes = {n.label: key_index(n, keyed[n.label]) for n in _looked_up(ontology)}
+    graph = _project(ontology, tables, indexes, parts)
+    if "nodes" in parts:
+        graph.nodes = _union([project_nodes(n, keyed[n.label]) for n in ontology.nodes])
+    return graph
 
 
 def build_graph(
@@ -225,11 +241,11 @@ def refresh_graph(lake: LakeStore, ontology: Ontology, since: dict[str, object],
     """
     if any(len(n.er_fields) > 1 for n in ontology.nodes):
         raise ValueError("multi-field resolution is rebuilt, not refreshed")
-    looked_up = [n for n in ontology.nodes if not n.by_key or n.origin]
-    indexes = {n.label: key_index(n, lake.read(n.source)) for n in looked_up}
-    sources = {e.source for e in (*ontology.nodes, *ontology.edges, *ontology.timeline)}
-    changed = {s: lake.read(s, watermark=since.get(s), cursor=cursor) for s in sources}
-    return _store(lake, _project(ontology, changed, indexes, PARTS), "merge")
+    indexes = {n.label: key_index(n, keyed_rows(n, lake.read(n.source))) for n in _looked_up(ontology)}
+    changed = {s: lake.read(s, watermark=since.get(s), cursor=cursor) for s in _sources(ontology)}
+    graph = _project(ontology, changed, indexes, PARTS)
+    graph.nodes = _union([project_nodes(n, keyed_rows(n, changed[n.source])) for n in ontology.nodes])
+    return _store(lake, graph, "merge")
 
 
 def ghost_entities(stored: DataFrame, projected: DataFrame) -> DataFrame:

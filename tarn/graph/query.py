@@ -6,16 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.graph.project import Graph
+from tarn.operators.merge import without_keys
+from tarn.session import cut_lineage
 
 
 def resolved_edges(graph: Graph) -> DataFrame:
-    """Edges plus ``resolved``: both ends exist as nodes."""
-    known = graph.nodes.select(F.col("entity_id").alias("_id"))
+    """Edges plus ``resolved``: both ends exist as nodes.
+
+    The ends that exist nowhere are found once, over distinct ids, and written; that list
+    is normally tiny, so marking the edges with it moves no edge.
+    """
+    ends = graph.edges.select(F.col("src").alias("entity_id")).unionByName(
+        graph.edges.select(F.col("dst").alias("entity_id"))
+    )
+    missing = cut_lineage(without_keys(ends.distinct(), graph.nodes, "entity_id"))
     edges = graph.edges
     for end in ("src", "dst"):
-        found = known.withColumnRenamed("_id", f"_{end}")
-        edges = edges.join(found, F.col(end) == F.col(f"_{end}"), "left")
-    both = F.col("_src").isNotNull() & F.col("_dst").isNotNull()
+        lost = missing.select(F.col("entity_id").alias(f"_{end}"))
+        edges = edges.join(lost, F.col(end) == F.col(f"_{end}"), "left")
+    both = F.col("_src").isNull() & F.col("_dst").isNull()
     return edges.withColumn("resolved", both).drop("_src", "_dst")
 
 

@@ -58,7 +58,7 @@ def closure(edges: DataFrame, parent: str, child: str) -> DataFrame:
     """All (ancestor, descendant) pairs of a directed graph; safe on cycles.
 
     Each round extends only the pairs found in the last one and drops known pairs, so
-    the work is the size of the answer. Rounds are cut by a reliable checkpoint.
+    the work is the size of the answer. Rounds are written to the shared folder.
     """
     step = cut_lineage(
         edges.select(F.col(parent).alias("_parent"), F.col(child).alias("_child"))

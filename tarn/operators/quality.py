@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions.identity import is_valid_cpf, is_valid_email
+from tarn.session import cut_lineage
 
 REASONS = "reasons"
 
@@ -120,35 +121,39 @@ def suite_from_config(config: Sequence[dict], parents: dict[str, DataFrame] | No
 def flag(df: DataFrame, suite: Sequence[Check]) -> DataFrame:
     """``df`` plus ``reasons``: the names of the failed checks (empty for a good row).
 
-    Row checks cost no shuffle. Uniqueness counts keys with partial aggregation and
-    joins back only the repeated ones, so a key held by a third of the rows never has
-    to sit in one window partition.
+    Row checks cost no shuffle. Repeated keys and dangling references are first reduced to
+    the offending values, over the key column alone and with partial aggregation, and
+    written. That list is normally short: marking the rows with it leaves them in place,
+    and a long one, or one value on a third of the rows, is an ordinary skew-split join.
     """
     marks: list[Column] = []
     columns = df.columns
     for i, check in enumerate(suite):
         if isinstance(check, RowCheck):
             bad = check.failed
-        elif isinstance(check, UniqueCheck):
-            keys = [F.col(c).alias(f"_u{i}_{c}") for c in check.columns]
-            repeated = (
-                df.select(*keys).groupBy(*[f"_u{i}_{c}" for c in check.columns])
-                .agg(F.count("*").alias("_n")).where("_n > 1")
-                .withColumn(f"_u{i}", F.lit(True)).drop("_n")
-            )
-            same = [F.col(c) == F.col(f"_u{i}_{c}") for c in check.columns]
-            df = df.join(repeated, same, "left")
-            bad = F.col(f"_u{i}").isNotNull()
         else:
-            known = check.parent.select(
-                F.col(check.parent_column).alias(f"_r{i}_key")
-            ).where(f"_r{i}_key IS NOT NULL").distinct().withColumn(f"_r{i}", F.lit(True))
-            df = df.join(known, F.col(check.column) == F.col(f"_r{i}_key"), "left")
-            bad = F.col(check.column).isNotNull() & F.col(f"_r{i}").isNull()
+            offending = cut_lineage(_offending(df, check))
+            keys = check.columns if isinstance(check, UniqueCheck) else (check.column,)
+            marked = offending.select(
+                *[F.col(c).alias(f"_c{i}_{c}") for c in keys], F.lit(True).alias(f"_c{i}")
+            )
+            df = df.join(marked, [F.col(c) == F.col(f"_c{i}_{c}") for c in keys], "left")
+            bad = F.col(f"_c{i}").isNotNull()
         marks.append(F.when(bad, F.lit(check.name)))
     return df.select(*columns, F.array_compact(F.array(*marks)).alias(REASONS))
 
 
+def _offending(df: DataFrame, check: UniqueCheck | ReferenceCheck) -> DataFrame:
+    """Distinct keys that are repeated, or values without a parent; never NULL ones."""
+    if isinstance(check, UniqueCheck):
+        filled = " AND ".join(f"`{c}` IS NOT NULL" for c in check.columns)
+        counted = df.select(*check.columns).where(filled).groupBy(*check.columns).count()
+        return counted.where("count > 1").drop("count")
+    values = df.select(check.column).where(F.col(check.column).isNotNull()).distinct()
+    known = check.parent.select(F.col(check.parent_column).alias("_known"))
+    return values.join(known, F.col(check.column) == F.col("_known"), "left_anti")
+
+
 def split_flagged(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows that passed, quarantined rows with their reasons)."""
     passed = flagged.where(F.size(REASONS) == 0).drop(REASONS)

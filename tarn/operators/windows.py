@@ -38,7 +38,7 @@ def running_total(
     ranged = (
         df.repartitionByRange(partitions, *spread) if partitions else df.repartitionByRange(*spread)
     )
-    # The slice number must not change between its two uses, hence the checkpoint.
+    # The slice number must not change between its two uses, hence the written table.
     sliced = cut_lineage(ranged.withColumn("_slice", F.spark_partition_id()))
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     totals = sliced.groupBy(*by, "_slice").agg(F.sum(value).alias("_total"))
