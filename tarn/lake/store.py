@@ -708,28 +708,27 @@ class LakeStore:
                 target.write(layer, table, self.read((layer, table)), "overwrite")
 
     def verify_backfill(self, target: LakeStore, layers: Sequence[str] = LAYERS) -> DataFrame:
-        """Row counts of both lakes side by side, flagged OK or DIVERGES."""
+        """Row counts of both lakes side by side, flagged OK or DIVERGES; -1 is no table."""
         frames = []
-        for layer in layers:
-            for table in sorted({*self.table_names(layer), *target.table_names(layer)}):
-                pair = []
-                for side, store in (("source_rows", self), ("target_rows", target)):
-                    if store.table_exists((layer, table)):
-                        pair.append(store.read((layer, table)).agg(F.count("*").alias(side)))
-                    else:
-                        pair.append(self.spark.range(1).select(F.lit(-1).cast("bigint").alias(side)))
-                frames.append(
-                    pair[0].join(pair[1], how="cross").select(
-                        F.lit(f"{layer}/{table}").alias("table_name"), "source_rows", "target_rows"
+        for side, store in (("source", self), ("target", target)):
+            for layer in layers:
+                frames += [
+                    store.read((layer, table)).agg(F.count("*").alias("n")).select(
+                        F.lit(f"{layer}/{table}").alias("table_name"), F.lit(side).alias("side"), "n"
                     )
-                )
+                    for table in store.table_names(layer)
+                ]
         if not frames:
             raise TableNotFound("nothing to verify")
-        counts = frames[0]
-        for frame in frames[1:]:
-            counts = counts.unionByName(frame)
+        counts = reduce(DataFrame.unionByName, frames)
+
+        def rows_of(side: str) -> Column:
+            rows = F.max(F.when(F.col("side") == side, F.col("n")))
+            return F.coalesce(rows, F.lit(-1).cast("bigint")).alias(f"{side}_rows")
+
+        pairs = counts.groupBy("table_name").agg(rows_of("source"), rows_of("target"))
         same = F.col("source_rows") == F.col("target_rows")
-        return counts.withColumn("status", F.when(same, "OK").otherwise("DIVERGES"))
+        return pairs.withColumn("status", F.when(same, "OK").otherwise("DIVERGES"))
 
 
 def column_stats(df: DataFrame, *group: Column) -> DataFrame:

@@ -152,6 +152,7 @@ def enrich_table(
     """raw -> enrichment: extract only what the cache lacks, keep errors apart.
 
     Order of effects: cached answers, then the enrichment table, dead letters, usage.
+    ``df`` is the whole raw table; rows whose text is cached cost a join and no call.
     """
     cache_source = ("enrichment", f"{table}__cache")
     shape = "cache_key string, response string, errors array<string>, tokens bigint, retries int"
@@ -168,11 +169,15 @@ def enrich_table(
         return {"misses": 0, "dead_letters": 0}
     cached = lake.read(cache_source).withColumn("_parsed", parse_record("response", schema))
     keyed = df.select(key, cache_key(text, schema, version).alias("cache_key"))
-    joined = keyed.join(cached, "cache_key", "left")
-    good = joined.where(F.size("errors") == 0).select(key, F.col("_parsed.record").alias("profile"))
-    bad = joined.where(F.size("errors") > 0).select(key, "errors", "response")
-    lake.write("enrichment", table, good, "overwrite")
-    dead = lake.write("enrichment", f"{table}__errors", bad, "overwrite")
+    answered = keyed.join(cached, "cache_key", "left").select(
+        key, F.col("_parsed.record").alias("profile"), "errors", "response"
+    )
+    # Good rows and dead letters both come from this one join.
+    staged = lake.write("state", f"{table}__answers", answered)
+    answered = lake.read(("state", f"{table}__answers"), snapshot=staged.version)
+    good, bad = split_dead_letters(answered)
+    lake.write("enrichment", table, good.select(key, "profile"))
+    dead = lake.write("enrichment", f"{table}__errors", bad.select(key, "errors", "response"))
     used = usage_of(lake.read_delta_of(cache_source, landed) if landed else cached.limit(0), run_id)
     lake.write("state", f"{table}__usage", used, "append")
     return {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from tarn.graph.project import project_graph, refresh_graph
 from tarn.graph.project import sanitize_props as sanitize
 from tarn.queries.columns import unified
 from tarn.queries.inputs import CONTRACTS, RECENT, contracts, products, users
-from tarn.queries.registry import new_lake, query, table, uuid5_sql
+from tarn.queries.registry import new_lake, query, row_counts_of, table, uuid5_sql
 from tarn.session import scratch_path
 
 ONTOLOGY = {
@@ -210,11 +212,9 @@ def edge_sample(spark: SparkSession, d: str) -> DataFrame:
     graph = stored(spark, d)
     sample = graph_query.edge_seeded_sample(graph, 1000)
     ends = sample.edges.select(F.col("src").alias("entity_id")).union(sample.edges.select("dst")).distinct()
-    found = sample.nodes.agg(F.count("*").alias("n_nodes"))
-    wanted = ends.agg(F.count("*").alias("n_ends"))
-    edges = sample.edges.agg(F.count("*").cast("int").alias("n_edges"))
-    loose = sample.nodes.join(ends, "entity_id", "left_anti").agg(F.count("*").alias("n_loose"))
-    return edges.crossJoin(found).crossJoin(wanted).crossJoin(loose).select(
+    loose = sample.nodes.join(ends, "entity_id", "left_anti")
+    counts = row_counts_of(n_edges=sample.edges, n_nodes=sample.nodes, n_ends=ends, n_loose=loose)
+    return counts.select(
         "n_edges", (F.col("n_nodes") == F.col("n_ends")).alias("ends_present"),
         (F.col("n_loose") == 0).alias("connected"),
     )
@@ -358,5 +358,10 @@ def ontology_validation(spark: SparkSession, d: str) -> DataFrame:
     problems = ontology_problems(
         parse_ontology({**ONTOLOGY, "edges": edges}), {n: t.columns for n, t in tables.items()}
     )
-    found = spark.createDataFrame(problems, "entry string, problem string")
-    return found.crossJoin(tables["clean/contracts"].agg(F.count("*").alias("n_rows")))
+    frames = [
+        tables["clean/contracts"].agg(F.count("*").alias("n_rows")).select(
+            F.lit(entry).alias("entry"), F.lit(problem).alias("problem"), "n_rows"
+        )
+        for entry, problem in problems
+    ]
+    return reduce(DataFrame.unionByName, frames)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tarn.lake.store import LakeStore
 from tarn.session import scratch_path
@@ -40,6 +42,15 @@ def new_lake(spark: SparkSession, name: str = "lake") -> LakeStore:
     return LakeStore(spark, scratch_path(spark, name)).bootstrap()
 
 
+def row_counts_of(**frames: DataFrame) -> DataFrame:
+    """One row with the row count of each frame, as a column of its name."""
+    counted = [
+        df.agg(F.count("*").alias("n")).select(F.lit(name).alias("frame"), "n") for name, df in frames.items()
+    ]
+    counts = reduce(DataFrame.unionByName, counted)
+    return counts.agg(*[F.max(F.when(F.col("frame") == n, F.col("n"))).alias(n) for n in frames])
+
+
 def uuid5_sql(text: str) -> str:
     """SQL expression of the name-based UUID of a text expression."""
     digest = f"sha1(unhex('{uuid.NAMESPACE_URL.hex}') || encode({text}))"

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from tarn.operators.merge import table_diff
 from tarn.plans import clean
 from tarn.plans.models import Model, ModelRegistry, has_changes, run_model
-from tarn.queries.inputs import MERGED_ORDERS, RECENT, repriced
-from tarn.queries.registry import new_lake, query, table
-from tarn.queries.writes import USER_CHANGES, user_base, user_changes
+from tarn.queries.inputs import RECENT, repriced
+from tarn.queries.registry import new_lake, query, row_counts_of, table
+from tarn.queries.writes import USER_CHANGES, user_base
 from tarn.session import scratch_path
 from tarn.streaming.config import ResourceConfig
 from tarn.streaming.landed import landed_files, stream_changes
@@ -162,12 +162,8 @@ def incremental_equals_full(spark: SparkSession, d: str) -> DataFrame:
     incremental = lake.pin("clean/orders")
     run_model(lake, model, full_refresh=True)
     full = lake.pin("clean/orders")
-    n_diff = table_diff(full, incremental, "external_id").agg(F.count("*").cast("int").alias("n_diff"))
-    return (
-        full.agg(F.count("*").alias("full_rows"))
-        .crossJoin(incremental.agg(F.count("*").alias("incremental_rows")))
-        .crossJoin(n_diff)
-    )
+    diff = table_diff(full, incremental, "external_id")
+    return row_counts_of(full_rows=full, incremental_rows=incremental, n_diff=diff)
 
 
 @query("SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag <> 'R'")

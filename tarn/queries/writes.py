@@ -11,7 +11,7 @@ from tarn.lake.store import dual_write as write_both
 from tarn.operators import merge
 from tarn.operators.privacy import protect
 from tarn.queries.inputs import MERGED_ORDERS, RECENT, REPRICED, raw_customers, repriced
-from tarn.queries.registry import new_lake, query, table
+from tarn.queries.registry import new_lake, query, row_counts_of, table
 from tarn.streaming.config import default_config
 from tarn.streaming.sync import sync_resource
 
@@ -327,19 +327,11 @@ def merge_by_day(spark: SparkSession, d: str) -> DataFrame:
     return lake.read("raw/daily")
 
 
-@query("""
-SELECT store, n_rows, n_diff FROM (
-  SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_diff FROM orders), (VALUES ('new'), ('old')) v(store)
-""")
+@query("SELECT count(*) AS old_rows, count(*) AS new_rows, 0 AS n_diff FROM orders")
 def dual_write(spark: SparkSession, d: str) -> DataFrame:
     """Cut-over: one batch in two lakes, then compared."""
     stores = {"old": new_lake(spark, "old"), "new": new_lake(spark, "new")}
     write_both(table(spark, d, "orders"), stores["old"], stores["new"], "raw", "orders")
     reads = {n: s.read("raw/orders") for n, s in stores.items()}
     diff = merge.table_diff(reads["old"], reads["new"], "o_orderkey")
-    n_diff = diff.agg(F.count("*").alias("n_diff"))
-    frames = [
-        r.agg(F.count("*").alias("n_rows")).withColumn("store", F.lit(n)).crossJoin(n_diff)
-        for n, r in reads.items()
-    ]
-    return frames[0].unionByName(frames[1])
+    return row_counts_of(old_rows=reads["old"], new_rows=reads["new"], n_diff=diff)
