@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.llm.bpe_codec import codec_digests, encode_and_decode
 from tarn.llm.common import crc32_of_id
 from tarn.llm.exact_dedup import exact_groups
 from tarn.llm.language_id import identify_languages
@@ -29,6 +30,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query()
+def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again, as digests."""
+    return codec_digests(encode_and_decode(documents(spark, sf_dir), tokenizer_path()))
+
+
 @query()
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 1, 2, 3 by source, at most 3 epochs each."""
