@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm.bpe_codec import codec_digests, encode_and_decode
 from tarn.llm.common import crc32_of_id
+from tarn.llm.ctw import score_documents
 from tarn.llm.exact_dedup import exact_groups
 from tarn.llm.language_id import identify_languages
 from tarn.llm.simhash_dedup import near_groups
@@ -67,6 +68,19 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+@query()
+def op6_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a model of six in seven of them."""
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(crc32_of_id("doc_id") % 7 == 2, F.lit(False))
+    scored = score_documents(docs, ~held_out).withColumn(
+        "held_out", F.coalesce(crc32_of_id("doc_id") % 7 == 2, F.lit(False))
+    )
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"
+    )
+
+
 @query()
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose fingerprints of 3-word shingles link at 2 bits or fewer."""
