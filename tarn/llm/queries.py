@@ -12,6 +12,7 @@ from tarn.llm.exact_dedup import exact_groups
 from tarn.llm.language_id import identify_languages
 from tarn.llm.simhash_dedup import near_groups
 from tarn.llm.source_mix import mix_plan
+from tarn.llm.suffix_dedup import without_repeats
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -81,6 +82,16 @@ def op6_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents less the bytes that repeated strings of 400 bytes cover."""
+    kept = without_repeats(documents(spark, sf_dir), length=400, token=50)
+    return kept.select(
+        "doc_id", F.col("text_bytes").alias("n_bytes"), (F.col("text_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query()
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose fingerprints of 3-word shingles link at 2 bits or fewer."""
