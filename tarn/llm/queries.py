@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarn.llm.bpe_codec import codec_digests, encode_and_decode
 from tarn.llm.common import crc32_of_id
 from tarn.llm.ctw import score_documents
+from tarn.llm.embedding_dedup import near_vectors
 from tarn.llm.exact_dedup import exact_groups
 from tarn.llm.language_id import identify_languages
 from tarn.llm.simhash_dedup import near_groups
@@ -92,6 +93,12 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings that link at a cosine of 0.95 or more."""
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.95)
+
+
 @query()
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose fingerprints of 3-word shingles link at 2 bits or fewer."""

@@ -16,7 +16,7 @@ from tarn.operators.windows import running_total
 from tarn.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKETS = 4096
+BUCKETS, SALTS = 4096, 64
 
 
 def document_sizes(
@@ -113,7 +113,10 @@ def mix_plan(
         "_of", "_total", "_target", "_whole", "_rest", "_before",
         F.coalesce("_end", F.when(F.col("_rest") > 0, F.lit(BUCKETS)).otherwise(F.lit(-1))).alias("_end"),
     )
-    placed = rows.join(shares, F.col("_source").eqNullSafe(F.col("_of")))
+    # A source of a third of all rows is spread over the salts.
+    salted = shares.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_bucket") % SALTS == F.col("_salt"))
+    placed = rows.join(salted, same).drop("_salt")
     inside = Window.partitionBy("_source").orderBy("_order", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
     at_end = F.col("_bucket") == F.col("_end")
     ending = placed.where(at_end).withColumn(
