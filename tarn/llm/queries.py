@@ -11,6 +11,7 @@ from tarn.llm.ctw import score_documents
 from tarn.llm.embedding_dedup import near_vectors
 from tarn.llm.exact_dedup import exact_groups
 from tarn.llm.language_id import identify_languages
+from tarn.llm.pii_bootstrap import KINDS, find_personal_data, span_text
 from tarn.llm.simhash_dedup import near_groups
 from tarn.llm.source_mix import mix_plan
 from tarn.llm.suffix_dedup import without_repeats
@@ -70,6 +71,19 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+@query()
+def op5_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    found = find_personal_data(documents(spark, sf_dir))
+    counts = [
+        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{kind}")
+        for k, kind in enumerate(KINDS)
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans")
+    )
+
+
 @query()
 def op6_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by a model of six in seven of them."""
