@@ -28,7 +28,7 @@ from tarn.llm.common import text_batches
 from tarn.session import cut_lineage
 
 #: Bytes of runs that a bucket sorts at once.
-PORTION = 8_000_000
+PORTION = 3_000_000
 _WRAP = 2**64
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(5).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
