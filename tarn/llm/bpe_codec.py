@@ -385,7 +385,7 @@ def encode_and_decode(
         codec = Codec(*sent.value)
         for batch in text_batches(batches):
             encoded = codec.encode(batch.column(1).to_pylist())
-            decoded = pa.array(map(codec.decode, encoded), pa.string(), len(encoded))
+            decoded = pa.array([codec.decode(ids) for ids in encoded], pa.string())
             offsets = np.concatenate(([0], np.cumsum([len(ids) for ids in encoded]))).astype(np.int32)
             values = np.concatenate([np.frombuffer(ids, np.int32) for ids in encoded])
             yield pa.RecordBatch.from_arrays(
