@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The white space of every contract: space, tab, line feed, vertical tab, form feed, return.
@@ -37,3 +37,26 @@ def text_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 4_000_000)
         rows = max(1, int(batch.num_rows * most_bytes / max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def rows_of(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str, digest_col: str | None = None) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``kept``, null ids included, one row for each id.
+
+    Where rows repeat an id, ``digest_col`` of ``kept`` (a SHA-256 of the text without white
+    space) tells which texts are meant, and of equal texts or without it the first in order
+    stays. Ids are looked at first: only if some repeat do texts take part in a window.
+    """
+    ids = docs.groupBy(F.col(id_col).alias("_kept_id")).agg(F.count("*").alias("_rows"))
+    if ids.where("_rows > 1").isEmpty():
+        wanted = kept.select(F.col(id_col).alias("_kept_id")).distinct()
+        return docs.join(wanted, docs[id_col].eqNullSafe(wanted["_kept_id"]), "left_semi")
+    text = F.coalesce(docs[text_col], F.lit(""))
+    same = docs[id_col].eqNullSafe(F.col("_kept_id"))
+    wanted, keys = kept.select(F.col(id_col).alias("_kept_id")).distinct(), [docs[id_col]]
+    if digest_col:
+        digest = F.sha2(without_white_space(text), 256)
+        wanted = kept.select(F.col(id_col).alias("_kept_id"), F.col(digest_col).alias("_kept_digest")).distinct()
+        same, keys = same & (digest == F.col("_kept_digest")), [docs[id_col], digest]
+    found = docs.join(wanted, same, "left_semi")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.length(text).desc(), text))
+    return found.withColumn("_place_of_id", place).where("_place_of_id = 1").drop("_place_of_id")

@@ -16,7 +16,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import keyed_text, without_white_space
+from tarn.llm.common import keyed_text, rows_of, without_white_space
 from tarn.session import cut_lineage
 
 #: Above every signed 64-bit id, so that length and id fit one decimal.
@@ -82,3 +82,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("_id").alias(id_col), keep.alias("keep_id"), F.col("_size").cast("bigint").alias("group_size"),
         F.col("_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256"),
     )
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
+    """The rows of ``docs`` that stay, in its own columns: one of each group of equal texts."""
+    groups = cut_lineage(exact_groups(docs, id_col, text_col, salts).where("kept"))
+    return rows_of(docs, groups, id_col, text_col, "text_sha256")

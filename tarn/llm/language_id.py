@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -167,3 +168,25 @@ def identify_languages(
     return texts.mapInArrow(run, f"_id {kind}, _lang string, _score double").select(
         F.col("_id").alias(id_col), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score")
     )
+
+
+def with_known_language(
+    docs: DataFrame, training: Column, text_col: str = "text", lang_col: str = "lang", top: int = 300
+) -> DataFrame:
+    """The rows of ``docs``, in its own columns, whose language can be told.
+
+    A text that is null or has no letter is rejected, and nothing else. If no profile could be
+    learned no language is known at all: then each text with a letter stays.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(learn_profiles(docs, training, text_col, lang_col, top))
+
+    @F.pandas_udf("boolean")
+    def known(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        profiles = Profiles(sent.value, top)
+        for batch in texts:
+            if profiles.langs:
+                yield pd.Series([profiles.identify(text)[0] != "und" for text in batch], dtype=bool)
+            else:
+                yield pd.Series([bool(text) and len(ngrams(text)[0]) > 0 for text in batch], dtype=bool)
+
+    return docs.where(known(F.col(text_col)))

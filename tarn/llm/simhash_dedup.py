@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.graph.entities import star_rounds
-from tarn.llm.common import keyed_text, text_batches
+from tarn.llm.common import keyed_text, rows_of, text_batches
 from tarn.session import cut_lineage
 
 #: Groups up to this many fingerprints are compared pair by pair, larger ones by flipping bits.
@@ -173,3 +173,10 @@ def near_groups(
         F.col("_component").alias("component_id"),
     )
 
+
+
+def near_distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stay, in its own columns: of each group the document of its least id."""
+    groups = near_groups(docs, id_col, text_col, **options)
+    kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col)
+    return rows_of(docs, kept, id_col, text_col)
