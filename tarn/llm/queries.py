@@ -11,6 +11,7 @@ from tarn.llm.ctw import score_documents
 from tarn.llm.embedding_dedup import near_vectors
 from tarn.llm.exact_dedup import exact_groups
 from tarn.llm.language_id import identify_languages
+from tarn.llm.line_dedup import repeated_lines
 from tarn.llm.pii_bootstrap import KINDS, find_personal_data, span_text
 from tarn.llm.simhash_dedup import near_groups
 from tarn.llm.source_mix import mix_plan
@@ -34,6 +35,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query()
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents that repeat an earlier line."""
+    found = repeated_lines(documents(spark, sf_dir), threshold=0.8)
+    return found.select(
+        "doc_id", "n_lines", F.size("removed").cast("bigint").alias("n_removed"),
+        F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"),
+    )
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
