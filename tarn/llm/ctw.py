@@ -193,8 +193,8 @@ def nodes_above(rows: list[tuple[int, int, int, int, float]], top: int) -> dict[
 
 def _bucket() -> Column:
     """The split of the file that a row is read from; rows that come from no file, by a hash of all they hold."""
-    split = F.xxhash64(F.input_file_name(), F.input_file_block_start())
-    return F.when(F.input_file_name() != "", split).otherwise(F.pmod(F.xxhash64("_id", "_text"), F.lit(1024)))
+    split = F.hash(F.input_file_name(), F.input_file_block_start())
+    return F.when(F.input_file_name() != "", split).otherwise(F.pmod(F.hash("_id", "_text"), F.lit(1024)))
 
 
 def _training_counts(rows: DataFrame, depth: int) -> DataFrame:
@@ -213,12 +213,12 @@ def _training_counts(rows: DataFrame, depth: int) -> DataFrame:
             for at in range(0, len(key), 100_000):
                 k, n = key[at : at + 100_000], count[at : at + 100_000]
                 none = pa.nulls(len(k), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), bucket)), pa.array(k), none, pa.array(n)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), bucket, np.int32)), pa.array(k), none, pa.array(n)], names=names)
             found = sorted(words.pop(bucket).items())
             for at in range(0, len(found), 50_000):
                 w, n = zip(*found[at : at + 50_000], strict=True)
                 none = pa.nulls(len(w), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), bucket)), none, pa.array(w, pa.binary()), pa.array(n, pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), bucket, np.int32)), none, pa.array(w, pa.binary()), pa.array(n, pa.int64())], names=names)
 
         names = ["_bucket", "_key", "_word", "_n"]
         for batch in text_batches(batches):
@@ -246,7 +246,7 @@ def _training_counts(rows: DataFrame, depth: int) -> DataFrame:
         for bucket in list(keys):
             yield from flush(bucket)
 
-    return rows.mapInArrow(run, "_bucket bigint, _key bigint, _word binary, _n bigint")
+    return rows.mapInArrow(run, "_bucket int, _key bigint, _word binary, _n bigint")
 
 
 def _subtree_batches(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -312,28 +312,31 @@ def score_documents(
     pairs = cut_lineage(of_pairs.groupBy("_key").agg(F.sum("_n").alias("_n")))
     everywhere = Window.partitionBy("_word")
     first = F.row_number().over(everywhere.orderBy("_bucket")) == 1
-    words = cut_lineage(
-        of_words.select("_bucket", "_word", F.sum("_n").over(everywhere).alias("_n"), first.alias("_first"))
+    no_key, no_log = F.lit(None).cast("bigint"), F.lit(None).cast("float")
+    words = of_words.select(
+        "_bucket", no_key.alias("_key"), no_log.alias("_log"), "_word", F.sum("_n").over(everywhere).alias("_n"), first.alias("_first")
     )
-    known = words.where("_first AND _n > 0").agg(F.count("*").alias("v"), F.sum("_n").alias("n")).first()
-    tokens, distinct = known["n"] or 0, known["v"]
     scored = of_pairs.select("_bucket", "_key").join(pair_scores(pairs, depth), "_key")
-    lookup = scored.select("_bucket", "_key", F.lit(None).cast("binary").alias("_word"), F.col("_log").alias("_value"))
-    lookup = lookup.unionByName(
-        words.select("_bucket", F.lit(None).cast("bigint").alias("_key"), "_word", F.col("_n").cast("double").alias("_value"))
+    lookup = words.unionByName(
+        scored.select(
+            "_bucket", "_key", F.col("_log").cast("float").alias("_log"), F.lit(None).cast("binary").alias("_word"),
+            F.lit(None).cast("bigint").alias("_n"), F.lit(False).alias("_first"),
+        )
     )
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         """Scores of a bucket's texts from the pairs and words of the bucket."""
-        values = right.column("_value").to_numpy()
         is_pair = right.column("_key").is_valid().to_numpy(zero_copy_only=False)
         pair = right.column("_key").drop_null().to_numpy()
         order = np.argsort(pair)
-        pair, logs = pair[order], values[is_pair][order]
-        named = right.column("_word").drop_null().to_pylist()
-        counts = dict(zip(named, np.log10(values[~is_pair] + 1).tolist(), strict=True))
+        pair, logs = pair[order], right.column("_log").drop_null().to_numpy().astype(np.float64)[order]
+        total = right.column("_n").drop_null().to_numpy()
+        # A word is counted for the whole corpus in the first of its buckets.
+        own = total[right.column("_first").to_numpy()[~is_pair]]
+        learned = [int(own.sum()), int(np.count_nonzero(own))]
+        counts = dict(zip(right.column("_word").drop_null().to_pylist(), np.log10(total + 1.0).tolist(), strict=True))
         results = []
-        for batch in text_batches(left.select(["_id", "_text"]).to_batches()):
+        for batch in text_batches(left.select(["_id", "_text"]).to_batches(), 1_000_000):
             lines = [t.encode() for t in batch.column(1).to_pylist()]
             wanted, sizes = pairs_of(lines, depth)
             at = np.minimum(np.searchsorted(pair, wanted), max(0, len(pair) - 1))
@@ -345,17 +348,21 @@ def score_documents(
                 batch.column(0), pa.array([len(w) for w in by_word], pa.int64()),
                 pa.array([int(np.count_nonzero(w)) for w in by_word], pa.int64()),
                 pa.array([float(w.sum()) for w in by_word], pa.float64()), pa.array(sums), pa.array(sizes),
+                *(pa.array([x] + [0] * (len(lines) - 1), pa.int64()) for x in learned),
             ]
+            learned = [0, 0]
             results.append(pa.RecordBatch.from_arrays(columns, names=names))
         return pa.Table.from_batches(results, schema)
 
-    names = ["_id", "_tokens", "_known", "_base", "_score", "_bytes"]
+    names = ["_id", "_tokens", "_known", "_base", "_score", "_bytes", "_learned", "_distinct"]
     kind = docs.schema[id_col].dataType
-    schema = pa.schema(list(zip(names, [to_arrow_type(kind), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()], strict=True)))
-    found = (
+    schema = pa.schema(list(zip(names, [to_arrow_type(kind), pa.int64(), pa.int64(), pa.float64(), pa.float64(), *[pa.int64()] * 3], strict=True)))
+    found = cut_lineage(
         texts.select("_id", "_text", "_bucket").groupBy("_bucket").cogroup(lookup.groupBy("_bucket"))
-        .applyInArrow(score, f"_id {kind.simpleString()}, _tokens bigint, _known bigint, _base double, _score double, _bytes bigint")
+        .applyInArrow(score, f"_id {kind.simpleString()}, _tokens bigint, _known bigint, _base double, _score double, _bytes bigint, _learned bigint, _distinct bigint")
     )
+    known = found.agg(F.sum("_learned").alias("n"), F.sum("_distinct").alias("v")).first()
+    tokens, distinct = known["n"] or 0, known["v"] or 0
     return found.select(
         F.col("_id").alias(id_col), F.col("_tokens").alias("n_tokens"), F.col("_known").alias("n_known"),
         F.lit(tokens).cast("bigint").alias("train_tokens"),
