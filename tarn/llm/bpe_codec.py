@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import keyed_text, text_batches
+from tarn.llm.common import keyed_text, most_frequent, text_batches
+from tarn.session import cut_lineage
 
 #: Words whose ids a task remembers before it starts anew.
 REMEMBERED = 400_000
@@ -331,7 +332,7 @@ class Codec:
 
 
 def frequent_words(texts: DataFrame, vocabulary: bytes, most: int) -> list[str]:
-    """The ``most`` most frequent pre-tokens over all of ``_text``; each task counts its own first."""
+    """The most frequent pre-tokens, at most ``most``, over all of ``_text``; each task counts its own first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = Vocabulary(vocabulary).words, Counter()
@@ -351,8 +352,8 @@ def frequent_words(texts: DataFrame, vocabulary: bytes, most: int) -> list[str]:
         yield from counted()
 
     counts = texts.select("_text").mapInArrow(count, "_word string, _n bigint")
-    top = counts.groupBy("_word").agg(F.sum("_n").alias("_n")).orderBy(F.desc("_n"), "_word").limit(most)
-    return [r["_word"] for r in top.select("_word").collect()]
+    summed = cut_lineage(counts.groupBy("_word").agg(F.sum("_n").alias("_n")))
+    return [r["_word"] for r in most_frequent(summed, most)]
 
 
 def build_lexicon(texts: DataFrame, vocabulary: bytes, lexicon_words: int) -> bytes:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 #: The white space of every contract: space, tab, line feed, vertical tab, form feed, return.
@@ -39,6 +39,26 @@ def text_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 4_000_000)
             yield batch.slice(at, rows)
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[Row]:
+    """(``_word, _n``) of the words at least as frequent as a cut-off that at most ``most`` reach, rarest first.
+
+    ``counts`` is a written table of ``_word, _n``. The cut-off comes from a histogram of eight
+    steps per doubling, some 500 rows at any size, so no task sends the driver a list of its own.
+    """
+    step = F.floor(F.log2("_n") * 8)
+    histogram = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()
+    total, cut = 0, None
+    for row in sorted(histogram, reverse=True):
+        total += row["words"]
+        if total > most:
+            break
+        cut = row["step"]
+    if cut is None:
+        return []
+    rows = counts.where(step >= cut).select("_word", "_n").collect()
+    return sorted(rows, key=lambda r: (r["_n"], r["_word"]))
+
+
 def rows_of(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str, digest_col: str | None = None) -> DataFrame:
     """The rows of ``docs`` whose id is in ``kept``, null ids included, one row for each id.
 
