@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import keyed_text, text_batches
+from tarn.llm.common import keyed_text, most_frequent, text_batches
 from tarn.operators.windows import running_total
 from tarn.session import cut_lineage
 
@@ -35,7 +35,7 @@ REMEMBERED = 1_000_000
 
 
 def frequent_words(texts: DataFrame, most: int) -> list[bytes]:
-    """The ``most`` most frequent words over all of ``_text``, the most frequent last."""
+    """The most frequent words, at most ``most``, over all of ``_text``, the most frequent last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -57,8 +57,7 @@ def frequent_words(texts: DataFrame, most: int) -> list[bytes]:
         yield from counted()
 
     counts = texts.select("_text").mapInArrow(run, "_word binary, _n bigint").groupBy("_word").agg(F.sum("_n").alias("_n"))
-    rows = counts.orderBy(F.desc("_n"), "_word").limit(most).collect()
-    return [bytes(r["_word"]) for r in reversed(rows)]
+    return [bytes(r["_word"]) for r in most_frequent(cut_lineage(counts), most)]
 
 
 class Places:
