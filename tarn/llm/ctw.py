@@ -214,14 +214,16 @@ def _training_counts(rows: DataFrame, depth: int) -> DataFrame:
                 k, n = key[at : at + 100_000], count[at : at + 100_000]
                 none = pa.nulls(len(k), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), bucket, np.int32)), pa.array(k), none, pa.array(n)], names=names)
-            found = sorted(words.pop(bucket).items())
+            counts = words.pop(bucket)
+            found = list(counts)
             for at in range(0, len(found), 50_000):
-                w, n = zip(*found[at : at + 50_000], strict=True)
+                w = found[at : at + 50_000]
+                n = [counts[word] for word in w]
                 none = pa.nulls(len(w), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), bucket, np.int32)), none, pa.array(w, pa.binary()), pa.array(n, pa.int64())], names=names)
 
         names = ["_bucket", "_key", "_word", "_n"]
-        for batch in text_batches(batches):
+        for batch in text_batches(batches, 1_000_000):
             buckets, training = batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
             texts = [t.encode() for t in batch.column(1).to_pylist()]
             for bucket in np.unique(buckets).tolist():
@@ -245,6 +247,7 @@ def _training_counts(rows: DataFrame, depth: int) -> DataFrame:
                     yield from flush(bucket)
         for bucket in list(keys):
             yield from flush(bucket)
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, "_bucket int, _key bigint, _word binary, _n bigint")
 
@@ -352,6 +355,7 @@ def score_documents(
             ]
             learned = [0, 0]
             results.append(pa.RecordBatch.from_arrays(columns, names=names))
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(results, schema)
 
     names = ["_id", "_tokens", "_known", "_base", "_score", "_bytes", "_learned", "_distinct"]
