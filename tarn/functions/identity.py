@@ -31,7 +31,7 @@ def normalize_phone(col: Column | str) -> Column:
     """Digits without international prefix; NULL when nothing is left."""
     digits = F.regexp_replace(only_digits(col), "^00", "")
     local = F.when(
-        digits.startswith(COUNTRY_CODE) & (F.length(digits) > 11), F.substring(digits, 3, 20)
+        digits.startswith(COUNTRY_CODE) & (F.length(digits) > 11), F.regexp_replace(digits, f"^{COUNTRY_CODE}", "")
     ).otherwise(digits)
     return F.nullif(local, F.lit(""))
 

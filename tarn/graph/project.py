@@ -14,6 +14,7 @@ from tarn.graph.entities import node_id, with_entity_key
 from tarn.graph.ontology import EdgeMap, NodeMap, Ontology, OntologyHistory, TimelineMap, validate_ontology
 from tarn.lake.store import LakeStore
 from tarn.operators.merge import keep_latest, without_keys
+from tarn.session import cut_lineage
 
 NODE_COLUMNS = ["entity_id", "label", "entity_key", "props", "updated_at"]
 EDGE_KEY = ["type", "src", "dst"]
@@ -82,7 +83,8 @@ def key_index(node: NodeMap, keyed: DataFrame) -> DataFrame:
         F.col(node.id_field).cast("string").alias("_key"),
         node_id(node.label, "entity_key").alias("_entity"),
     )
-    return index.where("_key IS NOT NULL").dropDuplicates(["_key"])
+    # A key that several origins share has the least of their entities, on every run.
+    return index.where("_key IS NOT NULL").groupBy("_key").agg(F.min("_entity").alias("_entity"))
 
 
 def _endpoint(
@@ -236,18 +238,50 @@ def _store(lake: LakeStore, graph: Graph, mode: str, suffix: str = "") -> Graph:
 def refresh_graph(lake: LakeStore, ontology: Ontology, since: dict[str, object], cursor: str = "updated_at") -> Graph:
     """Maintain the stored graph from the rows changed after each source's mark.
 
-    Nodes resolved by several fields can join older entities, so such a map needs a
-    rebuild; single-field and key ids depend on the row alone.
+    All edges that start at a key of a changed row are made anew and replace the stored ones
+    of that start, so an edge whose end moved leaves nothing behind. Nodes and edges whose
+    key is in no row any more are removed; only keys are compared for that. Nodes resolved
+    by several fields can join older entities, so such a map needs a rebuild; single-field
+    and key ids depend on the row alone.
     """
     if any(len(n.er_fields) > 1 for n in ontology.nodes):
         raise ValueError("multi-field resolution is rebuilt, not refreshed")
-    indexes = {n.label: key_index(n, keyed_rows(n, lake.read(n.source))) for n in _looked_up(ontology)}
-    changed = {s: lake.read(s, watermark=since.get(s), cursor=cursor) for s in _sources(ontology)}
-    graph = _project(ontology, changed, indexes, PARTS)
+    tables = {s: lake.read(s) for s in _sources(ontology)}
+    keyed = {n.label: keyed_rows(n, tables[n.source]) for n in ontology.nodes}
+    indexes = {n.label: key_index(n, keyed[n.label]) for n in _looked_up(ontology)}
+    changed = {s: lake.read(s, watermark=since.get(s), cursor=cursor) for s in tables}
+    edges, groups, starts = [], [], []
+    for edge in ontology.edges:
+        source, target = ontology.node(edge.from_label), ontology.node(edge.to_label)
+        key = F.col(edge.from_key)
+        touched = changed[edge.source].select(key.alias("_touched")).where("_touched IS NOT NULL").distinct()
+        rows = tables[edge.source].join(touched, key == F.col("_touched"), "left_semi")
+        edges.append(project_edges(edge, rows, source, target, indexes))
+        groups.append(_starts(edge, touched.select(F.col("_touched").alias(edge.from_key)), source, indexes))
+        starts.append(_starts(edge, tables[edge.source].select(edge.from_key), source, indexes))
+    stored = {p: lake.pin(("graph", p)) if lake.table_exists(("graph", p)) else None for p in PARTS}
+    if edges and stored["edges"] is not None:
+        kept = stored["edges"].select("type", "src").distinct()
+        gone = without_keys(kept, _union(starts), ["type", "src"])
+        lake.delete_where_in(("graph", "edges"), ["type", "src"], _union(groups).unionByName(gone))
+    if stored["nodes"] is not None:
+        present = [k.select(node_id(label, "entity_key").alias("entity_id")) for label, k in keyed.items()]
+        gone = cut_lineage(without_keys(stored["nodes"].select("entity_id"), _union(present), "entity_id"))
+        if not gone.isEmpty():
+            lake.delete_where_in(("graph", "nodes"), "entity_id", gone)
+    graph = _project(ontology, changed, indexes, ["events"])
+    graph.edges = _union(edges)
     graph.nodes = _union([project_nodes(n, keyed_rows(n, changed[n.source])) for n in ontology.nodes])
     return _store(lake, graph, "merge")
 
 
+def _starts(edge: EdgeMap, keys: DataFrame, source: NodeMap, indexes: dict[str, DataFrame]) -> DataFrame:
+    """``type, src`` of the edges that rows with these keys can start."""
+    rows = keys.where(F.col(edge.from_key).isNotNull()).distinct()
+    rows = _endpoint(rows, "src", source, edge.from_key, indexes.get(source.label))
+    return rows.select(F.lit(edge.type).alias("type"), "src")
+
+
 def ghost_entities(stored: DataFrame, projected: DataFrame) -> DataFrame:
     """Stored nodes the current ontology no longer produces."""
     return without_keys(stored, projected, "entity_id")

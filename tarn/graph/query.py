@@ -64,9 +64,12 @@ def degrees(graph: Graph) -> DataFrame:
 
 
 def edge_seeded_sample(graph: Graph, k: int) -> Graph:
-    """``k`` edges in hash order plus their end nodes: a sample that opens connected."""
+    """``k`` edges in hash order plus their end nodes: a sample that opens connected.
+
+    The sample is written, so its nodes and every later use read the same ``k`` rows.
+    """
     order = F.xxhash64("type", "src", "dst")
-    edges = graph.edges.orderBy(order, "type", "src", "dst").limit(k)
+    edges = cut_lineage(graph.edges.orderBy(order, "type", "src", "dst").limit(k))
     return Graph(_ends(graph, edges), edges)
 
 
@@ -91,14 +94,22 @@ def neighbors(graph: Graph, ids: DataFrame) -> Graph:
 def slice_graph(graph: Graph, label: str, n: int) -> Graph:
     """The first ``n`` nodes of a label in key order, with everything they link to."""
     seeds = graph.nodes.where(F.col("label") == label).orderBy("entity_key").limit(n)
-    return neighbors(graph, seeds.select("entity_id"))
+    return neighbors(graph, cut_lineage(seeds.select("entity_id")))
 
 
-def match_star(graph: Graph, center: str, roles: dict[str, str], properties: dict[str, str]) -> DataFrame:
+def match_star(
+    graph: Graph,
+    center: str,
+    roles: dict[str, str],
+    properties: dict[str, str],
+    labels: dict[str, str] | None = None,
+) -> DataFrame:
     """Fixed pattern: a center node with one edge of each type in ``roles``.
 
     ``roles`` maps edge types to output prefixes, ``properties`` maps a prefix (or the
     center label) to the property to return. An edge type links a center to one node.
+    ``labels`` gives the label an edge type ends in: then only those nodes are joined. Of
+    node properties only the wanted one is read out, before rows are shuffled.
     """
     def prop(name: str, column: str = "props"):
         return F.get_json_object(column, f"$.{name}")
@@ -108,16 +119,20 @@ def match_star(graph: Graph, center: str, roles: dict[str, str], properties: dic
         F.col("entity_key").alias("center_key"),
         *([prop(properties[center]).alias(properties[center])] if center in properties else []),
     )
-    ends = graph.nodes.select("entity_id", "entity_key", "props")
     for edge_type, name in roles.items():
+        ends = graph.nodes
+        if labels and edge_type in labels:
+            ends = ends.where(F.col("label") == labels[edge_type])
+        wanted = prop(properties[name]) if name in properties else F.lit(None).cast("string")
+        ends = ends.select("entity_id", F.col("entity_key").alias(f"{name}_key"), wanted.alias("_property"))
         hop = (
             graph.edges.where(F.col("type") == edge_type)
             .select(F.col("src").alias("_src"), F.col("dst").alias("_dst"))
             .join(ends, F.col("_dst") == F.col("entity_id"))
             .select(
                 "_src",
-                F.col("entity_key").alias(f"{name}_key"),
-                *([prop(properties[name]).alias(f"{name}_{properties[name]}")] if name in properties else []),
+                f"{name}_key",
+                *([F.col("_property").alias(f"{name}_{properties[name]}")] if name in properties else []),
             )
         )
         result = result.join(hop, F.col("_center") == F.col("_src")).drop("_src")

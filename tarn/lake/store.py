@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from tarn.functions.scalars import beyond
 from tarn.lake.files import SharedFiles
+from tarn.lake.sqltext import parsed_query
 from tarn.operators.merge import common_schema, conform, keep_latest, require_columns, upsert_delta, widest
 
 # The layers of the lake, plus one for the state of its own jobs.
@@ -33,8 +34,8 @@ LAYERS = ("raw", "enrichment", "clean", "graph", "state")
 FEDERATED = "fed"
 COMMIT = "commit_id"
 MAX_RETRIES = 8
-# Fewer delta rows than this are never worth a rewrite of the base.
-FOLD_ROWS = 100_000
+# Hidden columns: tombstones, and the sequence of a row that a change feed brought.
+DELETED, SEQUENCE = "_deleted", "_seq"
 
 Source = str | tuple[str, str]
 
@@ -66,11 +67,25 @@ class Mark:
             return float(self.text)
         return Decimal(self.text) if self.type.startswith("decimal") else self.text
 
-    def further(self, other: Mark | None) -> Mark:
-        """The higher of two marks; a column that changed its type starts over."""
-        if other is None or other.type != self.type:
+    @property
+    def _rank(self) -> tuple[str, object]:
+        """Kind and value to compare by: numbers with numbers, days with instants, else text."""
+        value = self.value
+        if isinstance(value, dt.datetime):
+            return "time", value
+        if isinstance(value, dt.date):
+            return "time", dt.datetime(value.year, value.month, value.day)
+        return ("text", value) if isinstance(value, str) else ("number", value)
+
+    def advanced(self, new: Mark | None) -> Mark:
+        """The higher of this mark and a newer one, also when the column's type has widened.
+
+        A column whose old and new values cannot be compared starts over with the new mark.
+        """
+        if new is None:
             return self
-        return self if self.value >= other.value else other
+        (kind, value), (new_kind, new_value) = self._rank, new._rank
+        return self if kind == new_kind and value > new_value else new
 
 
 @dataclass
@@ -303,7 +318,7 @@ class LakeStore:
                 return None
             if build is not None and current.version != base:
                 segment, base = build(current), current.version
-            version = self._next(current, mode, segment, batch, marks or {})
+            version = self._next(current, mode, segment, batch, dict(marks or {}))
             text = json.dumps(asdict(version))
             if self._files.create_exclusive(f"{base_path}/v{version.version}.json", text):
                 return version
@@ -335,7 +350,7 @@ class LakeStore:
         if batch:
             batches[batch[0]] = batch[1]
         if current is not None and mode != "overwrite":
-            kept = {c: m.further(marks.get(c)) for c, m in current.marks.items()}
+            kept = {c: m.advanced(marks.get(c)) for c, m in current.marks.items()}
             marks = {**marks, **kept}
         return Version(
             number,
@@ -358,15 +373,16 @@ class LakeStore:
                 return False
         return True
 
-    def delete_where_in(self, source: Source, column: str, keys: DataFrame) -> Version | None:
-        """Remove the rows whose ``column`` is in the key table; only the keys are stored."""
+    def delete_where_in(self, source: Source, column: str | Sequence[str], keys: DataFrame) -> Version | None:
+        """Remove the rows whose column (or columns) is in the key table; only the keys are stored."""
         layer, table = split_source(source)
         current = self._require(layer, table)
-        if column not in current.struct.names:
-            raise ValueError(f"{column} not in {layer}/{table}")
-        wanted = current.struct[column].dataType
-        staged = keys.select(F.col(column).cast(wanted).alias(column)).distinct()
-        segment, _ = self._stage(layer, table, staged, "delete", [column])
+        columns = [column] if isinstance(column, str) else list(column)
+        for c in columns:
+            if c not in current.struct.names:
+                raise ValueError(f"{c} not in {layer}/{table}")
+        staged = keys.select(*[F.col(c).cast(current.struct[c].dataType).alias(c) for c in columns]).distinct()
+        segment, _ = self._stage(layer, table, staged, "delete", columns)
         return self._commit(layer, table, "delete", segment)
 
     def upsert_columns(
@@ -378,10 +394,9 @@ class LakeStore:
         """
         layer, table = split_source(source)
         keys = [on] if isinstance(on, str) else list(on)
-        latest = keep_latest(df, keys)
 
         def build(base: Version) -> Segment:
-            rows = upsert_delta(self._read_version(layer, table, base), latest, keys, update)
+            rows = upsert_delta(self._read_version(layer, table, base), df, keys, update)
             return self._stage(layer, table, rows, "merge", keys)[0]
 
         self._require(layer, table)
@@ -400,36 +415,117 @@ class LakeStore:
     ) -> Version | None:
         """Change feed: the last change per key is merged, or removes its row.
 
-        Rows and tombstones go into one commit, so readers see all of a batch or none.
+        Rows and tombstones go into one commit, so readers see all of a batch or none. Each
+        keeps its sequence, and a change behind the one its key has already seen is left
+        out, so batches may arrive in any order. Only keys and sequences of the table are
+        read for that, and a clash with another writer looks again.
         """
         layer, table = split_source(source)
         pk = [pk] if isinstance(pk, str) else list(pk)
-        last = keep_latest(changes, pk, seq)
+        order = [seq] if isinstance(seq, str) else list(seq)
+        places = {c: f"{SEQUENCE}_{i}" for i, c in enumerate(order)}
+        last = keep_latest(changes, pk, seq).withColumns({name: F.col(c) for c, name in places.items()})
         current = self._load(layer, table)
         if current is not None:
-            order = [seq] if isinstance(seq, str) else list(seq)
             last = last.drop(*[c for c in order if c not in current.struct.names])
-        gone = F.col(op_col).eqNullSafe(delete_op)
-        staged = last.withColumn("_deleted", gone).drop(op_col)
-        return self.write(layer, table, staged, "merge", pk=pk, unique=False, batch=batch, track=track)
+        staged = last.withColumn(DELETED, F.col(op_col).eqNullSafe(delete_op)).drop(op_col)
+        if current is None:
+            return self.write(layer, table, staged, "merge", pk=pk, unique=False, batch=batch, track=track)
+        marks: dict[str, Mark] = {}
+
+        def build(base: Version) -> Segment:
+            fresh = self._not_behind(layer, table, base, staged, pk, list(places.values()))
+            segment, mark = self._stage(layer, table, fresh, "merge", pk, track=track)
+            if mark is not None:
+                marks[track] = mark
+            return segment
+
+        return self._commit(layer, table, "merge", None, batch, marks, build)
+
+    def _not_behind(
+        self, layer: str, table: str, base: Version, staged: DataFrame, pk: list[str], places: list[str]
+    ) -> DataFrame:
+        """Changes whose key has no row or tombstone of a later sequence in ``base``."""
+        if any(p not in base.struct.names for p in places):
+            return staged
+        known = self._read_version(layer, table, base, hidden=True).select(
+            *[F.col(c).alias(f"_key_{c}") for c in pk], F.struct(*places).alias("_known")
+        )
+        later = (F.col("_known") > F.struct(*places)) & F.col(f"_known.{places[0]}").isNotNull()
+        for c in pk:
+            later = later & F.col(c).eqNullSafe(F.col(f"_key_{c}"))
+        return staged.join(known, later, "left_anti")
 
     def compact(self, source: Source, sort_by: str | None = None) -> Version:
-        """Same rows in few, evenly sized files; deltas and deletes are folded in."""
+        """Same rows in few, evenly sized files; deltas and deletes are folded in.
+
+        Rows and tombstones of a change feed keep their sequences.
+        """
         layer, table = split_source(source)
 
         def build(base: Version) -> Segment:
-            rows = self._read_version(layer, table, base).hint("rebalance")
+            rows = self._read_version(layer, table, base, hidden=True).hint("rebalance")
             return self._stage(layer, table, rows, "compact", [], sort_by)[0]
 
         self._require(layer, table)
         return self._commit(layer, table, "compact", None, build=build)
 
     def needs_compaction(self, source: Source) -> bool:
-        """Many deltas, or deltas that have grown to ``fold_ratio`` of a sizeable base."""
+        """Whether the deltas have grown to ``fold_ratio`` of the base, or many await a fold."""
         segments = self._require(*split_source(source)).segments
         delta = sum(s.rows for s in segments[1:])
-        large = delta > FOLD_ROWS and delta > self.fold_ratio * segments[0].rows
-        return large or len(segments) > self.fold_segments
+        return delta > self.fold_ratio * segments[0].rows or len(self._young(segments)) > self.fold_segments
+
+    def fold(self, source: Source, sort_by: str | None = None) -> Version:
+        """The fold that is due: of the whole table once its deltas are a share of it, else of
+        the young deltas among themselves, so that many small commits never rewrite the base."""
+        layer, table = split_source(source)
+        segments = self._require(layer, table).segments
+        if sum(s.rows for s in segments[1:]) > self.fold_ratio * segments[0].rows:
+            return self.compact(source, sort_by)
+        return self._fold_young(layer, table, sort_by)
+
+    @staticmethod
+    def _young(segments: Sequence[Segment]) -> list[Segment]:
+        """The newest deltas of one kind and key; what an earlier fold made is as large as all
+        of them together and stays apart until they have caught up with it."""
+        young: list[Segment] = []
+        rows = 0
+        for segment in reversed(segments[1:]):
+            first = young[0] if young else segment
+            if (segment.kind, segment.keys) != (first.kind, first.keys):
+                break
+            if segment.rows > max(rows, 1) and len(young) > 1:
+                break
+            young.append(segment)
+            rows += segment.rows
+        return young[::-1]
+
+    def _fold_young(self, layer: str, table: str, sort_by: str | None) -> Version:
+        """One segment in place of the young ones; the rest of the version stays as it is."""
+        for attempt in range(MAX_RETRIES):
+            current = self._require(layer, table)
+            young = self._young(current.segments)
+            if len(young) < 2:
+                return current
+            alone = replace(current, segments=young)
+            if young[0].kind == "delete":
+                keys = T.StructType([current.struct[k] for k in young[0].keys])
+                rows = self._scan(layer, table, young, keys).drop(COMMIT).distinct()
+            else:
+                rows = self._read_version(layer, table, alone, hidden=True)
+            made, _ = self._stage(layer, table, rows.hint("rebalance"), young[0].kind, young[0].keys, sort_by)
+            made = replace(made, kind=young[0].kind)
+            kept = [s for s in current.segments if s not in young]
+            version = replace(
+                current, version=current.version + 1, operation="fold", committed_at=_now(), changed_rows=0,
+                segments=[*kept, made],
+            )
+            path = f"{self._table_path(layer, table)}/versions/v{version.version}.json"
+            if self._files.create_exclusive(path, json.dumps(asdict(version))):
+                return version
+            time.sleep(random.uniform(0.02, 0.1) * 2**attempt)
+        raise CommitConflict(f"{layer}/{table}")
 
     def vacuum(self, source: Source, keep: int = 1, older_than_seconds: int = 3600) -> list[str]:
         """Drop old versions and the files only they used; returns the dropped commits.
@@ -511,7 +607,10 @@ class LakeStore:
         with_commit = T.StructType([*schema.fields, T.StructField(COMMIT, T.StringType())])
         return self.spark.read.schema(with_commit).option("basePath", base).parquet(*paths)
 
-    def _read_version(self, layer: str, table: str, version: Version | None) -> DataFrame:
+    def _read_version(
+        self, layer: str, table: str, version: Version | None, hidden: bool = False
+    ) -> DataFrame:
+        """The rows of a version; ``hidden`` keeps tombstones and sequences."""
         if version is None:
             raise TableNotFound(f"{layer}/{table}")
         schema = version.struct
@@ -521,9 +620,9 @@ class LakeStore:
         rows = self._scan(layer, table, holders, schema)
         if hiders:
             rows = self._hide(layer, table, version, rows, hiders)
-        if "_deleted" in schema.names:
-            rows = rows.where("_deleted IS NULL OR NOT _deleted").drop("_deleted")
-        return rows.drop(COMMIT)
+        if DELETED in schema.names and not hidden:
+            rows = rows.where(f"{DELETED} IS NULL OR NOT {DELETED}").drop(DELETED)
+        return rows.drop(COMMIT, *[n for n in schema.names if n.startswith(SEQUENCE) and not hidden])
 
     def _hide(
         self,
@@ -576,7 +675,7 @@ class LakeStore:
         """Commit a mark without data; it may not move back."""
         layer, table = split_source(source)
         old = self._require(layer, table).marks.get(cursor)
-        if old is not None and mark.further(old) != mark:
+        if old is not None and old.advanced(mark) != mark:
             raise ValueError(f"{layer}/{table}: {cursor} mark {mark.text} is behind {old.text}")
         return self._commit(layer, table, "mark", None, marks={cursor: mark})
 
@@ -617,7 +716,7 @@ class LakeStore:
         if layer == FEDERATED:
             return self.read(source).schema
         fields = self._require(layer, table).struct.fields
-        return T.StructType([f for f in fields if f.name != "_deleted"])
+        return T.StructType([f for f in fields if f.name != DELETED and not f.name.startswith(f"{SEQUENCE}_")])
 
     def get_columns(self, source: Source) -> DataFrame:
         fields = self.schema_of(source)
@@ -684,19 +783,22 @@ class LakeStore:
 
     # --- SQL ------------------------------------------------------------------------
 
-    def register_views(self) -> list[str]:
-        """A temp view ``<layer>_<table>`` per table; federated ones are ``fed_<name>``."""
-        names = []
-        for layer in LAYERS:
-            for table in self.table_names(layer):
-                view = f"{layer}_{table}"
-                self.read((layer, table)).createOrReplaceTempView(view)
-                names.append(view)
-        return names + [f"{FEDERATED}_{n}" for n in self._federated]
+    def register_views(self, names: Sequence[str]) -> list[str]:
+        """A temp view ``<layer>_<table>`` for each of ``names`` that is a table of the lake;
+        federated ones (``fed_<name>``) are views already. Returns those found."""
+        found = []
+        for name in names:
+            layer, _, table = name.partition("_")
+            if layer == FEDERATED and table in self._federated:
+                found.append(name)
+            elif layer in LAYERS and table and self.table_exists((layer, table)):
+                self.read((layer, table)).createOrReplaceTempView(name)
+                found.append(name)
+        return found
 
     def sql(self, text: str) -> DataFrame:
-        """Any SQL over all layers."""
-        self.register_views()
+        """Any SQL over all layers; only the tables it names are opened."""
+        self.register_views([".".join(n) for n in parsed_query(self.spark, text).relations])
         return self.spark.sql(text)
 
     # --- moving tables --------------------------------------------------------------

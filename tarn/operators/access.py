@@ -10,14 +10,12 @@ from pyspark.sql import functions as F
 
 from tarn.functions.ids import uuid5
 from tarn.operators.merge import keep_latest, table_diff, without_keys
-from tarn.operators.windows import largest_group
 from tarn.session import cut_lineage
 
 # Identity of an object, a principal and a grant.
 OBJECT_KEY = ["source_system", "connection_id", "object_type", "object_id"]
 PRINCIPAL_KEY = ["source_system", "connection_id", "principal_type", "principal_id"]
 GRANT_KEY = ["source_object_id", "principal_id", "access_level", "effect"]
-ARRAY_LIMIT = 10_000
 
 
 def normalize_acl(grants: DataFrame) -> dict[str, DataFrame]:
@@ -139,51 +137,30 @@ def resolve_emails(acl: DataFrame, principals: DataFrame, members: DataFrame) ->
     )
 
 
-def _grant_lists(grants: DataFrame) -> DataFrame:
-    def names(kept):
-        return F.sort_array(F.collect_set(F.when(kept, F.col("_principal"))))
-
-    return grants.groupBy("_object").agg(
-        names(~F.col("_deny")).alias("acl_allow"),
-        names(F.col("_deny")).alias("acl_deny"),
-        F.lit(False).alias("acl_in_table"),
-    )
-
-
 def apply_acl(
-    df: DataFrame,
-    object_col: str,
-    acl: DataFrame,
-    principal: str = "principal_id",
-    array_limit: int = ARRAY_LIMIT,
+    df: DataFrame, object_col: str, acl: DataFrame, principal: str = "principal_id"
 ) -> DataFrame:
-    """Stamp ``acl_allow`` / ``acl_deny`` on rows. Principals stay as granted (groups are
-    not expanded), which keeps the arrays short.
+    """Stamp ``acl_allow`` / ``acl_deny`` on rows, whole for every object.
 
-    An object with more than ``array_limit`` grants keeps its list in the grant table
-    instead of one cell: its row says so in ``acl_in_table``, and ``visible_to`` then
-    decides it by a join.
+    Principals stay as granted: groups are not expanded, which keeps the arrays short.
+    Equal grants fall together in the map tasks. Where objects have more grants than one
+    cell should hold, filter by the grant table instead (``visible_by_grants``).
     """
-    grants = acl.select(
-        F.col("source_object_id").alias("_object"),
-        F.col(principal).alias("_principal"),
-        (F.col("effect") == "deny").alias("_deny"),
+
+    def names(kept):
+        return F.sort_array(F.collect_set(F.when(kept, F.col("_principal"))))
+
+    deny = F.col("effect") == "deny"
+    lists = (
+        acl.select(F.col("source_object_id").alias("_object"), F.col(principal).alias("_principal"), deny.alias("_deny"))
+        .groupBy("_object")
+        .agg(names(~F.col("_deny")).alias("acl_allow"), names(F.col("_deny")).alias("acl_deny"))
     )
-    if largest_group(grants, ["_object"]) <= array_limit:
-        # Equal grants fall together in the map tasks; one shuffle by object.
-        lists = _grant_lists(grants)
-    else:
-        grants = grants.distinct()
-        sizes = grants.groupBy("_object").agg(F.count("*").alias("_n"))
-        large = sizes.where(F.col("_n") > array_limit).select("_object", F.lit(True).alias("acl_in_table"))
-        short = _grant_lists(without_keys(grants, large, "_object"))
-        lists = short.unionByName(large, allowMissingColumns=True)
     empty = F.array().cast("array<string>")
     return (
         df.join(lists, F.col(object_col) == F.col("_object"), "left")
         .withColumn("acl_allow", F.coalesce("acl_allow", empty))
         .withColumn("acl_deny", F.coalesce("acl_deny", empty))
-        .withColumn("acl_in_table", F.coalesce("acl_in_table", F.lit(False)))
         .drop("_object")
     )
 
@@ -206,27 +183,13 @@ def visible_by_grants(
     return seen.join(denied, object_col, "left_anti")
 
 
-def visible_to(
-    stamped: DataFrame,
-    principals: Sequence[str],
-    object_col: str | None = None,
-    acl: DataFrame | None = None,
-    default: str = "private",
-) -> DataFrame:
-    """Filter stamped rows for one requester's principals; a deny wins.
-
-    Give ``object_col`` and ``acl`` when some objects keep their grants in the table.
-    """
+def visible_to(stamped: DataFrame, principals: Sequence[str], default: str = "private") -> DataFrame:
+    """Filter stamped rows for one requester's principals; a deny wins."""
     mine = F.array(*[F.lit(p) for p in principals])
     allowed = F.arrays_overlap("acl_allow", mine)
     if default == "public":
         allowed = allowed | ((F.size("acl_allow") == 0) & (F.size("acl_deny") == 0))
-    listed = stamped.where(~F.col("acl_in_table") & allowed & ~F.arrays_overlap("acl_deny", mine))
-    if acl is None:
-        return listed
-    requester = acl.where(F.col("principal_id").isin(list(principals))).select("principal_id").distinct()
-    large = visible_by_grants(stamped.where("acl_in_table"), object_col, acl, requester)
-    return listed.unionByName(large)
+    return stamped.where(allowed & ~F.arrays_overlap("acl_deny", mine))
 
 
 def acl_diff(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from tarn.functions.json_records import parse_record, struct_type, violations
 from tarn.operators.windows import running_total
+from tarn.session import cut_lineage
 
 # Characters per token of the usual estimate, and what separates words.
 CHARS_PER_TOKEN = 4
@@ -38,11 +39,13 @@ def cache_key(text: Column | str, schema: dict, version: str) -> Column:
     return F.sha2(F.concat_ws("|", text, F.lit(rubric)), 256)
 
 
-def _model_batches(model: Model, text: str, batch_size: int, retries: int):
+def _model_batches(model: Model, text: str, batch_size: int, retries: int, backoff_seconds: float):
     """Task function; it names nothing of this package, so it travels to executors whole."""
 
     def call(texts: list[str]) -> tuple[list[str | None], str | None, int]:
-        """Answers for one batch; a failing batch is retried, then reported as failed."""
+        """Answers for one batch; a failing batch is retried ever later, then reported as failed."""
+        import time
+
         for attempt in range(retries + 1):
             try:
                 answers = list(model(texts))
@@ -51,19 +54,23 @@ def _model_batches(model: Model, text: str, batch_size: int, retries: int):
                 return answers, None, attempt
             except Exception as error:
                 failure = f"{type(error).__name__}: {error}"
+                if attempt < retries:
+                    time.sleep(backoff_seconds * 2**attempt)
         return [None] * len(texts), failure, retries
 
+    def outcomes(texts: list[str]) -> list[tuple[str | None, str | None, int]]:
+        """One bad text must not sink its neighbours: a failing batch is tried again in halves."""
+        answers, failure, tries = call(texts)
+        if failure is None or len(texts) == 1:
+            return [(a, failure, tries) for a in answers]
+        half = len(texts) // 2
+        return outcomes(texts[:half]) + outcomes(texts[half:])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for start in range(0, len(pdf), batch_size):
                 part = pdf.iloc[start : start + batch_size]
-                answers, failure, tries = call(part[text].tolist())
-                if failure is None:
-                    outcome = [(a, None, tries) for a in answers]
-                else:
-                    # One bad text must not sink its neighbours.
-                    single = [call([t]) for t in part[text]]
-                    outcome = [(a[0], f, n) for a, f, n in single]
+                outcome = outcomes(part[text].tolist())
                 yield part.drop(columns=[text]).assign(
                     response=[o[0] for o in outcome],
                     failure=[o[1] for o in outcome],
@@ -82,6 +89,7 @@ def extract_records(
     batch_size: int = 64,
     num_partitions: int | None = None,
     max_retries: int = 2,
+    backoff_seconds: float = 0.5,
 ) -> DataFrame:
     """``key, profile, errors, response, tokens, retries`` per row.
 
@@ -101,7 +109,7 @@ def extract_records(
                 T.StructField("retries", T.IntegerType()),
             ]
         )
-        answered = rows.mapInPandas(_model_batches(extractor, text, batch_size, max_retries), shape)
+        answered = rows.mapInPandas(_model_batches(extractor, text, batch_size, max_retries, backoff_seconds), shape)
         parsed = answered.withColumn("_parsed", parse_record("response", schema))
         failed = F.col("failure").isNotNull()
         return parsed.select(
@@ -147,12 +155,16 @@ def enrich_table(
     extractor: Rules | Model,
     version: str = "1",
     run_id: str = "run",
+    model: str = "rules",
+    budget_tokens: int | None = None,
     **options,
 ) -> dict[str, int]:
     """raw -> enrichment: extract only what the cache lacks, keep errors apart.
 
     Order of effects: cached answers, then the enrichment table, dead letters, usage.
-    ``df`` is the whole raw table; rows whose text is cached cost a join and no call.
+    ``df`` is the whole raw table. Only keys whose text is new or changed, or whose answer has
+    just come, are parsed and merged; a run without any leaves the tables as they are. Past
+    ``budget_tokens`` no call is made: the texts held back are asked for in the next run.
     """
     cache_source = ("enrichment", f"{table}__cache")
     shape = "cache_key string, response string, errors array<string>, tokens bigint, retries int"
@@ -160,30 +172,68 @@ def enrich_table(
         cache = lake.read(cache_source).where(F.size("errors") == 0)
     else:
         cache = lake.spark.createDataFrame([], shape)
-    misses = cache_misses(df, cache, text, schema, version)
+    misses, held_back = cache_misses(df, cache, text, schema, version), 0
+    if budget_tokens is not None:
+        misses = cut_lineage(misses)
+        issued = cut_lineage(within_budget(misses, "cache_key", text, budget_tokens).select("cache_key", "issued"))
+        held_back = issued.where("NOT issued").count()
+        misses = misses.join(issued.where("issued").select("cache_key"), "cache_key", "left_semi")
     answers = extract_records(misses, "cache_key", text, schema, extractor, **options)
     landed = lake.write(
         *cache_source, answers.drop("profile"), "merge", pk="cache_key", skip_empty=True
     )
+    result = {"misses": landed.changed_rows if landed else 0, "held_back": held_back, "dead_letters": 0}
     if not lake.table_exists(cache_source):
-        return {"misses": 0, "dead_letters": 0}
-    cached = lake.read(cache_source).withColumn("_parsed", parse_record("response", schema))
+        return result
+    fresh = lake.read_delta_of(cache_source, landed) if landed else lake.read(cache_source).limit(0)
     keyed = df.select(key, cache_key(text, schema, version).alias("cache_key"))
-    answered = keyed.join(cached, "cache_key", "left").select(
-        key, F.col("_parsed.record").alias("profile"), "errors", "response"
+    _merge_answers(lake, table, key, keyed, fresh.select("cache_key"), schema, cache_source)
+    lake.write("state", f"{table}__usage", usage_of(fresh, run_id, model), "append", skip_empty=True)
+    errors = ("enrichment", f"{table}__errors")
+    result["dead_letters"] = lake.count(errors) if lake.table_exists(errors) else 0
+    return result
+
+
+def _merge_answers(
+    lake, table: str, key: str, keyed: DataFrame, fresh: DataFrame, schema: dict, cache_source: tuple[str, str]
+) -> None:
+    """Move the answers of changed keys into the enrichment table or its dead letters."""
+    state, target, errors = ("state", f"{table}__answers"), ("enrichment", table), ("enrichment", f"{table}__errors")
+    gone = None
+    if lake.table_exists(state):
+        known = lake.pin(state).select(F.col(key).alias("_key"), F.col("cache_key").alias("_cache_key"))
+        same = F.col(key).eqNullSafe(F.col("_key"))
+        moved = keyed.join(known, same & (F.col("cache_key") == F.col("_cache_key")), "left_anti")
+        renewed = keyed.join(fresh, "cache_key", "left_semi")
+        gone = known.join(keyed.select(key), same, "left_anti").select(F.col("_key").alias(key))
+        keyed = moved.unionByName(renewed).distinct()
+    cached = lake.read(cache_source).withColumn("_parsed", parse_record("response", schema))
+    answered = keyed.join(cached, "cache_key").select(
+        key, "cache_key", F.col("_parsed.record").alias("profile"), "errors", "response"
     )
-    # Good rows and dead letters both come from this one join.
-    staged = lake.write("state", f"{table}__answers", answered)
-    answered = lake.read(("state", f"{table}__answers"), snapshot=staged.version)
-    good, bad = split_dead_letters(answered)
-    lake.write("enrichment", table, good.select(key, "profile"))
-    dead = lake.write("enrichment", f"{table}__errors", bad.select(key, "errors", "response"))
-    used = usage_of(lake.read_delta_of(cache_source, landed) if landed else cached.limit(0), run_id)
-    lake.write("state", f"{table}__usage", used, "append")
-    return {
-        "misses": landed.changed_rows if landed else 0,
-        "dead_letters": dead.changed_rows,
-    }
+    staged = lake.write(*state, answered, "merge", pk=key, skip_empty=gone is not None)
+    if gone is not None:
+        gone = cut_lineage(gone)
+        if not gone.isEmpty():
+            for source in (state, target, errors):
+                lake.delete_where_in(source, key, gone)
+    if staged is None:
+        return
+    good, bad = split_dead_letters(lake.read_delta_of(state, staged))
+    for source, rows, others in ((target, good.select(key, "profile"), bad), (errors, bad.select(key, "errors", "response"), good)):
+        lake.write(*source, rows, "merge", pk=key, skip_empty=lake.table_exists(source))
+        if not others.isEmpty():
+            lake.delete_where_in(source, key, others.select(key))
+
+
+def is_enriched(lake, table: str, df: DataFrame, key: str, text: str, schema: dict, version: str = "1") -> bool:
+    """Whether every row of ``df`` has been answered or is a dead letter for its present text:
+    what a model that depends on the enrichment waits for."""
+    state = ("state", f"{table}__answers")
+    if not lake.table_exists(state):
+        return df.isEmpty()
+    keyed = df.select(key, cache_key(text, schema, version).alias("cache_key"))
+    return keyed.join(lake.read(state).select("cache_key"), "cache_key", "left_anti").isEmpty()
 
 
 def usage_of(answers: DataFrame, run_id: str, model: str = "rules") -> DataFrame:
@@ -250,12 +300,14 @@ def hashed_embedding(text: Column | str, dims: int = 16) -> Column:
     """Word counts folded into ``dims`` hash buckets: the default, model-free embedding."""
     text = F.col(text) if isinstance(text, str) else text
     words = F.filter(F.split(F.lower(text), WORD_BREAKS), lambda w: w != "")
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda d: F.size(
-            F.filter(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)) == d)
-        ).cast("float"),
-    )
+    buckets = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)))
+
+    def counts(found: Column) -> Column:
+        """Sizes before and after taking a bucket out; a null text has a null embedding."""
+        return F.array(*[(F.size(found) - F.size(F.array_remove(found, d))).cast("float") for d in range(dims)])
+
+    # The one-element transform names the array, so the text is split and hashed once.
+    return F.when(text.isNotNull(), F.element_at(F.transform(F.array(buckets), counts), 1))
 
 
 def embed_texts(df: DataFrame, key: str, text: str, model: Model, **options) -> DataFrame:

@@ -112,11 +112,12 @@ def upsert_columns(
 ) -> DataFrame:
     """MERGE with a column list: matched rows take only ``update``, new rows are inserted.
 
-    Keys are unique on both sides (``keep_latest`` the source first when they are not). A
-    source small enough to broadcast leaves the target where it is.
+    Of several source rows of one key the largest stays (``keep_latest``), so a target row
+    is never multiplied. A source small enough to broadcast leaves the target where it is.
     """
     on = _as_list(on)
     require_columns(source, [*on, *update], "merge column")
+    source = keep_latest(source, on)
     staged = _staged(source)
     joined = target.join(staged, _same_keys(target, staged, on), "left")
     fresh = conform(new_rows(target, source, on), target.schema)
@@ -129,6 +130,7 @@ def upsert_delta(
     """Only the rows ``upsert_columns`` changes or inserts, whole."""
     on = _as_list(on)
     require_columns(source, [*on, *update], "merge column")
+    source = keep_latest(source, on)
     staged = _staged(source)
     matched = target.join(staged, _same_keys(target, staged, on))
     fresh = conform(new_rows(target, source, on), target.schema)
@@ -266,8 +268,10 @@ def changed_by_content(
 ) -> DataFrame:
     """Rows of ``current`` that are new or differ: the delta of a table without a cursor."""
     pk = _as_list(pk)
-    moved = table_diff(current, previous, pk).where("diff <> 'only_right'").drop("diff")
-    return current.join(moved, pk, "left_semi")
+    moved = table_diff(current, previous, pk).where("diff <> 'only_right'")
+    marked = moved.select(*[F.col(c).alias(f"_key_{c}") for c in pk])
+    same = reduce(Column.__and__, [current[c].eqNullSafe(marked[f"_key_{c}"]) for c in pk])
+    return current.join(marked, same, "left_semi")
 
 
 def fabricate_delta(

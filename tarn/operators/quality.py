@@ -128,6 +128,8 @@ def flag(df: DataFrame, suite: Sequence[Check]) -> DataFrame:
     """
     marks: list[Column] = []
     columns = df.columns
+    if sum(not isinstance(c, RowCheck) for c in suite) > 1:
+        df = cut_lineage(df)  # read once more for each of these checks, so computed only once
     for i, check in enumerate(suite):
         if isinstance(check, RowCheck):
             bad = check.failed

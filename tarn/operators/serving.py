@@ -2,59 +2,70 @@
 
 from __future__ import annotations
 
-import re
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.operators.windows import running_total
+from tarn.lake.sqltext import ParsedQuery, parsed_query
 
-# Row cap of a served query, depth of a plain page, and functions that reach outside the lake.
+# Row cap of a served query, and functions that reach outside the lake.
 MAX_ROWS = 500
-TOP_ROWS = 10_000
 REFUSED_FUNCTIONS = ("reflect", "java_method", "try_reflect")
-FILES_FLAG = "spark.sql.runSQLOnFiles"
+REFUSED_NODES = ("org.apache.spark.sql.catalyst.plans.logical.Command", "org.apache.spark.sql.catalyst.plans.logical.ParsedStatement")
 
 
 class RefusedQuery(PermissionError):
     pass
 
 
-def _nodes(plan):
-    yield plan
-    for group in (plan.children(), plan.innerChildren()):
-        for i in range(group.size()):
-            child = group.apply(i)
-            if hasattr(child, "innerChildren"):
-                yield from _nodes(child)
+@dataclass(frozen=True)
+class Served:
+    """The rows of a query up to the cap; ``truncated`` asks whether there were more."""
 
+    rows: DataFrame
+    _beyond: DataFrame
 
-def check_read_only(spark, text: str) -> None:
-    """Refuse anything Spark parses as a command or a data change."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    @property
+    def truncated(self) -> bool:
+        return not self._beyond.isEmpty()
+
+
+def check_read_only(spark, text: str) -> ParsedQuery:
+    """Refuse anything Spark parses as a command or a data change, files, and foreign functions.
+
+    Functions must be built in; those that run code outside the plan are refused by name.
+    """
+    query = parsed_query(spark, text)
     forName = spark._jvm.java.lang.Class.forName
-    base = "org.apache.spark.sql.catalyst.plans.logical"
-    refused = [forName(f"{base}.{name}") for name in ("Command", "ParsedStatement")]
-    for node in _nodes(plan):
+    refused = [forName(name) for name in REFUSED_NODES]
+    for node in query.nodes:
         if any(kind.isInstance(node) for kind in refused):
             raise RefusedQuery(f"read-only SQL: {node.nodeName()} is not allowed")
-    for name in REFUSED_FUNCTIONS:
-        if re.search(rf"'{name}\(", plan.toString(), re.IGNORECASE):
-            raise RefusedQuery(f"read-only SQL: {name} is not allowed")
-
-
-def run_sql(lake, text: str, max_rows: int = MAX_ROWS) -> DataFrame:
-    """SELECT over the lake's views, at most ``max_rows`` rows; writes and files refused."""
-    spark = lake.spark
-    check_read_only(spark, text)
-    lake.register_views()
-    before = spark.conf.get(FILES_FLAG)
-    spark.conf.set(FILES_FLAG, "false")
-    try:
-        return spark.sql(text).limit(max_rows)
-    finally:
-        spark.conf.set(FILES_FLAG, before)
+    known = {r["function"].lower() for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect()} if query.functions else set()
+    for name in query.functions:
+        if name in REFUSED_FUNCTIONS or name not in known:
+            raise RefusedQuery(f"read-only SQL: the function {name} is not allowed")
+    for relation in query.relations:
+        if len(relation) > 1:
+            raise RefusedQuery(f"read-only SQL: {'.'.join(relation)} is no table of the lake")
+    return query
+
+
+def run_sql(lake, text: str, max_rows: int = MAX_ROWS) -> Served:
+    """SELECT over the lake's tables (``<layer>_<table>``), at most ``max_rows`` rows.
+
+    Only the tables that the text names are opened. Without ORDER BY it is open which rows
+    are served; ``truncated`` tells whether the cap cut any.
+    """
+    query = check_read_only(lake.spark, text)
+    names = [r[0] for r in query.relations if r[0].lower() not in query.defined]
+    missing = set(names) - set(lake.register_views(names))
+    if missing:
+        raise RefusedQuery(f"read-only SQL: {', '.join(sorted(missing))} is no table of the lake")
+    rows = lake.spark.sql(text)
+    return Served(rows.limit(max_rows), rows.offset(max_rows).limit(1))
 
 
 def matches_search(df: DataFrame, search: str):
@@ -83,10 +94,5 @@ def preview(
     if sort:
         order.append(F.col(sort).desc_nulls_last() if desc else F.col(sort).asc_nulls_last())
     order.append(F.col(pk).asc_nulls_last())
-    skip = (page - 1) * size
-    if skip + size <= TOP_ROWS:
-        return df.orderBy(*order).offset(skip).limit(size)
-    # A deep page would pull all rows before it to one place; positions are counted instead.
-    placed = running_total(df.withColumn("_one", F.lit(1)), "_one", order, (), "_place")
-    on_page = placed.where((F.col("_place") >= skip) & (F.col("_place") < skip + size))
-    return on_page.orderBy("_place").drop("_one", "_place")
+    # Spark keeps the first rows of each task only, as many as the page ends at.
+    return df.orderBy(*order).offset((page - 1) * size).limit(size)

@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.session import cut_lineage
 
-# A window task sorts its group with spill; beyond this many rows the group is split.
-GROUP_ROWS = 5_000_000
 
-
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Rows of the biggest group; counted in the map tasks, one number comes back."""
-    top = df.groupBy(*by).count().agg(F.max("count").alias("n")).first()
-    return top.n or 0
+def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on equal keys, NULL being equal to NULL; the right side's keys are dropped."""
+    renamed = right.select(
+        *[F.col(c).alias(f"_k_{c}") for c in keys], *[c for c in right.columns if c not in keys]
+    )
+    same = reduce(Column.__and__, [left[c].eqNullSafe(renamed[f"_k_{c}"]) for c in keys])
+    return left.join(renamed, same, how).drop(*[f"_k_{c}" for c in keys])
 
 
 def running_total(
@@ -31,7 +32,8 @@ def running_total(
 
     Rows are range-partitioned by (group, order), so a group of any size spreads over
     many tasks; each task sums its own slice, and the slice totals (one row per slice)
-    give the offsets. Integer and decimal values add up exactly.
+    give the offsets. A NULL group is a group like any other. Integer and decimal values
+    add up exactly.
     """
     by = list(by)
     spread = [*[F.col(c).asc() for c in by], *order]
@@ -53,36 +55,21 @@ def running_total(
     summed = sliced.withColumn("_local", F.sum(value).over(local))
     zero = F.lit(0)
     return (
-        summed.join(offsets, [*by, "_slice"])
+        _joined(summed, offsets, [*by, "_slice"], "inner")
         .withColumn(name, F.coalesce("_local", zero) + F.coalesce("_offset", zero))
         .drop("_slice", "_local", "_offset")
     )
 
 
-def rank_in_group(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    name: str = "rank",
-    group_rows: int = GROUP_ROWS,
-) -> DataFrame:
+def rank_in_group(df: DataFrame, by: Sequence[str], value: str, name: str = "rank") -> DataFrame:
     """SQL ``rank() OVER (PARTITION BY by ORDER BY value DESC)``, NULL values last.
 
-    Groups are measured first. While they fit a task, this is the plain window. Beyond
-    that, equal values collapse into one counted row (so ties cannot pile up), the
-    counts get a distributed running total, and the rank comes back by a join.
+    Equal values collapse into one counted row in the map tasks, the counts get a
+    distributed running total, and the rank comes back by a join: only group, value and
+    count travel, and no task holds a group, whatever its size.
     """
     by = list(by)
-    if largest_group(df, by) <= group_rows:
-        order = Window.partitionBy(*by).orderBy(F.col(value).desc_nulls_last())
-        return df.withColumn(name, F.rank().over(order).cast("bigint"))
     counted = df.groupBy(*by, value).agg(F.count("*").alias("_rows"))
     ahead = running_total(counted, "_rows", [F.col(value).desc_nulls_last()], by, "_ahead")
-    keys = [*by, value]
-    ranks = ahead.select(
-        *[F.col(c).alias(f"_k_{c}") for c in keys], (F.col("_ahead") + 1).cast("bigint").alias(name)
-    )
-    same = df[keys[0]].eqNullSafe(ranks[f"_k_{keys[0]}"])
-    for c in keys[1:]:
-        same = same & df[c].eqNullSafe(ranks[f"_k_{c}"])
-    return df.join(ranks, same, "left").select(*df.columns, name)
+    ranks = ahead.select(*by, value, (F.col("_ahead") + 1).cast("bigint").alias(name))
+    return _joined(df, ranks, [*by, value], "left").select(*df.columns, name)

@@ -145,7 +145,7 @@ def run_model(lake: LakeStore, model: Model, full_refresh: bool = False) -> str:
     if version is None:
         return "skipped"
     if lake.needs_compaction(model.target):
-        lake.compact(model.target, sort_by=model.cursor)
+        lake.fold(model.target, sort_by=model.cursor)
     return "merged"
 
 

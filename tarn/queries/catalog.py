@@ -141,7 +141,7 @@ def run_sql_group(spark: SparkSession, d: str) -> DataFrame:
     return run_sql(lake, """
         SELECT c_mktsegment, o_orderstatus, count(*) AS n_orders
         FROM clean_orders JOIN clean_customers ON o_custkey = c_custkey
-        GROUP BY c_mktsegment, o_orderstatus""")
+        GROUP BY c_mktsegment, o_orderstatus""").rows
 
 
 @query("""

@@ -291,11 +291,11 @@ def acl_inherited(spark: SparkSession, d: str) -> DataFrame:
     return inherited.select("source_object_id", "principal_id", "access_level", "effect", "grant_type")
 
 
-def stamped_orders(spark: SparkSession, d: str, **options) -> DataFrame:
+def stamped_orders(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select(
         F.concat(F.lit("o"), "o_orderkey").alias("object"), "o_orderstatus", "o_totalprice"
     )
-    return access.apply_acl(orders, "object", simple_acl(spark, d), **options)
+    return access.apply_acl(orders, "object", simple_acl(spark, d))
 
 
 @query("""
@@ -333,12 +333,29 @@ def acl_visible(spark: SparkSession, d: str) -> DataFrame:
 
 @query(VISIBLE)
 def acl_visible_stamped(spark: SparkSession, d: str) -> DataFrame:
-    """The same by the stamped arrays, where objects with two grants keep them in the table."""
+    """The same by the stamped arrays."""
     seven = table(spark, d, "customer").where("c_custkey = 7").first()
     principals = ["u7", f"n{seven.c_nationkey}"]
-    stamped = stamped_orders(spark, d, array_limit=1)
-    seen = access.visible_to(stamped, principals, "object", simple_acl(spark, d))
-    return seen.select("object", "o_orderstatus")
+    return access.visible_to(stamped_orders(spark, d), principals).select("object", "o_orderstatus")
+
+
+@query("""
+SELECT 'all' AS object, count(*) AS n_allowed, sum(CASE WHEN o_orderkey = 7 THEN 1 ELSE 0 END)::BIGINT AS seen_by_last FROM orders
+""")
+def acl_many_grants(spark: SparkSession, d: str) -> DataFrame:
+    """One object with a grant for every order: its list is whole, and each requester sees it."""
+    orders = table(spark, d, "orders")
+    acl = orders.select(
+        F.lit("all").alias("source_object_id"), F.concat(F.lit("p"), "o_orderkey").alias("principal_id"),
+        F.lit("read").alias("access_level"), F.lit("allow").alias("effect"),
+    )
+    stamped = access.apply_acl(spark.sql("SELECT 'all' AS object"), "object", acl)
+    seen = access.visible_to(stamped, ["p7"]).select(F.col("object").alias("_seen"))
+    return (
+        stamped.select("object", F.size("acl_allow").cast("bigint").alias("n_allowed"))
+        .join(seen, F.col("object") == F.col("_seen"), "left")
+        .select("object", "n_allowed", F.col("_seen").isNotNull().cast("bigint").alias("seen_by_last"))
+    )
 
 
 @query("""

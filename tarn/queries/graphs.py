@@ -201,6 +201,7 @@ def contract_pattern(spark: SparkSession, d: str) -> DataFrame:
         stored(spark, d), "Contract",
         {"FIRST_PARTY": "first", "SECOND_PARTY": "second", "ABOUT": "product"},
         {"Contract": "status", "first": "name", "second": "name", "product": "product_name"},
+        {"FIRST_PARTY": "User", "SECOND_PARTY": "User", "ABOUT": "Product"},
     )
 
 

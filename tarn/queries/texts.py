@@ -17,10 +17,10 @@ SCHEMA = {
     "properties": {
         "contact": {"type": "string"},
         "amount": {"type": "integer"},
-        "urgency": {"type": "string", "enum": ["low", "medium", "high"]},
+        "tone": {"type": "string", "enum": ["plain", "asking", "loud"]},
         "has_link": {"type": "boolean"},
     },
-    "required": ["amount", "urgency"],
+    "required": ["amount", "tone"],
 }
 KEYWORDS = {
     "en": ["the", "of", "and", "with"],
@@ -28,8 +28,8 @@ KEYWORDS = {
     "de": ["der", "die", "und", "das"],
     "es": ["el", "los", "y", "por"],
 }
-EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z]+"
-NUMBER = "[0-9]{1,9}"
+EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+"
+NUMBER = "[0-9]+"
 BUDGET = 100_000
 VERSION = "1"
 RUBRIC = f"{json.dumps(SCHEMA, sort_keys=True)}|{VERSION}"
@@ -40,8 +40,8 @@ def rules(text: str = "text") -> dict[str, Column]:
     col = F.col(text)
     return {
         "contact": F.nullif(F.regexp_extract(col, EMAIL, 0), F.lit("")),
-        "amount": F.nullif(F.regexp_extract(col, NUMBER, 0), F.lit("")).cast("bigint"),
-        "urgency": F.when(col.contains("!"), "high").when(col.contains("?"), "medium").otherwise("low"),
+        "amount": F.nullif(F.regexp_extract(col, NUMBER, 0), F.lit("")).try_cast("bigint"),
+        "tone": F.when(col.contains("!"), "loud").when(col.contains("?"), "asking").otherwise("plain"),
         "has_link": col.contains("http"),
     }
 
@@ -49,8 +49,8 @@ def rules(text: str = "text") -> dict[str, Column]:
 def _record_sql(table_name: str, key: str) -> str:
     return f"""
 SELECT {key}, nullif(regexp_extract(text, '{EMAIL}'), '') AS contact,
-       CAST(nullif(regexp_extract(text, '{NUMBER}'), '') AS BIGINT) AS amount,
-       CASE WHEN contains(text, '!') THEN 'high' WHEN contains(text, '?') THEN 'medium' ELSE 'low' END AS urgency,
+       TRY_CAST(nullif(regexp_extract(text, '{NUMBER}'), '') AS BIGINT) AS amount,
+       CASE WHEN contains(text, '!') THEN 'loud' WHEN contains(text, '?') THEN 'asking' ELSE 'plain' END AS tone,
        contains(text, 'http') AS has_link FROM {table_name}
 """
 
@@ -141,13 +141,13 @@ def enrich_cache_misses(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT run_id, calls, dead_letters FROM (
   SELECT 'first' AS run_id, count(DISTINCT text) AS calls FROM documents UNION ALL SELECT 'second', 0),
- (SELECT count(*) AS dead_letters FROM documents WHERE NOT regexp_matches(text, '[0-9]'))
+ (SELECT count(*) AS dead_letters FROM documents WHERE TRY_CAST(nullif(regexp_extract(text, '[0-9]+'), '') AS BIGINT) IS NULL)
 """)
 def enrich_rerun(spark: SparkSession, d: str) -> DataFrame:
     """Texts cost one call each; on a rerun only failed ones would."""
     lake = new_lake(spark)
     documents = table(spark, d, "documents")
-    schema = {**SCHEMA, "required": ["urgency"]}
+    schema = {**SCHEMA, "required": ["tone"]}
     outcomes = [
         (run, enrich.enrich_table(lake, "docs", documents, "doc_id", "text", schema, rules(), run_id=run))
         for run in ("first", "second")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Scratch paths of this process.
+_SCRATCH: list[str] = []
+
 
 def build_session(
     app: str = "tarn", master: str | None = None, shuffle_partitions: int | None = None
@@ -36,18 +42,35 @@ def build_session(
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests, a laptop) falls back to a local one.
+    Only a local session that names none (tests, a laptop) falls back to a folder of its
+    own; on a cluster a folder of one machine would lose rows, so that is an error. The
+    fallback is removed when the process ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor reaches")
         root = tempfile.mkdtemp(prefix="tarn-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_root(spark)}/tarn/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path under the shared folder, kept until ``drop_scratch``."""
+    path = f"{shared_root(spark)}/tarn/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete what this process wrote to the shared folder; call it when a run's results are stored."""
+    paths, _SCRATCH[:] = list(_SCRATCH), []
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(hadoop).delete(place, True)
+    return len(paths)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

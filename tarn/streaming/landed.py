@@ -48,7 +48,7 @@ def _run(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int],
 
 def _fold(lake: LakeStore, source: tuple[str, str], sort_by: str | None = None) -> None:
     if lake.table_exists(source) and lake.needs_compaction(source):
-        lake.compact(source, sort_by=sort_by)
+        lake.fold(source, sort_by=sort_by)
 
 
 def stream_sync(

@@ -104,7 +104,7 @@ class SyncState:
         )
         self.lake.write(*PARTITION_MARKS, moved, "merge", pk=PARTITION_KEY, skip_empty=True)
         if self.lake.needs_compaction(PARTITION_MARKS):
-            self.lake.compact(PARTITION_MARKS)
+            self.lake.fold(PARTITION_MARKS)
 
 
 class RunLog:

@@ -42,7 +42,7 @@ def sync_resource(
     try:
         result = _sync(lake, source, config, full_refresh)
     except Exception as error:
-        log.finish(run_id, config.connector, config.resource, "failed", 0, str(error)[:500])
+        log.finish(run_id, config.connector, config.resource, "failed", 0, str(error))
         raise
     log.finish(run_id, config.connector, config.resource, result.status, result.records)
     log.fold()
@@ -77,7 +77,7 @@ def _sync(lake: LakeStore, source: DataFrame, config: ResourceConfig, full: bool
     if version is None:
         return SyncResult("skipped", mode, 0, last)
     if lake.needs_compaction(target):
-        lake.compact(target, sort_by=config.cursor)
+        lake.fold(target, sort_by=config.cursor)
     mark = lake.mark(target, config.cursor) if config.cursor else None
     return SyncResult("completed", mode, version.changed_rows, mark, version)
 
@@ -115,7 +115,7 @@ def _sync_by_partition(lake: LakeStore, source: DataFrame, config: ResourceConfi
     )
     state.advance_partitions(config.connector, config.resource, top)
     if lake.needs_compaction(target):
-        lake.compact(target, sort_by=config.cursor)
+        lake.fold(target, sort_by=config.cursor)
     return SyncResult("completed", "merge", version.changed_rows, None, version)
 
 

@@ -67,6 +67,25 @@ def test_refresh_touches_only_the_delta(spark, filled):
     assert graph.nodes.where("props LIKE '%void%'").count() == 1
 
 
+def test_refresh_equals_a_rebuild_after_moves_and_deletes(spark, filled):
+    ontology = parse_ontology(MAP)
+    build_graph(filled, ontology)
+    contracts = filled.read("clean/contracts")
+    mark = contracts.agg(F.max("updated_at")).first()[0]
+    later = filled.read("clean/users").agg(F.max("updated_at")).first()[0]
+    other = contracts.where("contract_id = 4").first().product_id
+    moved = contracts.where("contract_id = 3").withColumns(
+        {"product_id": F.lit(other).cast(contracts.schema["product_id"].dataType), "updated_at": F.timestamp_add("DAY", F.lit(500), F.col("updated_at"))}
+    )
+    filled.write("clean", "contracts", moved, "merge", pk="contract_id")
+    filled.delete_where_in("clean/contracts", "contract_id", spark.sql("SELECT 5 AS contract_id"))
+    graph = refresh_graph(filled, ontology, {"clean/contracts": mark, "clean/users": later})
+    fresh = build_graph(filled, ontology, suffix="_again")
+    for part in ("nodes", "edges"):
+        assert {tuple(r) for r in getattr(graph, part).collect()} == {tuple(r) for r in getattr(fresh, part).collect()}
+    assert graph.edges.count() == 3 * (CONTRACTS - 1)
+
+
 def test_ontology_is_checked_versioned_and_rolled_back(spark, filled):
     history = OntologyHistory(filled)
     assert history.save(MAP) == 1

@@ -1,5 +1,6 @@
 """Versioned tables: modes, snapshots, drift, deletes, concurrency, maintenance."""
 
+import datetime as dt
 import threading
 
 import pytest
@@ -228,6 +229,55 @@ def test_column_merge_stores_only_the_delta(spark, lake):
     assert len(rows) == 101 and rows[5] == ("a", 9.0) and rows[200] == ("n", 3.0) and rows[6] == ("a", 1.0)
 
 
+def test_duplicate_source_keys_do_not_multiply_rows(spark, lake):
+    lake.write("raw", "t", spark.sql("SELECT 1 AS id, 0 AS a"))
+    lake.upsert_columns("raw/t", spark.sql("SELECT * FROM VALUES (1, 5), (1, 9) AS t(id, a)"), "id", ["a"])
+    assert [tuple(r) for r in lake.read("raw/t").collect()] == [(1, 9)]
+
+
+def test_marks_move_on_when_the_cursor_widens(spark, lake):
+    lake.write("raw", "t", spark.sql("SELECT 1 AS id, 5 AS c"), "merge", pk="id", track="c")
+    lake.write("raw", "t", spark.sql("SELECT 2 AS id, 50L AS c"), "merge", pk="id", track="c")
+    assert lake.mark("raw/t", "c") == 50
+    lake.write("raw", "t", spark.sql("SELECT 3 AS id, 7 AS c"), "merge", pk="id", track="c")
+    assert lake.mark("raw/t", "c") == 50
+    lake.write("raw", "d", spark.sql("SELECT 1 AS id, DATE '2026-01-02' AS c"), "merge", pk="id", track="c")
+    lake.write("raw", "d", spark.sql("SELECT 2 AS id, TIMESTAMP_NTZ '2026-01-03 04:00:00' AS c"), "merge", pk="id", track="c")
+    assert lake.mark("raw/d", "c") == dt.datetime(2026, 1, 3, 4)
+
+
+def test_late_changes_lose_also_after_a_fold(spark, lake):
+    def feed(*rows):
+        values = ", ".join(f"({i}, {v}, {s}, '{op}')" for i, v, s, op in rows)
+        lake.apply_changes("raw/t", spark.sql(f"SELECT * FROM VALUES {values} AS t(id, v, seq, op)"), "id", "seq", "op")
+
+    lake.write("raw", "t", spark.sql("SELECT * FROM VALUES (1, 0), (2, 0), (3, 0) AS t(id, v)"))
+    feed((1, 9, 9, "upsert"), (2, 0, 8, "delete"))
+    feed((1, 3, 3, "upsert"), (2, 5, 4, "upsert"), (3, 7, 1, "upsert"))
+    assert {tuple(r) for r in lake.read("raw/t").collect()} == {(1, 9), (3, 7)}
+    lake.compact("raw/t")
+    feed((1, 4, 4, "delete"), (2, 6, 6, "upsert"), (3, 8, 2, "upsert"))
+    assert {tuple(r) for r in lake.read("raw/t").collect()} == {(1, 9), (3, 8)}
+    feed((2, 1, 10, "upsert"))
+    assert {tuple(r) for r in lake.read("raw/t").collect()} == {(1, 9), (2, 1), (3, 8)}
+    assert lake.read("raw/t").columns == lake.schema_of("raw/t").names == ["id", "v"]
+
+
+def test_small_commits_fold_without_the_base(spark, lake):
+    lake.fold_segments = 3
+    lake.write("raw", "t", spark.range(1000).select("id", F.lit(0).alias("v")))
+    for i in range(8):
+        lake.write("raw", "t", spark.sql(f"SELECT {i}L AS id, {i + 1} AS v"), "merge", pk="id")
+        if lake.needs_compaction("raw/t"):
+            version = lake.fold("raw/t")
+            assert version.operation == "fold" and version.segments[0].rows == 1000
+    assert {r.id: r.v for r in lake.read("raw/t").where("v > 0").collect()} == {i: i + 1 for i in range(8)}
+    lake.delete_where_in("raw/t", "id", spark.sql("SELECT 0L AS id"))
+    lake.delete_where_in("raw/t", "id", spark.sql("SELECT 1L AS id"))
+    lake.fold("raw/t")
+    assert lake.count("raw/t") == 998
+
+
 def test_clashing_column_merges_see_each_other(spark, lake):
     lake.write("raw", "t", spark.sql("SELECT 1 AS id, 0 AS a, 0 AS b"))
 
