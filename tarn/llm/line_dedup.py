@@ -1,14 +1,15 @@
 """Line deduplication by an exact set-similarity join with prefix, positional and length filters.
 
 A line is the set of its words, in the order of their rarity over all texts. Two sets of a
-Jaccard similarity of ``threshold`` share a word among their rarest few (the prefix), have
-sizes within the threshold's ratio, and have enough words left behind a shared one (the
-position). Sets that pass these filters in some word's group are verified on their words.
-
-Equal sets are joined once for all. A group of any size is read as a sorted stream; each row
-names at most ``AT_ONCE`` earlier candidates of its group per round, so pairs are never written
-out in the square of a group. Sets without a match after a round come back for their next
-candidates until they have none, so nothing is lost.
+Jaccard similarity of ``threshold`` have sizes within the threshold's ratio, share two words
+among their rarest few (the prefix; one where one is all they need), and have enough words left
+behind the last shared one (the position). Pairs that pass these filters are verified on their
+words. Words that occur once in all texts fill a prefix but are in no group.
+
+Equal sets are joined once for all. A group of any size is read as a sorted stream; in groups
+above ``AT_ONCE`` rows each row names that many earlier candidates per round, so pairs are never
+written out in the square of a group. Sets without a match after a round come back for their
+next candidates until they have none, so nothing is lost.
 """
 
 from __future__ import annotations
@@ -28,26 +29,29 @@ from tarn.session import cut_lineage
 
 #: Earlier candidates that a row names in a round.
 AT_ONCE = 32
-#: Words whose counts are sent to the tasks; all others are rarer and ordered by hash.
+#: Words that are sent to the tasks in order; all others are rarer.
 FREQUENT = 65_536
+#: Of the rarer words, bits of a hash tell which counts they reach: 8 MB for each, at any size.
+LEVELS, BITS = (2, 4, 8), 26
+#: Shared words that a prefix must bring.
+SHARED = 2
 #: Words whose place a task remembers before it starts anew.
 REMEMBERED = 1_000_000
 
 
-def frequent_words(texts: DataFrame, most: int) -> list[bytes]:
-    """The most frequent words, at most ``most``, over all of ``_text``, the most frequent last."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """``_word, _n`` over all of ``_text``; each task counts its own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
 
         def counted() -> Iterator[pa.RecordBatch]:
-            found = list(counts.items())
+            words = list(counts)
+            for at in range(0, len(words), 50_000):
+                part = words[at : at + 50_000]
+                numbers = pa.array([counts[w] for w in part], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), numbers], names=["_word", "_n"])
             counts.clear()
-            for at in range(0, len(found), 50_000):
-                words, numbers = zip(*found[at : at + 50_000], strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(words, pa.binary()), pa.array(numbers, pa.int64())], names=["_word", "_n"]
-                )
 
         for batch in text_batches(batches):
             for text in batch.column(0).to_pylist():
@@ -56,23 +60,43 @@ def frequent_words(texts: DataFrame, most: int) -> list[bytes]:
                 yield from counted()
         yield from counted()
 
-    counts = texts.select("_text").mapInArrow(run, "_word binary, _n bigint").groupBy("_word").agg(F.sum("_n").alias("_n"))
-    return [bytes(r["_word"]) for r in most_frequent(cut_lineage(counts), most)]
+    counts = texts.select("_text").mapInArrow(run, "_word binary, _n bigint")
+    return cut_lineage(counts.groupBy("_word").agg(F.sum("_n").alias("_n")))
+
+
+def reached(counts: DataFrame, level: int) -> bytes:
+    """A bit for each hash of ``BITS`` bits: whether a word of that hash occurs ``level`` times or more."""
+    place = F.shiftrightunsigned(F.xxhash64("_word"), 64 - BITS) + 1
+    parts = (
+        counts.where(F.col("_n") >= level).select(place.alias("at"))
+        .groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    )
+    bits = bytearray(1 << BITS - 3)
+    for row in parts.collect():
+        start = (row["part"] - 1) * 4096
+        bits[start : start + 4096] = row["bits"]
+    return bytes(bits)
 
 
 class Places:
-    """A word's place in the order of rarity: hashes below 2**62 first, then the frequent words."""
+    """A word's place in the order of rarity: its level and hash, or its rank among the frequent."""
 
-    def __init__(self, frequent: list[bytes]):
-        self._frequent = {word: (1 << 62) + i for i, word in enumerate(frequent)}
+    def __init__(self, frequent: list[bytes], bits: list[bytes]):
+        self._frequent = {word: len(LEVELS) + 1 << 60 | i for i, word in enumerate(frequent)}
+        self._bits = [np.frombuffer(b, np.uint8) for b in bits]
         self._known = dict(self._frequent)
 
     def of(self, words: list[bytes]) -> np.ndarray:
         if len(self._known) > REMEMBERED:
             self._known = dict(self._frequent)
         known = self._known
-        for word in set(words).difference(known):
-            known[word] = xxhash.xxh3_64_intdigest(word) >> 2
+        fresh = list(set(words).difference(known))
+        if fresh:
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in fresh), np.uint64, len(fresh))
+            at = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+            level = sum((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(np.int64) for bits in self._bits)
+            places = level << 60 | (hashes >> np.uint64(4)).astype(np.int64)
+            known.update(zip(fresh, places.tolist(), strict=True))
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
@@ -83,8 +107,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(33)
 
 
-def line_sets(lines: list[bytes], places: Places, threshold: float) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """For each line the hash of its word set, the set's size, and the prefix folded to 32 bits."""
+def line_sets(lines: list[bytes], places: Places, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For each line the hash and size of its word set, how many words of its prefix occur only
+    there, and the others, folded to 32 bits."""
     words = [line.split() for line in lines]
     counts = np.fromiter(map(len, words), np.int64, len(words))
     place = places.of([w for line in words for w in line])
@@ -98,20 +123,22 @@ def line_sets(lines: list[bytes], places: Places, threshold: float) -> tuple[np.
     start = np.cumsum(size) - size
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(place), dtype=np.uint64)))
     hashes = _mixed((sums[start + size] - sums[start]) ^ size.astype(np.uint64) << np.uint64(40)).view(np.int64)
-    kept = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+    needed = np.ceil(threshold * size - 1e-9).astype(np.int64)
+    kept = size - needed + np.minimum(SHARED, needed)
+    alone = np.minimum(np.bincount(line, place >> 60 == 0, len(lines)).astype(np.int64), kept)
     folded = (place ^ place >> 31).astype(np.uint32).view(np.int32)
-    return hashes, size, [folded[s : s + k] if n else folded[:0] for s, k, n in zip(start, kept, size, strict=True)]
+    return hashes, size, alone, [folded[s + a : s + k] for s, a, k in zip(start, alone, kept, strict=True)]
 
 
-def _lines(texts: DataFrame, frequent: list[bytes], threshold: float) -> DataFrame:
-    """``_id, _text_hash, _line, _set, _size, _prefix`` of all lines; a blank line has size 0."""
-    sent = texts.sparkSession.sparkContext.broadcast(frequent)
+def _lines(texts: DataFrame, known: tuple[list[bytes], list[bytes]], threshold: float) -> DataFrame:
+    """``_id, _text_hash, _line, _set, _size, _alone, _prefix`` of all lines; a blank line has size 0."""
+    sent = texts.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = Places(sent.value)
+        places = Places(*sent.value)
         for batch in text_batches(batches, 2_000_000):
             lines = [t.encode().split(b"\n") for t in batch.column(1).to_pylist()]
-            hashes, size, prefixes = line_sets([x for part in lines for x in part], places, threshold)
+            hashes, size, alone, prefixes = line_sets([x for part in lines for x in part], places, threshold)
             counts = [len(part) for part in lines]
             rows = pa.array(np.repeat(np.arange(len(lines)), counts))
             number = np.concatenate([np.arange(c) for c in counts]).astype(np.int32)
@@ -119,28 +146,27 @@ def _lines(texts: DataFrame, frequent: list[bytes], threshold: float) -> DataFra
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(number), pa.array(hashes),
-                 pa.array(size.astype(np.int32)), prefix],
-                names=["_id", "_text_hash", "_line", "_set", "_size", "_prefix"],
+                 pa.array(size.astype(np.int32)), pa.array(alone.astype(np.int32)), prefix],
+                names=["_id", "_text_hash", "_line", "_set", "_size", "_alone", "_prefix"],
             )
 
     kind = texts.schema["_id"].dataType.simpleString()
     return texts.select("_id", "_text", "_text_hash").mapInArrow(
-        run, f"_id {kind}, _text_hash int, _line int, _set bigint, _size int, _prefix array<int>"
+        run, f"_id {kind}, _text_hash int, _line int, _set bigint, _size int, _alone int, _prefix array<int>"
     )
 
 
-def group_candidates(no: np.ndarray, size: np.ndarray, at: np.ndarray, threshold: float, skip: int):
-    """(row, earlier row) of one group sorted by ``no``: candidates ``skip`` to ``skip + AT_ONCE`` of each row.
+def _overlap(size: np.ndarray, other: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether two sizes are within the threshold's ratio."""
+    return np.minimum(size, other) >= threshold * np.maximum(size, other) - 1e-9
 
-    Also the rows that have more. The rows of a group share a word at their positions ``at``.
-    """
+
+def group_candidates(no: np.ndarray, size: np.ndarray, threshold: float, skip: int):
+    """(row, earlier row) of one group sorted by ``no``: candidates ``skip`` to ``skip + AT_ONCE`` of
+    each row, and the rows that have more."""
     rows, earlier, more = [], [], []
-    left = size - at
     for i in range(1, len(no)):
-        needed = threshold / (1 + threshold) * (size[:i] + size[i]) - 1e-9
-        able = (np.minimum(left[:i], left[i]) >= needed) & (no[:i] < no[i])
-        able &= (size[:i] >= threshold * size[i] - 1e-9) & (size[i] >= threshold * size[:i] - 1e-9)
-        found = np.flatnonzero(able)
+        found = np.flatnonzero(_overlap(size[:i], size[i], threshold) & (no[:i] < no[i]))
         part = found[skip : skip + AT_ONCE]
         rows.append(np.full(len(part), i))
         earlier.append(part)
@@ -150,45 +176,45 @@ def group_candidates(no: np.ndarray, size: np.ndarray, at: np.ndarray, threshold
 
 
 def candidates(postings: DataFrame, threshold: float, skip: int) -> DataFrame:
-    """``_q, _t, _word``: a set and an earlier candidate, or (no ``_t``) a word in which it has more."""
+    """Named pairs of sets, a row for each word they share in their prefixes.
+
+    ``_q, _t``: a set and an earlier one; ``_shared``: how many shared words the row stands for;
+    the places of the word in both and the sizes of both. In a large group a row stands for as
+    many words as are needed. Without ``_t``: a word (``_word``) in which the set has more.
+    """
     spread = postings.repartition("_word").sortWithinPartitions("_word", "_no")
+    names = ["_q", "_t", "_word", "_shared", "_at_q", "_at_t", "_size_q", "_size_t"]
 
-    def lagged(no: np.ndarray, size: np.ndarray, at: np.ndarray, within: np.ndarray):
-        """All candidates of rows in groups of at most ``AT_ONCE`` rows, one lag at a time."""
-        for lag in range(1, AT_ONCE):
-            i = np.flatnonzero(within >= lag)
-            if not len(i):
-                break
-            j = i - lag
-            needed = threshold / (1 + threshold) * (size[i] + size[j]) - 1e-9
-            able = (np.minimum(size[i] - at[i], size[j] - at[j]) >= needed) & (no[j] < no[i])
-            able &= (size[j] >= threshold * size[i] - 1e-9) & (size[i] >= threshold * size[j] - 1e-9)
-            yield i[able], j[able]
-
-    def portion(rows: list[np.ndarray]) -> pa.RecordBatch:
-        word, no, size, at = rows
+    def portion(word: np.ndarray, no: np.ndarray, size: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
         first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
         counts = np.diff(np.append(first, len(word)))
         within = np.arange(len(word)) - np.repeat(first, counts)
         small = np.repeat(counts <= AT_ONCE, counts)
-        q, t, w = [], [], []
-        if not skip:
-            keep = np.flatnonzero(small)
-            part = [x[keep] for x in (no, size, at, within)]
-            for i, j in lagged(*part):
-                q.append(part[0][i])
-                t.append(part[0][j])
-                w.append(np.zeros(len(i), np.int64))
+        found = [(np.empty(0, np.int64),) * 2]
+        for lag in range(1, AT_ONCE if not skip else 0):
+            i = np.flatnonzero(small & (within >= lag))
+            if not len(i):
+                break
+            able = _overlap(size[i], size[i - lag], threshold) & (no[i - lag] < no[i])
+            found.append((i[able], i[able] - lag))
+        exact = sum(len(f[0]) for f in found)
+        more = [np.empty(0, np.int64)]
         for s, n in zip(first[counts > AT_ONCE], counts[counts > AT_ONCE], strict=True):
-            i, j, more = group_candidates(no[s : s + n], size[s : s + n], at[s : s + n], threshold, skip)
-            q += [no[s : s + n][i], no[s : s + n][more]]
-            t += [no[s : s + n][j], np.full(len(more), -1)]
-            w += [np.zeros(len(i), np.int64), np.full(len(more), word[s])]
-        empty = np.empty(0, np.int64)
-        q, t, w = (np.concatenate([empty, *x]) for x in (q, t, w))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(q), pa.array(t, mask=t < 0), pa.array(w.astype(np.int32), mask=t >= 0)], names=["_q", "_t", "_word"]
-        )
+            i, j, left = group_candidates(no[s : s + n], size[s : s + n], threshold, skip)
+            found.append((i + s, j + s))
+            more.append(left + s)
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        more = np.concatenate(more)
+        shared = np.where(np.arange(len(i)) < exact, 1, SHARED)
+        none = np.full(len(more), -1)
+        columns = [
+            np.concatenate((no[i], no[more])), np.concatenate((no[j], none)), np.concatenate((np.full(len(i), 0), word[more])),
+            *(np.concatenate((x, none)) for x in (shared, at[i], at[j], size[i], size[j])),
+        ]
+        marker = np.arange(len(columns[0])) >= len(i)
+        arrays = [pa.array(columns[0]), pa.array(columns[1], mask=marker), pa.array(columns[2].astype(np.int32), mask=~marker)]
+        arrays += [pa.array(c.astype(np.int32)) for c in columns[3:]]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -197,12 +223,26 @@ def candidates(postings: DataFrame, threshold: float, skip: int) -> DataFrame:
             held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
             if len(held[0]) and held[0][-1] != held[0][0]:
                 cut = np.searchsorted(held[0], held[0][-1])
-                yield portion([x[:cut] for x in held])
+                yield portion(*(x[:cut] for x in held))
                 held = [x[cut:] for x in held]
         if held and len(held[0]):
-            yield portion(held)
+            yield portion(*held)
 
-    return spread.select("_word", "_no", "_size", "_at").mapInArrow(run, "_q bigint, _t bigint, _word int")
+    kinds = "_q bigint, _t bigint, _word int, _shared int, _at_q int, _at_t int, _size_q int, _size_t int"
+    return spread.select("_word", "_no", "_size", "_at").mapInArrow(run, kinds)
+
+
+def filtered_pairs(named: DataFrame, threshold: float) -> DataFrame:
+    """``_q, _t`` of the named pairs that share enough of their prefixes and have enough words behind."""
+    pairs = named.where("_t IS NOT NULL").groupBy("_q", "_t").agg(
+        F.sum("_shared").alias("shared"), F.max("_shared").alias("most"),
+        *[F.max(c).alias(c) for c in ("_at_q", "_at_t", "_size_q", "_size_t")],
+    )
+    needed = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("_size_q") + F.col("_size_t")) - F.lit(1e-9))
+    behind = F.least(F.col("_size_q") - F.col("_at_q"), F.col("_size_t") - F.col("_at_t")) - 1
+    # In a large group a pair stands for itself, and its other words may not be counted yet.
+    whole = F.col("most") == 1
+    return pairs.where((F.col("shared") >= F.least(F.lit(SHARED), needed)) & (~whole | (F.col("shared") + behind >= needed))).select("_q", "_t")
 
 
 def _words_of(needed: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
@@ -241,11 +281,12 @@ def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame
 
 def matched_sets(sets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """``_no`` of the sets that an earlier set is similar to."""
-    postings = sets.select("_no", "_size", F.posexplode("_prefix").alias("_at", "_word"))
+    postings = sets.select("_no", "_size", "_alone", F.posexplode("_prefix").alias("_at", "_word"))
+    postings = postings.withColumn("_at", F.col("_at") + F.col("_alone")).drop("_alone")
     matched, skip = None, 0
     while True:
-        named = cut_lineage(candidates(postings, threshold, skip).distinct())
-        pairs = named.where("_t IS NOT NULL")
+        named = cut_lineage(candidates(postings, threshold, skip))
+        pairs = cut_lineage(filtered_pairs(named, threshold))
         needed = pairs.select(F.col("_q").alias("_no")).unionByName(pairs.select(F.col("_t").alias("_no"))).distinct()
         words = cut_lineage(_words_of(needed, sets, texts))
         # The earliest candidate of each set first; the rest only for sets that it leaves open.
@@ -276,13 +317,18 @@ def repeated_lines(
     if not 0.5 <= threshold <= 1:
         raise ValueError("the threshold must be between 0.5 and 1")
     texts = keyed_text(docs, id_col, text_col).withColumn("_text_hash", F.hash("_text"))
-    lines = cut_lineage(_lines(texts, frequent_words(texts, frequent), threshold))
+    counts = word_counts(texts)
+    known = [bytes(r["_word"]) for r in most_frequent(counts, frequent)], [reached(counts, n) for n in LEVELS]
+    lines = cut_lineage(_lines(texts, known, threshold))
     place = F.struct("_id", "_line", "_text_hash")
-    firsts = lines.where("_size > 0").groupBy("_set").agg(F.min(F.struct(place.alias("_first"), "_size", "_prefix")).alias("_row"))
-    firsts = cut_lineage(firsts.select("_set", "_row.*"))
+    firsts = lines.where("_size > 0").groupBy("_set").agg(F.min(place).alias("_first"))
     order = [F.col("_first._id").asc_nulls_first(), F.col("_first._line"), F.col("_first._text_hash"), F.col("_set")]
-    numbers = running_total(firsts.select("_set", "_first", F.lit(1).alias("_one")), "_one", order, name="_no")
-    sets = cut_lineage(firsts.join(numbers.select("_set", "_no"), "_set"))
+    numbers = running_total(firsts.withColumn("_one", F.lit(1)), "_one", order, name="_no").select("_set", "_first", "_no")
+    sets = lines.join(numbers, "_set").where(place.eqNullSafe(F.col("_first")))
+    sets = sets.select("_no", "_set", "_first", "_size", "_alone", "_prefix")
+    if not texts.groupBy("_id").count().where("count > 1").isEmpty():
+        sets = sets.dropDuplicates(["_no"])  # a copied row has its first lines twice
+    sets = cut_lineage(sets)
     matched = matched_sets(sets, texts, threshold)
     known = sets.join(matched.withColumn("_matched", F.lit(True)), "_no", "left").select("_set", "_first", "_matched")
     same = F.struct("_id", "_line", "_text_hash").eqNullSafe(F.col("_first"))

@@ -59,10 +59,10 @@ def test_group_candidates_come_in_rounds():
     import numpy as np
 
     n = 100
-    size, at = np.full(n, 10), np.zeros(n, np.int64)
+    size = np.full(n, 10)
     named = set()
     for skip in (0, 32, 64, 96):
-        i, j, more = group_candidates(np.arange(n), size, at, 0.8, skip)
+        i, j, more = group_candidates(np.arange(n), size, 0.8, skip)
         named |= set(zip(i.tolist(), j.tolist(), strict=True))
         assert (len(more) == 0) == (skip == 96)
     assert named == {(i, j) for i in range(n) for j in range(i)}
