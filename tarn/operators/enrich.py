@@ -296,11 +296,13 @@ def classify(text: Column | str, keywords: Mapping[str, Sequence[str]], default:
     return F.when(best["hits"] > 0, best["label"]).otherwise(F.lit(default))
 
 
-def hashed_embedding(text: Column | str, dims: int = 16) -> Column:
+def hashed_embedding(
+    text: Column | str, dims: int = 16, hashing: Callable[[Column], Column] = F.xxhash64
+) -> Column:
     """Word counts folded into ``dims`` hash buckets: the default, model-free embedding."""
     text = F.col(text) if isinstance(text, str) else text
     words = F.filter(F.split(F.lower(text), WORD_BREAKS), lambda w: w != "")
-    buckets = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)))
+    buckets = F.transform(words, lambda w: F.pmod(hashing(w), F.lit(dims)))
 
     def counts(found: Column) -> Column:
         """Sizes before and after taking a bucket out; a null text has a null embedding."""

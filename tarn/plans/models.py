@@ -19,7 +19,10 @@ class Model:
     """``build`` gets one DataFrame per input, in order, and returns the table.
 
     An incremental model reads only the rows of its *first* input whose cursor is
-    beyond the target's; its other inputs are dimensions and come whole.
+    beyond the target's; its other inputs are dimensions and come whole. A dimension that
+    has a new version since the target was built makes the model read its first input
+    whole, so an enrichment that comes after its raw rows is not missed. ``ready`` is asked
+    before a run; while it says no (an enrichment that is not finished) the model waits.
     """
 
     name: str
@@ -30,6 +33,7 @@ class Model:
     unique_key: Sequence[str] = field(default_factory=tuple)
     cursor: str = "updated_at"
     input_cursor: str | None = None
+    ready: Callable[[LakeStore], bool] | None = None
 
     @property
     def target(self) -> tuple[str, str]:
@@ -118,7 +122,35 @@ def target_mark(lake: LakeStore, model: Model) -> object:
 
 
 def run_model(lake: LakeStore, model: Model, full_refresh: bool = False) -> str:
-    """``rebuilt``, ``merged`` or ``skipped``."""
+    """``rebuilt``, ``merged``, ``skipped`` or ``waiting``."""
+    if model.ready is not None and not model.ready(lake):
+        return "waiting"
+    seen = _dimension_versions(lake, model)
+    outcome = _run_model(lake, model, full_refresh)
+    if seen and outcome != "skipped":
+        lake.write("state", f"{model.name}__inputs", _as_rows(lake, seen), "overwrite")
+    return outcome
+
+
+def _dimension_versions(lake: LakeStore, model: Model) -> dict[str, int]:
+    """Present version of each input but the first; federated ones have none."""
+    own = [i for i in model.inputs[1:] if not i.startswith("fed/")]
+    return {i: lake.current_version(i) for i in own}
+
+
+def _as_rows(lake: LakeStore, versions: dict[str, int]) -> DataFrame:
+    return lake.spark.createDataFrame(list(versions.items()), "input string, version int")
+
+
+def _dimensions_moved(lake: LakeStore, model: Model) -> bool:
+    now = _dimension_versions(lake, model)
+    state = ("state", f"{model.name}__inputs")
+    if not now or not lake.table_exists(state):
+        return False
+    return {r["input"]: r["version"] for r in lake.read(state).collect()} != now
+
+
+def _run_model(lake: LakeStore, model: Model, full_refresh: bool) -> str:
     frames = [lake.read(i) for i in model.inputs]
     incremental = (
         model.materialized == "incremental" and not full_refresh and lake.table_exists(model.target)
@@ -133,10 +165,11 @@ def run_model(lake: LakeStore, model: Model, full_refresh: bool = False) -> str:
     cursor = model.input_cursor or model.cursor
     if cursor not in frames[0].columns:
         raise ValueError(f"{model.inputs[0]} has no cursor column {cursor}")
-    mark = target_mark(lake, model)
-    if _known_unchanged(lake, model, cursor, mark):
-        return "skipped"
-    frames[0] = frames[0].where(beyond(frames[0], cursor, mark))
+    if not _dimensions_moved(lake, model):
+        mark = target_mark(lake, model)
+        if _known_unchanged(lake, model, cursor, mark):
+            return "skipped"
+        frames[0] = frames[0].where(beyond(frames[0], cursor, mark))
     # The delta is written once; an empty one leaves no commit behind.
     version = lake.write(
         *model.target, model.build(*frames), "merge", pk=list(model.unique_key),
@@ -158,7 +191,9 @@ def _known_unchanged(lake: LakeStore, model: Model, cursor: str, mark: object) -
 
 
 def has_changes(lake: LakeStore, model: Model) -> bool:
-    """Whether the first input holds rows beyond the target's cursor."""
+    """Whether the first input holds rows beyond the target's cursor, or another input is newer."""
+    if _dimensions_moved(lake, model):
+        return True
     source = lake.read(model.inputs[0])
     cursor = model.input_cursor or model.cursor
     if not lake.table_exists(model.target) or cursor not in source.columns:

@@ -149,14 +149,15 @@ def gate_confusion(spark: SparkSession, d: str) -> DataFrame:
 SELECT count(*) FILTER (WHERE quality = 0 AND n_chars < 500) AS true_positive,
        count(*) FILTER (WHERE quality <> 0 AND n_chars < 500) AS false_positive,
        count(*) FILTER (WHERE quality = 0 AND n_chars >= 500) AS false_negative,
-       count(*) FILTER (WHERE quality <> 0 AND n_chars >= 500) AS true_negative
+       count(*) FILTER (WHERE quality <> 0 AND n_chars >= 500) AS true_negative,
+       count(*) FILTER (WHERE quality = 0 AND n_chars < 500) / nullif(count(*) FILTER (WHERE quality = 0), 0) AS recall,
+       count(*) FILTER (WHERE quality = 0 AND n_chars < 500) / nullif(count(*) FILTER (WHERE n_chars < 500), 0) AS precision
 FROM labels JOIN documents USING (doc_id)
 """)
 def gate_against_labels(spark: SparkSession, d: str) -> DataFrame:
     """A length check judged by human labels."""
     judged = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
-    counts = quality.confusion(judged, F.col("quality") == 0, F.col("n_chars") < 500)
-    return counts.drop("recall", "precision")
+    return quality.confusion(judged, F.col("quality") == 0, F.col("n_chars") < 500)
 
 
 # --- access -------------------------------------------------------------------------

@@ -186,6 +186,20 @@ def normalize_er_fields(spark: SparkSession, d: str) -> DataFrame:
     return raw.select("c_custkey", *[fn.normalize_field(c).alias(c) for c in ("email", "phone", "cnpj", "name")])
 
 
+@query("""
+SELECT c_custkey, repeat(c_custkey::VARCHAR, 12) AS long_phone, '119' || repeat(c_custkey::VARCHAR, 12) AS long_local FROM customer
+WHERE c_custkey::VARCHAR NOT LIKE '55%' AND c_custkey NOT IN (0, 5)
+""")
+def normalize_long_phones(spark: SparkSession, d: str) -> DataFrame:
+    """No digit of a long number is lost, so different numbers stay different."""
+    key = F.col("c_custkey").cast("string")
+    raw = table(spark, d, "customer").where(~key.startswith("55") & ~F.col("c_custkey").isin(0, 5)).select(
+        "c_custkey", F.repeat(key, F.lit(12)).alias("long_phone"),
+        F.concat(F.lit("+55 (11) 9"), F.repeat(key, F.lit(12))).alias("long_local"),
+    )
+    return raw.select("c_custkey", *[fn.normalize_phone(c).alias(c) for c in ("long_phone", "long_local")])
+
+
 @query(f"""
 SELECT o_orderkey, o_totalprice + 1 AS o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '{RECENT}'
 """)
@@ -323,15 +337,27 @@ def balance_rank(spark: SparkSession, d: str) -> DataFrame:
     return ranked.select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice", "price_rank")
 
 
+@query("""
+SELECT l_orderkey, l_linenumber, nullif(l_returnflag, 'N') AS flag, nullif(l_quantity, 10) AS quantity,
+       rank() OVER (PARTITION BY nullif(l_returnflag, 'N') ORDER BY nullif(l_quantity, 10) DESC NULLS LAST) AS quantity_rank
+FROM lineitem
+""")
+def rank_null_groups(spark: SparkSession, d: str) -> DataFrame:
+    """A group without a name and rows without a value are ranked like all others."""
+    lines = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.nullif("l_returnflag", F.lit("N")).alias("flag"),
+        F.nullif("l_quantity", F.lit(10)).alias("quantity"),
+    )
+    return rank_in_group(lines, ["flag"], "quantity", "quantity_rank")
+
+
 @query("""
 SELECT l_orderkey, l_linenumber, l_returnflag, l_extendedprice,
        rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC) AS price_rank FROM lineitem
 """)
 def balance_rank_hot_groups(spark: SparkSession, d: str) -> DataFrame:
-    """The same rank by the way taken when a group exceeds a task."""
-    ranked = rank_in_group(
-        table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", "price_rank", group_rows=0
-    )
+    """The same rank where one group holds all rows of a flag: no task holds a group."""
+    ranked = rank_in_group(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", "price_rank")
     return ranked.select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice", "price_rank")
 
 

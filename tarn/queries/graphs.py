@@ -205,8 +205,8 @@ def contract_pattern(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""
-SELECT 1000 AS n_edges, true AS ends_present, true AS connected
+@query(f"""
+SELECT least(1000, count(*)) AS n_edges, least(1000, count(*)) AS n_known, true AS ends_present, true AS connected FROM ({EDGE_KEYS})
 """)
 def edge_sample(spark: SparkSession, d: str) -> DataFrame:
     """An edge-seeded sample: both ends of every edge are in it, and no other node."""
@@ -214,9 +214,10 @@ def edge_sample(spark: SparkSession, d: str) -> DataFrame:
     sample = graph_query.edge_seeded_sample(graph, 1000)
     ends = sample.edges.select(F.col("src").alias("entity_id")).union(sample.edges.select("dst")).distinct()
     loose = sample.nodes.join(ends, "entity_id", "left_anti")
-    counts = row_counts_of(n_edges=sample.edges, n_nodes=sample.nodes, n_ends=ends, n_loose=loose)
+    known = sample.edges.join(graph.edges.select("type", "src", "dst"), ["type", "src", "dst"], "left_semi")
+    counts = row_counts_of(n_edges=sample.edges, n_known=known, n_nodes=sample.nodes, n_ends=ends, n_loose=loose)
     return counts.select(
-        "n_edges", (F.col("n_nodes") == F.col("n_ends")).alias("ends_present"),
+        "n_edges", "n_known", (F.col("n_nodes") == F.col("n_ends")).alias("ends_present"),
         (F.col("n_loose") == 0).alias("connected"),
     )
 
@@ -312,6 +313,37 @@ def graph_as_of(spark: SparkSession, d: str) -> DataFrame:
     return frames[0].unionByName(frames[1])
 
 
+@query(f"""
+SELECT 'edges' AS part, count(*) AS stored, count(*) AS same FROM ({EDGE_KEYS}) WHERE s NOT IN (SELECT 'Contract:' || o_orderkey FROM orders WHERE o_orderkey % 11 = 0)
+UNION ALL SELECT 'nodes', count(*), count(*) FROM ({NODES}) WHERE label <> 'Contract' OR entity_key NOT IN (SELECT o_orderkey::VARCHAR FROM orders WHERE o_orderkey % 11 = 0)
+""")
+def graph_refresh_equals_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    """Contracts that moved to another product, and deleted ones: refreshed as if built anew."""
+    lake = _clean_lake(spark, d)
+    ontology = parse_ontology(ONTOLOGY)
+    build_graph(lake, ontology)
+    contracts = lake.read("clean/contracts")
+    mark = contracts.agg(F.max("updated_at")).first()[0]
+    latest = lake.read("clean/users").agg(F.max("updated_at")).first()[0]
+    moved = contracts.where("external_id % 11 = 1 AND product_id IS NOT NULL").withColumns({
+        "product_id": (F.col("product_id") % 50 + 1).cast(contracts.schema["product_id"].dataType),
+        "updated_at": F.timestamp_add("DAY", F.lit(1), F.lit(mark).cast("timestamp_ntz")),
+    })
+    lake.write("clean", "contracts", moved, "merge", pk="external_id")
+    gone = contracts.where("external_id % 11 = 0").select("external_id")
+    lake.delete_where_in("clean/contracts", "external_id", gone)
+    graph = refresh_graph(lake, ontology, {"clean/contracts": mark, "clean/users": latest})
+    fresh = build_graph(lake, ontology, suffix="_fresh")
+    frames = []
+    for part in ("edges", "nodes"):
+        stored, anew = getattr(graph, part), getattr(fresh, part)
+        keys = [c for c in stored.columns if c != "updated_at"]
+        same = stored.select(*keys).join(anew.select(*keys), keys, "left_semi")
+        counts = row_counts_of(stored=stored, same=same)
+        frames.append(counts.select(F.lit(part).alias("part"), "stored", "same"))
+    return frames[0].unionByName(frames[1])
+
+
 @query(f"""
 SELECT label, status, count(*) AS n_nodes FROM (
   SELECT 'Contract' AS label, CASE WHEN o_orderdate >= TIMESTAMP '{RECENT}' THEN 'X' ELSE o_orderstatus END AS status FROM orders

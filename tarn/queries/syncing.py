@@ -45,6 +45,26 @@ FROM orders WHERE o_orderdate >= TIMESTAMP '{RECENT}'
 """
 
 
+@query("""
+SELECT max(o_orderkey) AS raw_mark, max(o_orderkey) AS clean_mark, count(*) AS raw_rows, count(*) AS clean_rows FROM orders
+""")
+def widened_cursor(spark: SparkSession, d: str) -> DataFrame:
+    """A cursor column that widens from 32 to 64 bits: its mark moves on and the model follows."""
+    lake = new_lake(spark)
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").alias("seen"), "o_orderstatus")
+    model = Model("orders", ["raw/orders"], lambda rows: rows, materialized="incremental", unique_key=["o_orderkey"], cursor="seen")
+    first = orders.where("o_orderkey % 2 = 0 AND o_orderkey < 1000").withColumn("seen", F.col("seen").cast("int"))
+    lake.write("raw", "orders", first, "merge", pk="o_orderkey", track="seen")
+    run_model(lake, model)
+    # The rows not yet there, all beyond the mark by a cursor of their own.
+    rest = orders.join(first.select("o_orderkey"), "o_orderkey", "left_anti")
+    lake.write("raw", "orders", rest.withColumn("seen", F.col("seen") + F.lit(2**40)), "merge", pk="o_orderkey", track="seen")
+    run_model(lake, model)
+    marks = [lake.mark(source, "seen") - 2**40 for source in ("raw/orders", "clean/orders")]
+    counts = row_counts_of(raw_rows=lake.read("raw/orders"), clean_rows=lake.read("clean/orders"))
+    return counts.select(F.lit(marks[0]).alias("raw_mark"), F.lit(marks[1]).alias("clean_mark"), "raw_rows", "clean_rows")
+
+
 @query(LATER_ORDERS)
 def sync_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Full load, delta by cursor, and a repeat that finds nothing."""

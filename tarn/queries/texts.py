@@ -117,14 +117,14 @@ def enrich_classify(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-SELECT doc_id, 8 AS dims, CAST(len(list_filter(regexp_split_to_array(lower(text), '[\s.,;:!?]+'), lambda x: x <> '')) AS DOUBLE) AS total
-FROM documents
+SELECT doc_id, array_to_string([len(list_filter(w, lambda x: (ascii(x) + 31 * length(x)) % 8 = b)) FOR b IN range(8)], ',') AS vector
+FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\s.,;:!?]+'), lambda x: x <> '') AS w FROM documents)
 """)
 def enrich_embedding(spark: SparkSession, d: str) -> DataFrame:
-    """Hashed embeddings; each word counts in exactly one dimension."""
-    vectors = table(spark, d, "documents").select("doc_id", enrich.hashed_embedding("text", 8).alias("v"))
-    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
-    return vectors.select("doc_id", F.size("v").alias("dims"), total.alias("total"))
+    """Embeddings whole, with a hash that SQL can express: first letter and length of a word."""
+    vector = enrich.hashed_embedding("text", 8, lambda w: F.ascii(w) + 31 * F.length(w))
+    counts = F.array_join(vector.cast("array<int>").cast("array<string>"), ",")
+    return table(spark, d, "documents").select("doc_id", counts.alias("vector"))
 
 
 @query(f"""

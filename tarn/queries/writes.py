@@ -173,6 +173,41 @@ def apply_changes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'even' WHEN o_orderkey % 3 = 0 THEN 'third' ELSE o_orderstatus END AS status
+FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 5 <> 0
+""")
+def changes_out_of_order(spark: SparkSession, d: str) -> DataFrame:
+    """A batch of sequence 3 comes after one of sequence 9, with a fold between: its changes and
+    deletes lose where the key has already seen the later one."""
+    lake = new_lake(spark)
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    lake.write("raw", "orders", orders)
+
+    def batch(of: Column, status: str, op: Column, seq: int) -> DataFrame:
+        return orders.where(of).select(
+            "o_orderkey", F.lit(status).alias("status"), F.lit(seq).alias("seq"), op.alias("op")
+        )
+
+    key = F.col("o_orderkey")
+    lake.apply_changes("raw/orders", batch(key % 2 == 0, "even", F.lit("upsert"), 9), "o_orderkey", "seq", "op")
+    lake.compact("raw/orders")
+    late = F.when(key % 5 == 0, "delete").otherwise("upsert")
+    lake.apply_changes("raw/orders", batch((key % 3 == 0) | (key % 5 == 0), "third", late, 3), "o_orderkey", "seq", "op")
+    return lake.read("raw/orders")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'two' ELSE o_orderstatus END AS status FROM orders
+""")
+def upsert_duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Two source rows for a key change one target row once."""
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    some = orders.where("o_orderkey % 7 = 0").select("o_orderkey")
+    source = some.withColumn("status", F.lit("one")).unionByName(some.withColumn("status", F.lit("two")))
+    return merge.upsert_columns(orders, source, "o_orderkey", ["status"])
+
+
 @query("""
 SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus AS status, CAST(NULL AS DOUBLE) AS amount
 FROM orders
