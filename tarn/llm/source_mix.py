@@ -138,9 +138,8 @@ def mix_plan(
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mix itself: each document as often as the plan takes it, in the columns of ``docs``.
 
-    A document taken twice is two rows. Ids are taken to be unique here; a repeated id would
-    receive the copies of each of its rows, so such rows are numbered apart by their plan: the
-    plan of an id is its largest number of copies.
+    A document taken twice is two rows. Rows that repeat an id are each taken as often as the
+    one that is taken most; documents that the plan leaves out have no row.
     """
     plan = mix_plan(docs, id_col, **options).groupBy(id_col).agg(F.max("copies").alias("_copies"))
     plan = plan.where("_copies > 0").select(F.col(id_col).alias("_plan_id"), "_copies")
