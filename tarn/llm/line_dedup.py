@@ -156,17 +156,21 @@ def _lines(texts: DataFrame, known: tuple[list[bytes], list[bytes]], threshold:
     )
 
 
-def _overlap(size: np.ndarray, other: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether two sizes are within the threshold's ratio."""
-    return np.minimum(size, other) >= threshold * np.maximum(size, other) - 1e-9
+def _able(size: np.ndarray, other: np.ndarray, at: np.ndarray, place: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Whether pairs that share a word at these places pass the length and position filters, and
+    how many words they must share. Before the word they share at most as many as the lower
+    place, behind it at most what the shorter rest holds."""
+    needed = np.ceil(threshold / (1 + threshold) * (size + other) - 1e-9)
+    most = np.minimum(at, place) + np.minimum(size - at, other - place)
+    return (np.minimum(size, other) >= threshold * np.maximum(size, other) - 1e-9) & (most >= needed), needed
 
 
-def group_candidates(no: np.ndarray, size: np.ndarray, threshold: float, skip: int):
+def group_candidates(no: np.ndarray, size: np.ndarray, at: np.ndarray, threshold: float, skip: int):
     """(row, earlier row) of one group sorted by ``no``: candidates ``skip`` to ``skip + AT_ONCE`` of
     each row, and the rows that have more."""
     rows, earlier, more = [], [], []
     for i in range(1, len(no)):
-        found = np.flatnonzero(_overlap(size[:i], size[i], threshold) & (no[:i] < no[i]))
+        found = np.flatnonzero(_able(size[:i], size[i], at[:i], at[i], threshold)[0] & (no[:i] < no[i]))
         part = found[skip : skip + AT_ONCE]
         rows.append(np.full(len(part), i))
         earlier.append(part)
@@ -178,43 +182,41 @@ def group_candidates(no: np.ndarray, size: np.ndarray, threshold: float, skip: i
 def candidates(postings: DataFrame, threshold: float, skip: int) -> DataFrame:
     """Named pairs of sets, a row for each word they share in their prefixes.
 
-    ``_q, _t``: a set and an earlier one; ``_shared``: how many shared words the row stands for;
-    the places of the word in both and the sizes of both. In a large group a row stands for as
-    many words as are needed. Without ``_t``: a word (``_word``) in which the set has more.
+    ``_q, _t``: a set and an earlier one; ``_shared``: how many shared words the row stands for.
+    In a large group, or where one word is all that a pair needs, a row stands for as many as
+    are asked for. Without ``_t``: a word (``_word``) in which the set has more.
     """
     spread = postings.repartition("_word").sortWithinPartitions("_word", "_no")
-    names = ["_q", "_t", "_word", "_shared", "_at_q", "_at_t", "_size_q", "_size_t"]
+    names = ["_q", "_t", "_word", "_shared"]
 
     def portion(word: np.ndarray, no: np.ndarray, size: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
         first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
         counts = np.diff(np.append(first, len(word)))
         within = np.arange(len(word)) - np.repeat(first, counts)
         small = np.repeat(counts <= AT_ONCE, counts)
-        found = [(np.empty(0, np.int64),) * 2]
+        found, shared = [(np.empty(0, np.int64),) * 2], [np.empty(0, np.int64)]
         for lag in range(1, AT_ONCE if not skip else 0):
             i = np.flatnonzero(small & (within >= lag))
             if not len(i):
                 break
-            able = _overlap(size[i], size[i - lag], threshold) & (no[i - lag] < no[i])
+            able, needed = _able(size[i], size[i - lag], at[i], at[i - lag], threshold)
+            able &= no[i - lag] < no[i]
             found.append((i[able], i[able] - lag))
-        exact = sum(len(f[0]) for f in found)
+            shared.append(np.where(needed[able] < SHARED, SHARED, 1))
         more = [np.empty(0, np.int64)]
         for s, n in zip(first[counts > AT_ONCE], counts[counts > AT_ONCE], strict=True):
-            i, j, left = group_candidates(no[s : s + n], size[s : s + n], threshold, skip)
+            i, j, left = group_candidates(no[s : s + n], size[s : s + n], at[s : s + n], threshold, skip)
             found.append((i + s, j + s))
+            shared.append(np.full(len(i), SHARED))
             more.append(left + s)
         i, j = (np.concatenate(x) for x in zip(*found, strict=True))
         more = np.concatenate(more)
-        shared = np.where(np.arange(len(i)) < exact, 1, SHARED)
-        none = np.full(len(more), -1)
-        columns = [
-            np.concatenate((no[i], no[more])), np.concatenate((no[j], none)), np.concatenate((np.full(len(i), 0), word[more])),
-            *(np.concatenate((x, none)) for x in (shared, at[i], at[j], size[i], size[j])),
-        ]
-        marker = np.arange(len(columns[0])) >= len(i)
-        arrays = [pa.array(columns[0]), pa.array(columns[1], mask=marker), pa.array(columns[2].astype(np.int32), mask=~marker)]
-        arrays += [pa.array(c.astype(np.int32)) for c in columns[3:]]
-        return pa.RecordBatch.from_arrays(arrays, names=names)
+        marker = np.arange(len(i) + len(more)) >= len(i)
+        columns = [(no[i], no[more]), (no[j], np.full(len(more), -1)), (np.zeros(len(i), np.int64), word[more]), (np.concatenate(shared), np.zeros(len(more), np.int64))]
+        q, t, w, n = (np.concatenate(c) for c in columns)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(q), pa.array(t, mask=marker), pa.array(w.astype(np.int32), mask=~marker), pa.array(n.astype(np.int32))], names=names
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -228,21 +230,14 @@ def candidates(postings: DataFrame, threshold: float, skip: int) -> DataFrame:
         if held and len(held[0]):
             yield portion(*held)
 
-    kinds = "_q bigint, _t bigint, _word int, _shared int, _at_q int, _at_t int, _size_q int, _size_t int"
+    kinds = "_q bigint, _t bigint, _word int, _shared int"
     return spread.select("_word", "_no", "_size", "_at").mapInArrow(run, kinds)
 
 
-def filtered_pairs(named: DataFrame, threshold: float) -> DataFrame:
-    """``_q, _t`` of the named pairs that share enough of their prefixes and have enough words behind."""
-    pairs = named.where("_t IS NOT NULL").groupBy("_q", "_t").agg(
-        F.sum("_shared").alias("shared"), F.max("_shared").alias("most"),
-        *[F.max(c).alias(c) for c in ("_at_q", "_at_t", "_size_q", "_size_t")],
-    )
-    needed = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("_size_q") + F.col("_size_t")) - F.lit(1e-9))
-    behind = F.least(F.col("_size_q") - F.col("_at_q"), F.col("_size_t") - F.col("_at_t")) - 1
-    # In a large group a pair stands for itself, and its other words may not be counted yet.
-    whole = F.col("most") == 1
-    return pairs.where((F.col("shared") >= F.least(F.lit(SHARED), needed)) & (~whole | (F.col("shared") + behind >= needed))).select("_q", "_t")
+def filtered_pairs(named: DataFrame) -> DataFrame:
+    """``_q, _t`` of the named pairs that share enough words of their prefixes."""
+    pairs = named.where("_t IS NOT NULL").groupBy("_q", "_t").agg(F.sum("_shared").alias("_shared"))
+    return pairs.where(F.col("_shared") >= SHARED).select("_q", "_t")
 
 
 def _words_of(needed: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
@@ -286,7 +281,7 @@ def matched_sets(sets: DataFrame, texts: DataFrame, threshold: float) -> DataFra
     matched, skip = None, 0
     while True:
         named = cut_lineage(candidates(postings, threshold, skip))
-        pairs = cut_lineage(filtered_pairs(named, threshold))
+        pairs = cut_lineage(filtered_pairs(named))
         needed = pairs.select(F.col("_q").alias("_no")).unionByName(pairs.select(F.col("_t").alias("_no"))).distinct()
         words = cut_lineage(_words_of(needed, sets, texts))
         # The earliest candidate of each set first; the rest only for sets that it leaves open.
