@@ -33,11 +33,11 @@ def staged_people(spark: SparkSession, d: str) -> DataFrame:
     for weights in CPF_WEIGHTS:
         customers = customers.withColumn("cpf", F.concat("cpf", F.array(check_digit(F.col("cpf"), weights))))
     segment = F.col("c_mktsegment")
-    mail = F.concat(F.lit("user"), "c_custkey", F.lit("@acme.com"))
+    mail = F.concat(F.lit("user"), "c_custkey", F.lit("@mail.test"))
     return customers.select(
         F.col("c_custkey").alias("id"),
         F.when(F.col("c_acctbal") < -900, F.lit(None))
-        .when(segment == "MACHINERY", F.lit("sales@acme.com"))
+        .when(segment == "MACHINERY", F.lit("sales@mail.test"))
         .when(F.col("c_nationkey") == 3, F.concat(F.lit("user"), "c_custkey"))
         .otherwise(mail).alias("email"),
         F.when(F.col("c_nationkey") == 7, F.lit("111.111.111-11")).otherwise(F.array_join("cpf", "")).alias("cpf"),
@@ -50,8 +50,8 @@ def staged_people(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_EMAIL = """CASE WHEN c_acctbal < -900 THEN NULL WHEN c_mktsegment = 'MACHINERY' THEN 'sales@acme.com'
-  WHEN c_nationkey = 3 THEN 'user' || c_custkey ELSE 'user' || c_custkey || '@acme.com' END"""
+_EMAIL = """CASE WHEN c_acctbal < -900 THEN NULL WHEN c_mktsegment = 'MACHINERY' THEN 'sales@mail.test'
+  WHEN c_nationkey = 3 THEN 'user' || c_custkey ELSE 'user' || c_custkey || '@mail.test' END"""
 FLAGGED = f"""
 SELECT id, concat_ws(',',
   CASE WHEN email IS NULL THEN 'not_null:email' END,
@@ -181,7 +181,7 @@ def grants(spark: SparkSession, d: str) -> DataFrame:
             F.col("o_orderdate").alias("extracted_at"),
         )
 
-    mail = F.concat(F.lit("User"), "c_custkey", F.lit("@ACME.com "))
+    mail = F.concat(F.lit("User"), "c_custkey", F.lit("@Mail.Test "))
     none = F.lit(None).cast("string")
     owner = rows("user", "c_custkey", mail, "owner", "allow", "direct", orders)
     nation = rows("group", "c_nationkey", none, "read", "allow", "group", orders.where("o_orderpriority = '1-URGENT'"))
@@ -196,7 +196,7 @@ _GROUP = "'shop|main|group|' || c_nationkey"
 
 @query(f"""
 SELECT 'object' AS part, {uuid5_sql(_OBJECT)} AS id, 'Order ' || o_orderkey AS name FROM orders
-UNION ALL SELECT DISTINCT 'principal', {uuid5_sql(_USER)}, 'user' || c_custkey || '@acme.com'
+UNION ALL SELECT DISTINCT 'principal', {uuid5_sql(_USER)}, 'user' || c_custkey || '@mail.test'
 FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)
 UNION ALL SELECT DISTINCT 'principal', {uuid5_sql(_GROUP)}, c_nationkey::VARCHAR
 FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderpriority = '1-URGENT'
@@ -323,9 +323,9 @@ def acl_visible(spark: SparkSession, d: str) -> DataFrame:
     """What one user sees, by the grant table; groups are found upwards, a deny wins."""
     people = table(spark, d, "customer").select(
         F.concat(F.lit("u"), "c_custkey").alias("id"),
-        F.concat(F.lit("user"), "c_custkey", F.lit("@acme.com")).alias("email"),
+        F.concat(F.lit("user"), "c_custkey", F.lit("@mail.test")).alias("email"),
     )
-    requester = access.principals_of(membership(spark, d), people, " USER7@acme.com")
+    requester = access.principals_of(membership(spark, d), people, " USER7@mail.test")
     orders = table(spark, d, "orders").select(
         F.concat(F.lit("o"), "o_orderkey").alias("object"), "o_orderstatus"
     )

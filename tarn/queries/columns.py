@@ -6,39 +6,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn import functions as fn
+from tarn.functions.scalars import HIGH_BALANCE, MID_BALANCE
 from tarn.operators.merge import changed_by_content, keep_latest, union_sources
 from tarn.operators.windows import rank_in_group, running_total
 from tarn.plans import clean
 from tarn.queries.inputs import CONTRACTS, RAW_CUSTOMERS, RECENT, contracts, products, raw_customers, users
 from tarn.queries.registry import query, table, uuid5_sql
 from tarn.queries.writes import LATEST_LINE, LINE_COLUMNS
+from tarn.sources.generate import PARTNER_COUNT, PARTNERS_SQL, gen_partners
 
 AS_OF = "2026-06-27"
 
 
 @query(f"""
 WITH c AS ({RAW_CUSTOMERS}),
-partners AS (
-  SELECT i + 1 AS partner_id, 'Partner ' || (i + 1) AS partner_name,
-         list_extract(['platinum', 'gold', 'silver', 'bronze'], CAST(1 + i % 4 AS INTEGER)) AS partner_tier,
-         CAST(0.01 + (i % 20) * 0.005 AS DECIMAL(10,3)) AS rate
-  FROM range(1000) t(i))
+partners AS ({PARTNERS_SQL})
 SELECT id AS external_id, lower(trim(email)) AS email, split_part(lower(trim(email)), '@', 2) AS email_domain,
        trim(name) AS name, nation_id, segment, balance, created_at AS created_at_utc,
        date_diff('day', created_at, TIMESTAMP '{AS_OF}') AS account_age_days,
-       CASE WHEN balance >= 1000 THEN 'high' WHEN balance >= 100 THEN 'mid' ELSE 'low' END AS balance_tier,
+       CASE WHEN balance >= {HIGH_BALANCE} THEN 'high' WHEN balance >= {MID_BALANCE} THEN 'mid' ELSE 'low' END AS balance_tier,
        partner_name, partner_tier, CAST(rate AS DOUBLE) AS commission_rate,
        CAST(round(CAST(balance AS DECIMAL(18,2)) * rate, 2) AS DOUBLE) AS commission_value,
        rank() OVER (PARTITION BY segment ORDER BY balance DESC) AS balance_rank_in_segment
-FROM c LEFT JOIN partners ON 1 + id % 1000 = partner_id WHERE id IS NOT NULL
+FROM c LEFT JOIN partners ON 1 + id % {PARTNER_COUNT} = partner_id WHERE id IS NOT NULL
 """)
 def clean_customers(spark: SparkSession, d: str) -> DataFrame:
     """The wide clean model."""
-    from tarn.sources.generate import gen_partners
-
     model = clean.clean_customers(
         raw_customers(spark, d), gen_partners(spark), AS_OF,
-        partner_of=F.pmod("id", F.lit(1000)) + 1, passthrough=["nation_id"],
+        partner_of=F.pmod("id", F.lit(PARTNER_COUNT)) + 1, passthrough=["nation_id"],
     )
     return model.withColumn("created_at_utc", F.col("created_at_utc").cast("timestamp_ntz"))
 
@@ -64,7 +60,7 @@ def email_domain(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey AS external_id, lower(trim('  User' || o_custkey || '@ACME.com ')) AS email,
+SELECT o_orderkey AS external_id, lower(trim('  User' || o_custkey || '@Mail.Test ')) AS email,
        TRY_CAST(CASE WHEN o_orderpriority = '5-LOW' THEN 'n/a' ELSE CAST(o_totalprice AS VARCHAR) END AS DOUBLE) AS amount,
        o_orderdate AS updated_at FROM orders
 """)
@@ -72,7 +68,7 @@ def typed_cast(spark: SparkSession, d: str) -> DataFrame:
     """Everything arrives as text; amounts that are not numbers become NULL."""
     text = table(spark, d, "orders").select(
         F.col("o_orderkey").cast("string").alias("id"),
-        F.concat(F.lit("  User"), "o_custkey", F.lit("@ACME.com ")).alias("email"),
+        F.concat(F.lit("  User"), "o_custkey", F.lit("@Mail.Test ")).alias("email"),
         F.when(F.col("o_orderpriority") == "5-LOW", "n/a")
         .otherwise(F.col("o_totalprice").cast("string")).alias("amount"),
         F.col("o_orderdate").cast("string").alias("updated_at"),
@@ -168,7 +164,7 @@ def synthetic_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey, 'user' || c_custkey || '@acme.com' AS email,
+SELECT c_custkey, 'user' || c_custkey || '@mail.test' AS email,
        '119' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS phone,
        lpad(CAST(c_custkey AS VARCHAR), 14, '0') AS cnpj,
        CASE WHEN c_acctbal >= 0 THEN trim(c_name) END AS name FROM customer
@@ -178,7 +174,7 @@ def normalize_er_fields(spark: SparkSession, d: str) -> DataFrame:
     phone = F.concat(F.lit("+55 (11) 9"), F.substring(key, 1, 4), F.lit("-"), F.substring(key, 5, 4))
     raw = table(spark, d, "customer").select(
         "c_custkey",
-        F.concat(F.lit("  User"), "c_custkey", F.lit("@ACME.com ")).alias("email"),
+        F.concat(F.lit("  User"), "c_custkey", F.lit("@Mail.Test ")).alias("email"),
         phone.alias("phone"),
         F.concat(F.col("c_custkey").cast("string"), F.lit("/-.")).alias("cnpj"),
         F.when(F.col("c_acctbal") >= 0, F.concat("c_name", F.lit(" "))).otherwise("  ").alias("name"),
@@ -408,15 +404,15 @@ def union_all(spark: SparkSession, d: str) -> DataFrame:
 
 UNIFIED = """
 SELECT 'postgres:' || c_custkey AS external_id, 'postgres' AS source,
-       'user' || c_custkey || '@acme.com' AS email, c_name AS name FROM customer
+       'user' || c_custkey || '@mail.test' AS email, c_name AS name FROM customer
 UNION ALL
-SELECT 'mongodb:' || s_suppkey, 'mongodb', 'user' || s_suppkey || '@acme.com', s_name FROM supplier
+SELECT 'mongodb:' || s_suppkey, 'mongodb', 'user' || s_suppkey || '@mail.test', s_name FROM supplier
 """
 
 
 def unified(spark: SparkSession, d: str) -> DataFrame:
     people = raw_customers(spark, d)
-    mail = F.concat(F.lit(" USER"), "s_suppkey", F.lit("@acme.com")).alias("mail")
+    mail = F.concat(F.lit(" USER"), "s_suppkey", F.lit("@mail.test")).alias("mail")
     firms = table(spark, d, "supplier").select("s_suppkey", mail, "s_name")
     return clean.unify_sources(
         {"postgres": people.withColumn("name", F.trim("name")), "mongodb": firms},

@@ -146,8 +146,8 @@ def orphan_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT entity_key, count(*) AS n_rows, true AS id_repeats FROM (
-  SELECT CASE WHEN c_acctbal < 0 THEN 'postgres:postgres:' || c_custkey ELSE 'user' || c_custkey || '@acme.com' END AS entity_key
-  FROM customer UNION ALL SELECT 'user' || s_suppkey || '@acme.com' FROM supplier) GROUP BY entity_key
+  SELECT CASE WHEN c_acctbal < 0 THEN 'postgres:postgres:' || c_custkey ELSE 'user' || c_custkey || '@mail.test' END AS entity_key
+  FROM customer UNION ALL SELECT 'user' || s_suppkey || '@mail.test' FROM supplier) GROUP BY entity_key
 """)
 def entity_resolution(spark: SparkSession, d: str) -> DataFrame:
     """Rows of two sources that share an e-mail are one entity; no e-mail, own entity."""
@@ -174,12 +174,12 @@ def entity_components(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("c_custkey")
     people = table(spark, d, "customer").select(
         F.concat(F.lit("c"), key).alias("id"),
-        F.concat(F.lit("User"), key, F.lit("@acme.com")).alias("email"), key.cast("string").alias("phone"),
+        F.concat(F.lit("User"), key, F.lit("@mail.test")).alias("email"), key.cast("string").alias("phone"),
     )
     firm = F.col("s_suppkey")
     firms = table(spark, d, "supplier").select(
         F.concat(F.lit("s"), firm).alias("id"),
-        F.concat(F.lit("user"), firm, F.lit("@acme.com")).alias("email"), (firm + 1).cast("string").alias("phone"),
+        F.concat(F.lit("user"), firm, F.lit("@mail.test")).alias("email"), (firm + 1).cast("string").alias("phone"),
     )
     resolved = resolve_entities(people.unionByName(firms), "Person", "id", ["email", "phone"])
     return (

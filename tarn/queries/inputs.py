@@ -17,7 +17,7 @@ def raw_customers(spark: SparkSession, d: str) -> DataFrame:
     start = F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")
     return table(spark, d, "customer").select(
         key.alias("id"),
-        F.concat(F.lit("  User"), key, F.lit("@ACME.com ")).alias("email"),
+        F.concat(F.lit("  User"), key, F.lit("@Mail.Test ")).alias("email"),
         F.concat(F.lit(" "), "c_name", F.lit(" ")).alias("name"),
         F.col("c_nationkey").alias("nation_id"),
         F.col("c_mktsegment").alias("segment"),
@@ -27,7 +27,7 @@ def raw_customers(spark: SparkSession, d: str) -> DataFrame:
 
 
 RAW_CUSTOMERS = """
-SELECT c_custkey AS id, '  User' || c_custkey || '@ACME.com ' AS email,
+SELECT c_custkey AS id, '  User' || c_custkey || '@Mail.Test ' AS email,
        ' ' || c_name || ' ' AS name, c_nationkey AS nation_id, c_mktsegment AS segment,
        c_acctbal AS balance,
        TIMESTAMP '2020-01-01' + to_days(CAST(c_custkey % 2000 AS INTEGER)) AS created_at

@@ -13,7 +13,7 @@ from tarn.queries.registry import new_lake, query, table
 from tarn.session import scratch_path
 from tarn.sources.federation import FolderRemote, federate
 from tarn.sources.files import flatten_pages, page_envelope, parse_fields, read_documents, read_parquet_dir
-from tarn.sources.generate import gen_partners
+from tarn.sources.generate import PARTNER_COUNT, PARTNERS_SQL, gen_partners
 from tarn.sources.jdbc import read_increment
 
 MARK = dt.datetime(2024, 1, 15)
@@ -181,21 +181,17 @@ def values_relation(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy("priority", "weight").agg(F.count("*").alias("n_orders"))
 
 
-@query("""
-WITH partners AS (
-  SELECT i + 1 AS partner_id, 'Partner ' || (i + 1) AS partner_name,
-         list_extract(['platinum', 'gold', 'silver', 'bronze'], CAST(1 + i % 4 AS INTEGER)) AS partner_tier,
-         CAST(CAST(0.01 + (i % 20) * 0.005 AS DECIMAL(10,3)) AS DOUBLE) AS commission_rate
-  FROM range(1000) t(i))
+@query(f"""
+WITH partners AS (SELECT * EXCLUDE (rate), CAST(rate AS DOUBLE) AS commission_rate FROM ({PARTNERS_SQL}))
 SELECT partner_id, partner_name, partner_tier, commission_rate, count(c_custkey) AS n_customers
-FROM partners LEFT JOIN customer ON partner_id = 1 + c_custkey % 1000
+FROM partners LEFT JOIN customer ON partner_id = 1 + c_custkey % {PARTNER_COUNT}
 GROUP BY partner_id, partner_name, partner_tier, commission_rate
 """, name="gen_partners")
 def customers_of_partners(spark: SparkSession, d: str) -> DataFrame:
     """The generated dimension with the customers assigned to each partner."""
     partners = gen_partners(spark)
     assigned = table(spark, d, "customer").groupBy(
-        (F.pmod("c_custkey", F.lit(1000)) + 1).alias("_partner")
+        (F.pmod("c_custkey", F.lit(PARTNER_COUNT)) + 1).alias("_partner")
     ).agg(F.count("*").alias("_n"))
     joined = partners.join(assigned, F.col("partner_id") == F.col("_partner"), "left")
     return joined.select(*partners.columns, F.coalesce("_n", F.lit(0)).alias("n_customers"))

@@ -337,7 +337,7 @@ def compact_same_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey AS id, sha256('pepper' || '  User' || c_custkey || '@ACME.com ') AS email,
+SELECT c_custkey AS id, sha256('pepper' || '  User' || c_custkey || '@Mail.Test ') AS email,
        c_mktsegment AS segment FROM customer
 """)
 def pii_protect(spark: SparkSession, d: str) -> DataFrame:

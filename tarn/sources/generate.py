@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed values of the partner dimension and of the synthetic customers.
+# The partner dimension, and the cycle and first day of the synthetic customers.
 PARTNER_COUNT = 1000
 PARTNER_TIERS = ("platinum", "gold", "silver", "bronze")
 BASE_RATE, RATE_STEP, RATE_CYCLE = "0.01", "0.005", 20
@@ -14,6 +14,14 @@ CURSOR_DAYS = 100
 FIRST_CURSOR = "2026-01-01 00:00:00"
 PRODUCT_COUNT = 500
 
+#: The partner dimension in SQL, from the same values.
+PARTNERS_SQL = f"""
+SELECT i + 1 AS partner_id, 'Partner ' || (i + 1) AS partner_name,
+       list_extract({list(PARTNER_TIERS)}, CAST(1 + i % {len(PARTNER_TIERS)} AS INTEGER)) AS partner_tier,
+       CAST({BASE_RATE} + (i % {RATE_CYCLE}) * {RATE_STEP} AS DECIMAL(10,3)) AS rate
+FROM range({PARTNER_COUNT}) t(i)
+"""
+
 
 def gen_partners(spark: SparkSession, n: int = PARTNER_COUNT) -> DataFrame:
     """Partner dimension; tiers cycle, rates rise in ``RATE_CYCLE`` steps."""
@@ -34,9 +42,9 @@ def gen_customers(spark: SparkSession, n: int) -> DataFrame:
     start = F.lit(FIRST_CURSOR).cast("timestamp_ntz")
     return spark.range(n).select(
         i,
-        F.concat(F.lit("  User"), i, F.lit("@ACME.com ")).alias("email"),
-        F.concat(F.lit("Customer "), i).alias("name"),
-        ((i % 1000) * 1.5).cast("double").alias("balance"),
+        F.concat(F.lit("  User"), i, F.lit("@Mail.Test ")).alias("email"),
+        F.concat(F.lit("Buyer "), i).alias("name"),
+        ((i % 997) * 2.25).cast("double").alias("balance"),
         F.concat(F.lit("Sg"), i % SEGMENT_COUNT).alias("segment"),
         F.timestamp_add("DAY", (i % CURSOR_DAYS).cast("int"), start).alias("updated_at"),
     )

@@ -201,7 +201,7 @@ def test_pattern_match(spark, filled):
     row = got.where("center_key = '42'").first()
     want = filled.read("clean/contracts").where("contract_id = 42").first()
     assert (row.first_key, row.second_key, row.item_key) == (str(want.first_party), str(want.second_party), str(want.product_id))
-    assert row.status == want.status and row.first_name == f"Customer {want.first_party}"
+    assert row.status == want.status and row.first_name == f"Buyer {want.first_party}"
     assert got.count() == CONTRACTS
 
 

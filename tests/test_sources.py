@@ -115,7 +115,7 @@ def test_generators(spark):
     assert gen_products(spark).count() == 500
     contracts = gen_contracts(spark, 1000, 50, 10)
     assert contracts.selectExpr("max(first_party) < 50 AND max(product_id) < 10 AS ok").first().ok
-    assert gen_customers(spark, 10).first().email == "  User0@ACME.com "
+    assert gen_customers(spark, 10).first().email == "  User0@Mail.Test "
 
 
 def test_wide_model_has_every_customer_with_a_partner(spark):
@@ -124,7 +124,7 @@ def test_wide_model_has_every_customer_with_a_partner(spark):
     assert model.count() == 3000 and model.where("partner_name IS NULL").isEmpty()
     top = model.where("segment = 'Sg9' AND balance_rank_in_segment = 1").first()
     assert top.balance == 1498.5 and top.balance_tier == "high" and top.account_age_days == 2
-    assert top.email_domain == "acme.com"
+    assert top.email_domain == "mail.test"
 
 
 def test_orders_fixture_grows_from_100_to_120(spark, lake):

@@ -147,6 +147,25 @@ def test_build_runs_in_order_and_selects_by_connector(spark, lake):
         registry.add(Model("d", ["raw/pg__t"], lambda t: t, materialized="incremental"))
 
 
+def test_models_follow_their_other_inputs_and_wait(spark, lake):
+    rows = spark.sql("SELECT * FROM VALUES (1, TIMESTAMP_NTZ '2026-01-01'), (2, TIMESTAMP_NTZ '2026-01-02') AS t(id, updated_at)")
+    tags = spark.sql("SELECT 1 AS id, 'old' AS tag")
+    lake.write("raw", "a", rows, "merge", pk="id", track="updated_at")
+    lake.write("enrichment", "b", tags)
+    done = []
+    model = Model(
+        "m", ["raw/a", "enrichment/b"], lambda a, b: a.join(b, "id", "left"), materialized="incremental",
+        unique_key=["id"], ready=lambda _: bool(done),
+    )
+    assert run_model(lake, model) == "waiting" and not lake.table_exists("clean/m")
+    done.append(True)
+    assert [run_model(lake, model) for _ in range(2)] == ["rebuilt", "skipped"] and not has_changes(lake, model)
+    lake.write("enrichment", "b", tags.withColumn("tag", F.lit("new")))
+    assert has_changes(lake, model) and run_model(lake, model) == "merged"
+    assert {r.id: r.tag for r in lake.read("clean/m").collect()} == {1: "new", 2: None}
+    assert run_model(lake, model) == "skipped"
+
+
 def test_two_sources_unify_to_eight_rows(spark, lake):
     def source(name, first):
         return spark.sql(f"SELECT id, concat('  P', id + {first}, '@X.com') AS email FROM range(1, 5)")
