@@ -80,5 +80,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     planner its size.
     """
     path = scratch_path(df.sparkSession, "cut")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
