@@ -1,8 +1,8 @@
 """Personal data by fixed expressions, extended by bootstrapped contextual patterns.
 
 What the expressions find are the seeds. Each seed, and each other run of tokens with digits or
-an at sign, is a mention: its shape with the word before it, and its shape alone, are the
-patterns that induce it. Spark scores the graph of patterns and instances in rounds: a pattern
+an at sign, is a mention. Its shape, alone and with the word before it, are the patterns that
+induce it. Spark scores the graph of patterns and instances in rounds: a pattern
 by the share of its distinct instances that are believed, an instance by the best of its
 patterns; seeds stay at one. Patterns of high confidence and enough seeds then add mentions
 that the expressions missed, such as a phone number that runs into a card number.
@@ -30,7 +30,12 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 MARK = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"\S+")
-#: Tokens of the longest mention.
+#: What numbers of any form are written with, and tokens that only part their digits.
+NUMBER = re.compile(r"[0-9+()./\s-]+")
+PARTING = re.compile(r"[+().-]+")
+#: Digits of the longest card number; more tokens than these cannot be a mention.
+DIGITS = 19
+#: Tokens up to which a window is a mention whatever is in it (a counterexample at least).
 TOKENS = 3
 
 
@@ -100,59 +105,77 @@ def shape_of(text: str) -> str:
     return re.sub("[^\\W\\d_A-Z]+", "a", re.sub("[A-Z]+", "A", re.sub("[0-9]", "9", text)))
 
 
-def other_mentions(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str]]:
-    """(start, end, word before) of up to three neighbouring marked tokens outside the spans."""
-    run: list[tuple[int, int]] = []
-    before, place = "", 0
+def word_before(text: str, start: int) -> str:
+    """The word before a mention, across brackets and quotes that touch it."""
+    return (text[max(0, start - 64) : start].rstrip("\"'<[({*").split() or [""])[-1]
+
+
+def other_mentions(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of neighbouring marked tokens outside the spans, as many as a number can have.
 
-    def windows() -> Iterator[tuple[int, int, str]]:
-        for i in range(len(run)):
-            for j in range(i, min(i + TOKENS, len(run))):
-                word = before if i == 0 else text[run[i - 1][0] : run[i - 1][1]]
-                yield run[i][0], run[j][1], word
+    A window of up to three tokens is a mention whatever is in it. A longer one has to be a
+    number of 7 to 19 digits: no other could be of a kind or have the shape of a seed.
+    """
+    run: list[tuple[int, int]] = []
+    place = 0
+
+    def windows() -> Iterator[tuple[int, int]]:
+        for i, (start, _) in enumerate(run):
+            digits = 0
+            for j in range(i, len(run)):
+                end = run[j][1]
+                digits += len(digits_of(text[run[j][0] : end]))
+                if end - start > 320:  # longer than any identifier of a kind can be
+                    break
+                if j - i >= TOKENS:
+                    if digits > DIGITS or not NUMBER.fullmatch(text, run[j][0], end):
+                        break
+                    if digits < 7 or not NUMBER.fullmatch(text, start, end):
+                        continue
+                if not PARTING.fullmatch(text, run[j][0], end):
+                    yield start, end
 
-    last_word = ""
     for token in TOKEN.finditer(text):
         start, end = token.span()
         while place < len(taken) and taken[place][2] <= start:
             place += 1
         free = not any(s < end for s, _, e in taken[place : place + 4] if e > start)
-        if free and MARK.search(token[0]):
-            if run and text[run[-1][1] : start] != " ":
-                yield from windows()
-                run = []
-            if not run:
-                before = last_word
-            inner = token[0].rstrip(".,;:!?\"'")
-            run.append((start, start + len(inner)))
-            if len(inner) < end - start:  # punctuation ends a run
+        if free and (MARK.search(token[0]) or PARTING.fullmatch(token[0])):
+            if run and set(text[run[-1][1] : start]) & set("\n\r\x0b\x0c,;:!?\"'"):
                 yield from windows()
                 run = []
+            run.append((start, start + (len(token[0].rstrip(".,;:!?\"'")) or len(token[0]))))
         else:
             yield from windows()
             run = []
-        last_word = token[0]
     yield from windows()
 
 
 def mentions_of(text: str) -> tuple[list, list]:
-    """Base spans as (start, kind, end), and mentions as dictionaries."""
+    """Base spans as (start, kind, end), and mentions as dictionaries; one for each kind it may be."""
     base = base_spans(text)
     if not base and not MARK.search(text):
         return base, []
-    found = []
-    for start, kind, end in base:
-        left = text[max(0, start - 64) : start].split()
-        found.append((start, end, kind, True, text[start:end], left[-1] if left else ""))
-    for start, end, left in other_mentions(text, base):
-        if end - start <= 320:  # longer than any identifier of a kind can be
-            found.append((start, end, kind_of(text[start:end]), False, text[start:end], left[-64:]))
+    found = [(start, end, kind, True) for start, kind, end in base]
+    windows = set(other_mentions(text, base))
+    for start, end in sorted(windows):
+        if start < end:
+            value = text[start:end]
+            kind = kind_of(value)
+            found += [(start, end, k, False) for k in ([kind] if kind is not None else [None])]
     return base, [
-        {"start": s, "end": e, "kind": k, "seed": seed, "value": v, "shape": shape_of(v), "left": left}
-        for s, e, k, seed, v, left in found
+        {"start": s, "end": e, "kind": k, "seed": seed, "value": text[s:e], "shape": shape_of(text[s:e]),
+         "left": word_before(text, s)}
+        for s, e, k, seed in found
     ]
 
 
+def _patterns() -> Column:
+    """A mention's patterns: its shape, alone and after a word."""
+    exact = [F.concat_ws("\x1f", F.lit("shape"), "shape"), F.concat_ws("\x1f", F.lit("left"), "shape", "left")]
+    return F.array_compact(F.array(*exact))
+
+
 def _mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
     mention = pa.struct([
@@ -183,8 +206,7 @@ def score_patterns(mentions: DataFrame, rounds: int = 3, min_seeds: int = 5) ->
     Only one-row-per-pattern sums and distinct edges are ever shuffled; a pattern that a third
     of all mentions have is combined in the map tasks.
     """
-    patterns = F.array(F.concat_ws("\x1f", F.lit("shape"), "shape"), F.concat_ws("\x1f", F.lit("left"), "shape", "left"))
-    edges = cut_lineage(mentions.select("value", F.explode(patterns).alias("pattern")).distinct())
+    edges = cut_lineage(mentions.select("value", F.explode(_patterns()).alias("pattern")).distinct())
     size = edges.groupBy("pattern").agg(F.count("*").alias("size"))
     instances = mentions.where("kind IS NOT NULL").groupBy("value", "kind").agg(F.max("seed").alias("seed"))
     belief = cut_lineage(instances.withColumn("belief", F.col("seed").cast("double")))
@@ -218,9 +240,9 @@ def find_personal_data(
     """``<id>, base, spans`` of every row: arrays of (start, kind, end) in code points, end exclusive.
 
     ``base`` is what the fixed expressions find, ``spans`` has the added mentions too; ``kind``
-    counts in the order of ``KINDS``. An added mention is valid for its kind, touches no base
-    span, and has a pattern of at least ``min_confidence`` and ``min_seeds`` seeds; of
-    overlapping ones the first and then longest is added. A null text counts as empty. Rows
+    counts in the order of ``KINDS``. An added mention touches no base span and has a pattern of
+    at least ``min_confidence`` and ``min_seeds`` seeds; of overlapping ones the first and then
+    longest is added. It is valid for its kind. A null text counts as empty. Rows
     that repeat an id each give a row; no rows give no rows; extra columns are not read.
     """
     rows = cut_lineage(
@@ -231,7 +253,7 @@ def find_personal_data(
     good = good.where(F.col("confidence") >= min_confidence).select("pattern", "kind")
     open_mentions = every.where("NOT seed AND kind IS NOT NULL").select(
         "_row", "start", "end", "kind",
-        F.explode(F.array(F.concat_ws("\x1f", F.lit("shape"), "shape"), F.concat_ws("\x1f", F.lit("left"), "shape", "left"))).alias("pattern"),
+        F.explode(_patterns()).alias("pattern"),
     )
     added = (
         open_mentions.join(good, ["pattern", "kind"]).select("_row", F.struct("start", "kind", "end").alias("span"))

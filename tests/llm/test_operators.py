@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 
 import pytest
@@ -161,6 +162,43 @@ def test_personal_data(spark, edge_docs, no_docs):
         assert base_spans(text) == brute.base_spans(text), text
 
 
+def added_spans(spark, docs):
+    """{id: spans that are not base spans} of (id, text) rows."""
+    found = find_personal_data(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    return {r[0]: [tuple(s) for s in r[2] if s not in r[1]] for r in found}
+
+
+def test_personal_data_of_many_tokens(spark):
+    """Cards in four groups and phones of six tokens that a longer match swallows, against all windows."""
+    generator = random.Random(11)
+
+    def card():
+        digits = "4" + "".join(generator.choices("0123456789", k=14))
+        digits += next(d for d in "0123456789" if brute.luhn(digits + d))
+        return " ".join(digits[i : i + 4] for i in range(0, 16, 4))
+
+    def phone():
+        return f"+33 {generator.randint(1, 9)} " + " ".join(f"{generator.randrange(100):02d}" for _ in range(4))
+
+    docs = [(i, f"pay {card()} soon") for i in range(20)] + [(20 + i, f"ring {phone()} soon") for i in range(20)]
+    swallowed = [f"order {n} {card()} ok" for n in range(10, 40)] + [f"so {phone()} {card().replace(' ', '')} it" for _ in range(30)]
+    swallowed = [t for t in swallowed if not brute.base_spans(t)]
+    docs += [(100 + i, t) for i, t in enumerate(swallowed)]
+    found, some = added_spans(spark, docs), 0
+    shapes = {"9999 9999 9999 9999": 2, "+99 9 99 99 99 99": 3}
+    for key, text in docs[40:]:
+        tokens = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+        windows = [(a, b) for i, (a, _) in enumerate(tokens) for _, b in tokens[i:]]
+        expected = []
+        for a, b in windows:
+            kind = shapes.get(re.sub("[0-9]", "9", text[a:b]))
+            if kind is not None and brute.base_spans(text[a:b]) == [(0, kind, b - a)]:
+                expected.append((a, kind, b))
+        assert found[key] == expected, text
+        some += len(expected)
+    assert some >= 40 and all(not found[i] for i in range(40))
+
+
 def test_score(edge_docs, no_docs):
     held_out = F.coalesce(crc32_of_id("doc_id") % 7 == 2, F.lit(False))
     short = edge_docs.where("text IS NULL OR length(text) < 300")
