@@ -1,11 +1,12 @@
 """Personal data by fixed expressions, extended by bootstrapped contextual patterns.
 
 What the expressions find are the seeds. Each seed, and each other run of tokens with digits or
-an at sign, is a mention. Its shape, alone and with the word before it, are the patterns that
-induce it. Spark scores the graph of patterns and instances in rounds: a pattern
+an at sign (also a written one), is a mention. Its shape, alone and with the word before it, and
+its looser shape with the word before or after it are the patterns that induce it. Spark scores the graph of patterns and instances in rounds: a pattern
 by the share of its distinct instances that are believed, an instance by the best of its
 patterns; seeds stay at one. Patterns of high confidence and enough seeds then add mentions
-that the expressions missed, such as a phone number that runs into a card number.
+that the expressions missed, such as a phone number that runs into a card number; the looser
+ones also add forms that no expression accepts, such as a phone number without its plus sign.
 """
 
 from __future__ import annotations
@@ -37,6 +38,11 @@ PARTING = re.compile(r"[+().-]+")
 DIGITS = 19
 #: Tokens up to which a window is a mention whatever is in it (a counterexample at least).
 TOKENS = 3
+#: Signs in words or brackets, as in "name (at) host dot org" and 10[.]0[.]0[.]1.
+AT = re.compile(r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+", re.IGNORECASE)
+DOT = re.compile(r"\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+", re.IGNORECASE)
+WRITTEN_DOMAIN = re.compile(rf"[A-Za-z0-9-]+(?:(?:\.|{DOT.pattern})[A-Za-z0-9-]+)+", re.IGNORECASE)
+LABEL = re.compile(r"[^\W\d_]+[:=](?=[0-9+(])")
 
 
 def digits_of(text: str) -> str:
@@ -105,11 +111,75 @@ def shape_of(text: str) -> str:
     return re.sub("[^\\W\\d_A-Z]+", "a", re.sub("[A-Z]+", "A", re.sub("[0-9]", "9", text)))
 
 
+def plain_form(text: str) -> str:
+    """``text`` with the written forms of at sign and dot as signs."""
+    return DOT.sub(".", AT.sub("@", text))
+
+
+def loose_shape(text: str) -> str:
+    """What is left of a shape that a kind's other forms share: signs and digit counts in bands."""
+    plain = plain_form(text)
+    if "@" in plain:
+        return "a@a" if list(emails(plain)) == [(0, len(plain))] else "@"
+    if IP.fullmatch(plain):
+        return "9.9.9.9"
+    if not NUMBER.fullmatch(text):
+        return re.sub("9+", "9", shape_of(text))
+    digits = len(digits_of(text))
+    return "9" + next((band for most, band in ((6, "few"), (13, "phone"), (15, "either"), (DIGITS, "card")) if digits <= most), "many")
+
+
+def open_kinds(text: str) -> list[int]:
+    """The kinds a mention that no expression accepts may be in another form; the context has to tell.
+
+    A card keeps its check digit and an address its parts; a phone may lack its country code.
+    """
+    plain = plain_form(text)
+    if plain != text and (kind := kind_of(plain)) in (0, 1):
+        return [kind]
+    if not NUMBER.fullmatch(text) or IP.fullmatch(text):
+        return []
+    digits = digits_of(text)
+    card = 14 <= len(digits) <= DIGITS and passes_luhn(digits)
+    return [2] * card + [3] * (7 <= len(digits) <= 15)
+
+
 def word_before(text: str, start: int) -> str:
     """The word before a mention, across brackets and quotes that touch it."""
     return (text[max(0, start - 64) : start].rstrip("\"'<[({*").split() or [""])[-1]
 
 
+def word_after(text: str, end: int) -> str:
+    return (text[end : end + 64].lstrip(".,;:!?\"'>])}*").split() or [""])[0]
+
+
+def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    """A window without quotes, a label such as tel: and brackets that have no partner in it."""
+    while start < end:
+        value = text[start:end]
+        label = LABEL.match(value)
+        if label:
+            start += label.end()
+        elif value[0] in "\"'<[{*" or value[0] == "(" and value.count("(") > value.count(")"):
+            start += 1
+        elif value[-1] in ".,;:!?\"'>]}*" or value[-1] == ")" and value.count(")") > value.count("("):
+            end -= 1
+        else:
+            break
+    return start, end
+
+
+def written_addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses with a written at sign: what stands before it, and the domain after it."""
+    for at in AT.finditer(text):
+        start = at.start()
+        while start > 0 and text[start - 1] in LOCAL_CHARACTERS:
+            start -= 1
+        domain = WRITTEN_DOMAIN.match(text, at.end()) if start < at.start() else None
+        if domain:
+            yield start, domain.end()
+
+
 def other_mentions(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
     """(start, end) of neighbouring marked tokens outside the spans, as many as a number can have.
 
@@ -154,33 +224,35 @@ def other_mentions(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tup
 def mentions_of(text: str) -> tuple[list, list]:
     """Base spans as (start, kind, end), and mentions as dictionaries; one for each kind it may be."""
     base = base_spans(text)
-    if not base and not MARK.search(text):
+    written = [m for m in written_addresses(text) if not any(s < m[1] and e > m[0] for s, _, e in base)]
+    if not base and not written and not MARK.search(text):
         return base, []
     found = [(start, end, kind, True) for start, kind, end in base]
-    windows = set(other_mentions(text, base))
+    windows = {trimmed(text, *m) for m in other_mentions(text, base)} | set(written)
     for start, end in sorted(windows):
         if start < end:
             value = text[start:end]
             kind = kind_of(value)
-            found += [(start, end, k, False) for k in ([kind] if kind is not None else [None])]
+            found += [(start, end, k, False) for k in ([kind] if kind is not None else open_kinds(value) or [None])]
     return base, [
         {"start": s, "end": e, "kind": k, "seed": seed, "value": text[s:e], "shape": shape_of(text[s:e]),
-         "left": word_before(text, s)}
+         "left": word_before(text, s), "right": word_after(text, e), "loose": loose_shape(text[s:e])}
         for s, e, k, seed in found
     ]
 
 
 def _patterns() -> Column:
-    """A mention's patterns: its shape, alone and after a word."""
+    """A mention's patterns: its shape, alone and after a word, and its looser shape next to a word."""
+    near = [F.when(F.col(word) != "", F.concat_ws("\x1f", F.lit(name), "loose", word)) for name, word in (("before", "left"), ("after", "right"))]
     exact = [F.concat_ws("\x1f", F.lit("shape"), "shape"), F.concat_ws("\x1f", F.lit("left"), "shape", "left")]
-    return F.array_compact(F.array(*exact))
+    return F.array_compact(F.array(*exact, *near))
 
 
 def _mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
     mention = pa.struct([
         ("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("seed", pa.bool_()),
-        ("value", pa.string()), ("shape", pa.string()), ("left", pa.string()),
+        ("value", pa.string()), ("shape", pa.string()), ("left", pa.string()), ("right", pa.string()), ("loose", pa.string()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,12 +268,12 @@ def _mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return keyed_text(docs, id_col, text_col).mapInArrow(
         run,
         f"_id {kind}, _base array<struct<start:bigint,kind:int,end:bigint>>, _mentions array<struct<"
-        "start:bigint,end:bigint,kind:int,seed:boolean,value:string,shape:string,left:string>>",
+        "start:bigint,end:bigint,kind:int,seed:boolean,value:string,shape:string,left:string,right:string,loose:string>>",
     )
 
 
 def score_patterns(mentions: DataFrame, rounds: int = 3, min_seeds: int = 5) -> DataFrame:
-    """``pattern, kind, confidence, seeds`` from ``kind, seed, value, shape, left`` mentions.
+    """``pattern, kind, confidence, seeds`` from ``kind, seed, value, shape, left, right, loose`` mentions.
 
     Only one-row-per-pattern sums and distinct edges are ever shuffled; a pattern that a third
     of all mentions have is combined in the map tasks.
@@ -242,7 +314,8 @@ def find_personal_data(
     ``base`` is what the fixed expressions find, ``spans`` has the added mentions too; ``kind``
     counts in the order of ``KINDS``. An added mention touches no base span and has a pattern of
     at least ``min_confidence`` and ``min_seeds`` seeds; of overlapping ones the first and then
-    longest is added. It is valid for its kind. A null text counts as empty. Rows
+    longest is added. It is valid for its kind, or else of another form that the kind may have
+    (``open_kinds``) next to a word that tells the kind. A null text counts as empty. Rows
     that repeat an id each give a row; no rows give no rows; extra columns are not read.
     """
     rows = cut_lineage(

@@ -199,6 +199,28 @@ def test_personal_data_of_many_tokens(spark):
     assert some >= 40 and all(not found[i] for i in range(40))
 
 
+def test_personal_data_of_unseen_forms(spark):
+    """The context of the seeds gives a kind to forms that no expression accepts."""
+    docs = [(i, f"call +1 (269) 555-{1000 + i} now") for i in range(30)]
+    docs += [(30 + i, f"write to someone.{i}@mail.example.org today") for i in range(30)]
+    docs += [(60 + i, f"host 10.1.{i}.7 up") for i in range(30)]
+    docs += [(90 + i, f"serial {1000000 + i} of {i}") for i in range(30)]
+    unseen = {
+        200: ("please call (269) 555-3296 now", "(269) 555-3296", 3), 201: ("call 269-555-3297, maybe", "269-555-3297", 3),
+        202: ("call tel:(269) 555-3298 now", "(269) 555-3298", 3), 203: ("call [269.555.3299] now", "269.555.3299", 3),
+        204: ("write to joe.doe at mail.example.org today", "joe.doe at mail.example.org", 0),
+        205: ("write to joe (at) mail dot example dot org today", "joe (at) mail dot example dot org", 0),
+        206: ("host 10[.]0[.]0[.]9 up", "10[.]0[.]0[.]9", 1),
+    }
+    wrong = {300: "serial 269-555-3296 of", 301: "we met at mail.example.org, all", 302: "host 10[.]0[.]0[.]999 up", 303: "call 12 now"}
+    docs += [(i, t) for i, (t, *_) in unseen.items()] + list(wrong.items())
+    found = added_spans(spark, docs)
+    for i, (text, value, kind) in unseen.items():
+        at = text.index(value)
+        assert found[i] == [(at, kind, at + len(value))], text
+    assert not any(found[i] for i in [*range(120), *wrong])
+
+
 def test_score(edge_docs, no_docs):
     held_out = F.coalesce(crc32_of_id("doc_id") % 7 == 2, F.lit(False))
     short = edge_docs.where("text IS NULL OR length(text) < 300")
