@@ -59,24 +59,25 @@ def most_frequent(counts: DataFrame, most: int) -> list[Row]:
     return sorted(rows, key=lambda r: (r["_n"], r["_word"]))
 
 
-def rows_of(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str, digest_col: str | None = None) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``kept``, null ids included, one row for each id.
+def repeats_ids(docs: DataFrame, id_col: str) -> bool:
+    """Whether some rows share an id; null is one more id."""
+    return not docs.groupBy(F.col(id_col).alias("_kept_id")).agg(F.count("*").alias("_rows")).where("_rows > 1").isEmpty()
 
-    Where rows repeat an id, ``digest_col`` of ``kept`` (a SHA-256 of the text without white
-    space) tells which texts are meant, and of equal texts or without it the first in order
-    stays. Ids are looked at first: only if some repeat do texts take part in a window.
+
+def rows_of(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str, digest_col: str, white_space: bool = False) -> DataFrame:
+    """The rows of ``docs`` that ``kept`` names by id, null ids included, and text.
+
+    Where rows repeat an id, ``digest_col`` of ``kept`` (a SHA-256 of the text, without its white
+    space unless ``white_space``) tells which texts are meant; of rows equal in both the first
+    in order stays. Ids are looked at first: only if some repeat do texts take part in a window.
     """
-    ids = docs.groupBy(F.col(id_col).alias("_kept_id")).agg(F.count("*").alias("_rows"))
-    if ids.where("_rows > 1").isEmpty():
+    if not repeats_ids(docs, id_col):
         wanted = kept.select(F.col(id_col).alias("_kept_id")).distinct()
         return docs.join(wanted, docs[id_col].eqNullSafe(wanted["_kept_id"]), "left_semi")
     text = F.coalesce(docs[text_col], F.lit(""))
-    same = docs[id_col].eqNullSafe(F.col("_kept_id"))
-    wanted, keys = kept.select(F.col(id_col).alias("_kept_id")).distinct(), [docs[id_col]]
-    if digest_col:
-        digest = F.sha2(without_white_space(text), 256)
-        wanted = kept.select(F.col(id_col).alias("_kept_id"), F.col(digest_col).alias("_kept_digest")).distinct()
-        same, keys = same & (digest == F.col("_kept_digest")), [docs[id_col], digest]
+    digest = F.sha2(text if white_space else without_white_space(text), 256)
+    wanted = kept.select(F.col(id_col).alias("_kept_id"), F.col(digest_col).alias("_kept_digest")).distinct()
+    same = docs[id_col].eqNullSafe(F.col("_kept_id")) & (digest == F.col("_kept_digest"))
     found = docs.join(wanted, same, "left_semi")
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.length(text).desc(), text))
+    place = F.row_number().over(Window.partitionBy(docs[id_col], digest).orderBy(F.length(text).desc(), text))
     return found.withColumn("_place_of_id", place).where("_place_of_id = 1").drop("_place_of_id")

@@ -10,10 +10,12 @@ pairs: it returns a star for each of its linked sets, at most one row per finger
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,18 +50,25 @@ def fingerprint(text: bytes, words: int, seed: int) -> int:
 
 
 def fingerprints(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, digests: bool = False
 ) -> DataFrame:
-    """``_id, _fp``: the signed 64-bit fingerprint of every whole text (null text: as empty)."""
+    """``_id, _fp``: the signed 64-bit fingerprint of every whole text (null text: as empty).
+
+    With ``digests`` also ``_length, _digest`` of the text, which tell rows of one id apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             prints = [fingerprint(t.as_buffer().to_pybytes(), words, seed) for t in batch.column(1)]
-            signed = pa.array(np.array(prints, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed], names=["_id", "_fp"])
+            columns = {"_id": batch.column(0), "_fp": pa.array(np.array(prints, np.uint64).view(np.int64))}
+            if digests:
+                columns["_length"] = pc.utf8_length(batch.column(1)).cast(pa.int64())
+                columns["_digest"] = pa.array([sha256(t.as_buffer()).hexdigest() for t in batch.column(1)])
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return keyed_text(docs, id_col, text_col).mapInArrow(run, f"_id {kind}, _fp bigint")
+    more = ", _length bigint, _digest string" if digests else ""
+    return keyed_text(docs, id_col, text_col).mapInArrow(run, f"_id {kind}, _fp bigint{more}")
 
 
 def block_masks(blocks: int, max_bits: int) -> list[int]:
@@ -143,6 +152,14 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 2, blocks: int = 5) -
     return blocked.sortWithinPartitions("choice", "key").mapInArrow(run, "a bigint, b bigint")
 
 
+def _placed(distinct: DataFrame, max_bits: int, blocks: int) -> DataFrame:
+    """The rows of ``distinct`` (one for each ``_fp``) with the least fingerprint of their component as ``_top``."""
+    tops = star_rounds(fingerprint_links(distinct.select("_fp"), max_bits, blocks)).select(
+        F.col("a").alias("_fp"), F.col("b").alias("_top")
+    )
+    return distinct.join(tops, "_fp", "left").withColumn("_top", F.coalesce("_top", "_fp"))
+
+
 def near_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -162,10 +179,7 @@ def near_groups(
     # A written table: it is used several times and costs a pass over all texts.
     prints = cut_lineage(fingerprints(docs, id_col, text_col, words, seed))
     distinct = prints.groupBy("_fp").agg(F.min("_id").alias("_least"))
-    tops = star_rounds(fingerprint_links(distinct.select("_fp"), max_bits, blocks)).select(
-        F.col("a").alias("_fp"), F.col("b").alias("_top")
-    )
-    placed = distinct.join(tops, "_fp", "left").withColumn("_top", F.coalesce("_top", "_fp"))
+    placed = _placed(distinct, max_bits, blocks)
     least = placed.groupBy("_top").agg(F.min("_least").alias("_component"))
     of_print = placed.join(least, "_top").select("_fp", "_component")
     return prints.join(of_print, "_fp").select(
@@ -174,9 +188,23 @@ def near_groups(
     )
 
 
+def near_distinct_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 3,
+    max_bits: int = 2,
+    seed: int = 42,
+    blocks: int = 5,
+) -> DataFrame:
+    """The rows of ``docs`` that stay, in its own columns: one of each component of ``near_groups``.
 
-def near_distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, in its own columns: of each group the document of its least id."""
-    groups = near_groups(docs, id_col, text_col, **options)
-    kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col)
-    return rows_of(docs, kept, id_col, text_col)
+    It is the row of the least id, null ids last; among rows of one id that of the longest text,
+    then of the least digest. Rows that share an id, or have none, but are not near all stay.
+    """
+    prints = cut_lineage(fingerprints(docs, id_col, text_col, words, seed, digests=True))
+    choice = F.struct(F.col("_id").isNull().alias("_null"), "_id", (-F.col("_length")).alias("_back"), "_digest")
+    distinct = cut_lineage(prints.groupBy("_fp").agg(F.min(choice).alias("_best")))
+    kept = _placed(distinct, max_bits, blocks).groupBy("_top").agg(F.min("_best").alias("_best"))
+    kept = cut_lineage(kept.select(F.col("_best._id").alias(id_col), F.col("_best._digest").alias("_digest")))
+    return rows_of(docs, kept, id_col, text_col, "_digest", white_space=True)

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.llm.common import repeats_ids
 from tarn.operators.windows import running_total
 from tarn.session import cut_lineage
 
@@ -20,15 +21,20 @@ BUCKETS, SALTS = 4096, 64
 
 
 def document_sizes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", hashes: bool = False
 ) -> DataFrame:
-    """``_id, _source, _size``: the number of words of each document (null text: 0)."""
+    """``_id, _source, _size``: the number of words of each document (null text: 0); with ``hashes`` also ``_text_hash``."""
+    more = [text_hash(text_col).alias("_text_hash")] if hashes else []
     return docs.select(
         F.col(id_col).alias("_id"), F.col(source_col).alias("_source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("_size"),
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("_size"), *more,
     )
 
 
+def text_hash(text: Column | str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+
+
 def weighted_sources(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3)) -> DataFrame:
     """``_source, _total, _weight``: sources by code point, null last, take the weights in turn."""
     totals = sizes.groupBy("_source").agg(F.sum("_size").alias("_total")).withColumn("_one", F.lit(1))
@@ -87,9 +93,19 @@ def mix_plan(
     share a place in the order. A source of size 0 has target 0. No rows give no rows. Extra
     columns are not read. Reruns agree.
     """
+    copies = F.col("_copies")
+    return _planned(document_sizes(docs, id_col, text_col, source_col), weights, max_epochs, seed).select(
+        F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_total").alias("source_size"),
+        F.col("_target").alias("target"), copies.alias("copies"), (copies * F.col("_size")).alias("taken"),
+    )
+
+
+def _planned(sizes: DataFrame, weights: Sequence[float], max_epochs: float, seed: int) -> DataFrame:
+    """The rows of ``document_sizes`` with ``_total, _target`` of their source and ``_copies``."""
     if max_epochs < 1:
         raise ValueError("below one epoch the sizes do not fit into the caps")
-    sizes = cut_lineage(document_sizes(docs, id_col, text_col, source_col))
+    further = [c for c in sizes.columns if c == "_text_hash"]
+    sizes = cut_lineage(sizes)
     targets = source_targets(sizes, weights, max_epochs)
     epochs = F.when(F.col("_total") > 0, F.col("_target") / F.col("_total")).otherwise(0.0)
     shares = targets.select(
@@ -117,7 +133,7 @@ def mix_plan(
     salted = shares.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     same = F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_bucket") % SALTS == F.col("_salt"))
     placed = rows.join(salted, same).drop("_salt")
-    inside = Window.partitionBy("_source").orderBy("_order", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_source").orderBy("_order", "_id", "_size", *further).rowsBetween(Window.unboundedPreceding, -1)
     at_end = F.col("_bucket") == F.col("_end")
     ending = placed.where(at_end).withColumn(
         "_reached", F.coalesce(F.sum("_size").over(inside), F.lit(0)) + F.col("_before")
@@ -129,20 +145,48 @@ def mix_plan(
         "_extra", ((F.col("_bucket") < F.col("_end")) & (F.col("_size") > 0)).cast("bigint")
     )
     copies = F.col("_whole") + F.col("_extra")
-    return others.unionByName(ending).select(
-        F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_total").alias("source_size"),
-        F.col("_target").alias("target"), copies.alias("copies"), (copies * F.col("_size")).alias("taken"),
-    )
+    return others.unionByName(ending).withColumn("_copies", copies)
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[float] = (1, 2, 3),
+    max_epochs: float = 3,
+    seed: int = 17,
+) -> DataFrame:
     """The mix itself: each document as often as the plan takes it, in the columns of ``docs``.
 
-    A document taken twice is two rows. Rows that repeat an id are each taken as often as the
-    one that is taken most; documents that the plan leaves out have no row.
+    A document taken twice is two rows; documents that the plan leaves out have no row. Rows
+    that repeat an id are told apart by source and text. Only where a fraction ends within rows
+    equal in all three are these numbered.
     """
-    plan = mix_plan(docs, id_col, **options).groupBy(id_col).agg(F.max("copies").alias("_copies"))
-    plan = plan.where("_copies > 0").select(F.col(id_col).alias("_plan_id"), "_copies")
-    joined = docs.join(plan, docs[id_col].eqNullSafe(plan["_plan_id"]))
-    repeated = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    names = docs.columns
+    if not repeats_ids(docs, id_col):
+        plan = _planned(document_sizes(docs, id_col, text_col, source_col), weights, max_epochs, seed)
+        plan = plan.where("_copies > 0").select(F.col("_id").alias("_plan_id"), F.col("_copies").alias("_plan_copies"))
+        joined = docs.join(plan, docs[id_col].eqNullSafe(plan["_plan_id"])).select(*[docs[c] for c in names], "_plan_copies")
+    else:
+        plan = _planned(document_sizes(docs, id_col, text_col, source_col, hashes=True), weights, max_epochs, seed)
+        plan = plan.groupBy("_id", "_source", "_text_hash").agg(
+            F.min("_copies").alias("_fewest"), F.max("_copies").alias("_most"),
+            (F.sum("_copies") - F.count("*") * F.min("_copies")).alias("_more"),
+        )
+        plan = cut_lineage(plan.where("_most > 0").select(
+            F.col("_id").alias("_plan_id"), F.col("_source").alias("_plan_source"), F.col("_text_hash").alias("_plan_hash"),
+            "_fewest", "_most", "_more",
+        ))
+        same = (
+            docs[id_col].eqNullSafe(plan["_plan_id"]) & docs[source_col].eqNullSafe(plan["_plan_source"])
+            & (text_hash(docs[text_col]) == plan["_plan_hash"])
+        )
+        found = docs.join(plan, same)
+        even = found.where("_fewest = _most").select(*[docs[c] for c in names], F.col("_most").alias("_plan_copies"))
+        equal = Window.partitionBy("_plan_id", "_plan_source", "_plan_hash").orderBy("_plan_hash")
+        uneven = found.where("_fewest < _most").withColumn("_place_of_row", F.row_number().over(equal))
+        copies = F.col("_fewest") + (F.col("_place_of_row") <= F.col("_more")).cast("bigint")
+        joined = even.unionByName(uneven.select(*[docs[c] for c in names], copies.alias("_plan_copies")).where("_plan_copies > 0"))
+    repeated = joined.withColumn("_plan_copy", F.explode(F.sequence(F.lit(1), F.col("_plan_copies").cast("int"))))
+    return repeated.select(*names)

@@ -276,6 +276,33 @@ def test_simhash(edge_docs, no_docs):
     assert sorted((r["doc_id"] for r in stay.collect()), key=repr) == sorted({c for _, _, c in brute.simhash_groups(PAIRS)}, key=repr)
 
 
+def test_rows_that_share_an_id_are_kept_apart(spark):
+    """Each component keeps one row, also where ids are null or repeat; a copy never stands for another text."""
+    generator = random.Random(5)
+    text = [" ".join(generator.choices([f"w{i}" for i in range(500)], k=300)) for _ in range(5)]
+    docs = [(None, text[0], "a"), (None, text[1], "a"), (5, text[2], "a"), (None, text[2] + " ", "a"), (6, text[3], "a"), (6, text[4], "b"), (6, text[3], "a")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    expected = [(None, text[0], "a"), (None, text[1], "a"), (5, text[2], "a"), (6, text[3], "a"), (6, text[4], "b")]
+    assert collected(near_distinct_documents(df)) == sorted(expected, key=repr)
+
+
+def test_mix_of_rows_that_share_an_id(spark):
+    """The mix has as many rows as the plan, of each source and size, when ids repeat."""
+    docs = [(None if i % 3 else i % 4, f"t{i % 50} " * (1 + i % 7), f"s{i % 4}" if i % 5 else None) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    plan = mix_plan(df)
+    assert plan.where("copies > 0").groupBy("doc_id").agg(F.countDistinct("copies").alias("n")).agg(F.max("n")).first()[0] > 1
+    expected = {(r[0], r[1], r[2]): r[3] for r in plan.groupBy("doc_id", "size", "target").agg(F.sum("copies")).collect() if r[3]}
+    found = {}
+    for r in mixed_documents(df).groupBy("doc_id", "text", "source").count().collect():
+        key = (r["doc_id"], len(r["text"].split()))
+        found[key] = found.get(key, 0) + r["count"]
+    by_size = {}
+    for (i, n, _), copies in expected.items():
+        by_size[i, n] = by_size.get((i, n), 0) + copies
+    assert found == by_size
+
+
 def test_stars_of_large_groups_join_what_small_ones_join():
     import numpy as np
 
