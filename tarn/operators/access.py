@@ -144,7 +144,8 @@ def apply_acl(
 
     Principals stay as granted: groups are not expanded, which keeps the arrays short.
     Equal grants fall together in the map tasks. Where objects have more grants than one
-    cell should hold, filter by the grant table instead (``visible_by_grants``).
+    cell should hold, filter and count by the grant table instead (``visible_by_grants``,
+    ``grant_counts``).
     """
 
     def names(kept):
@@ -165,6 +166,17 @@ def apply_acl(
     )
 
 
+def grant_counts(acl: DataFrame, principal: str = "principal_id") -> DataFrame:
+    """``source_object_id, n_allow, n_deny``: the principals of each object, counted over rows.
+
+    Equal grants fall together by object and principal, then every map task counts its own, so
+    an object with any number of grants is never one group of rows or one cell.
+    """
+    deny = F.col("effect") == "deny"
+    once = acl.select("source_object_id", F.col(principal).alias("_principal"), deny.alias("_deny")).where("_principal IS NOT NULL").distinct()
+    return once.groupBy("source_object_id").agg(F.count_if(~F.col("_deny")).alias("n_allow"), F.count_if("_deny").alias("n_deny"))
+
+
 def visible_by_grants(
     df: DataFrame, object_col: str, acl: DataFrame, requester: DataFrame, default: str = "private"
 ) -> DataFrame:

@@ -344,18 +344,23 @@ def acl_visible_stamped(spark: SparkSession, d: str) -> DataFrame:
 SELECT 'all' AS object, count(*) AS n_allowed, sum(CASE WHEN o_orderkey = 7 THEN 1 ELSE 0 END)::BIGINT AS seen_by_last FROM orders
 """)
 def acl_many_grants(spark: SparkSession, d: str) -> DataFrame:
-    """One object with a grant for every order: its list is whole, and each requester sees it."""
+    """One object with a grant for every order: all are counted, and each requester sees it; grants stay rows."""
     orders = table(spark, d, "orders")
     acl = orders.select(
         F.lit("all").alias("source_object_id"), F.concat(F.lit("p"), "o_orderkey").alias("principal_id"),
         F.lit("read").alias("access_level"), F.lit("allow").alias("effect"),
     )
-    stamped = access.apply_acl(spark.sql("SELECT 'all' AS object"), "object", acl)
-    seen = access.visible_to(stamped, ["p7"]).select(F.col("object").alias("_seen"))
+    objects = spark.sql("SELECT 'all' AS object")
+    requester = spark.sql("SELECT 'p7' AS principal_id")
+    seen = access.visible_by_grants(objects, "object", acl, requester).select(F.col("object").alias("_seen"))
+    counts = access.grant_counts(acl).select(F.col("source_object_id").alias("_counted"), "n_allow")
     return (
-        stamped.select("object", F.size("acl_allow").cast("bigint").alias("n_allowed"))
+        objects.join(counts, F.col("object") == F.col("_counted"), "left")
         .join(seen, F.col("object") == F.col("_seen"), "left")
-        .select("object", "n_allowed", F.col("_seen").isNotNull().cast("bigint").alias("seen_by_last"))
+        .select(
+            "object", F.coalesce("n_allow", F.lit(0)).cast("bigint").alias("n_allowed"),
+            F.col("_seen").isNotNull().cast("bigint").alias("seen_by_last"),
+        )
     )
 
 

@@ -391,3 +391,14 @@ def test_interval_and_marks(spark):
     df = spark.sql("SELECT TIMESTAMP_NTZ '2026-01-01' AS ts UNION ALL SELECT TIMESTAMP_NTZ '2026-01-02'")
     assert df.where(fn.beyond(df, "ts", dt.datetime(2026, 1, 1))).count() == 1
     assert df.where("false").agg(fn.watermark_or("ts")).first()[0] == dt.datetime(1900, 1, 1)
+
+
+def test_many_grants_of_one_object_stay_rows(spark, sf_dir):
+    from __spark_entry__ import queries
+    from tarn.operators.access import grant_counts
+
+    found = queries()["acl_many_grants"](spark, sf_dir)
+    assert "collect_set" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    grants = [("a", "p", "allow"), ("a", "p", "allow"), ("a", "q", "allow"), ("a", "p", "deny"), ("b", None, "allow"), ("c", "p", "deny")]
+    acl = spark.createDataFrame(grants, "source_object_id string, principal_id string, effect string")
+    assert {tuple(r) for r in grant_counts(acl).collect()} == {("a", 2, 1), ("c", 0, 1)}
