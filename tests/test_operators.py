@@ -402,3 +402,17 @@ def test_many_grants_of_one_object_stay_rows(spark, sf_dir):
     grants = [("a", "p", "allow"), ("a", "p", "allow"), ("a", "q", "allow"), ("a", "p", "deny"), ("b", None, "allow"), ("c", "p", "deny")]
     acl = spark.createDataFrame(grants, "source_object_id string, principal_id string, effect string")
     assert {tuple(r) for r in grant_counts(acl).collect()} == {("a", 2, 1), ("c", 0, 1)}
+
+
+def test_long_phones_of_every_customer(spark, tmp_path):
+    """Also keys 0 and 5 and those that begin with 55, against the SQL."""
+    import duckdb
+    from __spark_entry__ import oracle_sql, queries
+
+    keys = [0, 1, 5, 7, 54, 55, 505, 550, 5512, 55555, 123456]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey bigint").write.parquet(f"{tmp_path}/customer.parquet")
+    found = queries()["normalize_all_long_phones"](spark, str(tmp_path)).select("c_custkey", "long_phone", "long_local").collect()
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    expected = connection.execute(oracle_sql()["normalize_all_long_phones"]).fetchall()
+    assert len(found) == len(keys) and sorted(map(tuple, found)) == sorted(expected)
