@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm.bpe_codec import codec_digests, encode_and_decode
+from tarn.llm.byte_shards import byte_shards
 from tarn.llm.common import crc32_of_id
 from tarn.llm.ctw import score_documents
 from tarn.llm.embedding_dedup import near_vectors
@@ -136,3 +137,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(crc32_of_id("doc_id") % 4 == 2, F.lit(False))
     found = identify_languages(docs, ~held_out)
     return found.select("doc_id", F.coalesce(crc32_of_id("doc_id") % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op13_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of nearly equal bytes."""
+    sharded = byte_shards(documents(spark, sf_dir), shards=16, tolerance=0.001, seed=42)
+    return sharded.select(
+        "doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
