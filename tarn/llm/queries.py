@@ -13,6 +13,7 @@ from tarn.llm.embedding_dedup import near_vectors
 from tarn.llm.exact_dedup import exact_groups
 from tarn.llm.language_id import identify_languages
 from tarn.llm.line_dedup import repeated_lines
+from tarn.llm.periodic_runs import periodic_runs
 from tarn.llm.pii_bootstrap import KINDS, find_personal_data, span_text
 from tarn.llm.simhash_dedup import near_groups
 from tarn.llm.source_mix import mix_plan
@@ -139,6 +140,37 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(crc32_of_id("doc_id") % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def with_planted_repeats(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` of all documents; those whose id has a CRC-32 divisible by 10 repeat some of their words."""
+    h = crc32_of_id("doc_id")
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"([^\x20\x09-\x0D]+)"))
+    n = F.size(words)
+    g = F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+    planted = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p)))
+    wanted = (h % 10 == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return docs.select("doc_id", F.when(wanted, F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query()
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, some of which repeat words by rule."""
+    found = periodic_runs(with_planted_repeats(documents(spark, sf_dir)), min_length=24, min_exponent=3)
+    # Quotients of integers whose product is below 2^52 compare as doubles as they do exactly.
+    ranked = F.transform("runs", lambda r: F.struct(
+        (-r["length"] / r["period"]).alias("exponent"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length")
+    ))
+    best = F.array_min(ranked)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, F.lit("\n")).otherwise(F.lit("")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
 @query()
 def op13_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes."""

@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import unicodedata
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -250,3 +251,49 @@ def identify(text, known, top=300):
 
 def normalized(text):
     return unicodedata.normalize("NFC", text)
+
+
+def planted_words(doc_id, text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n = len(words)
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+
+
+def smallest_period(words):
+    """By the failure function."""
+    fail = [0] * len(words)
+    k = 0
+    for i in range(1, len(words)):
+        while k and words[i] != words[k]:
+            k = fail[k - 1]
+        k += words[i] == words[k]
+        fail[i] = k
+    return len(words) - fail[-1]
+
+
+def periodic_runs(words, min_length=24, min_exponent=3):
+    """Every maximal run: each lag's stretches of matches, kept if the lag is the smallest period."""
+    found = []
+    for lag in range(1, len(words) // min_exponent + 1):
+        start = None
+        for i in range(len(words) - lag + 1):
+            same = i < len(words) - lag and words[i] == words[i + lag]
+            if same and start is None:
+                start = i
+            if not same and start is not None:
+                length = i - start + lag
+                if length >= max(min_length, min_exponent * lag) and smallest_period(words[start : start + length]) == lag:
+                    found.append((start, lag, length))
+                start = None
+    return sorted(found)
+
+
+def collapsed(words, runs):
+    dropped = {i for start, period, length in runs for i in range(start + period, start + length)}
+    return " ".join(w for i, w in enumerate(words) if i not in dropped)
