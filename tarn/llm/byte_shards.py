@@ -142,7 +142,8 @@ def reached(splitter: tuple[int, ...]) -> Column:
 
 
 def byte_shards(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, tolerance: float = 0.001, seed: int = 42
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, tolerance: float = 0.001, seed: int = 42,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """The rows of ``docs`` with ``size, shard, slot``: shards of nearly equal bytes, in seeded order.
 
@@ -151,26 +152,37 @@ def byte_shards(
     ``tolerance`` of a shard's bytes, or else within half of the row or of the equal texts that
     stand there. Equal texts share a shard as long as that costs no more bytes than one row can;
     larger groups (half of all rows, say) are split by id and, where ids are equal as well, row by
-    row. Rows equal in all columns are interchangeable, others fall alike on every run. Null ids
+    row. Rows equal in id and text are interchangeable, others fall alike on every run. Null ids
     are one more id. Fewer rows than shards leave shards empty; no rows give no rows. Columns of
     ``docs`` called ``size``, ``shard`` or ``slot`` are replaced; all others stay.
 
-    Within a shard rows are dealt to cells by hash, at least 256 of at most about 64 MB, and
-    numbered there; a cell's first slot comes from counts of cells, so no task sees a whole shard.
+    Within a shard rows are dealt to cells by a hash of text and id, at least 256 of about 64 MB or
+    ``cell_rows`` rows at most, and numbered there; a cell's first slot comes from counts of cells,
+    so no task sees a whole shard. Only rows that repeat one id and text can overfill a cell: one of
+    more than 4 * ``cell_rows`` rows is dealt on by row. The list of those cells is broadcast, at
+    most one line for so many rows.
     """
     rows = keyed(docs, id_col, text_col, seed)
     narrow = rows.select("_size", *KEYS)
     shard = reduce(Column.__add__, [reached(s).cast("int") for s in splitters(narrow, shards, tolerance)], F.lit(0))
     totals = narrow.agg(F.count("*").alias("rows"), F.sum("_size").alias("bytes")).first()
-    most = max(totals["rows"] // CELL_ROWS, (totals["bytes"] or 0) // CELL_BYTES)
+    most = max(totals["rows"] // cell_rows, (totals["bytes"] or 0) // CELL_BYTES)
     cells = max(CELLS, -(-most // shards))
-    cell = F.pmod(F.xxhash64(*KEYS), F.lit(cells)).cast("int")
-    placed = rows.withColumn("_shard", shard).withColumn("_cell", cell)
-    counts = placed.select("_shard", "_cell").groupBy("_shard", "_cell").agg(F.count("*").alias("_rows"))
-    earlier = Window.partitionBy("_shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("_shard", "_cell", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_first"))
-    inside = F.row_number().over(Window.partitionBy("_shard", "_cell").orderBy(*KEYS))
-    numbered = placed.withColumn("_place", inside).join(firsts, ["_shard", "_cell"])
+    cell = F.pmod(F.xxhash64("_h_text", "_h_id"), F.lit(cells)).cast("int")
+    placed = rows.withColumn("_shard", shard).withColumn("_cell", cell).withColumn("_part", F.lit(0))
+    full = cut_lineage(
+        placed.groupBy("_shard", "_cell").agg(F.count("*").alias("_rows")).where(F.col("_rows") > 4 * cell_rows)
+        .select("_shard", "_cell", F.ceil(F.col("_rows") / cell_rows).cast("int").alias("_parts"))
+    )
+    if not full.isEmpty():
+        part = F.pmod(F.xxhash64("_row"), F.coalesce("_parts", F.lit(1))).cast("int")
+        placed = placed.drop("_part").join(F.broadcast(full), ["_shard", "_cell"], "left").withColumn("_part", part).drop("_parts")
+    at = ["_shard", "_cell", "_part"]
+    counts = placed.select(*at).groupBy(*at).agg(F.count("*").alias("_rows"))
+    earlier = Window.partitionBy("_shard").orderBy("_cell", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select(*at, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_first"))
+    inside = F.row_number().over(Window.partitionBy(*at).orderBy(*KEYS))
+    numbered = placed.withColumn("_place", inside).join(firsts, at)
     given = [F.col(f"_given_{i}").alias(c) for i, c in enumerate(docs.columns) if c not in ("size", "shard", "slot")]
     return numbered.select(
         *given, F.col("_size").alias("size"), F.col("_shard").alias("shard"),

@@ -18,6 +18,7 @@ from tarn.llm.pii_bootstrap import KINDS, find_personal_data, span_text
 from tarn.llm.simhash_dedup import near_groups
 from tarn.llm.source_mix import mix_plan
 from tarn.llm.suffix_dedup import without_repeats
+from tarn.llm.whitening import whiten
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -171,6 +172,17 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole embeddings on the leading 16 axes of their integer covariance."""
+    found = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), scale=64, components=16)
+    each = found.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", F.col("deviation").cast("bigint").alias("deviation"),
+        "whitened", F.get("explained", "at").alias("explained"), "identity_error",
+    )
+
+
 @query()
 def op13_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes."""

@@ -265,32 +265,26 @@ def planted_words(doc_id, text):
     return [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
 
 
-def smallest_period(words):
-    """By the failure function."""
-    fail = [0] * len(words)
-    k = 0
-    for i in range(1, len(words)):
-        while k and words[i] != words[k]:
-            k = fail[k - 1]
-        k += words[i] == words[k]
-        fail[i] = k
-    return len(words) - fail[-1]
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
 def periodic_runs(words, min_length=24, min_exponent=3):
-    """Every maximal run: each lag's stretches of matches, kept if the lag is the smallest period."""
+    """Every maximal run: each lag's stretches of matches, kept if no divisor of the lag is a period too."""
+    numbers = {}
+    codes = np.array([numbers.setdefault(w, len(numbers)) for w in words], int)
     found = []
     for lag in range(1, len(words) // min_exponent + 1):
-        start = None
-        for i in range(len(words) - lag + 1):
-            same = i < len(words) - lag and words[i] == words[i + lag]
-            if same and start is None:
-                start = i
-            if not same and start is not None:
-                length = i - start + lag
-                if length >= max(min_length, min_exponent * lag) and smallest_period(words[start : start + length]) == lag:
-                    found.append((start, lag, length))
-                start = None
+        same = np.concatenate([[False], codes[:-lag] == codes[lag:], [False]])
+        edges = np.flatnonzero(same[1:] != same[:-1])
+        for start, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            length = end - start + lag
+            if length < max(min_length, min_exponent * lag):
+                continue
+            part = codes[start : start + length]
+            # A smaller period of so long a stretch divides the lag.
+            if not any(lag % d == 0 and (part[:-d] == part[d:]).all() for d in range(1, lag)):
+                found.append((start, lag, length))
     return sorted(found)
 
 

@@ -20,7 +20,7 @@ def by_id(df):
 def test_all_operators_are_registered():
     import __spark_entry__
 
-    assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [q for n in range(1, 11) for q in QUERIES if q.startswith(f"op{n}_")]
+    assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [q for n in range(1, 14) for q in QUERIES if q.startswith(f"op{n}_")]
     assert {*QUERIES, "pipeline"} <= set(__spark_entry__.queries())
 
 
