@@ -144,14 +144,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_planted_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` of all documents; those whose id has a CRC-32 divisible by 10 repeat some of their words."""
     h = crc32_of_id("doc_id")
+
+    def repeated(words):
+        n, g = F.size(words), F.floor(h / 10)
+        a = (g % n).cast("int")
+        p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+        # A lambda binds a and p once for all words.
+        return F.transform(F.array(F.struct(a.alias("a"), p.alias("p"))), lambda x: F.array_join(F.transform(
+            F.sequence(F.lit(0), n - 1),
+            lambda i: F.get(words, F.when(i < x["a"], i).otherwise(x["a"] + (i - x["a"]) % x["p"])),
+        ), " "))[0]
+
     words = F.regexp_extract_all(F.col("text"), F.lit(r"([^\x20\x09-\x0D]+)"))
-    n = F.size(words)
-    g = F.floor(h / 10)
-    a = (g % n).cast("int")
-    p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
-    planted = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p)))
+    planted = F.transform(F.array(words), repeated)[0]
     wanted = (h % 10 == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return docs.select("doc_id", F.when(wanted, F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+    return docs.select("doc_id", F.when(wanted, planted).otherwise(F.col("text")).alias("text"))
 
 
 @query()
