@@ -1,4 +1,4 @@
-from tarn.queries import catalog, checks, columns, graphs, scans, syncing, texts, writes  # noqa: F401
+from tarn.queries import catalog, checks, columns, graphs, keyed, scans, syncing, texts, writes  # noqa: F401
 from tarn.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

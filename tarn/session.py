@@ -10,8 +10,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Scratch paths of this process.
+#: Scratch paths of this process, and the fallback folder of each local session.
 _SCRATCH: list[str] = []
+_OWN_ROOT: dict[str, str] = {}
 
 
 def build_session(
@@ -50,9 +51,11 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor reaches")
-        root = tempfile.mkdtemp(prefix="tarn-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN_ROOT:
+            _OWN_ROOT[app] = tempfile.mkdtemp(prefix="tarn-")
+            atexit.register(shutil.rmtree, _OWN_ROOT[app], ignore_errors=True)
+        root = _OWN_ROOT[app]
     return root.rstrip("/")
 
 
