@@ -13,18 +13,22 @@ runs whose leading token occurs again are kept.
    leading tokens are sorted by the next one until they are alone. What is still equal after
    ``length`` bytes occurs elsewhere.
 4. The verdicts of a class go back to all of its members.
+
+Equal runs are told by a 128-bit digest of their bytes. Tokens are grouped by a fast hash, which
+never parts equal ones, and what is left equal at the end is compared byte by byte.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import text_batches
+from tarn.llm.common import keyed_text, text_batches
 from tarn.session import cut_lineage
 
 #: Bytes of runs that a bucket sorts at once.
@@ -68,11 +72,11 @@ class Hashes:
 
 
 def runs_of(text: bytes, length: int, token: int) -> tuple[np.ndarray, ...]:
-    """Runs of a text: first start, number of starts, anchor, hash of its token, hash of the run."""
+    """Runs of a text: first start, number of starts, anchor, hash of its token, digest of the run's bytes."""
     line = np.frombuffer(text, np.uint8)
     strings, width = len(line) - length + 1, length - token + 1
     if strings < 1:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64), [])
     hashes = Hashes(line)
     tokens = hashes.all_of(token)
     # Hash above, place below: the least of a window is its leftmost least token.
@@ -86,31 +90,55 @@ def runs_of(text: bytes, length: int, token: int) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     count = np.diff(np.append(first, strings))
     at = anchor[first]
-    whole = hashes.of(first, first + count - 1 + length) + _mixed((at - first + count * 65_536).astype(np.uint64))
+    view = memoryview(text)
+    ends = (first + count - 1 + length).tolist()
+    whole = [blake2b(view[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), ends, strict=True)]
     return first, count, at, tokens[at], whole
 
 
 def _runs(docs: DataFrame, length: int, token: int) -> DataFrame:
-    """``_id, _text_hash, _first, _count, _anchor, _token, _run`` of all runs of ``_id, _text, _text_hash``."""
+    """``_row, _first, _count, _anchor, _token, _run`` of all runs of ``_row, _text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             found = [runs_of(t.encode(), length, token) for t in batch.column(1).to_pylist()]
             rows = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-            first, count, at, tokens, whole = (np.concatenate(x) for x in zip(*found, strict=True))
+            first, count, at, tokens = (np.concatenate(x) for x in zip(*(f[:4] for f in found), strict=True))
+            whole = [w for f in found for w in f[4]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(first.astype(np.int32)),
-                 pa.array(count.astype(np.int32)), pa.array((at - first).astype(np.int32)),
-                 pa.array(tokens.view(np.int64)), pa.array(whole.view(np.int64))],
-                names=["_id", "_text_hash", "_first", "_count", "_anchor", "_token", "_run"],
+                [batch.column(0).take(rows), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)),
+                 pa.array((at - first).astype(np.int32)), pa.array(tokens.view(np.int64)), pa.array(whole, pa.binary())],
+                names=["_row", "_first", "_count", "_anchor", "_token", "_run"],
             )
 
-    kind = docs.schema["_id"].dataType.simpleString()
-    return docs.mapInArrow(
-        run, f"_id {kind}, _text_hash int, _first int, _count int, _anchor int, _token bigint, _run bigint"
+    return docs.select("_row", "_text").mapInArrow(
+        run, "_row bigint, _first int, _count int, _anchor int, _token bigint, _run binary"
     )
 
 
+def equal_bytes(line: np.ndarray, start: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
+    """``group`` numbers (of strings that one hash holds equal) parted where the bytes differ."""
+    order = np.argsort(group, kind="stable")
+    heads = np.concatenate(([True], group[order][1:] != group[order][:-1]))
+    first = np.empty(len(group), np.int64)
+    first[order] = start[order][np.flatnonzero(heads)[np.cumsum(heads) - 1]]
+    odd = np.zeros(len(group), bool)
+    for at in range(0, len(group), 20_000):
+        part = slice(at, at + 20_000)
+        steps = np.arange(length)
+        odd[part] = (line[start[part, None] + steps] != line[first[part, None] + steps]).any(axis=1)
+    if not odd.any():
+        return group
+    # A collision: every group that has one is parted by its bytes themselves.
+    parted = np.isin(group, group[odd])
+    names: dict[tuple[int, bytes], int] = {}
+    group = group.copy()
+    for i in np.flatnonzero(parted).tolist():
+        key = int(group[i]), line[start[i] : start[i] + length].tobytes()
+        group[i] = names.setdefault(key, len(start) + len(names))
+    return group
+
+
 def repeated_starts(runs: list[tuple[int, int, int, bool, bytes]], length: int, token: int) -> list[np.ndarray]:
     """For each run (token, anchor, number of starts, known, bytes) which of its starts occur again.
 
@@ -139,6 +167,9 @@ def repeated_starts(runs: list[tuple[int, int, int, bool, bytes]], length: int,
         left = left[np.bincount(group, weight[left])[group] >= 2]
         if not len(left):
             break
+    if len(left):
+        _, group = np.unique(equal_bytes(line, start[left], label[left], length), return_inverse=True)
+        left = left[np.bincount(group, weight[left])[group] >= 2]
     again = np.zeros(len(run), bool)
     again[left] = True
     return np.split(again, np.cumsum(counts)[:-1])
@@ -161,7 +192,7 @@ def _verdicts(texts: DataFrame, length: int, token: int) -> DataFrame:
             columns = [[r[0] for r in rows], [r[1] for r in rows], [_spans(f) for f in found]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["_token", "_run", "_spans"])
 
-        types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))]
+        types = [pa.int64(), pa.binary(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))]
         size = 0
         for batch in text_batches(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -174,7 +205,7 @@ def _verdicts(texts: DataFrame, length: int, token: int) -> DataFrame:
             yield judge(held)
 
     columns = ["_token", "_run", "_anchor", "_count", "_rows", "_bytes"]
-    return spread.select(*columns).mapInArrow(run, "_token bigint, _run bigint, _spans array<struct<lo:int,hi:int>>")
+    return spread.select(*columns).mapInArrow(run, "_token bigint, _run binary, _spans array<struct<lo:int,hi:int>>")
 
 
 def without_repeats(
@@ -185,15 +216,15 @@ def without_repeats(
     A byte goes if a string of ``length`` bytes over it also starts anywhere else, in the same
     text or another; strings never cross texts and are judged on the input. ``kept`` is binary,
     since a cut may fall inside a character; ``spans`` are the removed [start, end) of bytes. A
-    null text counts as empty. Rows that repeat an id are texts of their own, so equal rows
-    remove each other's bytes. No rows give no rows; extra columns are not read.
+    null text counts as empty. Every row is a text of its own under a number of its own, whatever
+    ids repeat, so equal rows remove each other's bytes and others leave each other alone. No rows
+    give no rows; extra columns are not read.
     """
     if length % token or length < 2 * token:
         raise ValueError("the length must be at least two whole tokens")
-    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    texts = texts.withColumn("_text_hash", F.hash("_text"))
+    texts = cut_lineage(keyed_text(docs, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()))
     runs = _runs(texts, length, token)
-    place = F.struct("_id", "_text_hash", "_first")
+    place = F.struct("_row", "_first")
     classes = (
         runs.groupBy("_token", "_run").agg(
             F.count("*").alias("_rows"), F.min(place).alias("_place"), F.first("_count").alias("_count"),
@@ -207,30 +238,25 @@ def without_repeats(
     ))
     # The bytes of one member of each class that has other classes to be compared with.
     wanted = again.where("_classes > 1").select(
-        F.col("_id").alias("_of"), "_text_hash",
-        F.struct("_token", "_run", "_anchor", "_count", "_rows", "_first").alias("_class"),
+        "_row", F.struct("_token", "_run", "_anchor", "_count", "_rows", "_first").alias("_class")
     )
     cut = F.substring(F.encode("_text", "UTF-8"), F.col("_class._first") + 1, F.col("_class._count") - 1 + F.lit(length))
-    member = (F.col("_id").eqNullSafe(F.col("_of"))) & (texts["_text_hash"] == wanted["_text_hash"])
-    # Equal rows give a class's bytes more than once; the sorter then counts them as known.
-    fetched = texts.join(wanted, member).select("_class.*", cut.alias("_bytes"))
+    fetched = texts.select("_row", "_text").join(wanted, "_row").select("_class.*", cut.alias("_bytes"))
     verdicts = _verdicts(fetched, length, token)
     whole = F.array(F.struct(F.lit(0).alias("lo"), F.col("_count").alias("hi")))
     alone = again.where("_rows > 1").select("_token", "_run", whole.alias("_spans"))
     judged = cut_lineage(alone.unionByName(verdicts.join(again.where("_rows = 1"), ["_token", "_run"], "left_semi")))
     judged = judged.where(F.size("_spans") > 0)
     covered = (
-        runs.select("_id", "_text_hash", "_first", "_token", "_run").join(judged, ["_token", "_run"])
-        .select("_id", "_text_hash", F.explode("_spans").alias("_span"), "_first")
+        runs.select("_row", "_first", "_token", "_run").join(judged, ["_token", "_run"])
+        .select("_row", F.explode("_spans").alias("_span"), "_first")
         .select(
-            "_id", "_text_hash",
+            "_row",
             F.struct((F.col("_first") + F.col("_span.lo")).alias("start"), (F.col("_first") + F.col("_span.hi") - 1 + F.lit(length)).alias("end")).alias("_cut"),
         )
-        .groupBy("_id", "_text_hash").agg(F.collect_set("_cut").alias("_cuts"))
-        .select(F.col("_id").alias("_of"), F.col("_text_hash").alias("_of_hash"), "_cuts")
+        .groupBy("_row").agg(F.collect_set("_cut").alias("_cuts"))
     )
-    mine = F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_text_hash") == F.col("_of_hash"))
-    joined = texts.join(covered, mine, "left").select("_id", "_text", "_cuts")
+    joined = texts.join(covered, "_row", "left").select("_id", "_text", "_cuts")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]

@@ -241,3 +241,37 @@ def test_shards_of_given_documents(spark, sf_dir, given_docs):
     assert sorted(r["doc_id"] for r in found) == sorted(texts)
     assert all(r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) and r["law"] == "bytes" and r["grown_shard"] is None for r in found)
     check_shards([(texts[r["doc_id"]], r["size"], r["shard"], r["slot"]) for r in found], 16)
+
+
+# Repeated strings: rows of one id, and hashes that collide
+
+
+def test_rows_of_one_id_are_texts_of_their_own(spark):
+    from tarn.llm.suffix_dedup import without_repeats
+
+    draw = random.Random(8)
+    texts = ["".join(draw.choices("abcdefgh ", k=300)) for _ in range(60)]
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(None, texts[7][50:250]), (5, texts[9])], "doc_id bigint, text string")
+    found = without_repeats(docs, length=100, token=25)
+    given = [*texts, texts[7][50:250], texts[9]]
+    plain = brute.without_repeats(given, 100)
+    expected = sorted((n, gone, bytes(kept)) for n, gone, _, kept in plain)
+    assert sorted((r[1], r[1] - len(r[2]), bytes(r[2])) for r in found.collect()) == expected
+    assert sum(gone > 0 for _, gone, *_ in plain) == 4
+
+
+def test_colliding_hashes_remove_nothing_that_does_not_repeat(monkeypatch):
+    from tarn.llm import suffix_dedup
+
+    draw = random.Random(9)
+    shared = bytes(draw.choices(b"xyz", k=130))
+    texts = [bytes(draw.choices(b"abc", k=140)) for _ in range(30)] + [b"1" + shared, shared + b"2"]
+    real = suffix_dedup.Hashes.of
+    monkeypatch.setattr(suffix_dedup.Hashes, "of", lambda self, a, b: real(self, a, b) & np.uint64(1))
+    # One token for all, and the distance 0: every start of one place is held equal by the hash.
+    runs = [(0, 60, len(t) - 100 + 1, False, t) for t in texts]
+    found = suffix_dedup.repeated_starts(runs, 100, 25)
+    for t, again in zip(texts, found, strict=True):
+        for i, verdict in enumerate(again.tolist()):
+            same = sum(u[i : i + 100] == t[i : i + 100] for u in texts)
+            assert verdict == (same > 1)
