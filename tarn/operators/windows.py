@@ -138,9 +138,9 @@ def rank_in_group(df: DataFrame, by: Sequence[str], value: str, name: str = "ran
     totals = df.groupBy(F.struct(*group, place.alias("range")).alias("_in")).agg(F.count("*").alias("_total"))
     before = Window.partitionBy(*[F.col(f"_in.g{i}") for i in range(len(by))]).orderBy("_in.range").rowsBetween(Window.unboundedPreceding, -1)
     salts = F.sequence(F.lit(0), F.when(F.col("_in.range") % 2 == 1, SALTS - 1).otherwise(0))
-    above = totals.select(
-        F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_above"), "_in", F.explode(salts).alias("_salt")
-    ).select("_above", F.struct("_in.*", F.col("_salt").alias("salt")).alias("_at"))
+    above = totals.select("_in", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_above"))
+    salted = above.select("_above", "_in", F.explode(salts).alias("_salt"))
+    above = salted.select("_above", F.struct("_in.*", F.col("_salt").alias("salt")).alias("_at"))
     placed = df.withColumn("_at", F.struct(*group, place.alias("range"), salt.alias("salt")))
     inside = F.rank().over(Window.partitionBy("_at").orderBy(ordered))
     rank = (F.col("_above") + F.col("_inside")).cast("bigint")

@@ -416,3 +416,24 @@ def test_long_phones_of_every_customer(spark, tmp_path):
     connection.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
     expected = connection.execute(oracle_sql()["normalize_all_long_phones"]).fetchall()
     assert len(found) == len(keys) and sorted(map(tuple, found)) == sorted(expected)
+
+
+def test_ranks_of_frequent_values_and_nulls(spark, monkeypatch):
+    """Many ranges, values that fill several of them, NULL groups, NaN and infinity: as one window has it."""
+    import random
+
+    from pyspark.sql import Window
+
+    from tarn.operators import windows
+
+    monkeypatch.setattr(windows, "RANGE_ROWS", 50)
+    draw = random.Random(2)
+    values = [None, float("nan"), float("inf"), 0.0, 0.0, 0.0, 0.0]
+    rows = [(draw.choice(["a", "b", None]), draw.choice([*values, draw.random(), draw.random(), float(draw.randrange(5))])) for _ in range(6000)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    bounds, frequent = windows.value_bounds(df, "v")
+    assert len(bounds) > 5 and 0.0 in frequent
+    plain = Window.partitionBy("g").orderBy(F.col("v").desc_nulls_last())
+    expected = df.withColumn("r", F.rank().over(plain).cast("bigint"))
+    found = windows.rank_in_group(df, ["g"], "v", "r")
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, expected.collect()))
