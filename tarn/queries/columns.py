@@ -182,26 +182,16 @@ def normalize_er_fields(spark: SparkSession, d: str) -> DataFrame:
     return raw.select("c_custkey", *[fn.normalize_field(c).alias(c) for c in ("email", "phone", "cnpj", "name")])
 
 
-@query("""
-SELECT c_custkey, repeat(c_custkey::VARCHAR, 12) AS long_phone, '119' || repeat(c_custkey::VARCHAR, 12) AS long_local FROM customer
-WHERE c_custkey::VARCHAR NOT LIKE '55%' AND c_custkey NOT IN (0, 5)
-""")
-def normalize_long_phones(spark: SparkSession, d: str) -> DataFrame:
-    """Of customers whose number has no prefix, no digit is lost; ``normalize_all_long_phones`` has all customers."""
-    key = F.col("c_custkey").cast("string")
-    raw = table(spark, d, "customer").where(~key.startswith("55") & ~F.col("c_custkey").isin(0, 5)).select(
-        "c_custkey", F.repeat(key, F.lit(12)).alias("long_phone"),
-        F.concat(F.lit("+55 (11) 9"), F.repeat(key, F.lit(12))).alias("long_local"),
-    )
-    return raw.select("c_custkey", *[fn.normalize_phone(c).alias(c) for c in ("long_phone", "long_local")])
-
-
-@query("""
+LONG_PHONES = """
 SELECT c_custkey,
        CASE WHEN c_custkey = 0 THEN repeat('0', 10) WHEN key LIKE '55%' OR c_custkey = 5 THEN substr(repeat(key, 12), 3) ELSE repeat(key, 12) END AS long_phone,
        '119' || repeat(key, 12) AS long_local
 FROM (SELECT c_custkey, c_custkey::VARCHAR AS key FROM customer)
-""")
+"""
+
+
+@query(LONG_PHONES, name="normalize_long_phones")
+@query(LONG_PHONES)
 def normalize_all_long_phones(spark: SparkSession, d: str) -> DataFrame:
     """Long numbers of every customer: only an international prefix (00, or 55 before a local number) goes, once."""
     key = F.col("c_custkey").cast("string")

@@ -13,6 +13,7 @@ from tarn.queries.registry import new_lake, query, table
 from tarn.session import scratch_path
 from tarn.sources.federation import FolderRemote, federate
 from tarn.sources.files import flatten_pages, page_envelope, parse_fields, read_documents, read_parquet_dir
+from tarn.sources.landed_source import register
 from tarn.sources.generate import PARTNER_COUNT, PARTNERS_SQL, gen_partners
 from tarn.sources.jdbc import read_increment
 
@@ -214,3 +215,29 @@ def origin_agnostic_read(spark: SparkSession, d: str) -> DataFrame:
         F.count("*").alias("n_suppliers"),
         F.sum(F.col("s_acctbal").cast("decimal(18,2)")).cast("double").alias("balance"),
     )
+
+
+@query("""
+SELECT event_type, count(*) AS n_events, max(event_id) AS last_event FROM events
+WHERE ts > TIMESTAMP '2024-01-03 00:00:00' GROUP BY event_type
+""")
+def source_increment(spark: SparkSession, d: str) -> DataFrame:
+    """Events above a mark through the library's own source, which filters before rows leave the reader."""
+    register(spark)
+    events = spark.read.format("landed").option("path", f"{d}/events.parquet").option("cursor", "ts").load()
+    mark = F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")
+    return events.where(F.col("ts") > mark).groupBy("event_type").agg(F.count("*").alias("n_events"), F.max("event_id").alias("last_event"))
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def source_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that land as JSON in two goes, streamed with offsets of files: each comes once."""
+    register(spark)
+    landing, target, checkpoint = (scratch_path(spark, n) for n in ("landing", "target", "offsets"))
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    for part in (0, 1):
+        turns.where(F.pmod("conv_id", F.lit(2)) == part).write.mode("append").json(landing)
+        stream = spark.readStream.format("landed").schema(turns.schema).option("path", landing).option("format", "json").load()
+        written = stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
+        written.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(turns.schema).parquet(target)
