@@ -1,4 +1,4 @@
-from tarn.queries import catalog, checks, columns, grants, graphs, keyed, maintained, scans, syncing, texts, writes  # noqa: F401
+from tarn.queries import catalog, checks, columns, grants, graphs, keyed, maintained, pages, scans, syncing, texts, writes  # noqa: F401
 from tarn.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
