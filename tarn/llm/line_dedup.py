@@ -152,7 +152,7 @@ def _lines(texts: DataFrame, known: tuple[list[bytes], list[bytes]], threshold:
 
     kind = texts.schema["_id"].dataType.simpleString()
     return texts.select("_id", "_text", "_text_hash").mapInArrow(
-        run, f"_id {kind}, _text_hash int, _line int, _set bigint, _size int, _alone int, _prefix array<int>"
+        run, f"_id {kind}, _text_hash bigint, _line int, _set bigint, _size int, _alone int, _prefix array<int>"
     )
 
 
@@ -311,7 +311,7 @@ def repeated_lines(
     """
     if not 0.5 <= threshold <= 1:
         raise ValueError("the threshold must be between 0.5 and 1")
-    texts = keyed_text(docs, id_col, text_col).withColumn("_text_hash", F.hash("_text"))
+    texts = keyed_text(docs, id_col, text_col).withColumn("_text_hash", F.xxhash64("_text"))
     counts = word_counts(texts)
     known = [bytes(r["_word"]) for r in most_frequent(counts, frequent)], [reached(counts, n) for n in LEVELS]
     lines = cut_lineage(_lines(texts, known, threshold))
