@@ -21,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,44 +38,91 @@ REMEMBERED = 400_000
 # -- words of a text -------------------------------------------------------------------------
 
 
-def _class_of(kind: str, top: int) -> str:
-    """A character class of all code points below ``top`` whose general category begins with ``kind``."""
-    spans, start = [], None
-    for point in range(top + 1):
-        inside = point < top and unicodedata.category(chr(point))[0] == kind
-        if inside and start is None:
-            start = point
-        elif not inside and start is not None:
-            spans.append(f"\\U{start:08x}-\\U{point - 1:08x}")
-            start = None
-    return "".join(spans)
+Spans = list[tuple[int, int]]
 
 
-@lru_cache(3)
-def _word_pattern(top: int) -> re.Pattern:
-    """Contractions, runs of letters, single digits, runs of anything else but white space.
+class CharacterTables(NamedTuple):
+    """What the tokenizers library holds of each character; its parts follow several Unicode versions."""
 
-    For texts of code points below ``top``: the fewer spans a class has, the faster it fails.
-    """
-    letters, numbers = _class_of("L", top), _class_of("N", top)
-    white = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{white}{letters}{numbers}]+")
+    #: First and last code points of runs of letters, and of numbers.
+    letters: Spans
+    numbers: Spans
+    #: Lower-case forms that Python's tables lack.
+    lower: dict[int, str]
+    #: Characters that its composition takes for base characters which compose with nothing.
+    apart: str
+
+
+@lru_cache(1)
+def character_tables() -> CharacterTables:
+    """The tables, asked of the library once over all code points (some 1,400 spans, so small to send)."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    whole = "".join(points)
 
+    def spans(kind: str) -> Spans:
+        runs = pre_tokenizers.Split(Regex(rf"\p{{{kind}}}+"), "removed", invert=True).pre_tokenize_str(whole)
+        return [(ord(run[0]), ord(run[-1])) for run, _ in runs]
 
-def find_words(text: str) -> list[str]:
-    """The words of a normalized text."""
-    if text.isascii():
-        top = 0x80
-    else:
-        top = 0x10000 if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else 0x110000
-    return _word_pattern(top).findall(text)
+    cased = [c for c in points if c != "\n"]
+    lowered = normalizers.Lowercase().normalize_str("\n".join(cased)).split("\n")
+    lower = {ord(c): low for c, low in zip(cased, lowered, strict=True) if low != c.lower()}
+    compose = normalizers.NFC().normalize_str
+    # A mark between marks of the last and the first class stays there only if it has no class.
+    apart = [c for c in points if unicodedata.combining(c) and compose(f"\u0345{c}\u0334") == f"\u0345{c}\u0334"]
+    for c in points:
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) == 2 and compose(parts) != unicodedata.normalize("NFC", parts):
+            apart.append(parts[1])
+    return CharacterTables(spans("L"), spans("N"), lower, "".join(apart))
 
 
-def normalized(text: str) -> str:
-    """Composed and lower-cased character by character (no rule for a final sigma)."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-    return text.lower()
+class Characters:
+    """Normalizes texts and finds their words by the tables."""
+
+    WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+    def __init__(self, tables: CharacterTables):
+        self._tables = tables
+        self._apart = re.compile(f"([{re.escape(tables.apart)}])") if tables.apart else None
+        self._unlowered = re.compile(f"[{re.escape(''.join(map(chr, tables.lower)))}]") if tables.lower else None
+        self._patterns: dict[int, re.Pattern] = {}
+
+    def _pattern(self, top: int) -> re.Pattern:
+        """Contractions, runs of letters, single digits, runs of anything else but white space.
+
+        For texts of code points below ``top``: the fewer spans a class has, the faster it fails.
+        """
+        if top not in self._patterns:
+            letters, numbers = (
+                "".join(f"\\U{a:08x}-\\U{min(b, top - 1):08x}" for a, b in spans if a < top)
+                for spans in (self._tables.letters, self._tables.numbers)
+            )
+            rest = f"[^{self.WHITE}{letters}{numbers}]+"
+            self._patterns[top] = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|{rest}")
+        return self._patterns[top]
+
+    def words(self, text: str) -> list[str]:
+        """The words of a normalized text."""
+        if text.isascii():
+            top = 0x80
+        else:
+            top = 0x10000 if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else 0x110000
+        return self._pattern(top).findall(text)
+
+    def normalized(self, text: str) -> str:
+        """Composed and lower-cased character by character (no rule for a final sigma)."""
+        if not text.isascii():
+            if self._apart and self._apart.search(text):
+                parts = self._apart.split(text)
+                text = "".join(p if i % 2 else unicodedata.normalize("NFC", p) for i, p in enumerate(parts))
+            else:
+                text = unicodedata.normalize("NFC", text)
+            text = text.replace("Σ", "σ")
+            if self._unlowered and self._unlowered.search(text):
+                text = text.translate(self._tables.lower)
+        return text.lower()
 
 
 def byte_symbols() -> list[str]:
@@ -87,8 +135,9 @@ def byte_symbols() -> list[str]:
 class Vocabulary:
     """Tokens, merge ranks and added tokens of a byte-level BPE file with word ends."""
 
-    def __init__(self, content: bytes):
+    def __init__(self, content: bytes, tables: CharacterTables | None = None):
         file = json.loads(content)
+        self.characters = Characters(tables or character_tables())
         model = file["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.end: str = model.get("end_of_word_suffix") or ""
@@ -103,12 +152,15 @@ class Vocabulary:
     def words(self, text: str) -> list[str]:
         """Pre-tokens in order; an added token in the text stays one word."""
         if self.added_pattern is None or not self.added_pattern.search(text):
-            return find_words(normalized(text))
+            return self._found(text)
         found: list[str] = []
         for i, part in enumerate(self.added_pattern.split(text)):
-            found += [ADDED + part] if i % 2 else find_words(normalized(part))
+            found += [ADDED + part] if i % 2 else self._found(part)
         return found
 
+    def _found(self, text: str) -> list[str]:
+        return self.characters.words(self.characters.normalized(text))
+
     def merge(self, word: str) -> tuple[int, ...]:
         """Ids of one word of any length by its merges, lowest rank and then leftmost first."""
         if word.startswith(ADDED):
@@ -301,8 +353,8 @@ class Lexicon:
 class Codec:
     """Encodes and decodes texts with a vocabulary and a lexicon."""
 
-    def __init__(self, vocabulary: bytes, lexicon: bytes):
-        self.vocabulary = Vocabulary(vocabulary)
+    def __init__(self, vocabulary: bytes, lexicon: bytes, tables: CharacterTables | None = None):
+        self.vocabulary = Vocabulary(vocabulary, tables)
         self.lexicon = Lexicon(lexicon)
         self.merger = Merger(self.vocabulary)
         self._known: dict[str, tuple[int, ...]] = {}
@@ -334,8 +386,10 @@ class Codec:
 def frequent_words(texts: DataFrame, vocabulary: bytes, most: int) -> list[str]:
     """The most frequent pre-tokens, at most ``most``, over all of ``_text``; each task counts its own first."""
 
+    tables = character_tables()
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = Vocabulary(vocabulary).words, Counter()
+        words, counts = Vocabulary(vocabulary, tables).words, Counter()
 
         def counted() -> Iterator[pa.RecordBatch]:
             found = list(counts.items())
@@ -380,7 +434,7 @@ def encode_and_decode(
         vocabulary = file.read()
     texts = keyed_text(docs, id_col, text_col)
     context = docs.sparkSession.sparkContext
-    sent = context.broadcast((vocabulary, build_lexicon(texts, vocabulary, lexicon_words)))
+    sent = context.broadcast((vocabulary, build_lexicon(texts, vocabulary, lexicon_words), character_tables()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(*sent.value)

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import pytest
@@ -100,6 +101,21 @@ def test_codec_equals_the_tokenizer(tokenizer):
     assert Merger(vocabulary).merge(some) == {w: vocabulary.merge(w) for w in some}
 
 
+def test_codec_equals_the_tokenizer_at_every_code_point(tokenizer):
+    with open(tokenizer_path(), "rb") as file:
+        codec = Codec(file.read(), compile_lexicon({}))
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    blocks = ["".join(f"a{c}1{c}!{c} " for c in points[at : at + 500]) for at in range(0, len(points), 500)]
+    marks = [c for c in points if unicodedata.combining(c) or len(unicodedata.normalize("NFD", c)) > 1]
+    for c in marks:  # composed and decomposed, and between marks of other classes
+        parts = unicodedata.normalize("NFD", c)
+        blocks.append(f"{parts} a{parts}\u0301 \u0345{parts}\u0334 e\u0301{c}\u0323\u0301 Σ{c}")
+    rng = random.Random(5)
+    blocks += ["".join(rng.choices(marks, k=12)) + "aÉ" + "".join(rng.choices(points, k=20)) for _ in range(3_000)]
+    for text, ids, expected in zip(blocks, codec.encode(blocks), tokenizer.encode_batch(blocks, add_special_tokens=False), strict=True):
+        assert ids.tolist() == expected.ids, ascii(text)
+
+
 def test_states_are_shared_between_words_and_suffixes():
     import numpy as np
 
