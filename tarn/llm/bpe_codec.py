@@ -86,7 +86,8 @@ class Characters:
     def __init__(self, tables: CharacterTables):
         self._tables = tables
         self._apart = re.compile(f"([{re.escape(tables.apart)}])") if tables.apart else None
-        self._unlowered = re.compile(f"[{re.escape(''.join(map(chr, tables.lower)))}]") if tables.lower else None
+        self._unlike = np.zeros(0x110000, bool)
+        self._unlike[[*map(ord, tables.apart), *tables.lower]] = True
         self._patterns: dict[int, re.Pattern] = {}
 
     def _pattern(self, top: int) -> re.Pattern:
@@ -114,14 +115,14 @@ class Characters:
     def normalized(self, text: str) -> str:
         """Composed and lower-cased character by character (no rule for a final sigma)."""
         if not text.isascii():
-            if self._apart and self._apart.search(text):
-                parts = self._apart.split(text)
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            if self._unlike[points].any():
+                parts = self._apart.split(text) if self._apart else [text]
                 text = "".join(p if i % 2 else unicodedata.normalize("NFC", p) for i, p in enumerate(parts))
+                text = text.translate(self._tables.lower)
             else:
                 text = unicodedata.normalize("NFC", text)
             text = text.replace("Σ", "σ")
-            if self._unlowered and self._unlowered.search(text):
-                text = text.translate(self._tables.lower)
         return text.lower()
 
 
