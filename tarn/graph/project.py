@@ -11,6 +11,14 @@ from pyspark.sql import types as T
 
 from tarn.functions.ids import uuid5
 from tarn.graph.entities import node_id, with_entity_key
+from tarn.graph.identity import (
+    EntityChange,
+    keys_of_same_entities,
+    refresh_entities,
+    rows_of_entities,
+    state_index,
+    store_entities,
+)
 from tarn.graph.ontology import EdgeMap, NodeMap, Ontology, OntologyHistory, TimelineMap, validate_ontology
 from tarn.lake.store import LakeStore
 from tarn.operators.merge import keep_latest, without_keys
@@ -148,10 +156,11 @@ def project_events(event: TimelineMap, clean: DataFrame, node: NodeMap, index: D
 
 
 class Graph:
-    """``nodes``, ``edges`` and ``events`` DataFrames."""
+    """``nodes``, ``edges`` and ``events`` DataFrames; of a projection also its rows with entity keys by label."""
 
     def __init__(self, nodes: DataFrame | None, edges: DataFrame | None, events: DataFrame | None = None):
         self.nodes, self.edges, self.events = nodes, edges, events
+        self.keyed: dict[str, DataFrame] = {}
 
 
 def _union(frames: Sequence[DataFrame]) -> DataFrame | None:
@@ -198,6 +207,7 @@ def project_graph(ontology: Ontology, read, parts: Sequence[str] = PARTS) -> Gra
     keyed = {n.label: keyed_rows(n, tables[n.source]) for n in ontology.nodes}
     indexes = {n.label: key_index(n, keyed[n.label]) for n in _looked_up(ontology)}
     graph = _project(ontology, tables, indexes, parts)
+    graph.keyed = keyed
     if "nodes" in parts:
         graph.nodes = _union([project_nodes(n, keyed[n.label]) for n in ontology.nodes])
     return graph
@@ -221,6 +231,8 @@ def build_graph(
     validate_ontology(lake, ontology)
     pinned = snapshots or {}
     graph = project_graph(ontology, lambda s: lake.read(s, snapshot=pinned.get(s)))
+    for node in _looked_up(ontology):
+        store_entities(lake, node, graph.keyed[node.label], suffix)
     return _store(lake, graph, "overwrite" if reset else "merge", suffix)
 
 
@@ -240,22 +252,29 @@ def refresh_graph(lake: LakeStore, ontology: Ontology, since: dict[str, object],
 
     All edges that start at a key of a changed row are made anew and replace the stored ones
     of that start, so an edge whose end moved leaves nothing behind. Nodes and edges whose
-    key is in no row any more are removed; only keys are compared for that. Nodes resolved
-    by several fields can join older entities, so such a map needs a rebuild; single-field
-    and key ids depend on the row alone.
+    key is in no row any more are removed; only keys are compared for that. Where identity
+    fields or origins decide an id, ``refresh_entities`` tells which entities merged, split or
+    changed; their nodes, the edges at either end and their events are made anew.
     """
-    if any(len(n.er_fields) > 1 for n in ontology.nodes):
-        raise ValueError("multi-field resolution is rebuilt, not refreshed")
     tables = {s: lake.read(s) for s in _sources(ontology)}
-    keyed = {n.label: keyed_rows(n, tables[n.source]) for n in ontology.nodes}
-    indexes = {n.label: key_index(n, keyed[n.label]) for n in _looked_up(ontology)}
     changed = {s: lake.read(s, watermark=since.get(s), cursor=cursor) for s in tables}
+    changes = {n.label: refresh_entities(lake, n, tables[n.source]) for n in _looked_up(ontology)}
+    indexes = {label: state_index(ontology.node(label), c.state) for label, c in changes.items()}
+    moved = {label: c.keys.select(F.col("key").alias("_moved")) for label, c in changes.items()}
     edges, groups, starts = [], [], []
     for edge in ontology.edges:
         source, target = ontology.node(edge.from_label), ontology.node(edge.to_label)
-        key = F.col(edge.from_key)
-        touched = changed[edge.source].select(key.alias("_touched")).where("_touched IS NOT NULL").distinct()
-        rows = tables[edge.source].join(touched, key == F.col("_touched"), "left_semi")
+        key, rows = F.col(edge.from_key).cast("string"), tables[edge.source]
+        touched = [changed[edge.source].select(key.alias("_touched"))]
+        if source.label in moved:
+            touched.append(moved[source.label].select(F.col("_moved").alias("_touched")))
+        if target.label in moved:
+            touched.append(_rows_with(rows, edge.to_key, moved[target.label]).select(key.alias("_touched")))
+        touched = _union(touched).where("_touched IS NOT NULL").distinct()
+        if source.label in indexes:
+            touched = keys_of_same_entities(cut_lineage(touched), indexes[source.label])
+        touched = cut_lineage(touched)
+        rows = rows.join(touched, key == F.col("_touched"), "left_semi")
         edges.append(project_edges(edge, rows, source, target, indexes))
         groups.append(_starts(edge, touched.select(F.col("_touched").alias(edge.from_key)), source, indexes))
         starts.append(_starts(edge, tables[edge.source].select(edge.from_key), source, indexes))
@@ -265,14 +284,39 @@ def refresh_graph(lake: LakeStore, ontology: Ontology, since: dict[str, object],
         gone = without_keys(kept, _union(starts), ["type", "src"])
         lake.delete_where_in(("graph", "edges"), ["type", "src"], _union(groups).unionByName(gone))
     if stored["nodes"] is not None:
-        present = [k.select(node_id(label, "entity_key").alias("entity_id")) for label, k in keyed.items()]
+        present = [_present(n, tables[n.source], changes.get(n.label)) for n in ontology.nodes]
         gone = cut_lineage(without_keys(stored["nodes"].select("entity_id"), _union(present), "entity_id"))
         if not gone.isEmpty():
             lake.delete_where_in(("graph", "nodes"), "entity_id", gone)
-    graph = _project(ontology, changed, indexes, ["events"])
-    graph.edges = _union(edges)
-    graph.nodes = _union([project_nodes(n, keyed_rows(n, changed[n.source])) for n in ontology.nodes])
-    return _store(lake, graph, "merge")
+    events = []
+    for event in ontology.timeline:
+        node, rows = ontology.node(event.label), changed[event.source]
+        if node.label in changes:
+            if stored["events"] is not None:
+                old = [changes[node.label].entities.select(F.col("entity").alias("_name")), moved[node.label].select(F.col("_moved").alias("_name"))]
+                ids = _union(old).select(F.lit(event.type).alias("type"), node_id(node.label, "_name").alias("entity_id"))
+                lake.delete_where_in(("graph", "events"), ["type", "entity_id"], ids)
+            rows = rows.unionByName(_rows_with(tables[event.source], event.key, moved[node.label]))
+        events.append(project_events(event, rows, node, indexes.get(node.label)))
+    nodes = []
+    for n in ontology.nodes:
+        if n.label in changes:
+            keyed = rows_of_entities(n, tables[n.source], changes[n.label], changed[n.source])
+        else:
+            keyed = keyed_rows(n, changed[n.source])
+        nodes.append(project_nodes(n, keyed))
+    return _store(lake, Graph(_union(nodes), _union(edges), _union(events)), "merge")
+
+
+def _rows_with(rows: DataFrame, key: str, moved: DataFrame) -> DataFrame:
+    return rows.join(moved, F.col(key).cast("string") == F.col("_moved"), "left_semi")
+
+
+def _present(node: NodeMap, clean: DataFrame, change: EntityChange | None) -> DataFrame:
+    """``entity_id`` of all entities the source has."""
+    if change is not None:
+        return change.state.select(node_id(node.label, "entity").alias("entity_id"))
+    return keyed_rows(node, clean).select(node_id(node.label, "entity_key").alias("entity_id"))
 
 
 def _starts(edge: EdgeMap, keys: DataFrame, source: NodeMap, indexes: dict[str, DataFrame]) -> DataFrame:

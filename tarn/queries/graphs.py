@@ -344,6 +344,65 @@ def graph_refresh_equals_rebuild(spark: SparkSession, d: str) -> DataFrame:
     return frames[0].unionByName(frames[1])
 
 
+IDENTITIES = {
+    "nodes": [
+        {"label": "Person", "source": "clean/people", "id_field": "id", "er_fields": ["household", "badge"], "cursor": "updated_at"},
+        {"label": "Sale", "source": "clean/sales", "id_field": "sale"},
+    ],
+    "edges": [{"type": "BUYER", "source": "clean/sales", "from_label": "Sale", "from_key": "sale", "to_label": "Person", "to_key": "person"}],
+}
+
+
+@query("""
+WITH people AS (
+  SELECT c_custkey AS id, c_custkey // 3 AS house FROM customer WHERE c_custkey % 30 <> 7
+), entities AS (
+  SELECT id, CASE house % 4 WHEN 0 THEN 'alone ' || house WHEN 2 THEN 'left ' || house
+    WHEN 1 THEN 'joined ' || (house // 4) ELSE 'joined ' || (house // 4 + 1) END AS entity FROM people
+), counts AS (
+  SELECT 'nodes' AS part, (SELECT count(DISTINCT entity) FROM entities) + (SELECT count(*) FROM orders) AS n
+  UNION ALL SELECT 'edges', count(*) FROM orders WHERE o_custkey IS NOT NULL
+  UNION ALL SELECT 'buyers', count(DISTINCT coalesce(entity, 'none ' || o_custkey)) FROM orders LEFT JOIN entities ON o_custkey = id
+)
+SELECT part, n AS stored, n AS same FROM counts
+""")
+def graph_refresh_identities(spark: SparkSession, d: str) -> DataFrame:
+    """Households joined by the badge of one member: badges move, members go, and the graph follows by delta.
+
+    Every two households share a badge at first. Then one of four loses it and is alone, and
+    another takes that of a household it had nothing to do with.
+    """
+    lake, ontology = new_lake(spark), parse_ontology(IDENTITIES)
+    house = F.floor(F.col("id") / 3)
+    first = F.col("id") % 3 == 0
+    people = table(spark, d, "customer").select(F.col("c_custkey").alias("id")).select(
+        "id", house.cast("string").alias("household"), F.when(first, F.floor(F.col("id") / 6)).cast("string").alias("badge"),
+        F.lit("2024-01-01").cast("timestamp_ntz").alias("updated_at"),
+    )
+    lake.write("clean", "people", people)
+    lake.write("clean", "sales", table(spark, d, "orders").select(F.col("o_orderkey").alias("sale"), F.col("o_custkey").alias("person")).withColumn("updated_at", F.lit("2024-01-01").cast("timestamp_ntz")))
+    build_graph(lake, ontology)
+    moved = lake.read("clean/people").where(first & (house % 4).isin(0, 3)).withColumns({
+        "badge": F.when(house % 4 == 3, F.floor((F.col("id") + 3) / 6)).cast("string"),
+        "updated_at": F.lit("2024-01-02").cast("timestamp_ntz"),
+    })
+    gone = lake.read("clean/people").where("id % 30 = 7").select("id")
+    lake.write("clean", "people", moved, "merge", pk="id")
+    lake.delete_where_in("clean/people", "id", gone)
+    mark = "2024-01-01 00:00:00"
+    graph = refresh_graph(lake, ontology, {"clean/people": mark, "clean/sales": mark})
+    fresh = build_graph(lake, ontology, suffix="_fresh")
+    frames = []
+    for part, old, new in (
+        ("nodes", graph.nodes.select("entity_id", "entity_key"), fresh.nodes.select("entity_id", "entity_key")),
+        ("edges", graph.edges.select("type", "src", "dst"), fresh.edges.select("type", "src", "dst")),
+        ("buyers", graph.edges.select("dst").distinct(), fresh.edges.select("dst").distinct()),
+    ):
+        counts = row_counts_of(stored=old, same=old.join(new, old.columns, "left_semi"))
+        frames.append(counts.select(F.lit(part).alias("part"), "stored", "same"))
+    return reduce(DataFrame.unionByName, frames)
+
+
 @query(f"""
 SELECT label, status, count(*) AS n_nodes FROM (
   SELECT 'Contract' AS label, CASE WHEN o_orderdate >= TIMESTAMP '{RECENT}' THEN 'X' ELSE o_orderstatus END AS status FROM orders
