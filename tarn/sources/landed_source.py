@@ -22,6 +22,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
 from pyarrow import fs
+from pyarrow import json as pj
+from pyarrow import parquet as pq
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
@@ -41,6 +43,38 @@ COMPARED = {
     EqualTo: pc.equal, GreaterThan: pc.greater, GreaterThanOrEqual: pc.greater_equal, LessThan: pc.less, LessThanOrEqual: pc.less_equal,
 }
 
+#: Bytes of JSON that are parsed at once; a longer document is parsed whole.
+CHUNK = 8 << 20
+
+
+def whole_lines(source: pa.NativeFile) -> Iterator[bytes]:
+    """The bytes of a file in chunks that end with a line; blank ones are left out."""
+    held = []
+    while block := source.read(CHUNK):
+        end = block.rfind(b"\n") + 1
+        if end:
+            yield b"".join([*held, block[:end]])
+            held = []
+        held.append(block[end:])
+    yield b"".join(held)
+
+
+def json_schema(path: str, filesystem: fs.FileSystem) -> pa.Schema | None:
+    """The schema of the first documents of a file, None if it has none."""
+    with filesystem.open_input_stream(path) as source:
+        chunk = next((c for c in whole_lines(source) if c.strip()), None)
+    return chunk and pj.read_json(pa.BufferReader(chunk), pj.ReadOptions(block_size=len(chunk) + 1)).schema
+
+
+def json_batches(system: fs.FileSystem, path: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Documents of a file, with the columns of the schema alone; a file may be empty and a document of any length."""
+    parsed = pj.ParseOptions(explicit_schema=schema, unexpected_field_behavior="ignore")
+    with system.open_input_stream(path) as source:
+        for chunk in whole_lines(source):
+            if chunk.strip():
+                read = pj.ReadOptions(use_threads=False, block_size=len(chunk) + 1)
+                yield from pj.read_json(pa.BufferReader(chunk), read, parsed).select(schema.names).to_batches()
+
 
 def landed(path: str) -> tuple[fs.FileSystem, list[fs.FileInfo]]:
     """The files below ``path`` in the order in which they came; names that begin with _ or . are no data."""
@@ -82,13 +116,17 @@ class _Files:
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
         system, _ = fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else f"file://{self.path}")
-        kind = ds.ParquetFileFormat() if self.format == "parquet" else ds.JsonFileFormat()
+        wanted, kind = self.expression(), ds.ParquetFileFormat()
+        if self.format != "parquet":
+            found = json_batches(system, partition.path, self.schema)
+            yield from found if wanted is None else (b.filter(wanted) for b in found)
+            return
         if partition.groups is None:
             source = ds.dataset([partition.path], schema=self.schema, format=kind, filesystem=system)
         else:
             fragment = kind.make_fragment(partition.path, system, row_groups=partition.groups)
             source = ds.FileSystemDataset([fragment], self.schema, kind, system)
-        yield from source.to_batches(filter=self.expression())
+        yield from source.to_batches(filter=wanted)
 
 
 class LandedReader(_Files, DataSourceReader):
@@ -132,11 +170,13 @@ class LandedSource(DataSource):
         return "landed"
 
     def schema(self) -> StructType:
-        """That of the first file, where the reader was given none."""
+        """That of the first file with rows, where the reader was given none."""
         system, files = landed(self.options["path"])
-        if not files:
+        schema_of = pq.read_schema if self.options.get("format", "parquet") == "parquet" else json_schema
+        found = next((s for s in (schema_of(f.path, filesystem=system) for f in files) if s is not None), None)
+        if found is None:
             raise ValueError("no file to take a schema from; give one")
-        return from_arrow_schema(ds.dataset([files[0].path], format=self.options.get("format", "parquet"), filesystem=system).schema, prefer_timestamp_ntz=True)
+        return from_arrow_schema(found, prefer_timestamp_ntz=True)
 
     def reader(self, schema: StructType) -> LandedReader:
         return LandedReader(dict(self.options), schema)

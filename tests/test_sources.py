@@ -11,6 +11,7 @@ from tarn.sources.federation import CatalogRemote, FolderRemote, JdbcRemote, fed
 from tarn.sources.files import flatten_pages, parse_fields, read_documents, read_open_table, read_parquet_dir
 from tarn.sources.generate import gen_contracts, gen_customers, gen_partners, gen_products
 from tarn.sources.jdbc import bounds_query, increment_query, jdbc_options, partition_options, read_increment
+from tarn.sources.landed_source import register
 
 def goods(spark):
     """Five goods, priced by number."""
@@ -144,3 +145,31 @@ def test_orders_fixture_grows_from_100_to_120(spark, lake):
     assert run_model(lake, model) == "merged"
     assert lake.count("raw/orders") == 120 and lake.count("clean/orders") == 120
     assert lake.read("clean/orders").where("external_id = 119").first().email == "u119@x.com"
+
+
+def test_landed_json_may_be_empty_and_documents_long(spark, tmp_path):
+    register(spark)
+    rows = [(1, "a", None), (2, "b" * 3_000_000, None), (3, None, "2024-01-01"), (4, "d\ne", "x")]
+    landing, target = tmp_path / "in", str(tmp_path / "out")
+    landing.mkdir()
+    (landing / "0.json").touch()
+    (landing / "1.json").write_text("\n")
+    spark.createDataFrame(rows, "id bigint, v string, w string").coalesce(1).write.mode("append").json(str(landing))
+    (landing / "2.json").write_text('{"id": 5, "other": {"a": 1}}\n{"id": 6, "other": 2}')
+    options = {"path": str(landing), "format": "json"}
+    stream = spark.readStream.format("landed").schema("id bigint, v string, w string").options(**options).load()
+    written = stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", str(tmp_path / "at"))
+    written.trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(target).collect())) == [*rows, (5, None, None), (6, None, None)]
+    (landing / "2.json").unlink()
+    read = spark.read.format("landed").options(**options).option("cursor", "id").load()
+    assert [(f.name, f.dataType.simpleString()) for f in read.schema] == [("id", "bigint"), ("v", "string"), ("w", "string")]
+    assert sorted(r["id"] for r in read.where("id > 2").collect()) == [3, 4]
+
+
+def test_turns_stream_when_the_first_partition_has_none_of_a_go(spark, tmp_path):
+    from tarn.queries.scans import source_stream
+
+    rows = [(i, 0, "user", f"t{i}") for i in range(1, 40, 2)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    assert sorted(map(tuple, source_stream(spark, str(tmp_path)).collect())) == rows
