@@ -261,7 +261,7 @@ def refresh_graph(lake: LakeStore, ontology: Ontology, since: dict[str, object],
     changes = {n.label: refresh_entities(lake, n, tables[n.source]) for n in _looked_up(ontology)}
     indexes = {label: state_index(ontology.node(label), c.state) for label, c in changes.items()}
     moved = {label: c.keys.select(F.col("key").alias("_moved")) for label, c in changes.items()}
-    edges, groups, starts = [], [], []
+    edges, groups, origins = [], [], {}
     for edge in ontology.edges:
         source, target = ontology.node(edge.from_label), ontology.node(edge.to_label)
         key, rows = F.col(edge.from_key).cast("string"), tables[edge.source]
@@ -277,11 +277,10 @@ def refresh_graph(lake: LakeStore, ontology: Ontology, since: dict[str, object],
         rows = rows.join(touched, key == F.col("_touched"), "left_semi")
         edges.append(project_edges(edge, rows, source, target, indexes))
         groups.append(_starts(edge, touched.select(F.col("_touched").alias(edge.from_key)), source, indexes))
-        starts.append(_starts(edge, tables[edge.source].select(edge.from_key), source, indexes))
+        origins.setdefault(edge.type, {})[edge.source, edge.from_key, edge.from_label] = edge
     stored = {p: lake.pin(("graph", p)) if lake.table_exists(("graph", p)) else None for p in PARTS}
     if edges and stored["edges"] is not None:
-        kept = stored["edges"].select("type", "src").distinct()
-        gone = without_keys(kept, _union(starts), ["type", "src"])
+        gone = _without_start(stored["edges"].select("type", "src"), ontology, origins, tables, indexes)
         lake.delete_where_in(("graph", "edges"), ["type", "src"], _union(groups).unionByName(gone))
     if stored["nodes"] is not None:
         present = [_present(n, tables[n.source], changes.get(n.label)) for n in ontology.nodes]
@@ -326,6 +325,23 @@ def _starts(edge: EdgeMap, keys: DataFrame, source: NodeMap, indexes: dict[str,
     return rows.select(F.lit(edge.type).alias("type"), "src")
 
 
+def _without_start(
+    kept: DataFrame, ontology: Ontology, origins: dict[str, dict[tuple, EdgeMap]],
+    tables: dict[str, DataFrame], indexes: dict[str, DataFrame],
+) -> DataFrame:
+    """``type, src`` of stored edges that no row starts any more; types that start at the same rows are looked up in them once."""
+    types: dict[frozenset, list[str]] = {}
+    for name, found in origins.items():
+        types.setdefault(frozenset(found), []).append(name)
+    known = F.coalesce(F.col("type").isin(list(origins)), F.lit(False))
+    gone = [kept.where(~known)]
+    for names in types.values():
+        maps = origins[names[0]].values()
+        starts = [_starts(e, tables[e.source].select(e.from_key), ontology.node(e.from_label), indexes).select("src") for e in maps]
+        gone.append(without_keys(kept.where(F.col("type").isin(names)), _union(starts), "src"))
+    return _union(gone)
+
+
 def ghost_entities(stored: DataFrame, projected: DataFrame) -> DataFrame:
     """Stored nodes the current ontology no longer produces."""
     return without_keys(stored, projected, "entity_id")

@@ -275,3 +275,28 @@ def test_refresh_without_stored_state_makes_everything_anew(spark, lake):
     fresh = build_graph(lake, ontology, suffix="_again")
     for part in ("nodes", "edges", "events"):
         assert {tuple(r) for r in getattr(graph, part).collect()} == {tuple(r) for r in getattr(fresh, part).collect()}
+
+
+def test_edges_without_a_start_are_looked_up_once_for_types_of_the_same_rows(spark, monkeypatch):
+    from tarn.graph import project
+    from tarn.graph.entities import node_id
+
+    ontology = parse_ontology({
+        "version": 1,
+        "nodes": [{"label": "A", "source": "clean/a", "id_field": "id"}, {"label": "B", "source": "clean/b", "id_field": "id"}],
+        "edges": [
+            {"type": t, "source": s, "from_label": "A", "from_key": "id", "to_label": "B", "to_key": k}
+            for t, s, k in (("ONE", "clean/a", "x"), ("TWO", "clean/a", "y"), ("BOTH", "clean/a", "x"), ("BOTH", "clean/b", "x"))
+        ],
+    })
+    tables = {"clean/a": spark.createDataFrame([(1,), (1,), (None,)], "id int"), "clean/b": spark.createDataFrame([(2,)], "id int")}
+    origins, asked = {}, []
+    for e in ontology.edges:
+        origins.setdefault(e.type, {})[e.source, e.from_key, e.from_label] = e
+    starts = project._starts
+    monkeypatch.setattr(project, "_starts", lambda e, *rest: asked.append(e.source) or starts(e, *rest))
+    kept = spark.createDataFrame([(t, k) for t in ("ONE", "TWO", "BOTH", "OLD") for k in (1, 2, 3)], "type string, k int")
+    kept = kept.withColumn("src", node_id("A", "k"))
+    gone = project._without_start(kept.select("type", "src"), ontology, origins, tables, {}).join(kept, ["type", "src"])
+    assert sorted((r["type"], r["k"]) for r in gone.collect()) == [("BOTH", 3), ("OLD", 1), ("OLD", 2), ("OLD", 3), ("ONE", 2), ("ONE", 3), ("TWO", 2), ("TWO", 3)]
+    assert sorted(asked) == ["clean/a", "clean/a", "clean/b"]
