@@ -281,7 +281,7 @@ class LakeStore:
         if tracked:
             measures.append(F.max(track).cast("string").alias("top"))
         seen = Observation()
-        writer = df.observe(seen, *measures).write
+        writer = df.observe(seen, *measures).write.option("compression", "zstd")
         if max_records_per_file:
             writer = writer.option("maxRecordsPerFile", max_records_per_file)
         writer.parquet(path)

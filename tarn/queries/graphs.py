@@ -16,7 +16,7 @@ from tarn.graph.project import sanitize_props as sanitize
 from tarn.queries.columns import unified
 from tarn.queries.inputs import CONTRACTS, RECENT, contracts, products, users
 from tarn.queries.registry import new_lake, query, row_counts_of, table, uuid5_sql
-from tarn.session import scratch_path
+from tarn.session import cut_lineage, scratch_path
 
 ONTOLOGY = {
     "version": 1,
@@ -49,6 +49,18 @@ UNION ALL SELECT 'ABOUT', 'Contract:' || external_id, 'Product:' || product_id F
 EDGES = f"SELECT type, {uuid5_sql('s')} AS src, {uuid5_sql('t')} AS dst FROM ({EDGE_KEYS})"
 
 
+def _digest(*columns: str):
+    """SHA-256 of the texts of a row, NULL if one of them is: 32 bytes to compare instead of the row."""
+    return F.unhex(F.sha2(F.concat(*[part for c in columns for part in (F.length(c), F.lit(":"), F.col(c))]), 256)).alias("_row")
+
+
+def _same_rows(stored: DataFrame, anew: DataFrame) -> DataFrame:
+    """``stored`` rows and those of them that are in ``anew``; each side is read once, as digests."""
+    row = _digest(*stored.columns)
+    held = cut_lineage(stored.select(row))
+    return row_counts_of(stored=held, same=held.join(anew.select(row), "_row", "left_semi"))
+
+
 def clean_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {
         "clean/users": users(spark, d),
@@ -257,10 +269,10 @@ def graph_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     graph = stored(spark, d)
     graph_query.export_csv(graph, path)
     back = graph_query.import_csv(spark, path)
-    keys = ["entity_id", "entity_key", "props", "label"]
-    nodes = back.nodes.join(graph.nodes.select(*keys), keys, "left_semi")
-    ends = ["type", "src", "dst", "props"]
-    edges = back.edges.join(graph.edges.select(*ends), ends, "left_semi")
+    node = _digest("entity_id", "entity_key", "props", "label")
+    nodes = back.nodes.select("label", node).join(graph.nodes.select(node), "_row", "left_semi")
+    edge = _digest("type", "src", "dst", "props")
+    edges = back.edges.select("type", edge).join(graph.edges.select(edge), "_row", "left_semi")
     count = F.count("*").alias("n_rows")
     return nodes.groupBy(F.lit("nodes").alias("part"), F.col("label").alias("name")).agg(count).unionByName(
         edges.groupBy(F.lit("edges").alias("part"), F.col("type").alias("name")).agg(count)
@@ -338,8 +350,7 @@ def graph_refresh_equals_rebuild(spark: SparkSession, d: str) -> DataFrame:
     for part in ("edges", "nodes"):
         stored, anew = getattr(graph, part), getattr(fresh, part)
         keys = [c for c in stored.columns if c != "updated_at"]
-        same = stored.select(*keys).join(anew.select(*keys), keys, "left_semi")
-        counts = row_counts_of(stored=stored, same=same)
+        counts = _same_rows(stored.select(*keys), anew.select(*keys))
         frames.append(counts.select(F.lit(part).alias("part"), "stored", "same"))
     return frames[0].unionByName(frames[1])
 
@@ -392,13 +403,14 @@ def graph_refresh_identities(spark: SparkSession, d: str) -> DataFrame:
     mark = "2024-01-01 00:00:00"
     graph = refresh_graph(lake, ontology, {"clean/people": mark, "clean/sales": mark})
     fresh = build_graph(lake, ontology, suffix="_fresh")
+    edges = cut_lineage(graph.edges.select("type", "src", "dst"))
     frames = []
     for part, old, new in (
         ("nodes", graph.nodes.select("entity_id", "entity_key"), fresh.nodes.select("entity_id", "entity_key")),
-        ("edges", graph.edges.select("type", "src", "dst"), fresh.edges.select("type", "src", "dst")),
-        ("buyers", graph.edges.select("dst").distinct(), fresh.edges.select("dst").distinct()),
+        ("edges", edges, fresh.edges.select("type", "src", "dst")),
+        ("buyers", edges.select("dst").distinct(), fresh.edges.select("dst").distinct()),
     ):
-        counts = row_counts_of(stored=old, same=old.join(new, old.columns, "left_semi"))
+        counts = _same_rows(old, new)
         frames.append(counts.select(F.lit(part).alias("part"), "stored", "same"))
     return reduce(DataFrame.unionByName, frames)
 

@@ -300,3 +300,14 @@ def test_edges_without_a_start_are_looked_up_once_for_types_of_the_same_rows(spa
     gone = project._without_start(kept.select("type", "src"), ontology, origins, tables, {}).join(kept, ["type", "src"])
     assert sorted((r["type"], r["k"]) for r in gone.collect()) == [("BOTH", 3), ("OLD", 1), ("OLD", 2), ("OLD", 3), ("ONE", 2), ("ONE", 3), ("TWO", 2), ("TWO", 3)]
     assert sorted(asked) == ["clean/a", "clean/a", "clean/b"]
+
+
+def test_lake_files_are_zstd_and_digests_keep_rows_apart(spark, lake):
+    from tarn.queries.graphs import _same_rows
+
+    lake.write("graph", "nodes", spark.range(3))
+    assert all(".zstd.parquet" in r["file_path"] for r in lake.data_files("graph/nodes").collect())
+    rows = [("a", "bc"), ("ab", "c"), ("1:", "x"), (None, "n")]
+    stored = spark.createDataFrame(rows, "u string, v string")
+    other = spark.createDataFrame([("a", "bc"), (":1", "x"), (None, "n")], "u string, v string")
+    assert tuple(_same_rows(stored, other).first()) == (4, 1)
