@@ -29,29 +29,44 @@ def object_paths(parents: DataFrame) -> DataFrame:
 
     A container without a row of its own, or with a NULL parent, is a root. An object has one
     container; of several the least counts. Objects on a containment cycle, and below one, hang
-    from nowhere: their path is their own id. One round for each level.
+    from nowhere: their path is their own id. One round for each level of containers.
     """
     rows = parents.where("object_id IS NOT NULL").groupBy("object_id").agg(F.min("parent_id").alias("parent_id"))
-    above = parents.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("object_id")).distinct()
-    roots = without_keys(above, rows, "object_id").withColumn("parent_id", F.lit(None).cast(rows.schema["parent_id"].dataType))
-    rows = cut_lineage(rows.unionByName(roots).withColumn("_step", _step("object_id")))
-    level = cut_lineage(rows.where("parent_id IS NULL").select("object_id", F.col("_step").alias("path")))
+    holders = parents.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("_holder")).distinct()
+    rows = cut_lineage(
+        rows.join(holders, F.col("object_id") == F.col("_holder"), "full_outer")
+        .select(F.coalesce("object_id", "_holder").alias("object_id"), "parent_id", F.col("_holder").isNotNull().alias("_holds"))
+        .withColumn("_step", _step("object_id"))
+    )
+    # Rounds walk the containers alone; what holds nothing is placed once, below them.
+    inner = rows.where("_holds").drop("_holds")
+    level = cut_lineage(inner.where("parent_id IS NULL").select("object_id", F.col("_step").alias("path")))
     found = level
     while True:
-        held = level.select(F.col("object_id").alias("parent_id"), F.col("path").alias("_above"))
-        level = cut_lineage(
-            rows.join(held, "parent_id").select("object_id", F.concat_ws(SEPARATOR, "_above", "_step").alias("path"))
-        )
+        level = cut_lineage(inner.join(_above(level), "parent_id").select("object_id", _below().alias("path")))
         if level.isEmpty():
             break
         found = found.unionByName(level)
-    found = found.unionByName(without_keys(rows, found, "object_id").select("object_id", F.col("_step").alias("path")))
-    return in_path_order(found)
+    adrift = without_keys(inner, found, "object_id").select("object_id", F.col("_step").alias("path"))
+    leaves = rows.where("NOT _holds").join(_above(found), "parent_id", "left").select("object_id", _below().alias("path"))
+    return in_path_order(found.unionByName(adrift).unionByName(leaves))
+
+
+def _above(held: DataFrame) -> DataFrame:
+    return held.select(F.col("object_id").alias("parent_id"), F.col("path").alias("_above"))
+
+
+def _below() -> Column:
+    """The path below a container's, or the step alone where there is none."""
+    return F.concat_ws(SEPARATOR, "_above", "_step")
 
 
 def in_path_order(rows: DataFrame) -> DataFrame:
-    """Rows written in ranges of ``path``, so that files cover few paths and a range filter skips the others."""
-    return cut_lineage(rows.repartitionByRange("path").sortWithinPartitions("path"))
+    """Rows written in ranges of ``path``, so that files cover few paths and a range filter skips the others.
+
+    They are written before, too: the ranges come from a sample, which would make the rows twice.
+    """
+    return cut_lineage(cut_lineage(rows).repartitionByRange("path").sortWithinPartitions("path"))
 
 
 def under(rows: DataFrame, path: str) -> DataFrame:
@@ -67,6 +82,12 @@ def prefixes(path: str = "path") -> Column:
     return F.transform(lengths, lambda n: F.array_join(F.slice(steps, F.lit(1), n), SEPARATOR))
 
 
+def container(path: str) -> Column:
+    """The path of an object's container, NULL for a root."""
+    last = F.length(F.substring_index(path, SEPARATOR, -1))
+    return F.when(F.contains(F.col(path), F.lit(SEPARATOR)), F.substring(F.col(path), F.lit(1), F.length(path) - last - 1))
+
+
 def grants_by_path(acl: DataFrame, paths: DataFrame) -> DataFrame:
     """``acl`` with the ``path`` of the object it is granted on, in path order; objects without a path are their own."""
     at = paths.select(F.col("object_id").alias("_object"), "path")
@@ -84,13 +105,16 @@ def effective_grants(asked: DataFrame, paths: DataFrame, grants: DataFrame) -> D
     wanted = asked.select("object_id").distinct()
     # An object that no container holds still has its own grants.
     placed = wanted.join(paths, "object_id", "left").withColumn("path", F.coalesce("path", _step("object_id")))
-    reached = placed.select("object_id", F.posexplode(prefixes()).alias("_up", "path"))
-    found = reached.join(grants, "path")
+    placed = cut_lineage(placed.withColumn("_container", container("path")))
     columns = [c for c in grants.columns if c != "path"]
-    own = found.where("_up = 0").select(*columns)
+    own = cut_lineage(placed.select("path").join(grants, "path").select(*columns))
+    # All that one container holds inherits the same, so the latest are found once for each container.
+    containers = placed.select("_container").where("_container IS NOT NULL").distinct()
+    reached = containers.select("_container", F.explode(prefixes("_container")).alias("path")).join(grants, "path")
     passed = (
-        found.where("_up > 0").withColumn("grant_type", F.lit("inherited"))
-        .withColumn("granted_via", F.col("source_object_id")).withColumn("source_object_id", F.col("object_id")).select(*columns)
+        reached.withColumn("grant_type", F.lit("inherited"))
+        .withColumn("granted_via", F.col("source_object_id")).select("_container", *[c for c in columns if c != "source_object_id"])
     )
-    once = keep_latest(passed, GRANT_KEY, ["extracted_at"])
-    return own.unionByName(without_keys(once, own, GRANT_KEY))
+    once = keep_latest(passed, ["_container", *[c for c in GRANT_KEY if c != "source_object_id"]], ["extracted_at"])
+    inherited = placed.select("_container", F.col("object_id").alias("source_object_id")).join(once, "_container").select(*columns)
+    return own.unionByName(without_keys(inherited, own, GRANT_KEY))
