@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.operators.windows import running_total
-from tarn.session import cut_lineage
+from tarn.session import cut_lineage, tasks_for
 
-#: Bits of a step between block sizes: a range is at most 2 * 63 blocks of each size.
+#: Bits of a step between block sizes: a range is at most 2 * 63 blocks of each size, and 4,096 of the largest.
 STEP = 6
 
 
@@ -32,16 +32,20 @@ def _blocks(low: Column, high: Column, level: int, top: int) -> Column:
     return F.when(above < above_end, F.concat(listed(first, inner), listed(inner_end, end))).otherwise(listed(first, end))
 
 
-def points_in_ranges(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, most: int) -> DataFrame:
+def points_in_ranges(
+    points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, most: int, dense: bool = False
+) -> DataFrame:
     """Rows of ``points`` joined with the ``ranges`` [low, high) that hold them; all values in [0, most).
 
     A range becomes the few blocks of 64^k points it consists of, a point one row for each block
-    size, and blocks are equal keys: no range is compared with points outside it. Each pair comes
-    once. Values stay below 2^50, where their quotients are exact.
+    size, and blocks are equal keys: no range is compared with points outside it. The largest
+    blocks hold a 64th of the numbers at most, so the rows of one key stay few. ``dense``
+    says that most numbers are points: rows are then dealt to as many tasks as the numbers need. Each
+    pair comes once. Values stay below 2^50, where their quotients are exact.
     """
     if most >= 1 << 50:
         raise ValueError("numbers must stay below 2^50")
-    top = max(0, -(-max(1, most - 1).bit_length() // STEP) - 1)
+    top = max(0, -(-max(1, most - 1).bit_length() // STEP) - 2)
     lows, highs = F.col(low).cast("bigint"), F.col(high).cast("bigint")
 
     def of_level(level: int) -> Column:
@@ -53,7 +57,11 @@ def points_in_ranges(points: DataFrame, ranges: DataFrame, point: str, low: str,
         F.struct(F.lit(level).alias("level"), F.shiftright(F.col(point).cast("bigint"), STEP * level).alias("block"))
         for level in range(top + 1)
     ])
-    return points.withColumn("_block", F.explode(levels)).join(blocks, "_block").drop("_block")
+    placed = points.withColumn("_block", F.explode(levels))
+    if dense:
+        tasks = tasks_for(most * (top + 1))
+        placed, blocks = placed.repartition(tasks, "_block"), blocks.repartition(tasks, "_block")
+    return placed.join(blocks, "_block").drop("_block")
 
 
 def tree_intervals(parents: DataFrame) -> DataFrame:

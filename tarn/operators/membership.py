@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tarn.operators.intervals import points_in_ranges, tree_intervals
 from tarn.operators.merge import without_keys
-from tarn.session import cut_lineage
+from tarn.session import cut_lineage, tasks_for
 
 
 def _trimmed(edges: DataFrame) -> DataFrame:
@@ -91,13 +91,18 @@ class MembershipLabels:
 
         Members of a cycle are members of each other; nobody is listed as a member of itself.
         """
-        asked = groups.select(F.col("group_id")).distinct()
+        # Written, so that the few groups asked about are sent to the labels and not the other way.
+        asked = cut_lineage(groups.select(F.col("group_id")).distinct())
         of = self.principals.select(F.col("node").alias("group_id"), "component")
+        placed = cut_lineage(asked.join(of, "group_id"))
         # A component alone in its interval has no members but those of its cycle.
-        ranges = asked.join(of, "group_id").join(self.intervals, "component").select("group_id", "low", "high")
+        ranges = cut_lineage(placed.join(self.intervals, "component").select("group_id", "low", "high"))
         points = self.principals.select(F.col("node").alias("member_principal_id"), "number")
-        found = points_in_ranges(points, ranges, "number", "low", "high", self.count)
-        return found.where("group_id <> member_principal_id").select("group_id", "member_principal_id").distinct()
+        found = points_in_ranges(points, ranges, "number", "low", "high", self.count, dense=True)
+        pairs = found.where("group_id <> member_principal_id").select("group_id", "member_principal_id")
+        # Intervals of a group may lie in each other; as many tasks as the pairs need tell copies apart.
+        most = ranges.agg(F.sum(F.col("high") - F.col("low"))).first()[0]
+        return pairs.repartition(tasks_for(most), "group_id", "member_principal_id").distinct()
 
     def is_member(self, pairs: DataFrame) -> DataFrame:
         """``pairs`` (group_id, member_principal_id) with ``is_member``; unknown ids are no members."""
@@ -125,42 +130,62 @@ def membership_labels(membership: DataFrame) -> MembershipLabels:
         .where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
     )
     # Only groups can be on a cycle: principals that hold nobody are not looked at.
-    groups = up.select(F.col("b").alias("a")).distinct()
-    cycles = cut_lineage(strong_components(up.join(groups, "a", "left_semi")))
-    nodes = up.select(F.col("a").alias("node")).unionByName(up.select(F.col("b").alias("node"))).distinct()
-    placed = cut_lineage(nodes.join(cycles, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
-
-    def component(column: str) -> DataFrame:
-        return placed.select(F.col("node").alias(column), F.col("component").alias(f"_{column}"))
-
-    edges = cut_lineage(
-        up.join(component("a"), "a").join(component("b"), "b").where("_a <> _b")
-        .select(F.col("_a").alias("child"), F.col("_b").alias("parent")).distinct()
-    )
-    tree = edges.groupBy("child").agg(F.min("parent").alias("parent"))
-    parents = placed.select(F.col("component").alias("node")).distinct().join(tree, F.col("node") == F.col("child"), "left").select("node", "parent")
-    intervals = cut_lineage(tree_intervals(parents))
+    groups = cut_lineage(up.select(F.col("b").alias("a")).distinct())
+    nested = cut_lineage(up.join(groups, "a", "left_semi"))
+    cycles = cut_lineage(strong_components(nested))
+    cyclic = not cycles.isEmpty()
+    edges, inner = (_condensed(pairs, cycles if cyclic else None) for pairs in (up, nested))
+    holders = groups.select(F.col("a").alias("node"))
+    if cyclic:
+        holders = holders.join(cycles, "node", "left").select(F.coalesce("component", "node").alias("node")).distinct()
+    tops = without_keys(holders, inner.select(F.col("child").alias("node")), "node").withColumn("parent", F.lit(None).cast("string"))
+    tree = edges.groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("parent"))
+    intervals = cut_lineage(tree_intervals(tree.unionByName(tops)))
     own = intervals.select(F.col("node").alias("component"), "low", "high")
-    extra = _exceptions(edges, intervals)
-    numbers = own.select("component", F.col("low").alias("number"))
-    principals = cut_lineage(placed.join(numbers, "component").select("node", "component", "number"))
-    every = own if extra is None else own.unionByName(extra)
-    return MembershipLabels(principals, cut_lineage(every), max(1, intervals.count()))
-
-
-def _exceptions(edges: DataFrame, intervals: DataFrame) -> DataFrame | None:
-    """``component, low, high`` that a component has besides its own interval, by rounds up the edges."""
+    extra = _exceptions(edges, inner, holders, intervals)
+    principals = intervals.select("node", F.col("node").alias("component"), F.col("low").alias("number"))
+    if cyclic:
+        alone = without_keys(principals, cycles, "node")
+        numbers = principals.select("component", "number")
+        principals = cut_lineage(alone.unionByName(cycles.join(numbers, "component").select("node", "component", "number")))
+    return MembershipLabels(principals, own if extra is None else own.unionByName(extra), max(1, intervals.count()))
+
+
+def _condensed(pairs: DataFrame, cycles: DataFrame | None) -> DataFrame:
+    """``child, parent``: the distinct pairs ``a, b`` between components."""
+    if cycles is None:
+        return pairs.select(F.col("a").alias("child"), F.col("b").alias("parent"))
+    for end in ("a", "b"):
+        pairs = pairs.join(cycles.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), end, "left")
+    between = pairs.select(
+        F.coalesce("_a", "a").alias("child"), F.coalesce("_b", "b").alias("parent"), F.coalesce("_a", "_b").isNotNull().alias("_moved")
+    ).where("child <> parent")
+    # Only pairs with an end on a cycle can fall together.
+    moved = between.where("_moved").select("child", "parent").distinct()
+    return cut_lineage(between.where("NOT _moved").select("child", "parent").unionByName(moved))
+
+
+def _exceptions(edges: DataFrame, inner: DataFrame, holders: DataFrame, intervals: DataFrame) -> DataFrame | None:
+    """``component, low, high`` that a component has besides its own interval, by rounds up the edges.
+
+    Rounds know components by the number their interval starts with, and walk the ``inner`` edges
+    alone: those whose child holds somebody.
+    """
     at = intervals.select(F.col("node").alias("child"), F.col("parent").alias("_tree"), "low", "high")
-    covered = intervals.select(F.col("node").alias("component"), F.col("low").alias("_low"), F.col("high").alias("_high"))
-
-    def uncovered(rows: DataFrame) -> DataFrame:
-        return rows.join(covered, "component").where("low < _low OR high > _high").select("component", "low", "high").distinct()
-
-    first = edges.join(at, "child").where("_tree IS NULL OR parent <> _tree").select(F.col("parent").alias("component"), "low", "high")
-    fresh = cut_lineage(uncovered(first))
-    found = None
-    while not fresh.isEmpty():
-        found = fresh if found is None else cut_lineage(found.unionByName(fresh))
-        handed = edges.join(fresh, edges["child"] == fresh["component"]).select(F.col("parent").alias("component"), "low", "high")
-        fresh = cut_lineage(without_keys(uncovered(handed), found, ["component", "low", "high"]))
-    return found
+    own = cut_lineage(intervals.join(holders, "node", "left_semi").select("node", F.col("low").alias("_low"), F.col("high").alias("_high")))
+    uncovered = "low < _low OR high > _high"
+    first = edges.join(own, F.col("parent") == F.col("node")).join(at, "child").where("_tree IS NULL OR parent <> _tree")
+    # An interval and its number belong to one child, so these rows are distinct as the edges are.
+    fresh = cut_lineage(first.where(uncovered).select(F.col("_low").alias("of"), "low", "high"))
+    if fresh.isEmpty():
+        return None
+    starts = own.select(F.col("node").alias("child"), F.col("_low").alias("of"))
+    steps = cut_lineage(inner.join(starts, "child").join(own, F.col("parent") == F.col("node")).select("of", "_low", "_high"))
+    found = fresh
+    while True:
+        handed = steps.join(fresh, "of").where(uncovered).select(F.col("_low").alias("of"), "low", "high").distinct()
+        fresh = cut_lineage(without_keys(handed, found, ["of", "low", "high"]))
+        if fresh.isEmpty():
+            break
+        found = found.unionByName(fresh)
+    return found.join(own, F.col("of") == F.col("_low")).select(F.col("node").alias("component"), "low", "high")

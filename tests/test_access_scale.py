@@ -136,3 +136,39 @@ def test_bitmaps_equal_the_grant_table(spark):
             seen = bitmaps.visible_by_bitmaps(objects, "object", stamps, requester, numbers, default)
             known = access.visible_by_grants(objects, "object", acl, requester, default)
             assert sorted(map(tuple, seen.collect())) == sorted(map(tuple, known.collect()))
+
+
+def test_labels_without_cycles_write_the_edges_once(spark, monkeypatch):
+    from tarn.operators import membership
+
+    written, real = [], membership.cut_lineage
+    monkeypatch.setattr(membership, "cut_lineage", lambda df: written.append(df.columns) or real(df))
+    rows = [("z", "s1"), ("z", "s2"), ("s1", "p1"), ("s2", "p1"), ("s2", "p2")]
+    labels = membership_labels(spark.createDataFrame(rows, "group_id string, member_principal_id string"))
+    assert ["child", "parent"] not in written and ["node", "component"] not in written
+    found = labels.members_of(spark.createDataFrame([("z",), ("s1",)], "group_id string")).collect()
+    assert sorted(map(tuple, found)) == [("s1", "p1"), ("z", "p1"), ("z", "p2"), ("z", "s1"), ("z", "s2")]
+
+
+def test_members_of_one_group_are_spread(spark, monkeypatch):
+    monkeypatch.setattr("tarn.session.ROWS_A_TASK", 10)
+    labels = membership_labels(spark.range(200).selectExpr("'g' group_id", "concat('u', id) member_principal_id"))
+    found = labels.members_of(spark.createDataFrame([("g",)], "group_id string"))
+    assert found.count() == 200 and found.rdd.getNumPartitions() == 21  # the group's own number too
+
+
+def test_inherited_grants_are_chosen_once_for_a_container(spark, monkeypatch):
+    from tarn.operators import containment
+
+    seen, real = [], containment.keep_latest
+    monkeypatch.setattr(containment, "keep_latest", lambda df, *a: seen.append(df.count()) or real(df, *a))
+    tree = spark.range(50).selectExpr("concat('o', id) object_id", "'box' parent_id")
+    paths = containment.object_paths(tree)
+    acl = spark.sql(
+        "SELECT 'box' source_object_id, 'u' principal_id, 'read' access_level, 'allow' effect, 'direct' grant_type, "
+        "CAST(NULL AS STRING) granted_via, 1 extracted_at UNION ALL SELECT 'o7', 'u', 'read', 'allow', 'direct', NULL, 0"
+    )
+    found = containment.effective_grants(tree.select("object_id"), paths, containment.grants_by_path(acl, paths))
+    kinds = {r["source_object_id"]: r["grant_type"] for r in found.collect()}
+    assert len(kinds) == 50 and kinds["o7"] == "direct" and kinds["o8"] == "inherited"
+    assert seen == [1]
