@@ -213,10 +213,10 @@ def child_by_parent(spark: SparkSession, d: str) -> DataFrame:
     columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
     lines = table(spark, d, "lineitem")
     orders = table(spark, d, "orders")
-    sync_children(lake, orders, lines.select(*columns), "l_orderkey", "o_orderkey", "lines")
+    sync_children(lake, orders, lines.select(*columns), "l_orderkey", "o_orderkey", "lines", lines.count() + orders.count())
     recent = orders.where(F.col("o_orderdate") >= F.lit(RECENT).cast("timestamp_ntz"))
     now = lines.where("l_returnflag <> 'R'").withColumn("l_quantity", F.col("l_quantity") + 1)
-    sync_children(lake, recent, now.select(*columns), "l_orderkey", "o_orderkey", "lines")
+    sync_children(lake, recent, now.select(*columns), "l_orderkey", "o_orderkey", "lines", now.count() + recent.count())
     return lake.read("raw/lines")
 
 

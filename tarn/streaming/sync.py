@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tarn.functions.ids import load_stamp, row_id
 from tarn.lake.store import LakeStore, Version
 from tarn.operators.merge import union_relaxed
+from tarn.session import tasks_for
 from tarn.sources.jdbc import read_increment
 from tarn.streaming.config import ResourceConfig, derive_mode
 from tarn.streaming.state import RunLog, SyncState
@@ -120,15 +121,20 @@ def _sync_by_partition(lake: LakeStore, source: DataFrame, config: ResourceConfi
 
 
 def sync_children(
-    lake: LakeStore, parents: DataFrame, children: DataFrame, fk: str, parent_pk: str, table: str,
+    lake: LakeStore, parents: DataFrame, children: DataFrame, fk: str, parent_pk: str, table: str, rows: int | None = None,
 ) -> Version | None:
     """Children of changed parents: their whole group is replaced, so removals vanish too.
 
-    ``parents`` is the parent's delta. One commit, so readers never see half a group.
+    ``parents`` is the parent's delta. One commit, so readers never see half a group. ``rows`` tells how
+    many both sides have, where that is known: they are then dealt by the key to as many tasks as they need.
     """
-    changed = parents.select(F.col(parent_pk).alias(fk)).distinct()
+    changed = parents.select(F.col(parent_pk).alias(fk))
+    if rows is not None:
+        tasks = tasks_for(rows)
+        changed, children = changed.repartition(tasks, fk), children.repartition(tasks, fk)
+    changed = changed.distinct()
     fresh = children.join(changed, fk, "left_semi").withColumn("_deleted", F.lit(False))
     # A marker per changed parent hides its old children even when none are left.
     markers = changed.withColumn("_deleted", F.lit(True))
-    rows = union_relaxed(fresh, markers)
-    return lake.write("raw", table, rows, "merge", pk=fk, unique=False, skip_empty=True)
+    rows_and_markers = union_relaxed(fresh, markers)
+    return lake.write("raw", table, rows_and_markers, "merge", pk=fk, unique=False, skip_empty=True)

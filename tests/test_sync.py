@@ -235,3 +235,18 @@ def test_rows_can_be_stamped(spark, lake):
     sync_resource(lake, spark.range(3), config)
     rows = lake.read("raw/x__t").collect()
     assert len({r._row_id for r in rows}) == 3 and all(r._loaded_at for r in rows)
+
+
+def test_children_are_dealt_by_their_rows(spark, monkeypatch):
+    from tarn.streaming.sync import sync_children
+
+    class Taken:
+        def write(self, layer, table, rows, *args, **options):
+            self.rows = rows
+
+    monkeypatch.setattr("tarn.session.ROWS_A_TASK", 10)
+    lake = Taken()
+    children = spark.range(90).selectExpr("id % 10 AS parent", "id AS child")
+    sync_children(lake, spark.range(9).toDF("key"), children, "parent", "key", "kids", 99)
+    assert lake.rows.where("NOT _deleted").count() == 81 and lake.rows.where("_deleted").count() == 9
+    assert lake.rows.rdd.getNumPartitions() == 20
