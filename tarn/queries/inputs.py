@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.queries.registry import table
+from tarn.session import tasks_for
 
 # Recent orders: the part of the table that a later sync finds changed.
 RECENT = "2001-01-01 00:00:00"
@@ -63,10 +64,13 @@ SELECT * FROM ({REPRICED})
 
 def contracts(spark: SparkSession, d: str) -> DataFrame:
     """Orders as contracts: two parties among the customers, and a product."""
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+    lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
+    # Both sides are dealt by the order to as many tasks as their rows need: ids, ends and degrees are made there.
+    tasks = tasks_for(lines.count() + orders.count())
+    lines = lines.repartition(tasks, "l_orderkey").groupBy("l_orderkey").agg(
         F.min("l_suppkey").alias("second_party"), F.min("l_partkey").alias("product_id")
     )
-    orders = table(spark, d, "orders")
+    orders = orders.repartition(tasks, "o_orderkey")
     return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
         F.col("o_orderkey").alias("external_id"),
         F.col("o_custkey").alias("first_party"),

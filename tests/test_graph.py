@@ -311,3 +311,16 @@ def test_lake_files_are_zstd_and_digests_keep_rows_apart(spark, lake):
     stored = spark.createDataFrame(rows, "u string, v string")
     other = spark.createDataFrame([("a", "bc"), (":1", "x"), (None, "n")], "u string, v string")
     assert tuple(_same_rows(stored, other).first()) == (4, 1)
+
+
+def test_contracts_are_dealt_by_their_rows(spark, tmp_path, monkeypatch):
+    from tarn.queries.inputs import contracts
+
+    monkeypatch.setattr("tarn.session.ROWS_A_TASK", 10)
+    spark.range(40).selectExpr("id % 20 l_orderkey", "id l_suppkey", "id l_partkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(30).selectExpr(
+        "id o_orderkey", "id o_custkey", "'O' o_orderstatus", "1.0D o_totalprice", "timestamp_ntz'2020-01-01 00:00:00' o_orderdate"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    found = contracts(spark, str(tmp_path))
+    assert found.count() == 30 and found.where("second_party = external_id").count() == 20
+    assert found.rdd.getNumPartitions() == 7
