@@ -70,6 +70,58 @@ def test_group_candidates_come_in_rounds():
     assert named == {(i, j) for i in range(n) for j in range(i)}
 
 
+def test_small_and_large_groups_name_the_same_candidates():
+    import numpy as np
+
+    from tarn.llm.line_dedup import whole_candidates
+
+    random_bits = np.random.default_rng(3)
+    n = 90
+    size, at = random_bits.integers(9, 12, n), random_bits.integers(0, 2, n)
+    bits = np.zeros((2, n), np.uint64)
+    bits[0] = np.uint64(1) << random_bits.integers(0, 4, n).astype(np.uint64)
+    wanted = np.arange(n) % 5 > 0
+    for skip, most in ((0, 4), (4, 8), (12, 100)):
+        one = group_candidates(np.arange(n), size, at, 0.8, skip, bits, wanted, most)
+        other = whole_candidates(np.arange(n), size, at, 0.8, skip, bits, wanted, most)
+        assert all(a.tolist() == b.tolist() for a, b in zip(one, other, strict=True))
+        assert len(one[0]) and (len(one[2]) > 0) == (most < 100)
+
+
+def test_lines_that_only_share_a_rare_word_are_not_verified(spark, monkeypatch):
+    """Bits of the words tell unlike lines apart before any pair is written."""
+    from tarn.llm import line_dedup
+
+    generator = random.Random(6)
+    pool = [f"often{i}" for i in range(20)]
+    docs = [(i, " ".join([f"rare{i % 4}", *generator.sample(pool, 9)])) for i in range(200)]
+    docs.append((200, docs[3][1]))
+    verified, counted = line_dedup._verified, []
+
+    def counting(pairs, *rest):
+        counted.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(line_dedup, "_verified", counting)
+    found = repeated_lines(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    removed = brute.repeated_lines(docs)
+    assert {r[0]: r[2] for r in found.collect()} == {i: removed[i, t] for i, t in docs}
+    assert sum(counted) < 100
+
+
+def test_words_of_lines_in_a_batch():
+    import pyarrow as pa
+
+    from tarn.llm.line_dedup import words_in
+
+    texts = ["", " a\x0bb \n\n a\x1cé a\r\n", "z\u00a0z\tz", "\n"]
+    lines, counts, word, distinct = words_in(pa.array(texts))
+    expected = [line.split() for t in texts for line in t.encode().split(b"\n")]
+    assert lines.tolist() == [t.count("\n") + 1 for t in texts]
+    assert counts.tolist() == [len(x) for x in expected]
+    assert [distinct[i] for i in word] == [w for x in expected for w in x]
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
