@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +55,7 @@ def words_in(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[
     some = pc.not_equal(words, pa.scalar("", pa.large_string()))  # white space at the ends leaves empty words
     words = words.filter(some).dictionary_encode()
     counts = np.bincount(row[some.to_numpy(zero_copy_only=False)], minlength=len(split))
-    distinct = words.dictionary.cast(pa.large_binary()).to_pylist()
+    distinct = words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
     return pc.list_value_length(lines).to_numpy(), counts, words.indices.to_numpy(), distinct
 
 
@@ -111,7 +112,7 @@ class Places:
         known = self._known
         fresh = list(set(words).difference(known))
         if fresh:
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in fresh), np.uint64, len(fresh))
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, fresh, repeat(42)), np.uint64, len(fresh))
             at = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
             level = sum((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(np.int64) for bits in self._bits)
             places = level << 60 | (hashes >> np.uint64(4)).astype(np.int64)
