@@ -28,6 +28,30 @@ def uuid5(name: Column | str, namespace: uuid.UUID = uuid.NAMESPACE_URL) -> Colu
     )
 
 
+#: What a text that is no UUID gets at its end, so that it never has the length of a packed one.
+_NO_UUID = bytes(17)
+_UUID = r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+
+
+def packed_text(text: Column | str) -> Column:
+    """The 16 bytes of a UUID in lower case, other texts as they are with a mark: equal only for equal texts."""
+    text = F.col(text) if isinstance(text, str) else text
+    uuid_text = (F.length(text) == 36) & text.rlike(rf"\A{_UUID}\z")
+    return F.when(uuid_text, F.unhex(F.translate(text, "-", ""))).otherwise(
+        F.concat(text.cast("binary"), F.lit(_NO_UUID))
+    )
+
+
+def unpacked_text(packed: Column | str) -> Column:
+    """The text that ``packed_text`` was given."""
+    packed = F.col(packed) if isinstance(packed, str) else packed
+    digits = F.lower(F.hex(packed))
+    places = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
+    dashed = F.concat_ws("-", *[F.substring(digits, start, n) for start, n in places])
+    bare = F.substring(packed, F.lit(1), F.octet_length(packed) - len(_NO_UUID)).cast("string")
+    return F.when(F.octet_length(packed) == 16, dashed).when(packed.isNotNull(), bare)
+
+
 def synthetic_key(*cols: Column | str) -> Column:
     """Composite key ``a:b``; NULL when a part is NULL."""
     parts = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.functions.ids import uuid5
-from tarn.graph.entities import node_id, with_entity_key
+from tarn.functions.ids import packed_text, unpacked_text, uuid5
+from tarn.graph.entities import fallback_key, node_id, with_entity_key
 from tarn.graph.identity import (
     EntityChange,
     keys_of_same_entities,
@@ -26,6 +26,9 @@ from tarn.session import cut_lineage
 
 NODE_COLUMNS = ["entity_id", "label", "entity_key", "props", "updated_at"]
 EDGE_KEY = ["type", "src", "dst"]
+EDGE_START = ["type", "src"]
+#: Types whose values differ exactly where their texts do.
+PLAIN_TYPES = (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.StringType())
 
 
 def primitive(field: T.StructField) -> Column:
@@ -58,6 +61,10 @@ def _props(df: DataFrame, properties: Sequence[str]) -> Column:
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
+def _plain(df: DataFrame, key: str) -> bool:
+    return df.schema[key].dataType in PLAIN_TYPES
+
+
 def _cursor(name: str | None) -> Column:
     return (F.col(name) if name else F.lit(None)).cast("timestamp").alias("updated_at")
 
@@ -75,7 +82,12 @@ def project_nodes(node: NodeMap, keyed: DataFrame) -> DataFrame:
     Rows are reduced to one per key before ids and property texts are made, so the
     shuffle carries only the mapped columns.
     """
-    latest = keep_latest(keyed, "entity_key", node.cursor)
+    if node.by_key and not node.origin and node.id_field != "entity_key" and _plain(keyed, node.id_field):
+        # The key as it is: rows that a merge has just placed by it stay where they are.
+        latest = keep_latest(keyed.drop("entity_key"), node.id_field, node.cursor)
+        latest = latest.withColumn("entity_key", fallback_key(node.id_field, None))
+    else:
+        latest = keep_latest(keyed, "entity_key", node.cursor)
     return latest.select(
         node_id(node.label, "entity_key").alias("entity_id"),
         F.lit(node.label).alias("label"),
@@ -140,19 +152,28 @@ def project_edges(
 
 
 def project_events(event: TimelineMap, clean: DataFrame, node: NodeMap, index: DataFrame | None = None) -> DataFrame:
-    """Timeline events; the id hashes all of an event, so two at one instant stay two."""
+    """Timeline events; the id hashes all of an event, so two at one instant stay two.
+
+    Equal events are found by what the id is made of, which is shorter than the ids.
+    """
     rows = clean.where(F.col(event.key).isNotNull() & F.col(event.timestamp).isNotNull())
+    rows = rows.withColumns({
+        "_at": F.col(event.timestamp).cast("timestamp"),
+        "_props": _props(clean, event.properties),
+    })
+    if index is None:
+        rows = rows.select(F.col(event.key).cast("string").alias(event.key), "_at", "_props")
+        # The id has the time of day, which two instants share when clocks are put back.
+        rows = rows.withColumn("_clock", F.col("_at").cast("timestamp_ntz")).dropDuplicates([event.key, "_clock", "_props"])
     rows = _endpoint(rows, "entity_id", node, event.key, index)
     events = rows.select(
-        F.lit(event.type).alias("type"),
-        "entity_id",
-        F.col(event.timestamp).cast("timestamp").alias("at"),
-        _props(clean, event.properties).alias("props"),
+        F.lit(event.type).alias("type"), "entity_id", F.col("_at").alias("at"), F.col("_props").alias("props")
     )
     identity = F.concat_ws(
         "|", "type", "entity_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "props"
     )
-    return events.withColumn("event_id", uuid5(identity)).dropDuplicates(["event_id"])
+    events = events.withColumn("event_id", uuid5(identity))
+    return events if index is None else events.dropDuplicates(["event_id"])
 
 
 class Graph:
@@ -236,12 +257,32 @@ def build_graph(
     return _store(lake, graph, "overwrite" if reset else "merge", suffix)
 
 
-def _store(lake: LakeStore, graph: Graph, mode: str, suffix: str = "") -> Graph:
+def _one_row_an_id(ontology: Ontology, tables: dict[str, DataFrame]) -> set[str]:
+    """Parts whose projected rows have different ids: no two maps make the same, each makes it once."""
+    named = {"nodes": (":", [n.label for n in ontology.nodes]), "events": ("|", [t.type for t in ontology.timeline])}
+    parts = {p for p, (mark, names) in named.items() if len(set(names)) == len(names) and mark not in "".join(names)}
+    types = {e.type for e in ontology.edges}
+    if len(types) == len(ontology.edges) and all(
+        _plain(tables[e.source], k) for e in ontology.edges for k in (e.from_key, e.to_key)
+    ):
+        parts.add("edges")
+    return parts
+
+
+def _store(
+    lake: LakeStore, graph: Graph, mode: str, suffix: str = "", single: Collection[str] = (), by_start: bool = False
+) -> Graph:
+    """Write the parts. Those in ``single`` have one row an id already; ``by_start`` merges all edges of a start together."""
     parts = {"nodes": "entity_id", "edges": EDGE_KEY, "events": "event_id"}
     for part, key in parts.items():
         frame = getattr(graph, part)
-        if frame is not None:
-            lake.write("graph", f"{part}{suffix}", frame, mode, pk=key, skip_empty=mode == "merge")
+        if frame is None:
+            continue
+        unique = part not in single
+        if part == "edges" and by_start:
+            frame = keep_latest(frame, EDGE_KEY) if unique else frame
+            key, unique = EDGE_START, False
+        lake.write("graph", f"{part}{suffix}", frame, mode, pk=key, unique=unique, skip_empty=mode == "merge")
     read = {p: ("graph", f"{p}{suffix}") for p in parts}
     have = {p: lake.read(s) if lake.table_exists(s) else None for p, s in read.items()}
     return Graph(have["nodes"], have["edges"], have["events"])
@@ -251,7 +292,8 @@ def refresh_graph(lake: LakeStore, ontology: Ontology, since: dict[str, object],
     """Maintain the stored graph from the rows changed after each source's mark.
 
     All edges that start at a key of a changed row are made anew and replace the stored ones
-    of that start, so an edge whose end moved leaves nothing behind. Nodes and edges whose
+    of that start, so an edge whose end moved leaves nothing behind; maps that start at the same
+    key of the same rows have these looked up once. Nodes and edges whose
     key is in no row any more are removed; only keys are compared for that. Where identity
     fields or origins decide an id, ``refresh_entities`` tells which entities merged, split or
     changed; their nodes, the edges at either end and their events are made anew.
@@ -262,7 +304,8 @@ def refresh_graph(lake: LakeStore, ontology: Ontology, since: dict[str, object],
     indexes = {label: state_index(ontology.node(label), c.state) for label, c in changes.items()}
     moved = {label: c.keys.select(F.col("key").alias("_moved")) for label, c in changes.items()}
     edges, groups, origins = [], [], {}
-    for edge in ontology.edges:
+    for alike in _same_rows_touched(ontology, moved):
+        edge = alike[0]
         source, target = ontology.node(edge.from_label), ontology.node(edge.to_label)
         key, rows = F.col(edge.from_key).cast("string"), tables[edge.source]
         touched = [changed[edge.source].select(key.alias("_touched"))]
@@ -274,17 +317,26 @@ def refresh_graph(lake: LakeStore, ontology: Ontology, since: dict[str, object],
         if source.label in indexes:
             touched = keys_of_same_entities(cut_lineage(touched), indexes[source.label])
         touched = cut_lineage(touched)
-        rows = rows.join(touched, key == F.col("_touched"), "left_semi")
-        edges.append(project_edges(edge, rows, source, target, indexes))
-        groups.append(_starts(edge, touched.select(F.col("_touched").alias(edge.from_key)), source, indexes))
-        origins.setdefault(edge.type, {})[edge.source, edge.from_key, edge.from_label] = edge
+        rows = rows.select(*dict.fromkeys(c for e in alike for c in e.columns()))
+        same = key == F.col("_touched")
+        if source.label not in moved and _plain(rows, edge.from_key):
+            # All touched keys are from this column; as values they follow the join that hides older rows.
+            same = F.col(edge.from_key) == F.col("_touched").cast(rows.schema[edge.from_key].dataType)
+        rows = rows.join(touched, same, "left_semi")
+        if len(alike) > 1:
+            rows = cut_lineage(rows)
+        for e in alike:
+            edges.append(project_edges(e, rows, source, ontology.node(e.to_label), indexes))
+            groups.append(_starts(e, touched.select(F.col("_touched").alias(e.from_key)), source, indexes))
+            origins.setdefault(e.type, {})[e.source, e.from_key, e.from_label] = e
     stored = {p: lake.pin(("graph", p)) if lake.table_exists(("graph", p)) else None for p in PARTS}
     if edges and stored["edges"] is not None:
         gone = _without_start(stored["edges"].select("type", "src"), ontology, origins, tables, indexes)
         lake.delete_where_in(("graph", "edges"), ["type", "src"], _union(groups).unionByName(gone))
     if stored["nodes"] is not None:
         present = [_present(n, tables[n.source], changes.get(n.label)) for n in ontology.nodes]
-        gone = cut_lineage(without_keys(stored["nodes"].select("entity_id"), _union(present), "entity_id"))
+        kept, present = (_packed(f, "entity_id") for f in (stored["nodes"].select("entity_id"), _union(present)))
+        gone = cut_lineage(_unpacked(without_keys(kept, present, "entity_id"), "entity_id"))
         if not gone.isEmpty():
             lake.delete_where_in(("graph", "nodes"), "entity_id", gone)
     events = []
@@ -304,7 +356,25 @@ def refresh_graph(lake: LakeStore, ontology: Ontology, since: dict[str, object],
         else:
             keyed = keyed_rows(n, changed[n.source])
         nodes.append(project_nodes(n, keyed))
-    return _store(lake, Graph(_union(nodes), _union(edges), _union(events)), "merge")
+    graph = Graph(_union(nodes), _union(edges), _union(events))
+    return _store(lake, graph, "merge", single=_one_row_an_id(ontology, tables), by_start=True)
+
+
+def _same_rows_touched(ontology: Ontology, moved: Collection[str]) -> list[list[EdgeMap]]:
+    """Edge maps in lists whose edges are made anew for the same rows: those of one start, and of one end where it moved."""
+    alike: dict[tuple, list[EdgeMap]] = {}
+    for e in ontology.edges:
+        end = (e.to_label, e.to_key) if e.to_label in moved else None
+        alike.setdefault((e.source, e.from_key, e.from_label, end), []).append(e)
+    return list(alike.values())
+
+
+def _packed(ids: DataFrame, column: str) -> DataFrame:
+    return ids.withColumn(column, packed_text(column))
+
+
+def _unpacked(ids: DataFrame, column: str) -> DataFrame:
+    return ids.withColumn(column, unpacked_text(column))
 
 
 def _rows_with(rows: DataFrame, key: str, moved: DataFrame) -> DataFrame:
@@ -338,7 +408,8 @@ def _without_start(
     for names in types.values():
         maps = origins[names[0]].values()
         starts = [_starts(e, tables[e.source].select(e.from_key), ontology.node(e.from_label), indexes).select("src") for e in maps]
-        gone.append(without_keys(kept.where(F.col("type").isin(names)), _union(starts), "src"))
+        there = _packed(kept.where(F.col("type").isin(names)), "src")
+        gone.append(_unpacked(without_keys(there, _packed(_union(starts), "src"), "src"), "src"))
     return _union(gone)
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarn.functions.ids import packed_text
 from tarn.functions.scalars import beyond
 from tarn.lake.files import SharedFiles
 from tarn.lake.sqltext import parsed_query
@@ -90,13 +91,17 @@ class Mark:
 
 @dataclass
 class Segment:
-    """One commit's files: plain ``rows``, a ``merge`` (rows + keys) or a ``delete`` (keys)."""
+    """One commit's files: plain ``rows``, a ``merge`` (rows + keys) or a ``delete`` (keys).
+
+    ``null_keys`` counts the rows that lack a key column's value; None where nobody counted.
+    """
 
     commit: str
     kind: str
     keys: list[str] = field(default_factory=list)
     rows: int = 0
     schema: dict = field(default_factory=dict)
+    null_keys: int | None = None
 
 
 @dataclass
@@ -131,6 +136,10 @@ def split_source(source: Source) -> tuple[str, str]:
     return layer, table
 
 
+def _packed(key: T.StructField) -> Column:
+    return packed_text(key.name) if key.dataType == T.StringType() else F.col(key.name)
+
+
 # Parquet files written with the left type can be read as the right one.
 READ_WIDENINGS = {
     (T.ByteType, T.ShortType), (T.ByteType, T.IntegerType), (T.ByteType, T.LongType),
@@ -270,7 +279,7 @@ class LakeStore:
     ) -> tuple[Segment, Mark | None]:
         """Write the files of a commit; nothing is visible until a version lists them.
 
-        Rows and the cursor's maximum are counted in the pass that writes them.
+        Rows, NULL keys and the cursor's maximum are counted in the pass that writes them.
         """
         commit = uuid.uuid4().hex
         path = self._commit_path(layer, table, commit)
@@ -278,6 +287,9 @@ class LakeStore:
             df = df.sortWithinPartitions(sort_by)
         tracked = track is not None and track in df.columns
         measures = [F.count(F.lit(1)).alias("rows")]
+        if keys:
+            lacking = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
+            measures.append(F.count_if(lacking).alias("null_keys"))
         if tracked:
             measures.append(F.max(track).cast("string").alias("top"))
         seen = Observation()
@@ -290,7 +302,8 @@ class LakeStore:
         if tracked and found["top"] is not None:
             mark = Mark(found["top"], df.schema[track].dataType.simpleString())
         kind = "rows" if mode in ("overwrite", "append") else mode
-        segment = Segment(commit, kind, keys, found["rows"], json.loads(df.schema.json()))
+        lacking = found["null_keys"] if keys else None
+        segment = Segment(commit, kind, keys, found["rows"], json.loads(df.schema.json()), lacking)
         return segment, mark
 
     def _commit(
@@ -583,6 +596,14 @@ class LakeStore:
                 raise ValueError(f"{layer}/{table} has no cursor column {cursor}")
         return df.select(*columns) if columns else df
 
+    def read_derived(self, source: Source, *derived: Column) -> DataFrame:
+        """``read(source).select(*derived)``, for columns far smaller than the rows they are made of.
+
+        They are made before replaced rows are hidden, so they and the keys, not the rows, travel.
+        """
+        layer, table = split_source(source)
+        return self._read_version(layer, table, self._require(layer, table), derived=derived)
+
     def _scan(
         self, layer: str, table: str, segments: Sequence[Segment], schema: T.StructType
     ) -> DataFrame:
@@ -608,9 +629,9 @@ class LakeStore:
         return self.spark.read.schema(with_commit).option("basePath", base).parquet(*paths)
 
     def _read_version(
-        self, layer: str, table: str, version: Version | None, hidden: bool = False
+        self, layer: str, table: str, version: Version | None, hidden: bool = False, derived: Sequence[Column] = ()
     ) -> DataFrame:
-        """The rows of a version; ``hidden`` keeps tombstones and sequences."""
+        """The rows of a version, or what is ``derived`` from them; ``hidden`` keeps tombstones and sequences."""
         if version is None:
             raise TableNotFound(f"{layer}/{table}")
         schema = version.struct
@@ -618,8 +639,14 @@ class LakeStore:
         # A delete or merge that comes first has nothing to hide.
         hiders = [s for s in version.segments[1:] if s.kind in ("merge", "delete")]
         rows = self._scan(layer, table, holders, schema)
+        if derived:
+            keys = sorted({k for s in hiders for k in s.keys})
+            alive = [F.col(DELETED)] if DELETED in schema.names else []
+            rows = rows.select(*derived, *[_packed(schema[k]).alias(f"_own_{k}") for k in keys], COMMIT, *alive)
         if hiders:
-            rows = self._hide(layer, table, version, rows, hiders)
+            rows = self._hide(layer, table, version, rows, hiders, bool(derived))
+        if derived:
+            rows = rows.drop(*[f"_own_{k}" for k in keys])
         if DELETED in schema.names and not hidden:
             rows = rows.where(f"{DELETED} IS NULL OR NOT {DELETED}").drop(DELETED)
         return rows.drop(COMMIT, *[n for n in schema.names if n.startswith(SEQUENCE) and not hidden])
@@ -631,8 +658,12 @@ class LakeStore:
         version: Version,
         rows: DataFrame,
         hiders: Sequence[Segment],
+        packed: bool = False,
     ) -> DataFrame:
-        """Drop rows replaced or removed by a later commit: one anti-join per key set."""
+        """Drop rows replaced or removed by a later commit: one anti-join per key set.
+
+        Keys without NULLs are compared plainly, which lets what follows use the join's partitions.
+        """
         places = {s.commit: i for i, s in enumerate(version.segments)}
         pairs = [F.lit(x) for pair in places.items() for x in pair]
         place = F.element_at(F.create_map(*pairs), F.col(COMMIT))
@@ -641,7 +672,7 @@ class LakeStore:
             group = [s for s in hiders if tuple(s.keys) == keys]
             key_schema = T.StructType([version.struct[k] for k in keys])
             marks = self._scan(layer, table, group, key_schema).select(
-                *[F.col(k).alias(f"_key_{k}") for k in keys], place.alias("_later")
+                *[(_packed(version.struct[k]) if packed else F.col(k)).alias(f"_key_{k}") for k in keys], place.alias("_later")
             )
             if any(s.kind == "merge" for s in group):
                 # Groups repeat their key; keys of unique merges hardly do.
@@ -650,7 +681,8 @@ class LakeStore:
                 )
             hit = F.col("_later") > F.col("_place")
             for k in keys:
-                hit = hit & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+                own, key = F.col(f"_own_{k}" if packed else k), F.col(f"_key_{k}")
+                hit = hit & (own == key if all(s.null_keys == 0 for s in group) else own.eqNullSafe(key))
             rows = rows.join(marks, hit, "left_anti")
         return rows.drop("_place")
 

@@ -324,3 +324,68 @@ def test_contracts_are_dealt_by_their_rows(spark, tmp_path, monkeypatch):
     found = contracts(spark, str(tmp_path))
     assert found.count() == 30 and found.where("second_party = external_id").count() == 20
     assert found.rdd.getNumPartitions() == 7
+
+
+def test_refreshed_edges_are_hidden_by_one_join_and_their_rows_read_once(spark, filled, monkeypatch):
+    from tarn.graph import project
+
+    ontology = parse_ontology(MAP)
+    build_graph(filled, ontology)
+    contracts = filled.read("clean/contracts")
+    mark = contracts.agg(F.max("updated_at")).first()[0]
+    late = F.timestamp_add("DAY", F.lit(500), F.col("updated_at"))
+    moved = contracts.where("contract_id IN (3, 4)").withColumns({"product_id": F.lit(1).cast(contracts.schema["product_id"].dataType), "updated_at": late})
+    filled.write("clean", "contracts", moved, "merge", pk="contract_id")
+    read = []
+    cut = project.cut_lineage
+    monkeypatch.setattr(project, "cut_lineage", lambda df: read.append(df.columns) or cut(df))
+    graph = refresh_graph(filled, ontology, {"clean/contracts": mark})
+    assert read.count(["_touched"]) == 1
+    segments = filled._require("graph", "edges").segments
+    assert {tuple(s.keys) for s in segments[1:]} == {("type", "src")}
+    assert graph.edges._jdf.queryExecution().optimizedPlan().toString().count("Join LeftAnti") == 1
+    fresh = build_graph(filled, ontology, suffix="_again")
+    for part in ("nodes", "edges"):
+        assert sorted(map(tuple, getattr(graph, part).collect())) == sorted(map(tuple, getattr(fresh, part).collect()))
+
+
+def test_maps_of_one_type_leave_one_edge_a_key_after_a_refresh(spark, lake):
+    stamp = datetime.datetime(2024, 1, 1)
+    for name in ("a", "b"):
+        lake.write("clean", name, spark.createDataFrame([(1, 2, stamp), (None, 2, stamp)], "id int, to int, updated_at timestamp_ntz"))
+    ontology = parse_ontology({
+        "nodes": [{"label": "A", "source": "clean/a", "id_field": "id"}],
+        "edges": [{"type": "T", "source": s, "from_label": "A", "from_key": "id", "to_label": "A", "to_key": "to"} for s in ("clean/a", "clean/b")],
+    })
+    graph = refresh_graph(lake, ontology, {})
+    assert (graph.nodes.count(), graph.edges.count()) == (1, 1)
+
+
+def test_equal_events_are_one_and_clocks_put_back_make_no_second_id(spark):
+    from tarn.graph import project
+    from tarn.graph.ontology import NodeMap, TimelineMap
+
+    rows = spark.sql(
+        "SELECT * FROM VALUES (1, 1730611800L, 'x', 1), (1, 1730611800L, 'x', 2), (1, 1730615400L, 'x', 3), (2, 1730611800L, 'x', 4),"
+        " (1, 1730611800L, NULL, 5), (1, 1730611800L, NULL, 6), (NULL, 1730611800L, 'x', 7), (1, NULL, 'x', 8) AS t(k, s, kind, n)"
+    ).select("k", F.timestamp_seconds("s").alias("at_time"), "kind", "n")
+    event, node = TimelineMap("E", "clean/e", "A", "k", "at_time", ("kind",)), NodeMap("A", "clean/a", "id")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    for place, ids in (("UTC", 4), ("America/Los_Angeles", 4), ("America/New_York", 3)):
+        spark.conf.set("spark.sql.session.timeZone", place)
+        try:
+            found = [r.event_id for r in project.project_events(event, rows, node).collect()]
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", zone)
+        assert len(found) == len(set(found)) == ids
+
+
+def test_rows_are_compared_by_sums_and_only_parts_that_differ_are_joined(spark):
+    from tarn.queries.graphs import _same_rows
+
+    rows = spark.range(3000).selectExpr("CAST(id % 2900 AS STRING) u", "'v' v")
+    assert tuple(_same_rows(rows, rows).first()) == (3000, 3000)
+    assert tuple(_same_rows(rows, rows.distinct()).first()) == (3000, 3000)
+    assert tuple(_same_rows(rows, rows.where("u NOT IN ('7', '2899')")).first()) == (3000, 2997)
+    assert tuple(_same_rows(rows, rows.withColumn("v", F.lit("w"))).first()) == (3000, 0)
+    assert tuple(_same_rows(rows.limit(0), rows).first()) == (0, 0)

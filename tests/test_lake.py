@@ -288,3 +288,64 @@ def test_clashing_column_merges_see_each_other(spark, lake):
     [t.start() for t in threads]
     [t.join() for t in threads]
     assert tuple(lake.read("raw/t").first()) == (1, 7, 7)
+
+
+def test_rows_without_null_keys_stay_where_the_join_that_hides_older_ones_put_them(spark, lake):
+    from tarn.operators.merge import keep_latest
+
+    lake.write("raw", "t", spark.range(100).withColumn("v", F.lit(0)))
+    lake.write("raw", "t", spark.range(10).withColumn("v", F.lit(1)), "merge", pk="id")
+    lake.delete_where_in("raw/t", "id", spark.range(5, 7))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        latest = keep_latest(lake.read("raw/t"), "id")
+        plan = latest._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(id") == 1 and "Exchange hashpartitioning(coalesce" not in plan
+        assert {(r.id, r.v) for r in latest.collect()} == {(i, int(i < 10)) for i in range(100) if i not in (5, 6)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+@pytest.mark.parametrize("counted", [True, False])
+def test_null_keys_hide_null_keys_also_where_nobody_counted_them(spark, lake, monkeypatch, counted):
+    if not counted:  # a table from before they were counted
+        stage = lake._stage
+        monkeypatch.setattr(lake, "_stage", lambda *a, **b: ((found := stage(*a, **b))[0].__setattr__("null_keys", None), found)[1])
+    shape = "a int, b string, v int"
+    lake.write("raw", "t", spark.createDataFrame([(1, "x", 0), (1, None, 0), (None, None, 0), (2, "y", 0)], shape))
+    lake.write("raw", "t", spark.createDataFrame([(1, None, 1), (2, "y", 1)], shape), "merge", pk=["a", "b"])
+    assert [s.null_keys for s in lake._require("raw", "t").segments] == [None, 1 if counted else None]
+    assert sorted(map(str, lake.read("raw/t").collect())) == sorted(map(str, spark.createDataFrame([(1, "x", 0), (1, None, 1), (None, None, 0), (2, "y", 1)], shape).collect()))
+    lake.delete_where_in("raw/t", ["a", "b"], spark.createDataFrame([(None, None), (1, "x")], "a int, b string"))
+    assert {tuple(r) for r in lake.read("raw/t").collect()} == {(1, None, 1), (2, "y", 1)}
+    derived = lake.read_derived("raw/t", F.concat_ws("/", "a", "v").alias("av"))
+    assert sorted(r.av for r in derived.collect()) == ["1/1", "2/1"] and derived.columns == ["av"]
+
+
+def test_derived_columns_travel_instead_of_their_rows(spark, lake):
+    from tarn.functions.ids import uuid5
+
+    rows = spark.range(50).select(uuid5(F.col("id").cast("string")).alias("k"), F.repeat(F.lit("x"), 1000).alias("wide"), F.lit(0).alias("v"))
+    lake.write("raw", "t", rows)
+    lake.write("raw", "t", rows.limit(20).withColumn("v", F.lit(1)), "merge", pk="k")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = lake.read_derived("raw/t", F.length("wide").alias("n"), "v")
+        join = sizes._jdf.queryExecution().optimizedPlan().toString().partition("Join LeftAnti")
+        assert "length(wide" in join[2] and "length(wide" not in join[0]
+        assert sorted(map(tuple, sizes.collect())) == [(1000, 0)] * 30 + [(1000, 1)] * 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_packed_texts_are_told_apart_and_come_back(spark):
+    from tarn.functions.ids import packed_text, unpacked_text
+
+    known = "4cd605e7-afa2-5360-b5b9-c5e9fb5c76f4"
+    texts = [known, known.upper(), f"{known}\n", known[:-1], f"g{known[1:]}", "", "x" * 16, "\0" * 17, "é" * 18, None]
+    packed = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("p", packed_text("t"))
+    found = packed.withColumn("u", unpacked_text("p")).collect()
+    assert all(r.t == r.u for r in found) and len({bytes(r.p) for r in found if r.p is not None}) == len(texts) - 1
+    assert [len(r.p) for r in found if r.t == known] == [16]
