@@ -28,8 +28,8 @@ def uuid5(name: Column | str, namespace: uuid.UUID = uuid.NAMESPACE_URL) -> Colu
     )
 
 
-#: What a text that is no UUID gets at its end, so that it never has the length of a packed one.
-_NO_UUID = bytes(17)
+# A text that is no UUID gets a byte at its end, or two where one would give it the length of a packed one.
+_ONE, _TWO = b"\x01", b"\x02\x02"
 _UUID = r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 
 
@@ -37,9 +37,8 @@ def packed_text(text: Column | str) -> Column:
     """The 16 bytes of a UUID in lower case, other texts as they are with a mark: equal only for equal texts."""
     text = F.col(text) if isinstance(text, str) else text
     uuid_text = (F.length(text) == 36) & text.rlike(rf"\A{_UUID}\z")
-    return F.when(uuid_text, F.unhex(F.translate(text, "-", ""))).otherwise(
-        F.concat(text.cast("binary"), F.lit(_NO_UUID))
-    )
+    end = F.when(F.octet_length(text) == 15, F.lit(_TWO)).otherwise(F.lit(_ONE))
+    return F.when(uuid_text, F.unhex(F.translate(text, "-", ""))).otherwise(F.concat(text.cast("binary"), end))
 
 
 def unpacked_text(packed: Column | str) -> Column:
@@ -48,7 +47,8 @@ def unpacked_text(packed: Column | str) -> Column:
     digits = F.lower(F.hex(packed))
     places = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
     dashed = F.concat_ws("-", *[F.substring(digits, start, n) for start, n in places])
-    bare = F.substring(packed, F.lit(1), F.octet_length(packed) - len(_NO_UUID)).cast("string")
+    added = F.when(F.substring(packed, -1, 1) == F.lit(_TWO[:1]), len(_TWO)).otherwise(len(_ONE))
+    bare = F.substring(packed, F.lit(1), F.octet_length(packed) - added).cast("string")
     return F.when(F.octet_length(packed) == 16, dashed).when(packed.isNotNull(), bare)
 
 

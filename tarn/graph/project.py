@@ -162,7 +162,8 @@ def project_events(event: TimelineMap, clean: DataFrame, node: NodeMap, index: D
         "_props": _props(clean, event.properties),
     })
     if index is None:
-        rows = rows.select(F.col(event.key).cast("string").alias(event.key), "_at", "_props")
+        key = F.col(event.key) if _plain(clean, event.key) else F.col(event.key).cast("string").alias(event.key)
+        rows = rows.select(key, "_at", "_props")
         # The id has the time of day, which two instants share when clocks are put back.
         rows = rows.withColumn("_clock", F.col("_at").cast("timestamp_ntz")).dropDuplicates([event.key, "_clock", "_props"])
     rows = _endpoint(rows, "entity_id", node, event.key, index)

@@ -668,8 +668,8 @@ class LakeStore:
         pairs = [F.lit(x) for pair in places.items() for x in pair]
         place = F.element_at(F.create_map(*pairs), F.col(COMMIT))
         rows = rows.withColumn("_place", place)
-        for keys in sorted({tuple(s.keys) for s in hiders}):
-            group = [s for s in hiders if tuple(s.keys) == keys]
+        for keys in sorted({tuple(sorted(s.keys)) for s in hiders}):
+            group = [s for s in hiders if tuple(sorted(s.keys)) == keys]
             key_schema = T.StructType([version.struct[k] for k in keys])
             marks = self._scan(layer, table, group, key_schema).select(
                 *[(_packed(version.struct[k]) if packed else F.col(k)).alias(f"_key_{k}") for k in keys], place.alias("_later")

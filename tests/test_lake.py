@@ -344,7 +344,7 @@ def test_packed_texts_are_told_apart_and_come_back(spark):
     from tarn.functions.ids import packed_text, unpacked_text
 
     known = "4cd605e7-afa2-5360-b5b9-c5e9fb5c76f4"
-    texts = [known, known.upper(), f"{known}\n", known[:-1], f"g{known[1:]}", "", "x" * 16, "\0" * 17, "é" * 18, None]
+    texts = [known, known.upper(), f"{known}\n", known[:-1], f"g{known[1:]}", "", "x" * 14, "x" * 15, "x" * 15 + "\1", "x" * 15 + "\2", "x" * 16, "\2\2", "é" * 18, None]
     packed = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("p", packed_text("t"))
     found = packed.withColumn("u", unpacked_text("p")).collect()
     assert all(r.t == r.u for r in found) and len({bytes(r.p) for r in found if r.p is not None}) == len(texts) - 1
